@@ -27,8 +27,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids and what they decode to, as digests."""
+    import public_tokenizers as P
+
+    from folioflow.llm.bpe import encode, read_ranks
+
+    ranks = read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    return encode(_table(spark, sf_dir, "documents"), ranks, P.PATTERN).drop("ids")
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
 }
 

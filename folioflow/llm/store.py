@@ -6,10 +6,12 @@ arrays there. All of it lies under ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,3 +74,26 @@ def local_copy(uri: str) -> str:
                 out.write(block)
         os.replace(part, to)
     return to
+
+
+def pack(**arrays: np.ndarray) -> bytes:
+    """Named arrays in one file: a JSON head, then each array at a multiple of 8 bytes."""
+    head, body, at = [], [], 0
+    for k, x in arrays.items():
+        raw = np.ascontiguousarray(x)
+        head.append([k, raw.dtype.str, len(raw), at])
+        body += [raw.tobytes(), bytes(-raw.nbytes % 8)]
+        at += raw.nbytes + -raw.nbytes % 8
+    text = json.dumps(head).encode()
+    text += b" " * (-len(text) % 8)
+    return b"".join([len(text).to_bytes(8, "little"), text, *body])
+
+
+def mapped(uri: str) -> dict[str, np.ndarray]:
+    """The arrays of a packed file, memory-mapped: pages come and go as they are read."""
+    raw = np.memmap(local_copy(uri), np.uint8, "r")
+    size = int.from_bytes(raw[:8].tobytes(), "little")
+    out = {}
+    for k, kind, n, at in json.loads(raw[8 : 8 + size].tobytes()):
+        out[k] = raw[8 + size + at : 8 + size + at + n * np.dtype(kind).itemsize].view(kind)
+    return out
