@@ -37,7 +37,17 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), ranks, P.PATTERN).drop("ids")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the token files give it back."""
+    import public_tokenizers as P
+
+    from folioflow.llm.tokenfile import read_digests, write_tokens
+
+    return read_digests(write_tokens(_table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"), end=2))
+
+
 QUERIES = {
+    "op2_token_files": op2_token_files,
     "op3_exact_dedup": op3_exact_dedup,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
