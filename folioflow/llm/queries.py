@@ -27,6 +27,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score under a model of four fifths of them."""
+    from folioflow.llm.ngram import fold_of, score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs.filter(fold_of() != 1))
+    found = score(docs, model)
+    return found.select("doc_id", (fold_of() == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids and what they decode to, as digests."""
     import public_tokenizers as P
@@ -49,6 +59,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_exact_dedup": op3_exact_dedup,
+    "op7_kneser_ney": op7_kneser_ney,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
 }

@@ -91,7 +91,11 @@ def pack(**arrays: np.ndarray) -> bytes:
 
 def mapped(uri: str) -> dict[str, np.ndarray]:
     """The arrays of a packed file, memory-mapped: pages come and go as they are read."""
-    raw = np.memmap(local_copy(uri), np.uint8, "r")
+    return unpack(np.memmap(local_copy(uri), np.uint8, "r"))
+
+
+def unpack(data) -> dict[str, np.ndarray]:
+    raw = data if isinstance(data, np.ndarray) else np.frombuffer(data, np.uint8)
     size = int.from_bytes(raw[:8].tobytes(), "little")
     out = {}
     for k, kind, n, at in json.loads(raw[8 : 8 + size].tobytes()):
