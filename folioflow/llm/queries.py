@@ -27,6 +27,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score by a model of labels outside one fifth."""
+    from folioflow.llm.ngram import fold_of
+    from folioflow.llm.toxicity import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs, _table(spark, sf_dir, "labels").filter(fold_of() != 0))
+    return score(docs, model).select("doc_id", (fold_of() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score under a model of four fifths of them."""
     from folioflow.llm.ngram import fold_of, score, train
@@ -59,6 +69,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_toxicity": op5_toxicity,
     "op7_kneser_ney": op7_kneser_ney,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
