@@ -47,6 +47,13 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of() == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item."""
+    from folioflow.llm.decontam import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids and what they decode to, as digests."""
     import public_tokenizers as P
@@ -71,6 +78,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_toxicity": op5_toxicity,
     "op7_kneser_ney": op7_kneser_ney,
+    "op8_decontamination": op8_decontamination,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
 }

@@ -67,12 +67,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             at = to
 
 
-def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and the n + 1 offsets of texts in these."""
+def spans(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words (runs of bytes not in ``space``), and the n + 1 offsets of texts in these."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(off), np.int64)
-    gap = SPACE[data]
+    gap = space[data]
     word = ~gap
     first, last = word.copy(), word.copy()
     first[1:] &= gap[:-1]
@@ -128,3 +128,16 @@ def tally(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+#: All but ASCII letters, digits and the bytes of other characters.
+NO_LETTER = np.ones(256, bool)
+NO_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def plain_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Like words(), but marks and signs part words as spaces do: ``Erth,`` and ``erth***`` are one word."""
+    data, off = utf8(col)
+    data = LOWER[data]
+    starts, ends, at = spans(data, off, NO_LETTER)
+    return span_hashes(data, starts, ends), at
