@@ -64,6 +64,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), ranks, P.PATTERN).drop("ids")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    from folioflow.llm.wrappers import main_text
+
+    return main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as the token files give it back."""
     import public_tokenizers as P
@@ -74,6 +81,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_token_files": op2_token_files,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_toxicity": op5_toxicity,
