@@ -7,6 +7,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from folioflow.llm.store import mapped, pack, put, scratch, stored
 from folioflow.llm.textops import slices
 
-#: Parts of the literal rank map; each holds the few tokens of one hash value.
-PARTS = 1 << 14
+#: The literal rank map: shifts, and slots for tokens. No token has rank NONE.
+PARTS, SLOTS, NONE = 1 << 14, 1 << 16, 1 << 30
 #: Longer words (in bytes) are rare and would fold in quadratic time: tiktoken merges these in the second reading.
 FOLD_BYTES = 128
 #: Entries that a worker remembers at most before it begins anew.
@@ -86,44 +87,82 @@ def distinct_words(docs: DataFrame, pattern: str, text_col: str = "text") -> Dat
     return docs.select(F.col(text_col)).mapInArrow(_distinct(pattern), "word binary").distinct()
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as one literal: an array of small maps from a token in hex to its rank."""
-    parts: list[dict[str, int]] = [{} for _ in range(PARTS)]
-    for token, rank in ranks.items():
-        key = token.hex().upper()
-        parts[xxhash.xxh64_intdigest(key, 42) % PARTS][key] = rank
-    return F.from_json(F.lit(json.dumps(parts)), "array<map<string,int>>")
+@dataclass
+class RankMap:
+    """The ranks as literals: a perfect hash of the tokens, of three flat arrays.
+
+    A token's XXH64 chooses a shift, which leads to its slot; this holds the
+    hash again and the rank. So a look-up is three array accesses.
+    """
+
+    shift: Column
+    check: Column
+    rank: Column
+
+    def of(self, h: Column) -> Column:
+        """Rank of a token with this hash; NONE if there is none."""
+        step = F.shiftrightunsigned(h, 44).bitwiseOR(F.lit(1))
+        slot = F.pmod(F.shiftrightunsigned(h, 24) + self.shift[F.pmod(h, F.lit(PARTS)).cast("int")] * step, F.lit(SLOTS)).cast("int")
+        return F.when(self.check[slot] == h, self.rank[slot]).otherwise(NONE)
 
 
-def fold(word: Column, ranks: Column) -> Column:
+def token_hash(token: bytes) -> int:
+    h = xxhash.xxh64_intdigest(token.hex().upper(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def rank_map(ranks: dict[bytes, int]) -> RankMap:
+    parts: list[list[tuple[int, int]]] = [[] for _ in range(PARTS)]
+    for token, rank in ranks.items():
+        h = token_hash(token)
+        parts[h % PARTS].append((h, rank))
+    shift, check, rank_at = [0] * PARTS, [0] * SLOTS, [NONE] * SLOTS
+    full = np.zeros(SLOTS, bool)
+    for k in sorted(range(PARTS), key=lambda k: -len(parts[k])):
+        if not parts[k]:
+            continue
+        own = np.array([h for h, _ in parts[k]], np.int64).view(np.uint64)
+        start, step = (own >> np.uint64(24)).astype(np.int64), (own >> np.uint64(44)).astype(np.int64) | 1
+        slots = ((start + d * step) % SLOTS for d in range(SLOTS))
+        shift[k], at = next((d, x) for d, x in enumerate(slots) if not full[x].any() and len(np.unique(x)) == len(x))
+        for at, (h, r) in zip(at.tolist(), parts[k], strict=True):
+            full[at], check[at], rank_at[at] = True, h, r
+    literal = lambda x, kind: F.from_json(F.lit(json.dumps(x)), f"array<{kind}>")
+    return RankMap(literal(shift, "bigint"), literal(check, "bigint"), literal(rank_at, "int"))
+
+
+def fold(word: Column, ranks: RankMap) -> Column:
     """Token ids (array of int) of one binary word.
 
-    The word's bytes are the pieces. Each step of the fold joins the leftmost
-    adjacent pair of the lowest rank; the state holds that pair, so that a word
-    without one passes its remaining steps at no cost.
+    The word's bytes (in hex) are the pieces ``p``; ``r`` holds the rank of each
+    adjacent pair. A step of the fold joins the leftmost pair of the lowest
+    rank and ranks the two pairs beside it anew. Once no pair has a rank, the
+    steps that remain pass the state on.
     """
-    none = 1 << 30
-
-    def rank(key: Column) -> Column:
-        return ranks[F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")][key]
 
-    def best(p: Column) -> Column:
-        pairs = F.transform(
-            F.sequence(F.lit(1), F.size(p) - 1),
-            lambda i: F.struct(F.coalesce(rank(F.concat(p[i - 1], p[i])), F.lit(none)).alias("r"), i.alias("i")),
-        )
-        return F.coalesce(F.when(F.size(p) > 1, F.array_min(pairs)), F.struct(F.lit(none).alias("r"), F.lit(0).alias("i")))
+    def ranked(tokens: Column) -> Column:
+        return F.transform(F.transform(tokens, lambda t: F.xxhash64(t)), ranks.of)
 
     def step(s: Column, _: Column) -> Column:
-        p, i = s["p"], s["b"]["i"]
-        joined = F.concat(F.slice(p, F.lit(1), i - 1), F.array(F.concat(p[i - 1], p[i])), F.slice(p, i + 2, F.greatest(F.size(p) - i - 1, F.lit(0))))
-        made = F.transform(F.array(joined), lambda q: F.struct(q.alias("p"), best(q).alias("b")))[0]  # named once, evaluated once
-        return F.when(s["b"]["r"] < none, made).otherwise(s)
-
-    start = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(F.hex(word), 2 * i - 1, F.lit(2)))
-    start = F.transform(F.array(start), lambda q: F.struct(q.alias("p"), best(q).alias("b")))[0]
-    done = F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda s: s["p"])
-    return F.transform(done, rank)
+        p, r = s["p"], s["r"]
+
+        def join(i: Column) -> Column:  # i: the pair of pieces i and i + 1, from 1
+            both = F.concat(p[i - 1], p[i])
+            left = F.when(i > 1, F.array(F.concat(p[i - 2], both))).otherwise(F.array().cast("array<string>"))
+            right = F.when(i < F.size(r), F.array(F.concat(both, p[i + 1]))).otherwise(F.array().cast("array<string>"))
+            return F.struct(
+                F.concat(F.slice(p, 1, i - 1), F.array(both), F.slice(p, i + 2, F.size(p))).alias("p"),
+                F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))), ranked(F.concat(left, right)), F.slice(r, i + 2, F.size(p))).alias("r"),
+            )
+
+        at = F.array(F.array_position(r, F.array_min(r)).cast("int"))
+        return F.when(F.coalesce(F.array_min(r), F.lit(NONE)) < NONE, F.transform(at, join)[0]).otherwise(s)
+
+    code, n = F.hex(word), F.length(word)
+    pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(code, 2 * i - 1, F.lit(2)))
+    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(code, 2 * i - 1, F.lit(4)))).otherwise(F.array().cast("array<string>"))
+    done = F.aggregate(F.sequence(F.lit(1), n), F.struct(pieces.alias("p"), ranked(pairs).alias("r")), step, lambda s: s["p"])
+    return ranked(done)
 
 
 def vocabulary(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
