@@ -37,6 +37,34 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", (fold_of() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against a list as of its fetch.
+
+    The tables have neither fetch dates nor a list, so both follow from rules: a
+    page's day from its id, and a site's entries (listed, taken off, listed
+    again) from the MD5 of its name.
+    """
+    from folioflow.llm.urlfilter import evaluate, host_of
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n)
+    captures = pages.withColumn("fetched_on", day((F.col("page_id") * 37 % 365).cast("int")))
+    sites = pages.select(F.regexp_replace(host_of(F.col("url")), r"^(www|blog|m)\.", "").alias("key")).dropna().distinct()
+    sites = sites.withColumn("n", F.conv(F.substring(F.md5("key"), 1, 6), 16, 10).cast("int")).filter("n % 4 != 0")
+    first = F.col("n") % 250
+    entries = sites.select(
+        "key",
+        F.when(F.col("n") % 3 == 0, "malware").when(F.col("n") % 3 == 1, "spam").otherwise("adult").alias("category"),
+        F.explode(F.array(
+            F.struct(day(first).alias("effective"), F.lit("add").alias("action")),
+            F.struct(F.when(F.col("n") % 2 == 0, day(first + 40 + F.col("n") % 50)).alias("effective"), F.lit("remove").alias("action")),
+            F.struct(F.when(F.col("n") % 8 == 2, day(first + 110)).alias("effective"), F.lit("add").alias("action")),
+        )).alias("e"),
+    ).select("key", "category", "e.effective", "e.action")
+    found = evaluate(captures, entries)
+    return found.select("page_id", "url", F.col("fetched_on").cast("string").alias("fetched_on"), "blocked", "block_categories", F.col("blocked_since").cast("string").alias("blocked_since"))
+
+
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score under a model of four fifths of them."""
     from folioflow.llm.ngram import fold_of, score, train
@@ -85,6 +113,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_url_filter": op6_url_filter,
     "op7_kneser_ney": op7_kneser_ney,
     "op8_decontamination": op8_decontamination,
     "op9_bpe": op9_bpe,
@@ -101,4 +130,30 @@ ORACLES = {
                sha256(t) AS text_sha256
         FROM n
     """,
+    "op6_url_filter": r"""
+        WITH p AS (
+            SELECT page_id, url, DATE '2024-01-01' + CAST((page_id * 37) % 365 AS INTEGER) AS d,
+                   nullif(rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1), '.'), '') AS host
+            FROM pages
+        ), s AS (
+            SELECT DISTINCT regexp_replace(host, '^(www|blog|m)[.]', '') AS site FROM p WHERE host IS NOT NULL
+        ), n AS (
+            SELECT site, CAST('0x' || substr(md5(site), 1, 6) AS INTEGER) AS n FROM s
+        ), e AS (
+            SELECT site, n, CASE n % 3 WHEN 0 THEN 'malware' WHEN 1 THEN 'spam' ELSE 'adult' END AS category,
+                   DATE '2024-01-01' + n % 250 AS a1,
+                   CASE WHEN n % 2 = 0 THEN DATE '2024-01-01' + (n % 250 + 40 + n % 50) END AS r1,
+                   CASE WHEN n % 8 = 2 THEN DATE '2024-01-01' + (n % 250 + 110) END AS a2
+            FROM n WHERE n % 4 <> 0
+        ), i AS (
+            SELECT site, category, a1 AS f, r1 AS t FROM e
+            UNION ALL
+            SELECT site, category, a2, NULL FROM e WHERE a2 IS NOT NULL AND r1 < a2
+        )
+        SELECT page_id, url, CAST(d AS VARCHAR) AS fetched_on, count(i.f) > 0 AS blocked,
+               coalesce(string_agg(DISTINCT i.category, ',' ORDER BY i.category), '') AS block_categories,
+               CAST(min(i.f) AS VARCHAR) AS blocked_since
+        FROM p LEFT JOIN i ON (p.host = i.site OR ends_with(p.host, '.' || i.site)) AND i.f <= p.d AND (i.t IS NULL OR p.d < i.t)
+        GROUP BY page_id, url, d
+    """,
 }
