@@ -27,6 +27,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that shares a passage with another, with the words to remove."""
+    from folioflow.llm.passages import repeated_passages
+
+    words = lambda c: F.aggregate(c, F.lit(0), lambda n, s: n + s["end"] - s["start"]).cast("long")
+    found = repeated_passages(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "component_id", words("spans").alias("repeated_words"), words("remove").alias("removed_words"), F.to_json("spans").alias("spans"), F.to_json("remove").alias("remove"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score by a model of labels outside one fifth."""
     from folioflow.llm.ngram import fold_of
@@ -112,6 +121,7 @@ QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_token_files": op2_token_files,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_repeated_passages": op4_repeated_passages,
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
     "op7_kneser_ney": op7_kneser_ney,
