@@ -1,0 +1,124 @@
+"""Grey-scale kernels over decoded page images, and their relational forms."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+MAX_ANGLE, MIN_CONFIDENCE = 7, 1.2
+
+
+def otsu(histograms: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, level 0..255, n) -> keys, threshold: the level that parts the histogram with most variance between classes."""
+    w = Window.partitionBy(*keys)
+    up = w.orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
+    h = histograms.withColumns({"total": F.sum("n").over(w), "all": F.sum(F.col("n") * F.col("level")).over(w), "bg": F.sum("n").over(up), "sum_bg": F.sum(F.col("n") * F.col("level")).over(up)})
+    h = h.filter("bg > 0 AND bg < total")
+    gap = F.col("sum_bg") / F.col("bg") - (F.col("all") - F.col("sum_bg")) / (F.col("total") - F.col("bg"))
+    h = h.withColumn("var", F.round(F.col("bg").cast("double") * (F.col("total") - F.col("bg")) * gap * gap, 6))
+    best = h.groupBy(*keys).agg(F.max_by("level", F.struct("var", -F.col("level"))).alias("threshold"), F.max("var").alias("var"))
+    return best.select(*keys, F.when(F.col("var") > 0, F.col("threshold")).otherwise(0).cast("long").alias("threshold"))
+
+
+def otsu_level(hist: np.ndarray) -> int:
+    level = np.arange(256)
+    bg, s = np.cumsum(hist), np.cumsum(hist * level)
+    ok = (bg > 0) & (bg < bg[-1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        var = np.where(ok, bg * (bg[-1] - bg) * (s / bg - (s[-1] - s) / (bg[-1] - bg)) ** 2.0, 0.0)
+    return int(np.argmax(var)) if var.max() > 0 else 0
+
+
+def sauvola(gray: np.ndarray, window: int = 51, k: float = 0.3) -> np.ndarray:
+    """Ink by local mean and deviation, over sums of whole windows (edges mirrored)."""
+    pad = window // 2
+    a = np.pad(gray.astype(np.float64), pad, mode="reflect" if min(gray.shape) > pad else "edge")
+
+    def mean(x: np.ndarray) -> np.ndarray:
+        s = np.pad(x.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+        return (s[window:, window:] - s[:-window, window:] - s[window:, :-window] + s[:-window, :-window]) / window**2
+
+    m = mean(a)
+    dev = np.sqrt(np.maximum(mean(a * a) - m * m, 0))
+    return gray <= m * (1 + k * (dev / 128 - 1))
+
+
+def inverted(gray: np.ndarray) -> bool:
+    return bool(gray.mean() < 128)
+
+
+def _shear_profile(ink: np.ndarray, angle: float) -> np.ndarray:
+    """Ink per row after a small turn, by shifting columns."""
+    h, w = ink.shape
+    shift = np.round((np.arange(w) - w / 2) * np.tan(np.radians(angle))).astype(int)
+    y, x = np.nonzero(ink)
+    return np.bincount(np.clip(y + shift[x], 0, h - 1), minlength=h).astype(float)
+
+
+def skew(gray: np.ndarray) -> float | None:
+    """Angle that makes rows sharpest; None if no angle stands out or it is under 0.1 degrees."""
+    gray = 255 - gray if inverted(gray) else gray
+    ink = gray <= otsu_level(np.bincount(gray.ravel(), minlength=256))
+    score = lambda a: float((np.diff(_shear_profile(ink, a)) ** 2).sum())
+    coarse = {a: score(a) for a in range(-MAX_ANGLE, MAX_ANGLE + 1)}
+    best = max(coarse, key=coarse.get)
+    mean = sum(coarse.values()) / len(coarse)
+    if mean <= 0 or coarse[best] / mean - 1 < MIN_CONFIDENCE:
+        return None
+    fine = max(np.linspace(best - 1, best + 1, 41), key=score)
+    return round(float(fine), 2) if abs(fine) >= 0.1 else None
+
+
+def quarter_turn(gray: np.ndarray) -> int | None:
+    """270 if columns part into lines more sharply than rows do; None if the page stands upright."""
+    ink = (255 - gray if inverted(gray) else gray) < 128
+    rows, cols = ((np.diff(ink.mean(axis=k)) ** 2).sum() for k in (1, 0))
+    return 270 if cols > 1.5 * rows else None
+
+
+def content_box(gray: np.ndarray, padding: int = 20, least: float = 0.002) -> tuple[int, int, int, int]:
+    """left, top, right, bottom of the rows and columns that hold ink, padded."""
+    ink = sauvola(gray)
+    h, w = ink.shape
+    out = []
+    for axis, n in ((0, w), (1, h)):
+        at = np.flatnonzero(ink.mean(axis=axis) > least)
+        out.append((0, n) if not len(at) else (max(0, int(at[0]) - padding), min(n, int(at[-1]) + 1 + padding)))
+    return out[0][0], out[1][0], out[0][1], out[1][1]
+
+
+def rotate_image(gray: np.ndarray, rotation: int) -> np.ndarray:
+    """Turned by 0, 90, 180 or 270 degrees counter-clockwise."""
+    return np.rot90(gray, (rotation // 90) % 4)
+
+
+def ink_runs(lines: DataFrame, keys: list[str], gap: int = 1) -> DataFrame:
+    """(keys, y) of rows with ink -> keys, top, bottom of each run whose rows lie within gap: gaps and islands."""
+    w = Window.partitionBy(*keys).orderBy("y")
+    a = lines.withColumn("new", (F.col("y") - F.lag("y").over(w) > gap).cast("int"))
+    a = a.withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(w))
+    return a.groupBy(*keys, "run").agg(F.min("y").alias("top"), F.max("y").alias("bottom")).drop("run")
+
+
+def grey(image) -> np.ndarray:
+    """Pixels of a row of Spark's image source as one grey plane."""
+    a = np.frombuffer(image["data"], np.uint8).reshape(image["height"], image["width"], image["nChannels"])
+    return a[:, :, 0] if a.shape[2] == 1 else np.rint(a[:, :, :3] @ np.array([0.114, 0.587, 0.299])).astype(np.uint8)  # channels are BGR
+
+
+def measure(images: DataFrame) -> DataFrame:
+    """path, inverted, threshold, rotation, skew and content box of each page image (column ``image``)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for im in f["image"]:
+                g = grey(im)
+                rows.append((im["origin"], inverted(g), otsu_level(np.bincount(g.ravel(), minlength=256)), quarter_turn(g), skew(g), *content_box(g)))
+            yield pd.DataFrame(rows, columns=["path", "inverted", "threshold", "rotation", "skew", "left", "top", "right", "bottom"])
+
+    return images.select("image").mapInPandas(run, "path string, inverted boolean, threshold int, rotation int, skew double, left int, top int, right int, bottom int")

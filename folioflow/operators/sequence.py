@@ -1,0 +1,299 @@
+"""Operators over document order: running notes, numbering, gaps, stitching.
+
+Order is always (page_idx, area_pos). Whole-book state is kept by the
+block-wise scans, so a large book is as many tasks as it has blocks.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from folioflow.functions import text as T
+from folioflow.operators.scans import carry_forward, running_max_before, running_sum
+
+BOOK, PAGE, ORDER = ["book"], ["book", "page_idx"], ["page_idx", "area_pos"]
+
+
+def page_bodies(areas: DataFrame) -> DataFrame:
+    """Per page: the integers in its body areas."""
+    body = areas.filter(F.col("type").isin(*T.BODY_CONSOLIDATE))
+    return body.select(*PAGE, F.explode(T.body_numbers(F.col("text"))).alias("n")).groupBy(*PAGE).agg(F.collect_set("n").alias("body"))
+
+
+def pages_of(areas: DataFrame) -> DataFrame:
+    """One row per page."""
+    return areas.groupBy(*PAGE).agg(F.max(F.coalesce("ignored", F.lit(False))).alias("ignored"), F.max(F.col("type") == "footnote").alias("has_notes"))
+
+
+def note_heads(areas: DataFrame) -> DataFrame:
+    """Note areas in order with ``head`` and the number of their group.
+
+    A chain of pages breaks at an ignored page or one without notes. Inside a
+    chain an area continues the last one if it is told to, or if it isn't told
+    not to and its leading number is none of the page's body.
+    """
+    pages = pages_of(areas)
+    pages = pages.withColumn("breaks", (F.col("ignored") | ~F.col("has_notes")).cast("int"))
+    pages = running_sum(pages, "breaks", "chain", BOOK, ["page_idx"]).filter("breaks = 0")
+    notes = areas.filter((F.col("type") == "footnote") & (T.strip(F.coalesce("text", F.lit(""))) != ""))
+    notes = notes.join(pages.select(*PAGE, "chain"), PAGE).join(page_bodies(areas), PAGE, "left")
+    lead = T.leading_consolidate(F.col("text"))
+    goes_on = F.coalesce(F.col("override"), lead.isNull() | ~F.coalesce(F.array_contains("body", lead), F.lit(False)))
+    notes = notes.withColumn("goes_on", goes_on)
+    notes = carry_forward(notes, "chain", "chain_before", BOOK, ORDER, inclusive=False)
+    first = F.col("chain_before").isNull() | (F.col("chain_before") != F.col("chain"))
+    notes = notes.withColumn("head", ~F.col("goes_on") | first).withColumn("_h", F.col("head").cast("int"))
+    return running_sum(notes, "_h", "grp", BOOK, ORDER).drop("_h", "chain_before")
+
+
+def consolidate(areas: DataFrame) -> DataFrame:
+    """One row per running note: where it begins, its pieces, their joined text."""
+    notes = note_heads(areas)
+    pieces = F.array_sort(F.collect_list(F.struct("page_idx", "area_pos", "text")))
+    out = notes.groupBy("book", "grp").agg(pieces.alias("p"))
+    text = F.aggregate(F.slice("p", 2, F.size("p")), F.col("p")[0]["text"], lambda acc, x: T.join_hyphen(acc, x["text"]))
+    return out.select("book", F.col("p")[0]["page_idx"].alias("page_idx"), F.col("p")[0]["area_pos"].alias("area_pos"), F.size("p").cast("long").alias("pieces"), text.alias("text"))
+
+
+def deconsolidation(areas: DataFrame) -> DataFrame:
+    """Each continuation with the head that holds its text: what undoing would touch."""
+    notes = note_heads(areas)
+    notes = notes.withColumn("_at", F.when(F.col("head"), F.struct("page_idx", "area_pos")))
+    notes = carry_forward(notes, "_at", "head_at", BOOK, ORDER, inclusive=False)
+    return notes.filter("NOT head").select(*PAGE, "area_pos", F.col("head_at.page_idx").alias("head_page"), F.col("head_at.area_pos").alias("head_pos"))
+
+
+def orphan_markers(areas: DataFrame) -> DataFrame:
+    """Per active page: numbers of its notes that no marker in its body has."""
+    on = areas.filter(~F.coalesce("ignored", F.lit(False)))
+    notes = on.filter(F.col("type") == "footnote").select(*PAGE, F.explode(T.entries(F.col("text"))).alias("e"))
+    expected = notes.select(*PAGE, T.leading_consolidate(F.col("e")).alias("n")).dropna().distinct()
+    body = on.filter(F.col("type").isin(*T.BODY_CONSOLIDATE))
+    wrapped = body.select(*PAGE, F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?i)<sup>(\d{1,18})</sup>"), F.lit(1))).alias("n")).select(*PAGE, F.col("n").cast("long"))
+    return expected.join(wrapped, [*PAGE, "n"], "left_anti")
+
+
+def wrap_orphans(areas: DataFrame) -> DataFrame:
+    """Body areas in which a bare number after a closing quote or bracket became a marker."""
+    missing = orphan_markers(areas).groupBy(*PAGE).agg(F.sort_array(F.collect_set("n"), False).alias("missing"))
+    body = areas.filter(F.col("type").isin(*T.BODY_CONSOLIDATE)).join(missing, PAGE)
+    new = F.aggregate("missing", F.col("text"), lambda t, n: F.regexp_replace(t, F.concat(F.lit("(?<=[\"“”‘’»)\\]])("), n.cast("string"), F.lit(r")(?!\d)")), F.lit("<sup>$1</sup>")))
+    return body.withColumn("new_text", new).filter("new_text != text").select(*PAGE, "area_pos", "text", "new_text")
+
+
+def renumbering(areas: DataFrame) -> DataFrame:
+    """(book, page_idx, old, new): numbers of entries that the page's body has, counted on through the book.
+
+    Ignored pages take part. Numbers go by first occurrence on the page.
+    """
+    notes = areas.filter(F.col("type") == "footnote").select(*PAGE, "area_pos", F.posexplode(T.entries(F.col("text"))).alias("k", "e"))
+    found = notes.select(*PAGE, F.struct("area_pos", "k").alias("at"), T.leading_consolidate(F.col("e")).alias("old")).dropna()
+    found = found.groupBy(*PAGE, "old").agg(F.min("at").alias("at"))
+    body = areas.filter(F.col("type").isin(*T.BODY_CONSOLIDATE)).select(*PAGE, F.explode(T.body_numbers(F.col("text"))).alias("old"))
+    found = found.join(body, [*PAGE, "old"], "left_semi").withColumn("one", F.lit(1))
+    return running_sum(found, "one", "new", BOOK, ["page_idx", "at"]).select(*PAGE, "old", F.col("new").cast("long"))
+
+
+def renumber(areas: DataFrame) -> DataFrame:
+    """Areas whose markers or leaders change, with their new text."""
+    maps = renumbering(areas).groupBy(*PAGE).agg(F.map_from_entries(F.collect_list(F.struct(F.col("old").cast("string"), F.col("new").cast("string")))).alias("m"))
+    own = areas.filter((F.col("type") == "footnote") | F.col("type").isin(*T.BODY_CONSOLIDATE)).join(maps, PAGE)
+
+    def mapped(c: Column, pattern: str, before: str, after: str) -> Column:
+        """Each match's number by the map; text between matches stays."""
+        parts = F.split(c, f"(?={pattern})")
+
+        def one(p: Column) -> Column:
+            n = F.regexp_extract(p, f"^(?:{pattern})", 1)
+            new = F.when(n != "", F.element_at("m", n))
+            return F.when(new.isNull(), p).otherwise(F.concat(F.lit(before), new, F.lit(after), F.regexp_replace(p, f"^(?:{pattern})", "")))
+
+        return F.array_join(F.transform(parts, one), "")
+
+    body = mapped(F.col("text"), r"<sup>(\d{1,18})</sup>", "<sup>", "</sup>")
+    note = F.array_join(F.transform(T.entries(F.col("text")), lambda e: F.coalesce(F.concat(F.element_at("m", T.leading_consolidate(e).cast("string")), F.regexp_replace(e, r"^\d+", "")), e)), "\n")
+    new = F.when(F.col("type") == "footnote", note).otherwise(body)
+    return own.withColumn("new_text", new).filter("new_text != text").select(*PAGE, "area_pos", "type", "new_text")
+
+
+def marker_pages(areas: DataFrame) -> DataFrame:
+    """(book, page_idx, n) of active pages, each once."""
+    body = areas.filter(~F.coalesce("ignored", F.lit(False)) & F.col("type").isin(*T.BODY_REVIEW))
+    return body.select(*PAGE, F.explode(T.body_numbers(F.col("text"))).alias("n")).distinct()
+
+
+def chaptered_markers(areas: DataFrame) -> DataFrame:
+    """marker_pages with a chapter: a page that has marker 1 begins one; pages before the first are dropped."""
+    m = marker_pages(areas)
+    pages = m.groupBy(*PAGE).agg(F.max(F.col("n") == 1).cast("int").alias("starts"))
+    pages = running_sum(pages, "starts", "chapter", BOOK, ["page_idx"])
+    return m.join(pages.select(*PAGE, "chapter"), PAGE).filter("chapter > 0")
+
+
+def sequence_gaps(areas: DataFrame) -> DataFrame:
+    """Numbers missing from a chapter's 1..max, with the nearest pages that have a smaller and a larger one."""
+    m = chaptered_markers(areas)
+    top = m.groupBy("book", "chapter").agg(F.max("n").alias("top"), F.collect_set("n").alias("have"))
+    gone = top.select("book", "chapter", F.explode(F.array_except(F.sequence(F.lit(1).cast("long"), "top"), "have")).alias("missing"))
+    first = m.groupBy("book", "chapter", "n").agg(F.min("page_idx").alias("page_idx"))
+    # chapters are short: the numbers of one stand in one window
+    every = first.select("book", "chapter", "n", "page_idx", F.lit(False).alias("gap")).unionByName(gone.select("book", "chapter", F.col("missing").alias("n"), F.lit(None).cast("long").alias("page_idx"), F.lit(True).alias("gap")))
+    w = Window.partitionBy("book", "chapter").orderBy("n")
+    every = every.withColumns({"after": F.last("page_idx", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "before": F.first("page_idx", True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    return every.filter("gap").select("book", "chapter", F.col("n").alias("missing"), F.col("after").alias("after_page"), F.col("before").alias("before_page"))
+
+
+def out_of_order(areas: DataFrame) -> DataFrame:
+    """Markers first met on a page after one with a larger number, in their chapter."""
+    m = chaptered_markers(areas)
+    pages = m.groupBy("book", "chapter", "page_idx").agg(F.max("n").alias("top"))
+    pages = running_max_before(pages, "top", "seen", ["book", "chapter"], ["page_idx"])
+    first = m.groupBy("book", "chapter", "n").agg(F.min("page_idx").alias("page_idx"))
+    return first.join(pages, ["book", "chapter", "page_idx"]).filter("n < seen").select(*PAGE, "chapter", "n", "seen")
+
+
+def internal_gaps(areas: DataFrame) -> DataFrame:
+    """Per page: numbers between its least and greatest that it lacks."""
+    p = marker_pages(areas).groupBy(*PAGE).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.collect_set("n").alias("have"))
+    gone = F.array_sort(F.array_except(F.sequence("lo", "hi"), "have"))
+    return p.select(*PAGE, gone.alias("g")).filter(F.size("g") > 0).select(*PAGE, F.size("g").cast("long").alias("n_missing"), F.array_join(F.transform("g", lambda x: x.cast("string")), ",").alias("missing"))
+
+
+def gap_candidates(areas: DataFrame, most: int = 15) -> DataFrame:
+    """Numbers missing between one page's last marker and the next page's first, if there are few."""
+    p = marker_pages(areas).groupBy(*PAGE).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    p = carry_forward(p.withColumn("last", F.struct("page_idx", "hi")), "last", "prev", BOOK, ["page_idx"], inclusive=False)
+    size = F.col("lo") - F.col("prev.hi") - 1
+    gap = p.filter((size >= 1) & (size <= most))
+    return gap.select("book", F.col("prev.page_idx").alias("from_page"), F.col("page_idx").alias("to_page"), F.explode(F.sequence(F.col("prev.hi") + 1, F.col("lo") - 1)).alias("missing"))
+
+
+def fill_gaps(areas: DataFrame, most: int = 15) -> DataFrame:
+    """Body areas in which a missing number of the gap around them became a marker."""
+    gaps = gap_candidates(areas, most)
+    near = gaps.groupBy("book", "from_page", "to_page").agg(F.sort_array(F.collect_set("missing"), False).alias("missing"))
+    body = areas.filter(~F.coalesce("ignored", F.lit(False)) & F.col("type").isin(*T.BODY_CONSOLIDATE))
+    ends = near.select("book", F.explode(F.array("from_page", "to_page")).alias("page_idx"), "missing")
+    ends = ends.groupBy(*PAGE).agg(F.array_distinct(F.flatten(F.collect_list("missing"))).alias("missing"))
+    own = body.join(ends, PAGE)
+    new = F.aggregate("missing", F.col("text"), lambda t, n: F.regexp_replace(t, F.concat(F.lit("(?<=[A-Za-z.,;:!?\"»”)] ?)("), n.cast("string"), F.lit(r")\b(?!</sup>)")), F.lit("<sup>$1</sup>")))
+    return own.withColumn("new_text", new).filter("new_text != text").select(*PAGE, "area_pos", "new_text")
+
+
+def next_prefix(areas: DataFrame, n: int = 10) -> DataFrame:
+    """Per active page: the first words of the first main text of the next active page ("" if it has none)."""
+    on = areas.filter(~F.coalesce("ignored", F.lit(False)))
+    main = (F.col("type") == "main_text") & (T.strip(F.coalesce("text", F.lit(""))) != "")
+    p = on.groupBy(*PAGE).agg(F.min_by(F.when(main, F.col("text")), F.when(main, F.col("area_pos"))).alias("t"))
+    p = p.select("book", "page_idx", (-F.col("page_idx")).alias("_back"), F.coalesce(T.first_words(F.col("t"), n), F.lit("")).alias("own"))
+    p = carry_forward(p, "own", "next_prefix", BOOK, ["_back"], inclusive=False)
+    return p.select(*PAGE, "next_prefix")
+
+
+def last_main(areas: DataFrame) -> DataFrame:
+    """Per page: the last main text that isn't blank."""
+    main = areas.filter((F.col("type") == "main_text") & (T.strip(F.coalesce("text", F.lit(""))) != ""))
+    return main.groupBy(*PAGE).agg(F.max("area_pos").alias("area_pos"), F.max_by("text", "area_pos").alias("text"))
+
+
+def note_segments(areas: DataFrame) -> DataFrame:
+    """Note paragraphs with the number of their note in the book.
+
+    A paragraph begins a note if its marker stands in the page's body and no
+    earlier paragraph of the page took it; a forced head or continuation decides
+    for its first paragraph and takes no marker.
+    """
+    on = areas.filter(~F.coalesce("ignored", F.lit(False)))
+    body = on.filter(F.col("type").isin(*T.BODY_ASSEMBLE)).select(*PAGE, F.explode(T.body_markers(F.col("text"))).alias("m")).distinct()
+    notes = on.filter(F.col("type") == "footnote").select(*PAGE, "area_pos", "override", F.posexplode(T.paragraphs(F.col("text"))).alias("k", "t"))
+    notes = notes.filter(T.strip(F.col("t")) != "").withColumn("m", F.when(F.col("override").isNull(), T.leading_assemble(F.col("t"))))
+    notes = notes.join(body.withColumn("hit", F.lit(True)), [*PAGE, "m"], "left")
+    first = F.row_number().over(Window.partitionBy(*PAGE, "m").orderBy("area_pos", "k")) == 1
+    starts = F.when(F.col("override").isNotNull(), ~F.col("override") & (F.col("k") == 0)).otherwise(F.coalesce("hit", F.lit(False)) & first)
+    notes = notes.withColumn("starts", starts).withColumn("_s", F.col("starts").cast("int"))
+    order = ["page_idx", "area_pos", "k"]
+    notes = running_sum(notes, "_s", "note", BOOK, order)
+    return notes.select(*PAGE, "area_pos", F.col("k").cast("long").alias("paragraph"), "starts", F.col("note").cast("long").alias("note"))
+
+
+def stitch(areas: DataFrame) -> DataFrame:
+    """Paragraphs of the body as they read across areas and pages: book, pos, kind, text.
+
+    A state machine over a growing paragraph: exact only as a fold, so each
+    book is read in order by one worker, page after page, in bounded memory.
+    areas may have a column page_join (of the page: how its end meets the next).
+    """
+    a = areas if "page_join" in areas.columns else areas.withColumn("page_join", F.lit(None).cast("string"))
+    a = a.filter(~F.coalesce("ignored", F.lit(False))).select("book", "page_idx", "area_pos", "type", "text", "page_join")
+    a = a.repartition("book").sortWithinPartitions("book", *ORDER)
+    return a.mapInPandas(_stitch, "book string, pos long, kind string, text string")
+
+
+def _paragraphs(text: str) -> list[str]:
+    import re
+
+    parts = re.split(r"\n\n|\n(?=\d{1,3}[.\s]|\+\s)", text or "")
+    return [p for p in (x.replace("\n", " ").strip() for x in parts) if p]
+
+
+def _cut(text: str) -> bool:
+    import re
+
+    t, old = text.rstrip(), None
+    while t != old:
+        old = t
+        t = re.sub(r"(?:<([a-z]+)>[^<]*</\1>|</?[a-z]+>)\s*$", "", t).rstrip()
+    t = t.rstrip("\"'”’»)] ")
+    return bool(t) and t[-1] not in ".!?…"
+
+
+def _stitch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out: list[tuple] = []
+    book = page = last_join = join = None
+    pending, pos, fresh = "", 0, False
+
+    def put(kind: str, text: str) -> None:
+        nonlocal pos
+        out.append((book, pos, kind, text))
+        pos += 1
+
+    def flush() -> None:
+        nonlocal pending
+        if pending:
+            put("paragraph", pending)
+        pending = ""
+
+    for f in frames:
+        for b, p, _, kind, text, how in f.itertuples(index=False):
+            if b != book:
+                flush()
+                book, page, last_join, join, pos = b, None, None, None, 0
+            if p != page:
+                page, last_join, join, fresh = p, join, how, True
+            if kind in ("chapter_title", "subtitle", "quote", "title_page") and (text or "").strip():
+                flush()
+                put(kind, " ".join(text.split()))
+                fresh = fresh and kind != "quote"
+            elif kind == "main_text":
+                for k, part in enumerate(_paragraphs(text)):
+                    edge = k == 0 and fresh and last_join
+                    if pending and edge and last_join == "merge_hyphen":
+                        pending = pending.removesuffix("-") + part
+                    elif pending and edge and last_join == "merge_sentence":
+                        pending = pending[:-1] + part if pending.endswith("-") else f"{pending} {part}"
+                    elif pending and k == 0 and _cut(pending):
+                        pending = f"{pending} {part}"
+                    else:
+                        flush()
+                        pending = part
+                fresh = False
+        if out:
+            yield pd.DataFrame(out, columns=["book", "pos", "kind", "text"])
+            out = []
+    flush()
+    if out:
+        yield pd.DataFrame(out, columns=["book", "pos", "kind", "text"])

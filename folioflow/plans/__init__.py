@@ -1 +1,6 @@
-"""Part of folioflow."""
+"""The registered queries over single pages and over document order."""
+
+from folioflow.plans import page_queries  # noqa: F401
+from folioflow.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
