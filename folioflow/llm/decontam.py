@@ -26,7 +26,7 @@ COSINE = 0.45
 #: Part of an item's words that stand in a passage in order; the lower one needs the answer as well.
 SAME, PARAPHRASE = 0.8, 0.6
 #: Terms in more than this part of all blocks weigh nothing, unless an item would keep fewer than LEAST_TERMS.
-COMMON, LEAST_TERMS = 0.02, 4
+COMMON, LEAST_TERMS = 0.003, 4
 #: Shorter items count only where they stand word for word.
 SHORT = 8
 #: Items that are searched for at once: what is broadcast is bounded by these.
@@ -104,7 +104,8 @@ def _count(items: Items):
             w, at = plain_words(b.column("text"))
             p, k = items.find(w)
             block, _ = _block_of(p, at)
-            n[:v] += np.bincount(np.unique(block * v + k) % v, minlength=v)
+            pair = np.sort(block * v + k)
+            n[:v] += np.bincount(pair[_runs(pair)] % v, minlength=v)
             n[v] += _blocks(at)[1].sum()
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some])], schema=_DF)

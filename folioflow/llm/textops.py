@@ -84,13 +84,23 @@ def spans(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple
     return starts, ends, np.searchsorted(starts, off)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, the same wherever it stands."""
-    n = len(data)
-    p, inv = _powers(n)
-    h = np.zeros(n + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * p[:n], out=h[1:])
-    return mix((h[ends] - h[starts]) * inv[starts])
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span's bytes, the same wherever it stands: eight bytes at a time."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    size = ends - starts
+    h = (size.astype(U) + U(seed)) * U(_P)
+    h = mix(h ^ eight[starts] & _MASK[np.minimum(size, 8)])
+    more, k = np.flatnonzero(size > 8), 8
+    while len(more):
+        left = size[more] - k
+        h[more] = mix(h[more] * U(_P) ^ eight[starts[more] + k] & _MASK[np.minimum(left, 8)])
+        more, k = more[left > 8], k + 8
+    return h
 
 
 def words(col: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -126,6 +136,19 @@ def tally(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[first], np.add.reduceat(counts, first)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (by sorting: np.unique hashes, which takes several times as long here)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of one row of each distinct (a, b), in that order."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    return order[np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])] if len(order) else order
+
+
 def rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
