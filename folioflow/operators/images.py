@@ -65,11 +65,11 @@ def skew(gray: np.ndarray) -> float | None:
     ink = gray <= otsu_level(np.bincount(gray.ravel(), minlength=256))
     score = lambda a: float((np.diff(_shear_profile(ink, a)) ** 2).sum())
     coarse = {a: score(a) for a in range(-MAX_ANGLE, MAX_ANGLE + 1)}
-    best = max(coarse, key=coarse.get)
+    best = max(coarse, key=lambda a: (coarse[a], -abs(a)))
     mean = sum(coarse.values()) / len(coarse)
     if mean <= 0 or coarse[best] / mean - 1 < MIN_CONFIDENCE:
         return None
-    fine = max(np.linspace(best - 1, best + 1, 41), key=score)
+    fine = max(np.linspace(best - 1, best + 1, 41), key=lambda a: (score(a), -abs(a)))  # of equals, the smallest turn
     return round(float(fine), 2) if abs(fine) >= 0.1 else None
 
 
