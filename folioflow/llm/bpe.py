@@ -28,7 +28,7 @@ MEMORY = 600_000
 
 _WORD = pa.schema([("word", pa.binary())])
 _SHARD = pa.schema([("bucket", pa.int32()), ("words", pa.int64())])
-_RUN = re.compile(r"\s\s")
+_ODD = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,19 +39,22 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Splitter:
     """Cuts texts into units whose matches don't depend on what stands around them.
 
-    A space between two non-space characters begins a match whatever stands
-    before it. Texts in which white space stands together are matched whole.
+    A space between two other characters begins a match whatever stands before
+    it. Texts in which white space stands together, or that have other white
+    space than spaces and line feeds, are matched whole.
     """
 
     def __init__(self, pattern: str):
         self.findall = regex.compile(pattern).findall
 
     def units(self, text: str) -> tuple[list[str], bool]:
-        """Units, or the matches themselves (True)."""
-        if _RUN.search(text):
+        """The parts between spaces (all but the first begin with one, left out here); or the matches themselves, and True."""
+        if _ODD.search(text) or "  " in text or "\n\n" in text or "\n " in text or " \n" in text:
             return self.findall(text), True
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)], False
+        return text.split(" "), False
+
+    def words(self, unit: str) -> list[str]:
+        return self.findall(f" {unit}")
 
 
 def _distinct(pattern: str):
@@ -65,10 +68,11 @@ def _distinct(pattern: str):
                 if whole:
                     words.update(units)
                     continue
-                new = set(units) - seen
+                words.update(split.findall(units[0]))
+                new = set(units[1:]) - seen
                 seen |= new
                 for u in new:
-                    words.update(split.findall(u))
+                    words.update(split.words(u))
             if len(seen) > MEMORY or len(words) > MEMORY:
                 yield _words(words)
                 seen, words = set(), set()
@@ -140,29 +144,30 @@ def fold(word: Column, ranks: RankMap) -> Column:
     steps that remain pass the state on.
     """
 
-    def ranked(tokens: Column) -> Column:
-        return F.transform(F.transform(tokens, lambda t: F.xxhash64(t)), ranks.of)
+    none = F.lit(None)
+
+    def rank(token: Column) -> Column:
+        return ranks.of(F.xxhash64(token))
+
+    def begin(p: Column) -> Column:
+        pairs = F.transform(F.slice(p, 2, F.size(p)), lambda x, k: rank(F.concat(p[k], x)))
+        return F.struct(p.alias("p"), pairs.alias("r"))
 
     def step(s: Column, _: Column) -> Column:
         p, r = s["p"], s["r"]
 
-        def join(i: Column) -> Column:  # i: the pair of pieces i and i + 1, from 1
-            both = F.concat(p[i - 1], p[i])
-            left = F.when(i > 1, F.array(F.concat(p[i - 2], both))).otherwise(F.array().cast("array<string>"))
-            right = F.when(i < F.size(r), F.array(F.concat(both, p[i + 1]))).otherwise(F.array().cast("array<string>"))
-            return F.struct(
-                F.concat(F.slice(p, 1, i - 1), F.array(both), F.slice(p, i + 2, F.size(p))).alias("p"),
-                F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))), ranked(F.concat(left, right)), F.slice(r, i + 2, F.size(p))).alias("r"),
-            )
+        def join(i: Column) -> Column:  # i: of the pair, from 0
+            both = F.concat(p[i], p[i + 1])
+            pieces = F.transform(p, lambda x, k: F.when(k == i, both).when(k == i + 1, none).otherwise(x))
+            beside = F.transform(r, lambda x, k: F.when(k == i, none).when(k == i - 1, rank(F.concat(p[k], both))).when(k == i + 1, rank(F.concat(both, p[k + 1]))).otherwise(x))
+            return F.struct(F.array_compact(pieces).alias("p"), F.array_compact(beside).alias("r"))
 
-        at = F.array(F.array_position(r, F.array_min(r)).cast("int"))
+        at = F.array(F.array_position(r, F.array_min(r)).cast("int") - 1)
         return F.when(F.coalesce(F.array_min(r), F.lit(NONE)) < NONE, F.transform(at, join)[0]).otherwise(s)
 
-    code, n = F.hex(word), F.length(word)
-    pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(code, 2 * i - 1, F.lit(2)))
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(code, 2 * i - 1, F.lit(4)))).otherwise(F.array().cast("array<string>"))
-    done = F.aggregate(F.sequence(F.lit(1), n), F.struct(pieces.alias("p"), ranked(pairs).alias("r")), step, lambda s: s["p"])
-    return ranked(done)
+    pieces = F.array(F.split(F.hex(word), r"(?<=\G..)(?=.)"))  # in an array, so that it is made once and named
+    done = F.aggregate(F.sequence(F.lit(1), F.length(word)), F.transform(pieces, begin)[0], step, lambda s: s["p"])
+    return F.transform(done, rank)
 
 
 def vocabulary(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -193,15 +198,30 @@ class WordTable:
     def __init__(self, folder: str, bits: int):
         self.folder, self.bits, self.open = folder, bits, {}
 
-    def ids(self, word: bytes) -> bytes:
-        h = xxhash.xxh64_intdigest(word)
-        b = h >> (64 - self.bits)
-        if (t := self.open.get(b)) is None:
-            t = self.open[b] = mapped(f"{self.folder}/{b}")
-        i = int(np.searchsorted(t["hash"], np.uint64(h)))
-        while t["word"][t["word_at"][i] : t["word_at"][i + 1]].tobytes() != word:
-            i += 1  # words of one hash stand side by side
-        return t["ids"][t["id_at"][i] : t["id_at"][i + 1]].tobytes()
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words that are all in the table, looked up together."""
+        h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+        order = np.argsort(h)
+        edge = np.searchsorted((h[order] >> np.uint64(64 - self.bits)).astype(np.int64), np.arange((1 << self.bits) + 1))
+        out = [b""] * len(words)
+        for b in np.flatnonzero(np.diff(edge)):
+            if (t := self.open.get(b)) is None:
+                t = self.open[b] = mapped(f"{self.folder}/{b}")
+            own = order[edge[b] : edge[b + 1]]
+            i = np.searchsorted(t["hash"], h[own])
+            while True:
+                found = zip(own.tolist(), i.tolist(), t["word_at"][i].tolist(), t["word_at"][i + 1].tolist(), t["id_at"][i].tolist(), t["id_at"][i + 1].tolist(), strict=True)
+                text, ids = memoryview(t["word"]), memoryview(t["ids"])
+                again = []
+                for k, at, a, z, c, d in found:
+                    if text[a:z] == words[k]:
+                        out[k] = ids[c:d].tobytes()
+                    else:
+                        again.append((k, at + 1))  # words of one hash stand side by side
+                if not again:
+                    break
+                own, i = (np.array(x) for x in zip(*again, strict=True))
+        return out
 
 
 def _encode(pattern: str, ranks: dict[bytes, int], folder: str, bits: int):
@@ -214,25 +234,22 @@ def _encode(pattern: str, ranks: dict[bytes, int], folder: str, bits: int):
         of_unit: dict[str, bytes] = {}
         of_word: dict[str, bytes] = {}
 
-        def word_ids(w: str) -> bytes:
-            if (x := of_word.get(w)) is None:
-                raw = w.encode()
-                x = of_word[w] = table.ids(raw) if len(raw) <= FOLD_BYTES else np.array(longer(raw), np.uint32).tobytes()
-            return x
+        def learn(units: set[str], texts: list[list[str]]) -> None:
+            """Ids of these units, and of the words of these texts."""
+            cut = {u: split.words(u) for u in units}
+            new = list(set().union(*cut.values(), *texts) - of_word.keys())
+            raw = [w.encode() for w in new]
+            short = [k for k, x in enumerate(raw) if len(x) <= FOLD_BYTES]
+            of_word.update(zip((new[k] for k in short), table.ids([raw[k] for k in short]), strict=True))
+            of_word.update((w, np.array(longer(x), np.uint32).tobytes()) for w, x in zip(new, raw, strict=True) if len(x) > FOLD_BYTES)
+            of_unit.update((u, b"".join(map(of_word.__getitem__, words))) for u, words in cut.items())
 
         for b in slices(batches):
-            out = []
-            for t in b.column("text").to_pylist():
-                if not t:
-                    out.append(b"")
-                    continue
-                units, whole = split.units(t)
-                if whole:
-                    out.append(b"".join(map(word_ids, units)))
-                    continue
-                for u in set(units) - of_unit.keys():
-                    of_unit[u] = b"".join(map(word_ids, split.findall(u)))
-                out.append(b"".join(map(of_unit.__getitem__, units)))
+            cuts = [split.units(t) if t else ([], True) for t in b.column("text").to_pylist()]
+            firsts = [u if whole else split.findall(u[0]) for u, whole in cuts]  # words that are looked up as they are
+            rest = [[] if whole else u[1:] for u, whole in cuts]
+            learn(set().union(*rest) - of_unit.keys(), firsts)
+            out = [b"".join([*map(of_word.__getitem__, f), *map(of_unit.__getitem__, u)]) for f, u in zip(firsts, rest, strict=True)]
             yield pa.RecordBatch.from_arrays([
                 b.column("id"),
                 pa.array([len(x) // 4 for x in out], pa.int64()),
