@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.graph import components
 from folioflow.llm.store import mapped, pack, put, scratch, stored
-from folioflow.llm.textops import _PINV, U, _powers, inside, mix, slices, words
+from folioflow.llm.textops import _PINV, U, _powers, distinct, distinct_pairs, inside, mix, slices, words
 
 SPAN, WINDOW, GRAM, SHINGLE = 36, 15, 3, 5
 #: Four bands of two rows: at a similarity of 0.8 two paragraphs share one with probability 0.98, at 0.9 with 0.999.
@@ -60,7 +60,7 @@ def paragraphs(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     g[i] = _run_hashes(w, i, GRAM)
     least = np.lib.stride_tricks.sliding_window_view(g, WINDOW)
     anchor = np.concatenate([place[k : k + (1 << 18)] + least[place[k : k + (1 << 18)]].argmin(axis=1) for k in range(0, len(place), 1 << 18)])
-    anchor = np.unique(anchor)
+    anchor = distinct(anchor)
     text = np.searchsorted(at, anchor, "right") - 1
     fits = anchor + SPAN <= at[text + 1]
     anchor, text = anchor[fits], text[fits]
@@ -100,9 +100,11 @@ def _first(bits: int):
         near: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            x = np.unique(np.concatenate(exact))
+            x = np.concatenate(exact)
+            x = x[distinct_pairs(x["h"], x["doc"])]
             yield _blobs(0, x["h"], x, bits)
-            k = np.unique(np.concatenate(near))
+            k = np.concatenate(near)
+            k = k[distinct_pairs(k["h"], k["doc"])]
             rows = np.empty(len(k), _BAND)
             rows["key"], rows["h"] = k["h"] >> U(64 - bits - 32) & U(0xFFFFFFFF), k["doc"]
             yield _blobs(1, k["h"], rows, bits)
@@ -135,9 +137,10 @@ def _collide(folder: str, bits: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
         kind, own = bucket >> bits, bucket & (1 << bits) - 1
-        rows = np.unique(np.concatenate([np.frombuffer(r, _BAND if kind else _EXACT) for r in table.column("rows").to_pylist()]))
-        k = rows["key" if kind else "h"]
-        again = np.unique(k[1:][k[1:] == k[:-1]])
+        rows = np.concatenate([np.frombuffer(r, _BAND if kind else _EXACT) for r in table.column("rows").to_pylist()])
+        k, other = np.ascontiguousarray(rows["key" if kind else "h"]), rows["h" if kind else "doc"]
+        k = k[distinct_pairs(k, other)]
+        again = distinct(k[1:][k[1:] == k[:-1]])
         put(f"{folder}/{'near' if kind else 'exact'}-{own}", pack(h=again))
         return pa.table([[bucket], [len(again)]], schema=_DONE)
 
@@ -198,7 +201,7 @@ def _contents(folder: str, bits: int):
 
 def _content_blobs(held: list[np.ndarray], bits: int) -> pa.RecordBatch:
     x = np.concatenate(held)
-    _, one = np.unique(x[["key", "h"]], return_index=True)
+    one = distinct_pairs(x["key"], x["h"])
     return _blobs(0, x["key"][one], x[one], bits)
 
 
@@ -254,10 +257,10 @@ def _hits(folder: str, bits: int):
             _, at, anchor, text, h = paragraphs(b.column("text"))
             if not len(anchor):
                 continue
-            distinct, back = np.unique(h, return_inverse=True)
-            passage = sets.find("class", distinct, "passage")
-            own = (passage == 0) & sets.find("exact", distinct)
-            passage[own] = distinct[own].view(np.int64)
+            each, back = np.unique(h, return_inverse=True)
+            passage = sets.find("class", each, "passage")
+            own = (passage == 0) & sets.find("exact", each)
+            passage[own] = each[own].view(np.int64)
             p = passage[back]
             hit = p != 0
             yield pa.RecordBatch.from_arrays([pa.array(p[hit]), b.column("id").take(pa.array(text[hit])), pa.array((anchor - at[text])[hit], pa.int32())], schema=_HIT)

@@ -47,15 +47,19 @@ def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", time
     A capture is blocked if an entry for one of its keys is valid at its fetch
     (valid_from <= fetch < valid_to). blocked_since is the earliest valid_from
     of these. A null url or time is not blocked. Rows that are repeated stay.
-    Empty lists block nothing; an empty table has no rows.
+    Empty lists block nothing; an empty table has no rows. Columns of captures
+    that are named like the new ones are replaced.
 
     Captures meet the list once for each host, path segment and time, however
     many there are: a host with a third of all rows is one row for each day.
     """
-    c = captures.withColumns({"_host": host_of(F.col(url_col)), "_segment": F.coalesce(segment_of(F.col(url_col)), F.lit("")), "_at": F.col(time_col)})
-    each = c.select("_host", "_segment", "_at").dropna().distinct()
-    listed = each.withColumn("key", F.explode(keys_of(F.col("_host"), F.col("_segment")))).join(validity(entries), "key")
-    listed = listed.filter((F.col("valid_from") <= F.col("_at")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to"))))
-    hits = listed.groupBy("_host", "_segment", "_at").agg(F.array_join(F.array_sort(F.collect_set("category")), ",").alias("block_categories"), F.min("valid_from").alias("blocked_since"))
-    out = c.join(hits, ["_host", "_segment", "_at"], "left")
-    return out.select(*[captures[x] for x in captures.columns], F.col("blocked_since").isNotNull().alias("blocked"), F.coalesce("block_categories", F.lit("")).alias("block_categories"), "blocked_since")
+    out = ("blocked", "block_categories", "blocked_since")
+    own = captures.select(*[F.col(f"`{x}`") for x in captures.columns if x not in out])
+    key = ["__host", "__segment", "__at"]
+    c = own.withColumns({"__host": host_of(F.col(url_col)), "__segment": F.coalesce(segment_of(F.col(url_col)), F.lit("")), "__at": F.col(time_col)})
+    each = c.select(*key).dropna().distinct()
+    listed = each.withColumn("key", F.explode(keys_of(F.col("__host"), F.col("__segment")))).join(validity(entries), "key")
+    listed = listed.filter((F.col("valid_from") <= F.col("__at")) & (F.col("valid_to").isNull() | (F.col("__at") < F.col("valid_to"))))
+    hits = listed.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("category")), ",").alias("block_categories"), F.min("valid_from").alias("blocked_since"))
+    found = c.join(hits, key, "left").drop(*key)
+    return found.withColumns({"blocked": F.col("blocked_since").isNotNull(), "block_categories": F.coalesce("block_categories", F.lit(""))}).select(*own.columns, *out)
