@@ -7,14 +7,25 @@ of each block takes part in the window over the book.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 512
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Written once to the shared checkpoint folder: what follows reads it twice without making it twice."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        # a folder of our own only where none is named: local runs
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioflow-"))
+    return df.checkpoint()
+
+
 def _blocked(df: DataFrame, order: str) -> DataFrame:
-    return df.withColumn("_block", F.floor(F.col(order) / BLOCK))
+    return cut(df.withColumn("_block", F.floor(F.col(order) / BLOCK)))
 
 
 def _with_before(df: DataFrame, keys: list[str], total: Column, over_blocks) -> DataFrame:
