@@ -68,7 +68,13 @@ def paragraphs(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def bands(w: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys of paragraphs (one row for each), and the shingle hashes of all places."""
+    """Band keys of paragraphs (one row for each), and the shingle hashes of all places.
+
+    The anchor's own words are part of each key: paragraphs that are alike begin
+    at the same anchor, while neighbours in one text, which overlap and so are
+    alike as well, begin at different ones and stay apart.
+    """
+    start = _run_hashes(w, anchor, GRAM)
     i = np.arange(max(len(w) - SHINGLE + 1, 0))
     s = _run_hashes(w, i, SHINGLE)
     keys = np.zeros((len(anchor), BANDS), U)
@@ -81,6 +87,7 @@ def bands(w: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 m = np.minimum(m[: len(m) - step], m[step:])
                 step *= 2
             keys[:, b] = mix(keys[:, b] * U(31) + m[anchor] + U(b))
+        keys[:, b] = mix(keys[:, b] ^ start)
     return keys, s
 
 
