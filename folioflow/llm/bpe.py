@@ -285,7 +285,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     bits = max(1, (n - 1).bit_length())
     # without a fixed number of partitions, Spark would join the small ones, and the folds with them
     words = distinct_words(docs.select(text_col), pattern, text_col).repartition(4 * n, "word")
-    found = stored(vocabulary(words, ranks), "vocabulary")
+    # the literals would stand in every description of the plan that the driver keeps
+    length = spark.conf.get("spark.sql.maxPlanStringLength", None)
+    spark.conf.set("spark.sql.maxPlanStringLength", "20000")
+    try:
+        found = stored(vocabulary(words, ranks), "vocabulary")
+    finally:
+        spark.conf.set("spark.sql.maxPlanStringLength", length) if length else spark.conf.unset("spark.sql.maxPlanStringLength")
     buckets = found.mapInArrow(_bucket(bits), "bucket int, word binary, ids array<int>")
     buckets.groupBy("bucket").applyInArrow(_save(folder, bits), "bucket int, words long").agg(F.sum("words")).first()
     same = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
