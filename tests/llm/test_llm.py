@@ -358,3 +358,31 @@ def test_pipeline(spark):
     assert len(kept[3]) > 0.5 * len(texts)
     last = corpus_pipeline.STAGES[-1][1](spark, step, sf).select("doc_id", "decoded_sha256").collect()
     assert {r.doc_id: r.decoded_sha256 for r in last} == {i: hashlib.sha256(texts[i].encode()).hexdigest() for i in kept[3]}
+
+
+@pytest.mark.parametrize("block", [4000, 3])
+def test_near_copies_like_brute_force(spark, monkeypatch, block):
+    """All that the pipeline's stage should drop at a Jaccard similarity of 0.8 is dropped, and no more."""
+    import corpus_pipeline
+
+    from folioflow.llm import near
+
+    monkeypatch.setattr(near, "BLOCK_ROWS", block)
+    rng = random.Random(21)
+    texts = ["", " \n", None, "one two", "One  two", "three"]
+    for _ in range(40):
+        base = prose(rng.randint(60, 300), rng).split()
+        texts.append(" ".join(base))
+        for _ in range(3):
+            new = base[:]
+            for at in rng.sample(range(len(new)), max(1, len(new) // rng.randint(35, 120))):
+                new[at] = rng.choice(VOCAB)
+            texts.append(" ".join(new))
+    sets = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for w in map(words, texts)]
+    edges = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = reach(len(texts), edges)
+    docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, node int").repartition(3)
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    want = {i for i, r in enumerate(root) if r == i}
+    assert want <= got and len(got) - len(want) <= 0.02 * (len(texts) - len(want))
+    assert near.near_copies(docs.limit(0)).count() == 0
