@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.graph import components
@@ -31,7 +31,8 @@ HELD = 2_000_000
 _BLOB = pa.schema([("bucket", pa.int32()), ("rows", pa.binary())])
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _DONE = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
-_HIT = pa.schema([("passage", pa.int64()), ("id", pa.int64()), ("start", pa.int32())])
+_HIT = pa.schema([("passage", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+_NEXT = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("place", pa.int32()), ("right", pa.bool_()), ("k", pa.int32())])
 _EXACT = np.dtype([("h", U), ("doc", np.int64)])
 _BAND = np.dtype([("key", np.uint32), ("h", np.uint32)])
 _CONTENT = np.dtype([("key", U), ("h", U), ("set", np.uint32, (SPAN - SHINGLE + 1,))])
@@ -270,13 +271,54 @@ def _hits(folder: str, bits: int):
             passage[own] = each[own].view(np.int64)
             p = passage[back]
             hit = p != 0
-            yield pa.RecordBatch.from_arrays([pa.array(p[hit]), b.column("id").take(pa.array(text[hit])), pa.array((anchor - at[text])[hit], pa.int32())], schema=_HIT)
+            yield pa.RecordBatch.from_arrays([pa.array(p[hit]), b.column("id").take(pa.array(text[hit])), pa.array((anchor - at[text])[hit], pa.int32()), pa.array((anchor - at[text])[hit] + SPAN, pa.int32())], schema=_HIT)
 
     return run
 
 
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each end of a hit (place, its side, its passage) and each k: a key of the k words beyond it, with the GRAM words before these."""
+    for b in slices(batches):
+        w, at = words(b.column("text"))
+        ends = b.column("ends")
+        text = np.repeat(np.arange(b.num_rows), np.diff(ends.offsets.to_numpy()))
+        passage, place, right = (ends.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        i = at[text] + place
+        for k in range(1, WINDOW):
+            a, z = np.where(right, i - GRAM, i - k), np.where(right, i + k, i + GRAM)
+            fit = (a >= at[text]) & (z <= at[text + 1])
+            key = mix(_run_hashes(w, a[fit], GRAM + k) ^ mix(passage[fit].view(U) + U(2 * k) + right[fit]))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("id").take(pa.array(text[fit])), pa.array(place[fit], pa.int32()), pa.array(right[fit]), pa.array(np.full(len(key), k), pa.int32())], schema=_NEXT)
+
+
+def grown(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """id, start, end, later: the equal words beyond the hits, up to the ends of the runs.
+
+    Less than WINDOW words are left over at each end: a run that goes on for
+    more has one more anchor there. ``later`` runs are those that an earlier
+    document has. Only ends that no other hit covers are looked at, and what
+    stands there in all documents of their passages.
+    """
+    later = F.col("id") != F.col("first_id")
+    tell = found.select("passage", "id", "start", "end", later.alias("later")).distinct()
+    before = lambda *by: Window.partitionBy(*by).orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
+    after = lambda *by: Window.partitionBy(*by).orderBy(F.desc("end")).rangeBetween(Window.unboundedPreceding, -1)
+    left = F.coalesce(F.max("end").over(before("id")) < F.col("start"), F.lit(True)) | F.coalesce(F.max("end").over(before("id", "later")) < F.col("start"), F.lit(True))
+    right = F.coalesce(F.min("start").over(after("id")) > F.col("end"), F.lit(True)) | F.coalesce(F.min("start").over(after("id", "later")) > F.col("end"), F.lit(True))
+    sides = F.array(F.struct(F.col("start").alias("place"), F.lit(False).alias("right"), F.col("left").alias("bare")), F.struct(F.col("end").alias("place"), F.lit(True).alias("right"), F.col("right").alias("bare")))
+    every = stored(tell.withColumns({"left": left, "right": right}).select("passage", "id", "later", F.explode(sides).alias("e")).select("passage", "id", "later", "e.*"), "passage-ends")
+    wanted = every.filter("bare").select("passage", "right").distinct()
+    own = every.join(wanted, ["passage", "right"], "left_semi").groupBy("id").agg(F.collect_set(F.struct("passage", "place", "right")).alias("ends"))
+    keys = stored(docs.join(own, "id").select("id", "text", "ends").mapInArrow(_contexts, "key long, id long, place int, right boolean, k int"), "passage-contexts")
+    both = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first != last").select("key", "first")
+    far = keys.join(both, "key").groupBy("id", "place", "right").agg(F.max("k").alias("all"), F.max(F.when(F.col("first") < F.col("id"), F.col("k"))).alias("late"))
+    runs = far.select("id", "place", "right", F.explode(F.array(F.struct(F.lit(False).alias("later"), F.col("all").alias("k")), F.struct(F.lit(True).alias("later"), F.col("late").alias("k")))).alias("e")).filter("e.k IS NOT NULL")
+    reach = F.col("place") + F.when(F.col("right"), F.col("e.k")).otherwise(-F.col("e.k"))
+    return runs.select("id", F.least("place", reach).alias("start"), F.greatest("place", reach).alias("end"), "e.later")
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """passage, id, start (in words): each paragraph whose like stands in another document."""
+    """passage, id, start, end (in words): each paragraph whose like stands in another document."""
     spark = docs.sparkSession
     folder = scratch(spark, "passages")
     bits = max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
@@ -286,30 +328,29 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     edges = stored(rows.mapInArrow(_contents(folder, bits), blob).groupBy("bucket").applyInArrow(_verify, "a long, b long"), "paragraph-edges")
     classes = components(edges).withColumn("bucket", F.shiftrightunsigned("node", 64 - bits).cast("int"))
     classes.groupBy("bucket").applyInArrow(_save_classes(folder), done).agg(F.sum("n")).first()
-    found = stored(rows.mapInArrow(_hits(folder, bits), "passage long, id long, start int"), "paragraph-hits")
+    found = stored(rows.mapInArrow(_hits(folder, bits), "passage long, id long, start int, end int"), "paragraph-hits")
     many = found.groupBy("passage").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("first_id != last_id")
-    return found.join(many, "passage").select("passage", "id", "start", "first_id")
+    return found.join(many, "passage").select("passage", "id", "start", "end", "first_id")
 
 
-def _spans(starts, n: int = SPAN):
-    """Ascending starts of paragraphs -> the runs of words that they cover."""
-    grown = F.aggregate(
-        starts,
+def _spans(runs):
+    """Ascending runs of words -> their unions."""
+    return F.aggregate(
+        runs,
         F.array().cast("array<struct<start:int,end:int>>"),
         lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), (s + n).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(s.alias("start"), (s + n).alias("end"))))),
+            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
+            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
+        ).otherwise(F.concat(acc, F.array(s))),
     )
-    return grown
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document that shares a passage with another.
 
     id; component_id: the smallest id that it reaches over shared passages;
-    spans: its repeated runs, in words; remove: those of them that an earlier
-    document has as well. Every passage stays in the document of the smallest
+    spans: its repeated runs, in words, each up to the ends of what is equal;
+    remove: those of them that an earlier document has as well. Every passage stays in the document of the smallest
     id. Runs of SPAN + WINDOW - 1 = 50 equal words or more are always found,
     runs under SPAN words never. Null, empty and short texts have none; rows
     with a repeated id count as one document; rows without an id are left out.
@@ -317,6 +358,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     found = stored(repeats(docs, id_col, text_col), "repeats")
     linked = components(found.filter("id != first_id").select(F.col("id").alias("a"), F.col("first_id").alias("b")))
-    each = found.groupBy("id").agg(F.sort_array(F.collect_set("start")).alias("every"), F.sort_array(F.collect_set(F.when(F.col("id") != F.col("first_id"), F.col("start")))).alias("later"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
+    runs = found.select("id", "start", "end", (F.col("id") != F.col("first_id")).alias("later")).unionByName(grown(rows, found))
+    run = F.struct("start", "end")
+    each = runs.groupBy("id").agg(F.sort_array(F.collect_set(run)).alias("every"), F.sort_array(F.collect_set(F.when(F.col("later"), run))).alias("late"))
     out = each.join(linked, each["id"] == linked["node"], "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("component_id"), _spans(F.col("every")).alias("spans"), _spans(F.col("later")).alias("remove"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("component_id"), _spans(F.col("every")).alias("spans"), _spans(F.col("late")).alias("remove"))

@@ -386,3 +386,22 @@ def test_near_copies_like_brute_force(spark, monkeypatch, block):
     want = {i for i, r in enumerate(root) if r == i}
     assert want <= got and len(got) - len(want) <= 0.02 * (len(texts) - len(want))
     assert near.near_copies(docs.limit(0)).count() == 0
+
+
+def test_passages_to_their_ends(spark):
+    """An equal run is a span from its first word to its last."""
+    rng = random.Random(31)
+    rows, want = [], {}
+    for n in range(51, 91, 3):
+        shared = prose(n, rng)
+        for i in (2 * n, 2 * n + 1):
+            head = rng.randint(16, 50)
+            rows.append((i, f"{prose(head, rng)} x{i} {shared} y{i} {prose(rng.randint(16, 50), rng)}"))
+            want[i] = (head + 1, head + 1 + n)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in passages.repeated_passages(docs).collect()}
+    for i, run in want.items():
+        for spans in (got[i].spans, got[i].remove) if i % 2 else (got[i].spans,):
+            (s,) = spans
+            assert run[0] - 3 <= s.start <= run[0] and run[1] <= s.end <= run[1] + 3, i  # alike paragraphs may take three words along
+        assert i % 2 or not got[i].remove
