@@ -16,9 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.graph import components
-from folioflow.llm.passages import _run_hashes
 from folioflow.llm.store import mapped, pack, put, scratch, stored
-from folioflow.llm.textops import U, distinct, distinct_pairs, mix, slices, words
+from folioflow.llm.textops import U, distinct, distinct_pairs, mix, run_hashes, slices, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 two texts share a band with probability 0.9996, at 0.5 with 0.47.
@@ -44,11 +43,11 @@ def shingles(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     w, at = words(col)
     size = np.diff(at)
-    node = mix(_run_hashes(w, at[:-1], size) + size.astype(U) * U(0x9E3779B97F4A7C15))
+    node = mix(run_hashes(w, at[:-1], size) + size.astype(U) * U(0x9E3779B97F4A7C15))
     count = np.maximum(size - SHINGLE + 1, 1)
     to = np.concatenate([[0], np.cumsum(count)])
     place = np.repeat(at[:-1] - to[:-1], count) + np.arange(to[-1])
-    s = _run_hashes(w, place, np.minimum(np.repeat(size, count), SHINGLE))
+    s = run_hashes(w, place, np.minimum(np.repeat(size, count), SHINGLE))
     return s, to, node
 
 
@@ -103,6 +102,23 @@ def jaccard(a: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def linked(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of similar sets whose components are those of all such pairs."""
+    a, b = [], []
+    left, todo = np.arange(1, len(sets)), [0]
+    while len(left):  # what is linked goes; what is left is compared to each that went
+        if not todo:
+            todo, left = [int(left[0])], left[1:]
+            continue
+        at = todo.pop()
+        hit = jaccard(sets[at], [sets[x] for x in left]) >= SIMILARITY
+        a += [at] * int(hit.sum())
+        b += left[hit].tolist()
+        todo += left[hit].tolist()
+        left = left[~hit]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
 def _verify(folder: str, bits: int):
     """Edges of each band key's texts: any two that are similar enough are linked, by one edge or over others."""
 
@@ -123,18 +139,9 @@ def _verify(folder: str, bits: int):
         edge = np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k))
         a, b = [], []
         for i, j in zip(edge, edge[1:], strict=False):
-            sets = [load(x) for x in node[i:j]]
-            left, todo = np.arange(1, j - i), [0]
-            while len(left):  # what is linked goes; what is left is compared to each that went
-                if not todo:
-                    todo, left = [int(left[0])], left[1:]
-                    continue
-                at = todo.pop()
-                hit = jaccard(sets[at], [sets[x] for x in left]) >= SIMILARITY
-                a += [name[i + at]] * int(hit.sum())
-                b += name[i + left[hit]].tolist()
-                todo += left[hit].tolist()
-                left = left[~hit]
+            x, y = linked([load(x) for x in node[i:j]])
+            a += name[i + x].tolist()
+            b += name[i + y].tolist()
         return pa.table([np.array(a, np.int64), np.array(b, np.int64)], schema=_EDGE)
 
     return run

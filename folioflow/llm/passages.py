@@ -1,7 +1,7 @@
 """Substring dedup (4): MinHash banding of paragraphs that begin where the text itself says.
 
-Passages repeat inside lines as well as in whole lines, so a paragraph is not a
-line: it is a run of SPAN words from an anchor on. Anchors are the least hashes
+Passages repeat inside lines as well as in whole lines, so paragraphs are of two
+kinds: lines of SPAN words or more, and runs of SPAN words from an anchor on. Anchors are the least hashes
 of GRAM words in each window of WINDOW places, so a run of at least
 SPAN + WINDOW - 1 words that stands in two documents has an anchor, and thus a
 paragraph, in common. Paragraphs of equal words are one class; classes that
@@ -19,12 +19,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.graph import components
-from folioflow.llm.store import mapped, pack, put, scratch, stored
-from folioflow.llm.textops import _PINV, U, _powers, distinct, distinct_pairs, inside, mix, slices, words
+from folioflow.llm.near import linked
+from folioflow.llm.store import mapped, pack, put, scratch, stored, unpack
+from folioflow.llm.textops import LOWER, U, distinct, distinct_pairs, inside, mix, run_hashes, slices, span_hashes, utf8, words
+from folioflow.llm.textops import spans as word_spans
 
 SPAN, WINDOW, GRAM, SHINGLE = 36, 15, 3, 5
 #: Four bands of two rows: at a similarity of 0.8 two paragraphs share one with probability 0.98, at 0.9 with 0.999.
 BANDS, ROWS = 4, 2
+#: Bands of a line; at a similarity of 0.8 two lines share one with probability 0.998.
+LINE_BANDS = 6
 SIMILARITY = 0.8
 HELD = 2_000_000
 
@@ -34,62 +38,79 @@ _DONE = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
 _HIT = pa.schema([("passage", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 _NEXT = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("place", pa.int32()), ("right", pa.bool_()), ("k", pa.int32())])
 _EXACT = np.dtype([("h", U), ("doc", np.int64)])
-_BAND = np.dtype([("key", np.uint32), ("h", np.uint32)])
-_CONTENT = np.dtype([("key", U), ("h", U), ("set", np.uint32, (SPAN - SHINGLE + 1,))])
+_NEAR = np.dtype([("key", U), ("h", np.uint32), ("doc", np.uint32)])
+_BAND = np.dtype([("key", np.uint32), ("h", np.uint32), ("doc", np.uint32)])
+_CONTENT = np.dtype([("key", U), ("h", U), ("doc", np.uint32), ("set", np.uint32, (SPAN - SHINGLE + 1,))])
 
 
-def _run_hashes(w: np.ndarray, i: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n words from each place i on."""
-    p, _ = _powers(len(w) + 1)
-    inv = np.full(len(w) + 1, _PINV, U)
-    inv[0] = 1
-    inv = np.multiply.accumulate(inv)
-    total = np.zeros(len(w) + 1, U)
-    np.cumsum(w * p[: len(w)], out=total[1:])
-    return mix((total[i + n] - total[i]) * inv[i])
+def paragraphs(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes and their texts' offsets; of each paragraph the first word's place, its words, its text, its hash.
 
-
-def paragraphs(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes and their texts' offsets; of each paragraph the first word's place, its text, its hash."""
-    w, at = words(col)
+    First the runs of SPAN words from anchors, then the lines of SPAN words or more.
+    """
+    data, off = utf8(col)
+    data = LOWER[data]
+    starts, ends, at = word_spans(data, off)
+    w = span_hashes(data, starts, ends)
+    edge = distinct(np.concatenate([at, np.searchsorted(starts, np.flatnonzero(data == 10))]))
+    line, size = edge[:-1], np.diff(edge)
+    line, size = line[size >= SPAN], size[size >= SPAN]
+    anchor = np.zeros(0, np.int64)
     place = inside(at, GRAM + WINDOW - 1)  # windows that stay in their text
-    if not len(place):
-        none = np.zeros(0, np.int64)
-        return w, at, none, none, np.zeros(0, U)
-    g = np.full(len(w), ~U(0))
-    i = np.arange(len(w) - GRAM + 1)
-    g[i] = _run_hashes(w, i, GRAM)
-    least = np.lib.stride_tricks.sliding_window_view(g, WINDOW)
-    anchor = np.concatenate([place[k : k + (1 << 18)] + least[place[k : k + (1 << 18)]].argmin(axis=1) for k in range(0, len(place), 1 << 18)])
-    anchor = distinct(anchor)
-    text = np.searchsorted(at, anchor, "right") - 1
-    fits = anchor + SPAN <= at[text + 1]
-    anchor, text = anchor[fits], text[fits]
-    return w, at, anchor, text, _run_hashes(w, anchor, SPAN) if len(anchor) else np.zeros(0, U)
-
-
-def bands(w: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys of paragraphs (one row for each), and the shingle hashes of all places.
-
-    The anchor's own words are part of each key: paragraphs that are alike begin
-    at the same anchor, while neighbours in one text, which overlap and so are
-    alike as well, begin at different ones and stay apart.
+    if len(place):
+        g = np.full(len(w), ~U(0))
+        i = np.arange(len(w) - GRAM + 1)
+        g[i] = run_hashes(w, i, GRAM)
+        least = np.lib.stride_tricks.sliding_window_view(g, WINDOW)
+        anchor = distinct(np.concatenate([place[k : k + (1 << 18)] + least[place[k : k + (1 << 18)]].argmin(axis=1) for k in range(0, len(place), 1 << 18)]))
+        anchor = anchor[anchor + SPAN <= at[np.searchsorted(at, anchor, "right")]]
+    place, size = np.concatenate([anchor, line]), np.concatenate([np.full(len(anchor), SPAN), size])
+    return w, at, place, size, np.searchsorted(at, place, "right") - 1, run_hashes(w, place, size) if len(place) else np.zeros(0, U)
+
+
+def bands(w: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band keys of paragraphs as (row, key), and the shingle hashes of all places.
+
+    Runs of SPAN words have BANDS keys, lines have LINE_BANDS of their own. A run
+    of SPAN words that is a whole line counts as a run only.
     """
-    start = _run_hashes(w, anchor, GRAM)
     i = np.arange(max(len(w) - SHINGLE + 1, 0))
-    s = _run_hashes(w, i, SHINGLE)
-    keys = np.zeros((len(anchor), BANDS), U)
+    s = run_hashes(w, i, SHINGLE)
+    run, line = np.flatnonzero(size == SPAN), np.flatnonzero(size > SPAN)
+    edge = np.stack([place[line], place[line] + size[line] - SHINGLE + 1], axis=1)
+    order = np.lexsort((edge[:, 1], edge[:, 0]))
     n = SPAN - SHINGLE + 1  # 32 shingles: five doublings
-    for b in range(BANDS):
+    of_runs, of_lines = np.zeros((len(run), BANDS), U), np.zeros((len(line), LINE_BANDS), U)
+    for b in range(max(BANDS, LINE_BANDS)):
         for r in range(ROWS):
             m = mix(s ^ U(0x9E3779B97F4A7C15 * (b * ROWS + r + 1) & 0xFFFFFFFFFFFFFFFF))
-            step = 1
-            while step < n:
-                m = np.minimum(m[: len(m) - step], m[step:])
-                step *= 2
-            keys[:, b] = mix(keys[:, b] * U(31) + m[anchor] + U(b))
-        keys[:, b] = mix(keys[:, b] ^ start)
-    return keys, s
+            if b < LINE_BANDS and len(line):
+                least = np.minimum.reduceat(np.append(m, ~U(0)), edge[order].ravel())[::2]
+                of_lines[order, b] = mix(of_lines[order, b] * U(31) + least + U(b + BANDS))
+            if b < BANDS and len(run):
+                step = 1
+                while step < n:
+                    m = np.minimum(m[: len(m) - step], m[step:])
+                    step *= 2
+                of_runs[:, b] = mix(of_runs[:, b] * U(31) + m[place[run]] + U(b))
+    return np.concatenate([np.repeat(run, BANDS), np.repeat(line, LINE_BANDS)]), np.concatenate([of_runs.ravel(), of_lines.ravel()]), s
+
+
+def _order(doc: np.ndarray) -> np.ndarray:
+    """A place for each document; any order will do."""
+    return (mix(doc.astype(np.int64).view(U)) >> U(32)).astype(np.uint32)
+
+
+def _firsts(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Places of one paragraph of each class, of the least document."""
+    order = np.lexsort((doc, h))
+    return order[np.concatenate([[True], h[order][1:] != h[order][:-1]])]
+
+
+def _one_doc(k: np.ndarray) -> np.ndarray:
+    """One row of each (key, h), that of the least document."""
+    k = k[np.lexsort((k["doc"], k["h"], k["key"]))]
+    return k[np.concatenate([[True], (k["key"][1:] != k["key"][:-1]) | (k["h"][1:] != k["h"][:-1])])] if len(k) else k
 
 
 def _blobs(kind: int, h: np.ndarray, rows: np.ndarray, bits: int) -> pa.RecordBatch:
@@ -111,26 +132,26 @@ def _first(bits: int):
             x = np.concatenate(exact)
             x = x[distinct_pairs(x["h"], x["doc"])]
             yield _blobs(0, x["h"], x, bits)
-            k = np.concatenate(near)
-            k = k[distinct_pairs(k["h"], k["doc"])]
+            k = _one_doc(np.concatenate(near))
             rows = np.empty(len(k), _BAND)
-            rows["key"], rows["h"] = k["h"] >> U(64 - bits - 32) & U(0xFFFFFFFF), k["doc"]
-            yield _blobs(1, k["h"], rows, bits)
+            rows["key"], rows["h"], rows["doc"] = k["key"] >> U(64 - bits - 32) & U(0xFFFFFFFF), k["h"], k["doc"]
+            yield _blobs(1, k["key"], rows, bits)
             exact.clear()
             near.clear()
 
         for b in slices(batches):
-            w, _, anchor, text, h = paragraphs(b.column("text"))
-            if not len(anchor):
+            w, _, place, size, text, h = paragraphs(b.column("text"))
+            if not len(place):
                 continue
             x = np.empty(len(h), _EXACT)
             x["h"], x["doc"] = h, b.column("id").to_numpy()[text]
             exact.append(x)
-            h, one = np.unique(h, return_index=True)
-            keys, _ = bands(w, anchor[one])
-            k = np.empty(keys.size, _EXACT)
-            k["h"], k["doc"] = keys.ravel(), np.repeat((h & U(0xFFFFFFFF)).astype(np.int64), BANDS)
-            near.append(k)
+            doc = _order(x["doc"])
+            one = _firsts(h, doc)
+            row, keys, _ = bands(w, place[one], size[one])
+            k = np.empty(len(keys), _NEAR)
+            k["key"], k["h"], k["doc"] = keys, (h[one][row] & U(0xFFFFFFFF)).astype(np.uint32), doc[one][row]
+            near.append(_one_doc(k))
             if sum(map(len, near)) > HELD:
                 yield from flush()
         if exact:
@@ -140,15 +161,24 @@ def _first(bits: int):
 
 
 def _collide(folder: str, bits: int):
-    """Keep the hashes that more than one document has, and the band keys that more than one class has."""
+    """Keep the hashes that more than one document has, and the band keys whose classes begin in more than one.
+
+    Classes that all begin in one document are found without their key: each
+    document that has one of them shares it, as it is, with that document.
+    Overlapping neighbours in one text and in its copies are such.
+    """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
         kind, own = bucket >> bits, bucket & (1 << bits) - 1
         rows = np.concatenate([np.frombuffer(r, _BAND if kind else _EXACT) for r in table.column("rows").to_pylist()])
-        k, other = np.ascontiguousarray(rows["key" if kind else "h"]), rows["h" if kind else "doc"]
-        k = k[distinct_pairs(k, other)]
-        again = distinct(k[1:][k[1:] == k[:-1]])
+        if kind:
+            rows = _one_doc(rows)
+            first = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]))
+            again = rows["key"][first][np.minimum.reduceat(rows["doc"], first) != np.maximum.reduceat(rows["doc"], first)]
+        else:
+            k = rows["h"][distinct_pairs(rows["h"], rows["doc"])]
+            again = distinct(k[1:][k[1:] == k[:-1]])
         put(f"{folder}/{'near' if kind else 'exact'}-{own}", pack(h=again))
         return pa.table([[bucket], [len(again)]], schema=_DONE)
 
@@ -187,30 +217,43 @@ def _contents(folder: str, bits: int):
         sets = Sets(folder, bits)
         held: list[np.ndarray] = []
         for b in slices(batches):
-            w, _, anchor, _, h = paragraphs(b.column("text"))
-            if not len(anchor):
+            w, _, place, size, text, h = paragraphs(b.column("text"))
+            if not len(place):
                 continue
-            h, one = np.unique(h, return_index=True)
-            keys, s = bands(w, anchor[one])
-            hit = sets.find("near", keys.ravel(), low=True).reshape(keys.shape)
-            p, band = np.nonzero(hit)
-            x = np.empty(len(p), _CONTENT)
-            x["key"], x["h"] = keys[p, band], h[p]
-            x["set"] = s[anchor[one][p][:, None] + np.arange(SPAN - SHINGLE + 1)].astype(np.uint32)
+            doc = _order(b.column("id").to_numpy()[text])
+            one = _firsts(h, doc)
+            h, doc, place, size = h[one], doc[one], place[one], size[one]
+            row, keys, s = bands(w, place, size)
+            hit = sets.find("near", keys, low=True)
+            row, keys, run = row[hit], keys[hit], (np.arange(len(row)) < BANDS * (size == SPAN).sum())[hit]
+            x = np.empty(run.sum(), _CONTENT)
+            x["key"], x["h"], x["doc"] = keys[run], h[row[run]], doc[row[run]]
+            x["set"] = s[place[row[run]][:, None] + np.arange(SPAN - SHINGLE + 1)].astype(np.uint32)
             held.append(x)
             if sum(map(len, held)) > HELD // 16:
                 yield _content_blobs(held, bits)
                 held = []
+            if not run.all():
+                yield _line_blobs(keys[~run], h[row[~run]], [s[place[r] : place[r] + size[r] - SHINGLE + 1] for r in row[~run]], bits)
         if held:
             yield _content_blobs(held, bits)
 
     return run
 
 
+def _line_blobs(key: np.ndarray, h: np.ndarray, sets: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    to = (key >> U(64 - bits)).astype(np.int64)
+    own, out = distinct(to), []
+    for b in own:
+        i = np.flatnonzero(to == b)
+        x = [distinct(sets[j]) for j in i]
+        out.append(pack(key=key[i], h=h[i], at=np.cumsum([0, *map(len, x)]), set=np.concatenate(x)))
+    return pa.RecordBatch.from_arrays([pa.array(own + (1 << bits), pa.int32()), pa.array(out, pa.binary())], schema=_BLOB)
+
+
 def _content_blobs(held: list[np.ndarray], bits: int) -> pa.RecordBatch:
-    x = np.concatenate(held)
-    one = distinct_pairs(x["key"], x["h"])
-    return _blobs(0, x["key"][one], x[one], bits)
+    x = _one_doc(np.concatenate(held))
+    return _blobs(0, x["key"], x, bits)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -222,13 +265,35 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return both / (len(a) + own.sum(axis=1) - both)
 
 
-def _verify(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Edges of each band's classes: any two whose similarity is high enough are linked, by one edge or over others."""
-    x = np.concatenate([np.frombuffer(r, _CONTENT) for r in table.column("rows").to_pylist()])
-    order = np.lexsort((x["h"], x["key"]))
-    x = x[order]
-    new = np.concatenate([[True], (x["key"][1:] != x["key"][:-1]) | (x["h"][1:] != x["h"][:-1])])
-    x = x[new]
+def _verify_lines(table: pa.Table) -> pa.Table:
+    parts = [unpack(r) for r in table.column("rows").to_pylist()]
+    key, h = (np.concatenate([t[c] for t in parts]) for c in ("key", "h"))
+    sets = [t["set"][i:j] for t in parts for i, j in zip(t["at"], t["at"][1:], strict=False)]
+    one = distinct_pairs(key, h)
+    key, h = key[one], h[one]
+    edge = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
+    a, b = [np.zeros(0, U)], [np.zeros(0, U)]
+    for i, j in zip(edge, edge[1:], strict=False):
+        x, y = linked([sets[k] for k in one[i:j]])
+        a.append(h[i + x])
+        b.append(h[i + y])
+    return pa.table([np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)], schema=_EDGE)
+
+
+def _verify(bits: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _verify_lines(table) if key[0].as_py() >> bits else _verify_runs(table)
+
+    return run
+
+
+def _verify_runs(table: pa.Table) -> pa.Table:
+    """Edges of each band's classes: any two of different documents that are similar enough are linked, by one edge or over others.
+
+    Neighbours in one text overlap and so are alike; linked, they would carry a
+    passage on beyond its ends.
+    """
+    x = _one_doc(np.concatenate([np.frombuffer(r, _CONTENT) for r in table.column("rows").to_pylist()]))
     edge = np.append(np.flatnonzero(np.concatenate([[True], x["key"][1:] != x["key"][:-1]])), len(x))
     a, b = [], []
     for i, j in zip(edge, edge[1:], strict=False):
@@ -238,7 +303,8 @@ def _verify(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         while len(left):  # what is linked goes; what is left is compared to each that went
             at = todo.pop() if todo else left[0]
             left = left[left != at]
-            near = left[jaccard(x["set"][at], x["set"][left]) >= SIMILARITY] if len(left) else left
+            left_near = jaccard(x["set"][at], x["set"][left]) >= SIMILARITY if len(left) else np.zeros(0, bool)
+            near = left[left_near & (x["doc"][left] != x["doc"][at])]
             a += [x["h"][at]] * len(near)
             b += x["h"][near].tolist()
             todo += near.tolist()
@@ -262,8 +328,8 @@ def _hits(folder: str, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(folder, bits)
         for b in slices(batches):
-            _, at, anchor, text, h = paragraphs(b.column("text"))
-            if not len(anchor):
+            _, at, place, size, text, h = paragraphs(b.column("text"))
+            if not len(place):
                 continue
             each, back = np.unique(h, return_inverse=True)
             passage = sets.find("class", each, "passage")
@@ -271,7 +337,7 @@ def _hits(folder: str, bits: int):
             passage[own] = each[own].view(np.int64)
             p = passage[back]
             hit = p != 0
-            yield pa.RecordBatch.from_arrays([pa.array(p[hit]), b.column("id").take(pa.array(text[hit])), pa.array((anchor - at[text])[hit], pa.int32()), pa.array((anchor - at[text])[hit] + SPAN, pa.int32())], schema=_HIT)
+            yield pa.RecordBatch.from_arrays([pa.array(p[hit]), b.column("id").take(pa.array(text[hit])), pa.array((place - at[text])[hit], pa.int32()), pa.array((place + size - at[text])[hit], pa.int32())], schema=_HIT)
 
     return run
 
@@ -287,7 +353,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(1, WINDOW):
             a, z = np.where(right, i - GRAM, i - k), np.where(right, i + k, i + GRAM)
             fit = (a >= at[text]) & (z <= at[text + 1])
-            key = mix(_run_hashes(w, a[fit], GRAM + k) ^ mix(passage[fit].view(U) + U(2 * k) + right[fit]))
+            key = mix(run_hashes(w, a[fit], GRAM + k) ^ mix(passage[fit].view(U) + U(2 * k) + right[fit]))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("id").take(pa.array(text[fit])), pa.array(place[fit], pa.int32()), pa.array(right[fit]), pa.array(np.full(len(key), k), pa.int32())], schema=_NEXT)
 
 
@@ -296,13 +362,13 @@ def grown(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     Less than WINDOW words are left over at each end: a run that goes on for
     more has one more anchor there. ``later`` runs are those that an earlier
-    document has. Only ends that no other hit covers are looked at, and what
+    document has. Only ends are looked at beyond which another hit does not cover as much, and what
     stands there in all documents of their passages.
     """
     later = F.col("id") != F.col("first_id")
     tell = found.select("passage", "id", "start", "end", later.alias("later")).distinct()
-    before = lambda *by: Window.partitionBy(*by).orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
-    after = lambda *by: Window.partitionBy(*by).orderBy(F.desc("end")).rangeBetween(Window.unboundedPreceding, -1)
+    before = lambda *by: Window.partitionBy(*by).orderBy("start").rangeBetween(Window.unboundedPreceding, 1 - WINDOW)
+    after = lambda *by: Window.partitionBy(*by).orderBy(F.desc("end")).rangeBetween(Window.unboundedPreceding, 1 - WINDOW)
     left = F.coalesce(F.max("end").over(before("id")) < F.col("start"), F.lit(True)) | F.coalesce(F.max("end").over(before("id", "later")) < F.col("start"), F.lit(True))
     right = F.coalesce(F.min("start").over(after("id")) > F.col("end"), F.lit(True)) | F.coalesce(F.min("start").over(after("id", "later")) > F.col("end"), F.lit(True))
     sides = F.array(F.struct(F.col("start").alias("place"), F.lit(False).alias("right"), F.col("left").alias("bare")), F.struct(F.col("end").alias("place"), F.lit(True).alias("right"), F.col("right").alias("bare")))
@@ -325,7 +391,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
     blob, done = "bucket int, rows binary", "bucket int, n long"
     rows.mapInArrow(_first(bits), blob).groupBy("bucket").applyInArrow(_collide(folder, bits), done).agg(F.sum("n")).first()
-    edges = stored(rows.mapInArrow(_contents(folder, bits), blob).groupBy("bucket").applyInArrow(_verify, "a long, b long"), "paragraph-edges")
+    edges = stored(rows.mapInArrow(_contents(folder, bits), blob).groupBy("bucket").applyInArrow(_verify(bits), "a long, b long"), "paragraph-edges")
     classes = components(edges).withColumn("bucket", F.shiftrightunsigned("node", 64 - bits).cast("int"))
     classes.groupBy("bucket").applyInArrow(_save_classes(folder), done).agg(F.sum("n")).first()
     found = stored(rows.mapInArrow(_hits(folder, bits), "passage long, id long, start int, end int"), "paragraph-hits")

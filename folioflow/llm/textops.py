@@ -149,6 +149,17 @@ def distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return order[np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])] if len(order) else order
 
 
+def run_hashes(w: np.ndarray, i: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each place i on."""
+    p, _ = _powers(len(w) + 1)
+    inv = np.full(len(w) + 1, _PINV, U)
+    inv[0] = 1
+    inv = np.multiply.accumulate(inv)
+    total = np.zeros(len(w) + 1, U)
+    np.cumsum(w * p[: len(w)], out=total[1:])
+    return mix((total[i + n] - total[i]) * inv[i])
+
+
 def rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

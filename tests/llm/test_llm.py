@@ -405,3 +405,25 @@ def test_passages_to_their_ends(spark):
             (s,) = spans
             assert run[0] - 3 <= s.start <= run[0] and run[1] <= s.end <= run[1] + 3, i  # alike paragraphs may take three words along
         assert i % 2 or not got[i].remove
+
+
+def test_passages_alike_like_brute_force(spark):
+    """Paragraphs with changed words, similar at 0.8 or more, link whatever place the changes have."""
+    rng = random.Random(41)
+    rows, pairs = [], []
+    for k in range(90):
+        n, at = [(100, (33, 66)), (60, (30,)), (70, (35,))][k % 3]
+        a = prose(n, rng).split()
+        b = [f"other{k}" if i in at else x for i, x in enumerate(a)]
+        sets = [{tuple(w[i : i + 5]) for i in range(n - 4)} for w in (words(" ".join(x)) for x in (a, b))]
+        assert len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+        for i, x in ((2 * k, a), (2 * k + 1, b)):
+            rows.append((i, f"{prose(40, rng)}\n{' '.join(x)}\n{prose(30, rng)}"))
+        pairs.append(n)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in passages.repeated_passages(docs).collect()}
+    whole = [k for k in range(90) if 2 * k + 1 in got and any(s.start <= 40 and 40 + pairs[k] <= s.end for s in got[2 * k + 1].remove)]
+    assert len(whole) >= 0.95 * len(pairs)
+    for k in whole:
+        assert got[2 * k + 1].component_id == 2 * k and not got[2 * k].remove
+        assert all(37 <= s.start and s.end <= 43 + pairs[k] for s in got[2 * k + 1].remove), got[2 * k + 1]
