@@ -5,9 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,19 +14,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.store import mapped, pack, put, scratch, stored
-from folioflow.llm.textops import slices
+from folioflow.llm.store import drop, mapped, pack, put, scratch, stored
+from folioflow.llm.textops import slices, span_hashes, utf8
+from folioflow.llm.wordtable import CHECK, DONE, Ids, Seen, blobs, distinct, gathered, save, spread
 
 #: The literal rank map: shifts, and slots for tokens. No token has rank NONE.
 PARTS, SLOTS, NONE = 1 << 14, 1 << 16, 1 << 30
-#: Longer words (in bytes) are rare and would fold in quadratic time: tiktoken merges these in the second reading.
-FOLD_BYTES = 128
-#: Entries that a worker remembers at most before it begins anew.
-MEMORY = 600_000
 
-_WORD = pa.schema([("word", pa.binary())])
-_SHARD = pa.schema([("bucket", pa.int32()), ("words", pa.int64())])
-_ODD = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+_WORD = pa.schema([("bucket", pa.int32()), ("word", pa.binary())])
+#: ASCII white space and separators; all but these, and all of other white space, may stand beside a cut.
+_WHITE = np.zeros(256, bool)
+_WHITE[[32, *range(9, 14), *range(28, 32)]] = True
+# White space beyond ASCII, in UTF-8.
+_WIDE_WHITE = [c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,86 +34,115 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class Splitter:
-    """Cuts texts into units whose matches don't depend on what stands around them.
-
-    A space between two other characters begins a match whatever stands before
-    it. Texts in which white space stands together, or that have other white
-    space than spaces and line feeds, are matched whole.
+def _white(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white space."""
+    white = _WHITE[data]
+    for lead in {w[0] for w in _WIDE_WHITE}:
+        at = np.flatnonzero(data == lead)
+        for w in (w for w in _WIDE_WHITE if w[0] == lead):
+            hit = at[at + len(w) <= len(data)]
+            for k, x in enumerate(w[1:], 1):
+                hit = hit[data[hit + k] == x]
+            for k in range(len(w)):
+                white[hit + k] = True
+    return white
+
+
+def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts cut into units whose matches don't depend on what stands around them.
+
+    A cut lies before a space, and after a line feed, that stands between two
+    characters other than white space: a match begins there whatever came
+    before. Gives starts, ends, the texts' offsets in the units, and which
+    units are plain: they begin with a space and don't end in white space, so
+    that plain units stay apart when they are joined.
     """
-
-    def __init__(self, pattern: str):
-        self.findall = regex.compile(pattern).findall
-
-    def units(self, text: str) -> tuple[list[str], bool]:
-        """The parts between spaces (all but the first begin with one, left out here); or the matches themselves, and True."""
-        if _ODD.search(text) or "  " in text or "\n\n" in text or "\n " in text or " \n" in text:
-            return self.findall(text), True
-        return text.split(" "), False
-
-    def words(self, unit: str) -> list[str]:
-        return self.findall(f" {unit}")
-
-
-def _distinct(pattern: str):
+    if not len(data):
+        z = np.zeros(0, np.int64)
+        return z, z, np.zeros(len(off), np.int64), np.zeros(0, bool)
+    white = _white(data)
+    alone = np.zeros(len(data), bool)
+    alone[1:-1] = ~white[:-2] & ~white[2:]
+    edge = off[:-1][off[1:] > off[:-1]]
+    alone[edge] = False
+    alone[off[1:][off[1:] > off[:-1]] - 1] = False
+    begins = alone & (data == 32)
+    begins[1:] |= alone[:-1] & (data[:-1] == 10)
+    begins[edge] = True
+    starts = np.flatnonzero(begins)
+    ends = np.append(starts[1:], len(data))
+    return starts, ends, np.searchsorted(starts, off), (data[starts] == 32) & ~white[ends - 1] & ~white[np.minimum(starts + 1, len(data) - 1)]
+
+
+def matches(pattern: regex.Pattern, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of units: their bytes, starts and ends in these, and each unit's offsets in the words.
+
+    Plain units are matched in one go, the others each alone.
+    """
+    order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+    size = (ends - starts)[order]
+    own = data[spread(starts[order], size)]
+    n = int(size[: plain.sum()].sum())
+    raw = own.tobytes()
+    words = pattern.findall(raw[:n].decode())
+    at = n
+    for x in size[plain.sum() :].tolist():
+        words += pattern.findall(raw[at : at + x].decode())
+        at += x
+    chars = np.flatnonzero((own & 0xC0) != 0x80)  # where characters begin
+    to = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
+    if to[-1] != len(chars):
+        raise ValueError("the pattern must match every character")
+    byte = np.append(chars, len(own))[to]
+    first = np.searchsorted(byte[:-1], np.cumsum(size) - size)  # of each unit, in this order
+    each = np.diff(np.append(first, len(words)))
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    # words again in the units' own order
+    take = spread(first[back], each[back])
+    return own, byte[:-1][take], byte[1:][take], np.concatenate([[0], np.cumsum(each[back])])
+
+
+def _distinct(pattern: str, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen, words = Splitter(pattern), set(), set()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                if not t:
-                    continue
-                units, whole = split.units(t)
-                if whole:
-                    words.update(units)
-                    continue
-                words.update(split.findall(units[0]))
-                new = set(units[1:]) - seen
-                seen |= new
-                for u in new:
-                    words.update(split.words(u))
-            if len(seen) > MEMORY or len(words) > MEMORY:
-                yield _words(words)
-                seen, words = set(), set()
-        yield _words(words)
+        match, of_units, of_words = regex.compile(pattern), Seen(), Seen()
+        for b in slices(batches):
+            data, off = utf8(b.column("text"))
+            starts, ends, _, plain = units(data, off)
+            h, check = span_hashes(data, starts, ends), span_hashes(data, starts, ends, CHECK)
+            one, _ = distinct(h, check)
+            one = one[of_units.new(h[one], check[one])]
+            data, starts, ends, _ = matches(match, data, starts[one], ends[one], plain[one])
+            h, check = span_hashes(data, starts, ends), span_hashes(data, starts, ends, CHECK)
+            one, _ = distinct(h, check)
+            one = one[of_words.new(h[one], check[one])]
+            yield blobs(data, starts[one], ends[one], h[one], bits)
 
     return run
 
 
-def _words(found: set[str]) -> pa.RecordBatch:
-    raw = [x.encode() for x in found]
-    return pa.RecordBatch.from_arrays([pa.array([x for x in raw if len(x) <= FOLD_BYTES], pa.binary())], schema=_WORD)
+def _merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    data, starts, ends, _, _ = gathered(table.column("pieces").to_pylist())
+    size = ends - starts
+    if size.sum() >= 1 << 31:
+        raise ValueError("more than 2 GB of words in one bucket")
+    at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(data[spread(starts, size)])])
+    return pa.table([pa.array(np.full(len(size), key[0].as_py()), pa.int32()), words], schema=_WORD)
 
 
-def distinct_words(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
-    """Each match of the pattern in any text, once, as bytes: word."""
-    return docs.select(F.col(text_col)).mapInArrow(_distinct(pattern), "word binary").distinct()
+def distinct_words(docs: DataFrame, pattern: str, text_col: str = "text", bits: int = 4) -> DataFrame:
+    """Each match of the pattern in any text, once, as bytes: bucket, word."""
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(_distinct(pattern, bits), "bucket int, pieces binary")
+    return found.groupBy("bucket").applyInArrow(_merged, "bucket int, word binary")
 
 
-@dataclass
-class RankMap:
-    """The ranks as literals: a perfect hash of the tokens, of three flat arrays.
+def rank_literal(ranks: dict[bytes, int]) -> Column:
+    """The ranks as one literal: a perfect hash of the tokens, of three flat arrays.
 
     A token's XXH64 chooses a shift, which leads to its slot; this holds the
     hash again and the rank. So a look-up is three array accesses.
     """
-
-    shift: Column
-    check: Column
-    rank: Column
-
-    def of(self, h: Column) -> Column:
-        """Rank of a token with this hash; NONE if there is none."""
-        step = F.shiftrightunsigned(h, 44).bitwiseOR(F.lit(1))
-        slot = F.pmod(F.shiftrightunsigned(h, 24) + self.shift[F.pmod(h, F.lit(PARTS)).cast("int")] * step, F.lit(SLOTS)).cast("int")
-        return F.when(self.check[slot] == h, self.rank[slot]).otherwise(NONE)
-
-
-def token_hash(token: bytes) -> int:
-    h = xxhash.xxh64_intdigest(token.hex().upper(), 42)
-    return h - (1 << 64) if h >> 63 else h
-
-
-def rank_map(ranks: dict[bytes, int]) -> RankMap:
     parts: list[list[tuple[int, int]]] = [[] for _ in range(PARTS)]
     for token, rank in ranks.items():
         h = token_hash(token)
@@ -131,178 +158,153 @@ def rank_map(ranks: dict[bytes, int]) -> RankMap:
         shift[k], at = next((d, x) for d, x in enumerate(slots) if not full[x].any() and len(np.unique(x)) == len(x))
         for at, (h, r) in zip(at.tolist(), parts[k], strict=True):
             full[at], check[at], rank_at[at] = True, h, r
-    literal = lambda x, kind: F.from_json(F.lit(json.dumps(x)), f"array<{kind}>")
-    return RankMap(literal(shift, "bigint"), literal(check, "bigint"), literal(rank_at, "int"))
+    return F.from_json(F.lit(json.dumps({"shift": shift, "check": check, "rank": rank_at})), "shift array<bigint>, check array<bigint>, rank array<int>")
 
 
-def fold(word: Column, ranks: RankMap) -> Column:
-    """Token ids (array of int) of one binary word.
+def token_hash(token: bytes) -> int:
+    h = xxhash.xxh64_intdigest(token, 42)
+    return h - (1 << 64) if h >> 63 else h
 
-    The word's bytes (in hex) are the pieces ``p``; ``r`` holds the rank of each
-    adjacent pair. A step of the fold joins the leftmost pair of the lowest
-    rank and ranks the two pairs beside it anew. Once no pair has a rank, the
-    steps that remain pass the state on.
-    """
 
-    none = F.lit(None)
+def rank_of(ranks: Column, token: Column) -> Column:
+    """Rank of a binary token; NONE if it is null or no token."""
+    h = F.xxhash64(token)
+    step = F.shiftrightunsigned(h, 44).bitwiseOR(F.lit(1))
+    slot = F.pmod(F.shiftrightunsigned(h, 24) + ranks["shift"][F.pmod(h, F.lit(PARTS)).cast("int")] * step, F.lit(SLOTS)).cast("int")
+    return F.when(ranks["check"][slot] == h, ranks["rank"][slot]).otherwise(NONE)
 
-    def rank(token: Column) -> Column:
-        return ranks.of(F.xxhash64(token))
 
-    def begin(p: Column) -> Column:
-        pairs = F.transform(F.slice(p, 2, F.size(p)), lambda x, k: rank(F.concat(p[k], x)))
-        return F.struct(p.alias("p"), pairs.alias("r"))
+def fold(word: Column, ranks: Column) -> Column:
+    """Token ids (array of int) of one binary word.
+
+    A word that is a token is one. Else its bytes are the pieces ``p``; ``r``
+    holds the rank of the pair at each border of pieces (NONE at both ends). A
+    step of the fold joins the leftmost pair of the lowest rank and ranks the
+    two pairs beside it anew. Once no pair has a rank, the steps that remain
+    pass the state on. Steps cost as much as there are pieces left, so a word
+    costs the square of its length.
+    """
+    n, none = F.length(word), F.array(F.lit(NONE))
 
     def step(s: Column, _: Column) -> Column:
         p, r = s["p"], s["r"]
 
-        def join(i: Column) -> Column:  # i: of the pair, from 0
-            both = F.concat(p[i], p[i + 1])
-            pieces = F.transform(p, lambda x, k: F.when(k == i, both).when(k == i + 1, none).otherwise(x))
-            beside = F.transform(r, lambda x, k: F.when(k == i, none).when(k == i - 1, rank(F.concat(p[k], both))).when(k == i + 1, rank(F.concat(both, p[k + 1]))).otherwise(x))
-            return F.struct(F.array_compact(pieces).alias("p"), F.array_compact(beside).alias("r"))
+        def join(at: Column) -> Column:  # at: of the pair, from 1 in r; its pieces are p's at - 1 and at (from 1)
+            left, right, size = F.get(p, at - 3), F.get(p, at), F.size(r)
+            both = F.concat(F.get(p, at - 2), F.get(p, at - 1))
+            pieces = F.concat(F.slice(p, 1, at - 2), F.array(both), F.slice(p, at + 1, size))
+            beside = F.concat(F.slice(r, 1, at - 2), F.array(rank_of(ranks, F.concat(left, both)), rank_of(ranks, F.concat(both, right))), F.slice(r, at + 2, size))
+            return F.struct(pieces.alias("p"), beside.alias("r"))
 
-        at = F.array(F.array_position(r, F.array_min(r)).cast("int") - 1)
-        return F.when(F.coalesce(F.array_min(r), F.lit(NONE)) < NONE, F.transform(at, join)[0]).otherwise(s)
+        at = F.array(F.array_position(r, F.array_min(r)).cast("int"))
+        return F.when(F.array_min(r) < NONE, F.transform(at, join)[0]).otherwise(s)
 
-    pieces = F.array(F.split(F.hex(word), r"(?<=\G..)(?=.)"))  # in an array, so that it is made once and named
-    done = F.aggregate(F.sequence(F.lit(1), F.length(word)), F.transform(pieces, begin)[0], step, lambda s: s["p"])
-    return F.transform(done, rank)
+    pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
+    pairs = F.transform(F.slice(F.sequence(F.lit(1), n), F.lit(1), n - 1), lambda i: rank_of(ranks, F.substring(word, i, F.lit(2))))
+    begin = F.struct(pieces.alias("p"), F.concat(none, pairs, none).alias("r"))
+    done = F.aggregate(F.slice(F.sequence(F.lit(1), n), F.lit(1), n - 1), begin, step, lambda s: F.transform(s["p"], lambda x: rank_of(ranks, x)))
+    return F.transform(F.array(rank_of(ranks, word)), lambda whole: F.when(whole < NONE, F.array(whole)).otherwise(done))[0]
 
 
 def vocabulary(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """word -> word, ids."""
-    return words.filter(F.length("word") > 0).select("word", fold(F.col("word"), rank_map(ranks)).alias("ids"))
+    """bucket, word -> bucket, word, ids. The literal is bound once, to a name that all look-ups share."""
+    ids = F.transform(F.array(rank_literal(ranks)), lambda m: fold(F.col("word"), m))[0]
+    return words.filter(F.length("word") > 0).select("bucket", "word", ids.alias("ids"))
 
 
-def _save(folder: str, bits: int):
+def _save(folder: str, kind: type):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        words = table.column("word").to_pylist()
-        ids = table.column("ids").to_pylist()
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-        order = np.argsort(hashes)
-        words, ids = [words[i] for i in order], [ids[i] for i in order]
-        bucket = key[0].as_py()
-        put(f"{folder}/{bucket}", pack(
-            hash=hashes[order], word_at=np.cumsum([0, *map(len, words)]), word=np.frombuffer(b"".join(words), np.uint8),
-            id_at=np.cumsum([0, *map(len, ids)]), ids=np.concatenate([np.array(x, np.uint32) for x in ids]),
-        ))
-        return pa.table([[bucket], [len(words)]], schema=_SHARD)
+        words, ids = (table.column(c).combine_chunks() for c in ("word", "ids"))
+        _, off, data = words.buffers()
+        off = np.frombuffer(off, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data = np.frombuffer(data, np.uint8)
+        h, check = span_hashes(data, off[:-1], off[1:]), span_hashes(data, off[:-1], off[1:], CHECK)
+        order = np.lexsort((check, h))
+        at = ids.offsets.to_numpy().astype(np.int64)
+        size = np.diff(at)[order]
+        flat = ids.values.to_numpy()[spread(at[:-1][order], size)]
+        save(folder, key[0].as_py(), h[order], check[order], size, flat.astype(kind))
+        return pa.table([[key[0].as_py()], [len(words)]], schema=DONE)
 
     return run
 
 
-class WordTable:
-    """The vocabulary's sorted hash arrays, memory-mapped; a hit is held against the word's bytes."""
-
-    def __init__(self, folder: str, bits: int):
-        self.folder, self.bits, self.open = folder, bits, {}
-
-    def ids(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words that are all in the table, looked up together."""
-        h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-        order = np.argsort(h)
-        edge = np.searchsorted((h[order] >> np.uint64(64 - self.bits)).astype(np.int64), np.arange((1 << self.bits) + 1))
-        out = [b""] * len(words)
-        for b in np.flatnonzero(np.diff(edge)):
-            if (t := self.open.get(b)) is None:
-                t = self.open[b] = mapped(f"{self.folder}/{b}")
-            own = order[edge[b] : edge[b + 1]]
-            i = np.searchsorted(t["hash"], h[own])
-            while True:
-                found = zip(own.tolist(), i.tolist(), t["word_at"][i].tolist(), t["word_at"][i + 1].tolist(), t["id_at"][i].tolist(), t["id_at"][i + 1].tolist(), strict=True)
-                text, ids = memoryview(t["word"]), memoryview(t["ids"])
-                again = []
-                for k, at, a, z, c, d in found:
-                    if text[a:z] == words[k]:
-                        out[k] = ids[c:d].tobytes()
-                    else:
-                        again.append((k, at + 1))  # words of one hash stand side by side
-                if not again:
-                    break
-                own, i = (np.array(x) for x in zip(*again, strict=True))
-        return out
-
-
-def _encode(pattern: str, ranks: dict[bytes, int], folder: str, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        split, table = Splitter(pattern), WordTable(folder, bits)
-        longer = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        pieces = {i: t for t, i in ranks.items()}.__getitem__
-        of_unit: dict[str, bytes] = {}
-        of_word: dict[str, bytes] = {}
-
-        def learn(units: set[str], texts: list[list[str]]) -> None:
-            """Ids of these units, and of the words of these texts."""
-            cut = {u: split.words(u) for u in units}
-            new = list(set().union(*cut.values(), *texts) - of_word.keys())
-            raw = [w.encode() for w in new]
-            short = [k for k, x in enumerate(raw) if len(x) <= FOLD_BYTES]
-            of_word.update(zip((new[k] for k in short), table.ids([raw[k] for k in short]), strict=True))
-            of_word.update((w, np.array(longer(x), np.uint32).tobytes()) for w, x in zip(new, raw, strict=True) if len(x) > FOLD_BYTES)
-            of_unit.update((u, b"".join(map(of_word.__getitem__, words))) for u, words in cut.items())
+def _pieces(ranks: dict[bytes, int]) -> bytes:
+    """Each id's bytes, one after another."""
+    every = [b""] * (max(ranks.values(), default=-1) + 1)
+    for t, i in ranks.items():
+        every[i] = t
+    return pack(at=np.cumsum([0, *map(len, every)]), data=np.frombuffer(b"".join(every), np.uint8))
 
-        for b in slices(batches):
-            cuts = [split.units(t) if t else ([], True) for t in b.column("text").to_pylist()]
-            firsts = [u if whole else split.findall(u[0]) for u, whole in cuts]  # words that are looked up as they are
-            rest = [[] if whole else u[1:] for u, whole in cuts]
-            learn(set().union(*rest) - of_unit.keys(), firsts)
-            out = [b"".join([*map(of_word.__getitem__, f), *map(of_unit.__getitem__, u)]) for f, u in zip(firsts, rest, strict=True)]
-            yield pa.RecordBatch.from_arrays([
-                b.column("id"),
-                pa.array([len(x) // 4 for x in out], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in out]),
-                pa.array([hashlib.sha256(decode(x, pieces)).hexdigest() for x in out]),
-                pa.array(out, pa.binary()),
-            ], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-            if len(of_unit) > MEMORY or len(of_word) > MEMORY:
-                of_unit.clear()
-                of_word.clear()
 
-    return run
+def decode(ids: np.ndarray, pieces: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of all ids, concatenated, and where each id's piece begins (and the last one ends)."""
+    start = pieces["at"][ids]
+    size = pieces["at"][ids + 1] - start
+    return pieces["data"][spread(start, size)], np.concatenate([[0], np.cumsum(size)])
 
 
-def decode(ids: bytes, piece) -> bytes:
-    """Bytes of a text from its ids (little-endian, 32 bits each): the pieces, one after another."""
-    return b"".join(map(piece, np.frombuffer(ids, "<u4").tolist()))
+def _encode(pattern: str, folder: str, bits: int, kind: type, with_ids: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match, table, pieces = regex.compile(pattern), Ids(folder, bits, kind), mapped(f"{folder}/pieces")
+        for b in slices(batches):
+            data, off = utf8(b.column("text"))
+            starts, ends, at, plain = units(data, off)
+            one, back = distinct(span_hashes(data, starts, ends), span_hashes(data, starts, ends, CHECK))
+            own, s, e, unit = matches(match, data, starts[one], ends[one], plain[one])
+            h, check = span_hashes(own, s, e), span_hashes(own, s, e, CHECK)
+            word, of = distinct(h, check)
+            start, size, ids = table.of(h[word], check[word])
+            ids = ids[spread(start[of], size[of])]  # of all distinct units, one after another
+            first = np.concatenate([[0], np.cumsum(size[of])])[unit]
+            n = np.diff(first)[back]
+            ids = ids[spread(first[:-1][back], n)].astype("<u4")  # of all texts
+            to = np.concatenate([[0], np.cumsum(n)])[at]
+            text, place = decode(ids.astype(np.int64), pieces)
+            place = place[to].tolist()
+            raw, to = memoryview(ids).cast("B") if len(ids) else memoryview(b""), to.tolist()
+            text = memoryview(text)
+            out = [b.column("id"), pa.array(np.diff(to), pa.int64())]
+            out.append(pa.array([hashlib.sha256(raw[4 * a : 4 * z]).hexdigest() for a, z in zip(to, to[1:], strict=False)], pa.string()))
+            out.append(pa.array([hashlib.sha256(text[a:z]).hexdigest() for a, z in zip(place, place[1:], strict=False)], pa.string()))
+            if with_ids:
+                out.append(pa.array([raw[4 * a : 4 * z].tobytes() for a, z in zip(to, to[1:], strict=False)], pa.binary()))
+            yield pa.RecordBatch.from_arrays(out, names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
+
+    return run
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_tokens, ids_sha256, decoded_sha256, ids (binary, 32-bit little-endian).
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """One row per input row: id, n_tokens, ids_sha256, decoded_sha256, ids (binary, 32-bit little-endian; left out without with_ids).
 
     The first reading finds the distinct words (matches of the pattern), of
     which the folds are made once and kept as sorted hash arrays in the shared
-    folder. The second looks its words up there. No text is shuffled, and what
-    a worker holds of the vocabulary is mapped pages and a bounded memory.
-    Null and empty texts have no ids. Rows with a repeated id are all returned.
-    Empty table: no rows. Other columns are not looked at.
+    folder. The second looks its words up there, joins their ids, and decodes
+    these again by concatenating pieces. No text is shuffled, and a worker
+    holds mapped pages and one slice of texts. Words of any length are folded
+    alike. The pattern must match every character, and begin a match at a space
+    or after a line feed between two other characters.
+    Null and empty texts have no ids. Rows with a repeated or null id are all
+    returned; ids may be of any type. Empty table: no rows. Other columns are
+    not looked at.
     """
     spark = docs.sparkSession
     folder = scratch(spark, "bpe")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(1, (n - 1).bit_length())
+    bits = max(1, (2 * n - 1).bit_length())
+    kind = np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.uint32
+    put(f"{folder}/pieces", _pieces(ranks))
     # without a fixed number of partitions, Spark would join the small ones, and the folds with them
-    words = distinct_words(docs.select(text_col), pattern, text_col).repartition(4 * n, "word")
-    # the literals would stand in every description of the plan that the driver keeps
+    words = distinct_words(docs, pattern, text_col, bits).repartition(4 * n, "word")
+    # the literal would stand in every description of the plan that the driver keeps
     length = spark.conf.get("spark.sql.maxPlanStringLength", None)
     spark.conf.set("spark.sql.maxPlanStringLength", "20000")
     try:
         found = stored(vocabulary(words, ranks), "vocabulary")
     finally:
         spark.conf.set("spark.sql.maxPlanStringLength", length) if length else spark.conf.unset("spark.sql.maxPlanStringLength")
-    buckets = found.mapInArrow(_bucket(bits), "bucket int, word binary, ids array<int>")
-    buckets.groupBy("bucket").applyInArrow(_save(folder, bits), "bucket int, words long").agg(F.sum("words")).first()
+    found.groupBy("bucket").applyInArrow(_save(folder, kind), "bucket int, n long").agg(F.sum("n")).first()
+    drop(spark, found)
     same = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    made = same.mapInArrow(_encode(pattern, ranks, folder, bits), f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
-    return made.withColumnRenamed("id", id_col)
-
-
-def _bucket(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = [xxhash.xxh64_intdigest(w) >> (64 - bits) for w in b.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *b.columns], names=["bucket", "word", "ids"])
-
-    return run
+    kinds = f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
+    return same.mapInArrow(_encode(pattern, folder, bits, kind, with_ids), kinds).withColumnRenamed("id", id_col)

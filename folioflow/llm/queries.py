@@ -98,7 +98,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.bpe import encode, read_ranks
 
     ranks = read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
-    return encode(_table(spark, sf_dir, "documents"), ranks, P.PATTERN).drop("ids")
+    return encode(_table(spark, sf_dir, "documents"), ranks, P.PATTERN, with_ids=False)
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

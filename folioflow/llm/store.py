@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; one of our own only where it is unset (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folioflow-")
         spark.sparkContext.setCheckpointDir(found)
     return found if "://" in found or found.startswith("file:") else "file://" + os.path.abspath(found)
@@ -37,10 +39,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(spark: SparkSession, path: str) -> None:
+def drop(spark: SparkSession, table: DataFrame | str) -> None:
+    """Delete a stored table, or a folder, that nothing reads any more."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    for path in [table] if isinstance(table, str) else {f.rpartition("/")[0] for f in table.inputFiles()}:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

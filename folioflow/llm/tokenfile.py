@@ -27,19 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.store import filesystem, mapped, pack, put, scratch, stored
-from folioflow.llm.textops import LOWER, distinct_pairs, slices, span_hashes, spans, utf8
+from folioflow.llm.store import drop, filesystem, scratch, stored
+from folioflow.llm.textops import LOWER, slices, span_hashes, spans, utf8
+from folioflow.llm.wordtable import CHECK, DONE, Ids, Seen, blobs, distinct, gathered, save, spread
 
 SKIP, FIRSTS, SEEKABLE = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
 FRAME_TOKENS = 1 << 16
 LEVEL = 3
-#: Hashes of words that a worker remembers at most before it begins anew.
-MEMORY = 4_000_000
-CHECK = 77
 
 _SHARD = pa.schema([("shard", pa.int32()), ("uri", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("frames", pa.int32())])
-_WORD = pa.schema([("bucket", pa.int32()), ("hash", pa.int64()), ("check", pa.int64()), ("word", pa.binary())])
-_DONE = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -120,28 +116,39 @@ class TokenReader:
             yield from ((d, x) for d, x in self.frame(int(i)) if np.isin(d, want))
 
 
-def _bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A-Z in lower case (as the tokenizer has it), and the words between ASCII spaces."""
-    data, off = utf8(col)
-    data = LOWER[data]
-    return data, *spans(data, off)
+def _bytes(col: pa.Array, special: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words between ASCII spaces, A-Z in lower case (as the tokenizer has it).
 
+    Special tokens are matched before letters are lowered, so words with a byte
+    that begins one stay as they are.
+    """
+    raw, off = utf8(col)
+    data = LOWER[raw]
+    starts, ends, at = spans(data, off)
+    found = np.flatnonzero(np.isin(raw, special)) if special else ()
+    if len(found):
+        own = np.unique(np.searchsorted(starts, found, "right") - 1)
+        keep = spread(starts[own], ends[own] - starts[own])
+        data[keep] = raw[keep]
+    return data, starts, ends, at
+
+
+def _special(tokenizer: str) -> list[int]:
+    """First bytes of the tokens that the library looks for in the raw text."""
+    from tokenizers import Tokenizer
+
+    return sorted({t.content.encode()[0] for t in Tokenizer.from_file(tokenizer).get_added_tokens_decoder().values()})
 
-def _words(bits: int):
+
+def _words(bits: int, special: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.uint64)
+        seen = Seen()
         for b in slices(batches):
-            data, starts, ends, _ = _bytes(b.column("text"))
-            h, one = np.unique(span_hashes(data, starts, ends), return_index=True)
-            i = np.searchsorted(seen, h)
-            new = seen[np.minimum(i, len(seen) - 1)] != h if len(seen) else np.ones(len(h), bool)
-            h, s, e = h[new], starts[one[new]], ends[one[new]]
-            raw = data.tobytes()
-            yield pa.RecordBatch.from_arrays([
-                pa.array((h >> np.uint64(64 - bits)).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(span_hashes(data, s, e, CHECK).view(np.int64)),
-                pa.array([raw[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)], pa.binary()),
-            ], schema=_WORD)
-            seen = np.sort(np.concatenate([seen, h])) if len(seen) < MEMORY else h
+            data, starts, ends, _ = _bytes(b.column("text"), special)
+            h, check = span_hashes(data, starts, ends), span_hashes(data, starts, ends, CHECK)
+            one, _ = distinct(h, check)
+            one = one[seen.new(h[one], check[one])]
+            yield blobs(data, starts[one], ends[one], h[one], bits)
 
     return run
 
@@ -154,57 +161,27 @@ def _encode(folder: str, tokenizer: str):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(tokenizer)
-        tok.encode_special_tokens = True
-        h, check = (table.column(k).to_numpy().view(np.uint64) for k in ("hash", "check"))
-        one = distinct_pairs(h, check)
-        words = table.column("word").take(pa.array(one)).to_pylist()
+        data, starts, ends, h, check = gathered(table.column("pieces").to_pylist())
+        raw = data.tobytes()
+        words = [raw[a:z].decode() for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
         ids, size = [], []
         for at in range(0, len(words), 10_000):
-            for e in tok.encode_batch_fast([w.decode() for w in words[at : at + 10_000]], add_special_tokens=False):
+            for e in tok.encode_batch_fast(words[at : at + 10_000], add_special_tokens=False):
                 x = e.ids
                 ids += x
                 size.append(len(x))
         kind = np.uint16 if tok.get_vocab_size() <= 1 << 16 else np.uint32
-        put(f"{folder}/words-{key[0].as_py()}", pack(hash=h[one], check=check[one], at=np.cumsum([0, *size]), ids=np.array(ids, kind)))
-        return pa.table([[key[0].as_py()], [len(words)]], schema=_DONE)
+        save(folder, key[0].as_py(), h, check, np.array(size, np.int64), np.array(ids, kind))
+        return pa.table([[key[0].as_py()], [len(words)]], schema=DONE)
 
     return run
 
 
-class WordIds:
-    """The ids of all words in sorted hash arrays, memory-mapped; a second hash tells words of one hash apart."""
-
-    def __init__(self, folder: str, bits: int, width: int):
-        self.folder, self.bits, self.kind, self.open = folder, bits, np.dtype(f"<u{width}"), {}
-
-    def of(self, h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For sorted distinct hashes: where each word's ids begin, how many they are, and all of them."""
-        edge = np.searchsorted((h >> np.uint64(64 - self.bits)).astype(np.int64), np.arange((1 << self.bits) + 1))
-        start, size, ids, full = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), [], 0
-        for b in np.flatnonzero(np.diff(edge)):
-            if b not in self.open:
-                self.open[b] = mapped(f"{self.folder}/words-{b}")
-            t, a, z = self.open[b], edge[b], edge[b + 1]
-            i = np.searchsorted(t["hash"], h[a:z])
-            while len(wrong := np.flatnonzero(t["check"][i] != check[a:z])):
-                i[wrong] += 1
-            size[a:z] = t["at"][i + 1] - t["at"][i]
-            start[a:z] = full + np.cumsum(size[a:z]) - size[a:z]
-            ids.append(t["ids"][spread(t["at"][i], size[a:z])])
-            full += len(ids[-1])
-        return start, size, np.concatenate(ids) if ids else np.zeros(0, self.kind)
-
-
-def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... (size[0] of them), start[1], ..."""
-    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-
-
-def _write(folder: str, words: str, bits: int, width: int, end: int):
+def _write(folder: str, words: str, bits: int, width: int, end: int, special: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
-        table, last = WordIds(words, bits, width), int(end).to_bytes(width, "little")
+        table, last = Ids(words, bits, np.dtype(f"<u{width}").type), int(end).to_bytes(width, "little")
         shard = TaskContext.get().partitionId()
         uri = f"{folder}/tokens-{shard:05d}.zst"
         fs, path = filesystem(uri)
@@ -213,9 +190,10 @@ def _write(folder: str, words: str, bits: int, width: int, end: int):
         with fs.open_output_stream(part) as out:
             w = TokenWriter(out, width)
             for b in slices(batches):
-                data, starts, ends, at = _bytes(b.column("text"))
-                h, one, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-                start, size, ids = table.of(h, span_hashes(data, starts[one], ends[one], CHECK))
+                data, starts, ends, at = _bytes(b.column("text"), special)
+                h, check = span_hashes(data, starts, ends), span_hashes(data, starts, ends, CHECK)
+                one, back = distinct(h, check)
+                start, size, ids = table.of(h[one], check[one])
                 n = size[back]
                 ids = ids[spread(start[back], n)].astype(f"<u{width}")
                 to = np.concatenate([[0], np.cumsum(n)])[at].tolist()
@@ -235,22 +213,28 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, folder: str | None =
     Words between ASCII spaces are encoded on their own, each once in all: the
     tokenizer drops white space, and neither its normaliser nor its split looks
     across it. Their ids lie in sorted hash arrays in the shared folder, which
-    the writers map. ``end`` follows each document.
+    the writers map. ``end`` follows each document. Tokens that the tokenizer
+    calls special are what the library makes of them by default.
     Null and empty texts have the end alone; repeated ids stay side by side in
-    no set order; null ids are refused. Empty table: shards without documents.
+    no set order. Ids must be integers; a null id raises an error. Empty table:
+    shards without documents. Other columns are not looked at.
     """
     from tokenizers import Tokenizer
 
     folder = folder or scratch(docs.sparkSession, "tokens")
     words = scratch(docs.sparkSession, "token-words")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(1, (n - 1).bit_length())
+    bits = max(1, (2 * n - 1).bit_length())
     width = 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = rows.select("text").mapInArrow(_words(bits), "bucket int, hash long, check long, word binary")
+    special = _special(tokenizer)
+    given = F.coalesce(F.col(id_col).cast("long"), F.raise_error(F.lit(f"{id_col} must be an integer and not null")).cast("long"))
+    rows = docs.select(given.alias("id"), F.col(text_col).alias("text"))
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(_words(bits, special), "bucket int, pieces binary")
     found.groupBy("bucket").applyInArrow(_encode(words, tokenizer), "bucket int, n long").agg(F.sum("n")).first()
     rows = rows.repartitionByRange(n, "id").sortWithinPartitions("id")
-    return stored(rows.mapInArrow(_write(folder, words, bits, width, end), "shard int, uri string, docs long, tokens long, frames int"), "shards")
+    shards = stored(rows.mapInArrow(_write(folder, words, bits, width, end, special), "shard int, uri string, docs long, tokens long, frames int"), "shards")
+    drop(docs.sparkSession, words)
+    return shards
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ def prose(n, rng=RNG):
 
 
 BASE = [prose(120) for _ in range(12)]
-ODD = [None, "", " ", "\n\t ", "x", "a  b\r\n c d", "don't stop'LL", "été ñ ΣΑΣ 😀👨‍👩‍👧 ½", "word" * 60, "a\x1cb c\x85d", prose(9000), "dup  text", "dup text", "dup\ttext", "dup text "]
+ODD = [None, "", " ", "\n\t ", "x", "a  b\r\n c d", "don't stop'LL", "été ñ ΣΑΣ 😀👨‍👩‍👧 ½", "word" * 60, "a\x1cb c\x85d", prose(9000), "dup  text", "dup text", "dup\ttext", "dup text ", "a <|endoftext|> b<|startoftext|>C D", "<|ENDOFTEXT|> A<B", "one\ntwo\n\nthree \nfour\n five", "x\u00a0 y\u3000z \u2009 w", " lead and trail "]
 TEXTS = BASE + [b.replace(" ", "  ", 3) for b in BASE[:3]] + [BASE[0] + " tail", BASE[1].upper()] + ODD
 
 
@@ -158,7 +158,6 @@ def test_token_files(docs, empty, tmp_path):
 
     path = P.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     want = [[*tok.encode(t or "", add_special_tokens=False).ids, 2] for t in TEXTS]
     shards = tokenfile.write_tokens(docs, path, 2, "file://" + str(tmp_path))
     got = sorted(tokenfile.read_digests(shards).collect())
@@ -169,6 +168,8 @@ def test_token_files(docs, empty, tmp_path):
     picked = {d: x.tolist() for s in shards.collect() for d, x in tokenfile.TokenReader(s.uri).documents([0, 7, len(TEXTS) - 1, 999])}
     assert picked == {i: want[i] for i in (0, 7, len(TEXTS) - 1)}
     assert tokenfile.read_digests(tokenfile.write_tokens(empty, path, 2)).count() == 0
+    with pytest.raises(Exception, match="must be an integer"):
+        tokenfile.write_tokens(docs.withColumn("doc_id", F.lit(None).cast("long")), path, 2)
 
 
 def test_token_file_frames(tmp_path):
