@@ -18,8 +18,8 @@ from folioflow.llm.store import drop, mapped, pack, put, scratch, stored
 from folioflow.llm.textops import slices, span_hashes, utf8
 from folioflow.llm.wordtable import CHECK, DONE, Ids, Seen, blobs, distinct, gathered, save, spread
 
-#: The literal rank map: shifts, and slots for tokens. No token has rank NONE.
-PARTS, SLOTS, NONE = 1 << 14, 1 << 16, 1 << 30
+#: Shifts of the literal rank map. No token has rank NONE.
+PARTS, NONE = 1 << 15, 1 << 30
 
 _WORD = pa.schema([("bucket", pa.int32()), ("word", pa.binary())])
 #: ASCII white space and separators; all but these, and all of other white space, may stand beside a cut.
@@ -140,25 +140,42 @@ def distinct_words(docs: DataFrame, pattern: str, text_col: str = "text", bits:
 def rank_literal(ranks: dict[bytes, int]) -> Column:
     """The ranks as one literal: a perfect hash of the tokens, of three flat arrays.
 
-    A token's XXH64 chooses a shift, which leads to its slot; this holds the
-    hash again and the rank. So a look-up is three array accesses.
+    The low bits of a token's XXH64 choose a shift; this, and the bits from
+    ``bit`` on, lead to its slot, which holds the hash again and the rank. So a
+    look-up is three array accesses. (Spark searches a literal map from its
+    begin to its end.)
     """
-    parts: list[list[tuple[int, int]]] = [[] for _ in range(PARTS)]
-    for token, rank in ranks.items():
-        h = token_hash(token)
-        parts[h % PARTS].append((h, rank))
-    shift, check, rank_at = [0] * PARTS, [0] * SLOTS, [NONE] * SLOTS
-    full = np.zeros(SLOTS, bool)
-    for k in sorted(range(PARTS), key=lambda k: -len(parts[k])):
-        if not parts[k]:
+    hashes = np.array([token_hash(t) for t in ranks], np.int64).view(np.uint64)
+    slots = 1 << max(4, int(1.25 * len(ranks)).bit_length())
+    for bit in range(20, 64 - slots.bit_length()):
+        if (found := _perfect(hashes, list(ranks.values()), slots, bit)) is not None:
+            return F.from_json(F.lit(json.dumps(found)), "bit int, shift array<int>, check array<bigint>, rank array<int>")
+    raise ValueError("the tokens' hashes have no perfect hash")
+
+
+def _perfect(hashes: np.ndarray, ranks: list[int], slots: int, bit: int) -> dict | None:
+    own = (hashes >> np.uint64(bit)).astype(np.int64) & (slots - 1)
+    part = (hashes & np.uint64(PARTS - 1)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edge = np.searchsorted(part[order], np.arange(PARTS + 1))
+    shift, check, rank_at, full = [0] * PARTS, [0] * slots, [NONE] * slots, np.zeros(slots, bool)
+    for k in np.argsort(-np.diff(edge), kind="stable").tolist():
+        keys = order[edge[k] : edge[k + 1]]
+        if len(np.unique(own[keys])) < len(keys):
+            return None
+        for at in range(0, slots if len(keys) else 0, 64):
+            free = ~full[own[keys][:, None] ^ np.arange(at, min(at + 64, slots))].any(axis=0)
+            if free.any():
+                break
+        else:
+            if len(keys):
+                return None
             continue
-        own = np.array([h for h, _ in parts[k]], np.int64).view(np.uint64)
-        start, step = (own >> np.uint64(24)).astype(np.int64), (own >> np.uint64(44)).astype(np.int64) | 1
-        slots = ((start + d * step) % SLOTS for d in range(SLOTS))
-        shift[k], at = next((d, x) for d, x in enumerate(slots) if not full[x].any() and len(np.unique(x)) == len(x))
-        for at, (h, r) in zip(at.tolist(), parts[k], strict=True):
-            full[at], check[at], rank_at[at] = True, h, r
-    return F.from_json(F.lit(json.dumps({"shift": shift, "check": check, "rank": rank_at})), "shift array<bigint>, check array<bigint>, rank array<int>")
+        shift[k] = at + int(np.argmax(free))
+        for i in keys.tolist():
+            to = int(own[i]) ^ shift[k]
+            full[to], check[to], rank_at[to] = True, int(hashes[i].astype(np.int64)), ranks[i]
+    return {"bit": bit, "shift": shift, "check": check, "rank": rank_at}
 
 
 def token_hash(token: bytes) -> int:
@@ -168,41 +185,45 @@ def token_hash(token: bytes) -> int:
 
 def rank_of(ranks: Column, token: Column) -> Column:
     """Rank of a binary token; NONE if it is null or no token."""
-    h = F.xxhash64(token)
-    step = F.shiftrightunsigned(h, 44).bitwiseOR(F.lit(1))
-    slot = F.pmod(F.shiftrightunsigned(h, 24) + ranks["shift"][F.pmod(h, F.lit(PARTS)).cast("int")] * step, F.lit(SLOTS)).cast("int")
-    return F.when(ranks["check"][slot] == h, ranks["rank"][slot]).otherwise(NONE)
+
+    def look(h: Column) -> Column:
+        slot = F.call_function("shiftrightunsigned", h, ranks["bit"]).bitwiseXOR(ranks["shift"][h.bitwiseAND(F.lit(PARTS - 1)).cast("int")].cast("long")).bitwiseAND(F.size(ranks["check"]) - 1).cast("int")
+        return F.when(ranks["check"][slot] == h, ranks["rank"][slot]).otherwise(NONE)
+
+    return F.transform(F.array(F.xxhash64(token)), look)[0]
 
 
 def fold(word: Column, ranks: Column) -> Column:
     """Token ids (array of int) of one binary word.
 
-    A word that is a token is one. Else its bytes are the pieces ``p``; ``r``
-    holds the rank of the pair at each border of pieces (NONE at both ends). A
-    step of the fold joins the leftmost pair of the lowest rank and ranks the
-    two pairs beside it anew. Once no pair has a rank, the steps that remain
-    pass the state on. Steps cost as much as there are pieces left, so a word
-    costs the square of its length.
+    A word that is a token is one. Else it begins as its bytes: ``b`` holds
+    the borders of its pieces, ``r`` the rank of the pair at each border (NONE
+    at both ends). A step of the fold drops the leftmost border of the lowest
+    rank and ranks the pairs at the two borders beside it anew. Once no pair
+    has a rank, the steps that remain pass the state on. Steps cost as much as
+    there are pieces left, so a word costs the square of its length.
     """
     n, none = F.length(word), F.array(F.lit(NONE))
 
+    def piece(a: Column, z: Column) -> Column:
+        return rank_of(ranks, F.substring(word, a, z - a))
+
     def step(s: Column, _: Column) -> Column:
-        p, r = s["p"], s["r"]
-
-        def join(at: Column) -> Column:  # at: of the pair, from 1 in r; its pieces are p's at - 1 and at (from 1)
-            left, right, size = F.get(p, at - 3), F.get(p, at), F.size(r)
-            both = F.concat(F.get(p, at - 2), F.get(p, at - 1))
-            pieces = F.concat(F.slice(p, 1, at - 2), F.array(both), F.slice(p, at + 1, size))
-            beside = F.concat(F.slice(r, 1, at - 2), F.array(rank_of(ranks, F.concat(left, both)), rank_of(ranks, F.concat(both, right))), F.slice(r, at + 2, size))
-            return F.struct(pieces.alias("p"), beside.alias("r"))
-
-        at = F.array(F.array_position(r, F.array_min(r)).cast("int"))
-        return F.when(F.array_min(r) < NONE, F.transform(at, join)[0]).otherwise(s)
-
-    pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
-    pairs = F.transform(F.slice(F.sequence(F.lit(1), n), F.lit(1), n - 1), lambda i: rank_of(ranks, F.substring(word, i, F.lit(2))))
-    begin = F.struct(pieces.alias("p"), F.concat(none, pairs, none).alias("r"))
-    done = F.aggregate(F.slice(F.sequence(F.lit(1), n), F.lit(1), n - 1), begin, step, lambda s: F.transform(s["p"], lambda x: rank_of(ranks, x)))
+        def drop(i: Column) -> Column:
+            def beside(b: Column) -> Column:
+                left = F.filter(s["r"], lambda x, k: k != i)
+                fresh = F.transform(left, lambda x, k: F.when((k <= i) & (k >= i - 1), piece(F.get(b, k - 1), F.get(b, k + 1))).otherwise(x))
+                return F.struct(b.alias("b"), fresh.alias("r"))
+
+            return F.transform(F.array(F.filter(s["b"], lambda x, k: k != i)), beside)[0]
+
+        at = F.array(F.array_position(s["r"], F.array_min(s["r"])).cast("int") - 1)
+        return F.when(F.array_min(s["r"]) < NONE, F.transform(at, drop)[0]).otherwise(s)
+
+    places = F.slice(F.sequence(F.lit(1), n), F.lit(1), n - 1)
+    pairs = F.transform(places, lambda i: piece(i, i + 2))
+    begin = F.struct(F.sequence(F.lit(1), n + 1).alias("b"), F.concat(none, pairs, none).alias("r"))
+    done = F.aggregate(places, begin, step, lambda s: F.transform(F.slice(s["b"], 2, F.size(s["b"])), lambda z, k: piece(s["b"][k], z)))
     return F.transform(F.array(rank_of(ranks, word)), lambda whole: F.when(whole < NONE, F.array(whole)).otherwise(done))[0]
 
 
