@@ -110,11 +110,11 @@ def _distinct(pattern: str, bits: int):
             data, off = utf8(b.column("text"))
             starts, ends, _, plain = units(data, off)
             h, check = span_hashes(data, starts, ends), span_hashes(data, starts, ends, CHECK)
-            one, _ = distinct(h, check)
+            one, _ = distinct(h, check, False)
             one = one[of_units.new(h[one], check[one])]
             data, starts, ends, _ = matches(match, data, starts[one], ends[one], plain[one])
             h, check = span_hashes(data, starts, ends), span_hashes(data, starts, ends, CHECK)
-            one, _ = distinct(h, check)
+            one, _ = distinct(h, check, False)
             one = one[of_words.new(h[one], check[one])]
             yield blobs(data, starts[one], ends[one], h[one], bits)
 

@@ -33,6 +33,10 @@ from folioflow.llm.wordtable import CHECK, DONE, Ids, Seen, blobs, distinct, gat
 
 SKIP, FIRSTS, SEEKABLE = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
 FRAME_TOKENS = 1 << 16
+#: A mark after a letter begins a piece of its own for the tokenizer (an apostrophe need not).
+MARK, LETTER = np.zeros(256, bool), np.zeros(256, bool)
+MARK[[ord(c) for c in ".,;:!?"]] = True
+LETTER[ord("a") : ord("z") + 1] = True
 LEVEL = 3
 
 _SHARD = pa.schema([("shard", pa.int32()), ("uri", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("frames", pa.int32())])
@@ -117,20 +121,26 @@ class TokenReader:
 
 
 def _bytes(col: pa.Array, special: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The words between ASCII spaces, A-Z in lower case (as the tokenizer has it).
+    """The pieces between ASCII spaces, and within these between a letter and a mark; A-Z in lower case (as the tokenizer has it).
 
     Special tokens are matched before letters are lowered, so words with a byte
-    that begins one stay as they are.
+    that begins one stay whole and as they are.
     """
     raw, off = utf8(col)
     data = LOWER[raw]
     starts, ends, at = spans(data, off)
     found = np.flatnonzero(np.isin(raw, special)) if special else ()
+    cut = np.zeros(len(data), bool)
+    cut[1:] = MARK[data[1:]] & LETTER[data[:-1]]
     if len(found):
         own = np.unique(np.searchsorted(starts, found, "right") - 1)
         keep = spread(starts[own], ends[own] - starts[own])
         data[keep] = raw[keep]
-    return data, starts, ends, at
+        cut[keep] = False
+    cut[off[:-1][off[1:] > off[:-1]]] = False
+    cuts = np.flatnonzero(cut)
+    at = at + np.searchsorted(cuts, off)  # pieces before each text
+    return data, np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts])), at
 
 
 def _special(tokenizer: str) -> list[int]:
@@ -146,7 +156,7 @@ def _words(bits: int, special: list[int]):
         for b in slices(batches):
             data, starts, ends, _ = _bytes(b.column("text"), special)
             h, check = span_hashes(data, starts, ends), span_hashes(data, starts, ends, CHECK)
-            one, _ = distinct(h, check)
+            one, _ = distinct(h, check, False)
             one = one[seen.new(h[one], check[one])]
             yield blobs(data, starts[one], ends[one], h[one], bits)
 
@@ -210,9 +220,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, folder: str | None =
     """Encode and write all texts; return the table of shards: shard, uri, docs, tokens, frames.
 
     Ranges of ids are the shards, so shards and the documents in them ascend.
-    Words between ASCII spaces are encoded on their own, each once in all: the
-    tokenizer drops white space, and neither its normaliser nor its split looks
-    across it. Their ids lie in sorted hash arrays in the shared folder, which
+    Words between ASCII spaces, without the marks behind them, are encoded on
+    their own, each once in all: the tokenizer must drop white space, part
+    letters from marks, and look across neither in its normaliser and split. Their ids lie in sorted hash arrays in the shared folder, which
     the writers map. ``end`` follows each document. Tokens that the tokenizer
     calls special are what the library makes of them by default.
     Null and empty texts have the end alone; repeated ids stay side by side in

@@ -28,11 +28,11 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-def distinct(h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A place of each distinct (h, check) in the order of h, and for each place which of these it is."""
+def distinct(h: np.ndarray, check: np.ndarray, inverse: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct (h, check) in the order of h, and (if asked for) for each place which of these it is."""
     if not len(h):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     a, b = h[order], check[order]
     new = a[1:] != a[:-1]
     if (b[1:][~new] != b[:-1][~new]).any():  # two pieces of one first hash
@@ -40,8 +40,9 @@ def distinct(h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = h[order], check[order]
         new = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     new = np.concatenate([[True], new])
-    back = np.empty(len(h), np.int64)
-    back[order] = np.cumsum(new) - 1
+    back = np.empty(len(h) if inverse else 0, np.int64)
+    if inverse:
+        back[order] = np.cumsum(new) - 1
     return order[new], back
 
 
@@ -53,20 +54,23 @@ class Seen:
     """What a task has sent already, so that it sends each piece once."""
 
     def __init__(self):
-        self.keys = np.zeros(0, U)
+        self.h, self.check = np.zeros(0, U), np.zeros(0, U)
 
     def new(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """Which of these distinct pieces weren't there before."""
-        key = h ^ (check << U(1) | check >> U(63))
-        i = np.searchsorted(self.keys, key)
-        fresh = self.keys[np.minimum(i, len(self.keys) - 1)] != key if len(self.keys) else np.ones(len(key), bool)
-        self.keys = np.sort(np.concatenate([self.keys, key[fresh]])) if len(self.keys) < MEMORY else np.sort(key)
+        """Which of these distinct pieces, in the order of h, weren't there before (or might not have been)."""
+        i = np.searchsorted(self.h, h)
+        at = np.minimum(i, max(len(self.h) - 1, 0))
+        fresh = (self.h[at] != h) | (self.check[at] != check) if len(self.h) else np.ones(len(h), bool)
+        if len(self.h) < MEMORY:
+            self.h, self.check = np.insert(self.h, i[fresh], h[fresh]), np.insert(self.check, i[fresh], check[fresh])
+        else:
+            self.h, self.check = h, check
         return fresh
 
 
 def blobs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, bits: int) -> pa.RecordBatch:
     """The pieces data[starts:ends], dealt out by h."""
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     starts, size = starts[order], (ends - starts)[order]
     edge = np.searchsorted(top(h[order], bits), np.arange((1 << bits) + 1))
     to = np.flatnonzero(np.diff(edge))
@@ -86,7 +90,7 @@ def gathered(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     ends = np.cumsum(size)
     starts = ends - size
     h, check = span_hashes(data, starts, ends), span_hashes(data, starts, ends, CHECK)
-    one, _ = distinct(h, check)
+    one, _ = distinct(h, check, False)
     return data, starts[one], ends[one], h[one], check[one]
 
 
