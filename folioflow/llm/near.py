@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.graph import components
-from folioflow.llm.store import mapped, pack, put, scratch, stored
+from folioflow.llm.store import drop, mapped, pack, put, scratch, stored
 from folioflow.llm.textops import U, distinct, distinct_pairs, mix, run_hashes, slices, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -147,34 +147,49 @@ def _verify(folder: str, bits: int):
     return run
 
 
+def shared_keys(each: DataFrame) -> DataFrame:
+    """(id, node, key) -> the rows whose key more than one node has, with the number of blocks that the key is cut in."""
+    shared = stored(each.groupBy("key").count().filter("count > 1").select("key", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks")), "near-keys")
+    return each.join(F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared, "key")
+
+
+def save_sets(sets: DataFrame, folder: str) -> None:
+    """(bucket, node, set): sorted shingle hashes, kept in the shared folder for ``verified``."""
+    sets.groupBy("bucket").applyInArrow(_save(folder), "bucket int, n long").agg(F.sum("n")).first()
+
+
+def verified(at: DataFrame, folder: str, bits: int) -> DataFrame:
+    """Rows of ``shared_keys`` -> edges (a, b) between ids whose components are those of all similar pairs of one key.
+
+    A key with many nodes is cut in blocks by a hash, and each two of its
+    blocks are a task: nothing is dropped.
+    """
+    buckets = int(at.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = at.withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
+    at = at.withColumn("task", F.when(F.col("blocks") > 1, pair).otherwise(F.pmod("key", F.lit(4 * buckets))))
+    return at.select("task", "key", "node", "id").groupBy("task").applyInArrow(_verify(folder, bits), "a long, b long").distinct()
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row with an id: id, component_id: the smallest id it reaches.
 
     Texts link at a Jaccard similarity of SIMILARITY or more of their sets of
     SHINGLE words. Null and blank texts are alike. Texts of equal words are one
-    node, named by its smallest id. Rows without an id are left out. Empty
-    table: no rows. Other columns are not looked at.
+    node, named by its smallest id. Rows without an id are left out; ids must
+    be integers. Empty table: no rows. Other columns are not looked at.
     """
     spark = docs.sparkSession
     folder = scratch(spark, "near")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(1, (buckets - 1).bit_length())
+    bits = max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
     prints = stored(rows.mapInArrow(_prints, "id long, node long, keys array<long>"), "near-prints")
     nodes = stored(prints.groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "near-nodes")
-    each = nodes.select("id", "node", F.explode("keys").alias("key"))
-    shared = stored(each.groupBy("key").count().filter("count > 1").select("key", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks")), "near-keys")
-    at = stored(each.join(F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared, "key"), "near-candidates")
-
+    at = stored(shared_keys(nodes.select("id", "node", F.explode("keys").alias("key"))), "near-candidates")
     wanted = at.select("id").distinct()
-    found = rows.join(wanted, "id").mapInArrow(_sets(bits), "bucket int, node long, set binary")
-    found.groupBy("bucket").applyInArrow(_save(folder), "bucket int, n long").agg(F.sum("n")).first()
-
-    at = at.withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
-    at = at.withColumn("task", F.when(F.col("blocks") > 1, pair).otherwise(F.pmod("key", F.lit(4 * buckets))))
-    edges = at.select("task", "key", "node", "id").groupBy("task").applyInArrow(_verify(folder, bits), "a long, b long")
-    named = components(stored(edges.distinct(), "near-edges"))
+    save_sets(rows.join(wanted, "id").mapInArrow(_sets(bits), "bucket int, node long, set binary"), folder)
+    named = components(stored(verified(at, folder, bits), "near-edges"))
+    drop(spark, folder)
     of = nodes.select("node", "id").join(named.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("component", "id").alias("component_id"))
     return prints.select("id", "node").join(of, "node").select(F.col("id").alias(id_col), "component_id")

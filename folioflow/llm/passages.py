@@ -1,12 +1,14 @@
-"""Substring dedup (4): MinHash banding of paragraphs that begin where the text itself says.
-
-Passages repeat inside lines as well as in whole lines, so paragraphs are of two
-kinds: lines of SPAN words or more, and runs of SPAN words from an anchor on. Anchors are the least hashes
-of GRAM words in each window of WINDOW places, so a run of at least
-SPAN + WINDOW - 1 words that stands in two documents has an anchor, and thus a
-paragraph, in common. Paragraphs of equal words are one class; classes that
-share a band are compared by exact Jaccard similarity; components of these are
-what repeats.
+"""Substring dedup (4): MinHash banding of paragraphs, and equal runs of words inside them.
+
+A paragraph is a line. Paragraphs of equal words are one class; others meet by
+bands of least shingle hashes and are linked at an exact Jaccard similarity of
+SIMILARITY; components of these are what repeats. Passages also repeat inside
+lines, so runs of SPAN words that begin where the text itself says (the least
+hash of GRAM words in each window of WINDOW places) are looked up as they are;
+a run of at least SPAN + WINDOW - 1 equal words has one in common. Where such
+runs end, the windows beside them are looked up as well, so equal runs are
+known to their first and last word. Texts are read four times; what is
+exchanged are hashes with the least and the greatest document that has them.
 """
 
 from __future__ import annotations
@@ -15,172 +17,128 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.graph import components
-from folioflow.llm.near import linked
-from folioflow.llm.store import mapped, pack, put, scratch, stored, unpack
-from folioflow.llm.textops import LOWER, U, distinct, distinct_pairs, inside, mix, run_hashes, slices, span_hashes, utf8, words
+from folioflow.llm.near import save_sets, shared_keys, verified
+from folioflow.llm.store import drop, mapped, pack, put, scratch, stored, unpack
+from folioflow.llm.textops import LOWER, U, distinct, inside, mix, run_hashes, slices, span_hashes, utf8
 from folioflow.llm.textops import spans as word_spans
+from folioflow.llm.wordtable import spread, top
 
 SPAN, WINDOW, GRAM, SHINGLE = 36, 15, 3, 5
-#: Four bands of two rows: at a similarity of 0.8 two paragraphs share one with probability 0.98, at 0.9 with 0.999.
-BANDS, ROWS = 4, 2
-#: Bands of a line; at a similarity of 0.8 two lines share one with probability 0.998.
-LINE_BANDS = 6
+#: At a similarity of 0.8 two paragraphs share one of eight bands of three rows with probability 0.997, at 0.9 with 0.99999.
+BANDS, ROWS = 8, 3
 SIMILARITY = 0.8
-HELD = 2_000_000
+#: Records that a worker holds at most before they go out.
+HELD = 1_500_000
 
 _BLOB = pa.schema([("bucket", pa.int32()), ("rows", pa.binary())])
-_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _DONE = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
-_HIT = pa.schema([("passage", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
-_NEXT = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("place", pa.int32()), ("right", pa.bool_()), ("k", pa.int32())])
-_EXACT = np.dtype([("h", U), ("doc", np.int64)])
-_NEAR = np.dtype([("key", U), ("h", np.uint32), ("doc", np.uint32)])
-_BAND = np.dtype([("key", np.uint32), ("h", np.uint32), ("doc", np.uint32)])
-_CONTENT = np.dtype([("key", U), ("h", U), ("doc", np.uint32), ("set", np.uint32, (SPAN - SHINGLE + 1,))])
+_SECOND = pa.schema([("bucket", pa.int32()), ("rows", pa.binary()), ("node", pa.int64()), ("doc", pa.int64()), ("last", pa.int64()), ("set", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_FOUND = pa.schema([("id", pa.int64()), ("spans", _SPAN), ("remove", _SPAN), ("firsts", pa.list_(pa.int64()))])
+
+
+class Words:
+    """A slice of texts as word hashes, with its lines and anchored runs."""
+
+    def __init__(self, b: pa.RecordBatch, least: int):
+        data, off = utf8(b.column("text"))
+        data = LOWER[data]
+        starts, ends, self.at = word_spans(data, off)
+        self.doc = b.column("id").to_numpy()
+        self.w = span_hashes(data, starts, ends)
+        edge = distinct(np.concatenate([self.at, np.searchsorted(starts, np.flatnonzero(data == 10))]))
+        line, size = edge[:-1], np.diff(edge)
+        self.line, self.size = line[size >= least], size[size >= least]
+        self.line_text = np.searchsorted(self.at, self.line, "right") - 1
+        self.line_hash = run_hashes(self.w, self.line, self.size) if len(self.line) else np.zeros(0, U)
+        self.run = self._anchors()
+        self.run_text = np.searchsorted(self.at, self.run, "right") - 1
+        self.run_hash = self.hashes(self.run)
+
+    def hashes(self, place: np.ndarray) -> np.ndarray:
+        return run_hashes(self.w, place, SPAN) if len(place) else np.zeros(0, U)
+
+    def _anchors(self) -> np.ndarray:
+        place = inside(self.at, GRAM + WINDOW - 1)  # windows that stay in their text
+        if not len(place):
+            return np.zeros(0, np.int64)
+        g = np.full(len(self.w), ~U(0))
+        i = np.arange(len(self.w) - GRAM + 1)
+        g[i] = run_hashes(self.w, i, GRAM)
+        least = np.lib.stride_tricks.sliding_window_view(g, WINDOW)
+        anchor = distinct(np.concatenate([place[k : k + (1 << 18)] + least[place[k : k + (1 << 18)]].argmin(axis=1) for k in range(0, len(place), 1 << 18)]))
+        return anchor[anchor + SPAN <= self.at[np.searchsorted(self.at, anchor, "right")]]
 
+    def shingles(self, line: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shingle hashes of lines, and where each line's begin and the last one's end. A line of fewer words is one shingle."""
+        n = np.maximum(size - SHINGLE + 1, 1)
+        place = spread(line, n)
+        return run_hashes(self.w, place, np.minimum(np.repeat(size, n), SHINGLE)), np.concatenate([[0], np.cumsum(n)])
 
-def paragraphs(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes and their texts' offsets; of each paragraph the first word's place, its words, its text, its hash.
 
-    First the runs of SPAN words from anchors, then the lines of SPAN words or more.
-    """
-    data, off = utf8(col)
-    data = LOWER[data]
-    starts, ends, at = word_spans(data, off)
-    w = span_hashes(data, starts, ends)
-    edge = distinct(np.concatenate([at, np.searchsorted(starts, np.flatnonzero(data == 10))]))
-    line, size = edge[:-1], np.diff(edge)
-    line, size = line[size >= SPAN], size[size >= SPAN]
-    anchor = np.zeros(0, np.int64)
-    place = inside(at, GRAM + WINDOW - 1)  # windows that stay in their text
-    if len(place):
-        g = np.full(len(w), ~U(0))
-        i = np.arange(len(w) - GRAM + 1)
-        g[i] = run_hashes(w, i, GRAM)
-        least = np.lib.stride_tricks.sliding_window_view(g, WINDOW)
-        anchor = distinct(np.concatenate([place[k : k + (1 << 18)] + least[place[k : k + (1 << 18)]].argmin(axis=1) for k in range(0, len(place), 1 << 18)]))
-        anchor = anchor[anchor + SPAN <= at[np.searchsorted(at, anchor, "right")]]
-    place, size = np.concatenate([anchor, line]), np.concatenate([np.full(len(anchor), SPAN), size])
-    return w, at, place, size, np.searchsorted(at, place, "right") - 1, run_hashes(w, place, size) if len(place) else np.zeros(0, U)
+def band_keys(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One row of BANDS keys for each line."""
+    keys = np.zeros((len(at) - 1, BANDS), U)
+    for k in range(BANDS * ROWS):
+        m = mix(s ^ U(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF))
+        keys[:, k // ROWS] = mix(keys[:, k // ROWS] * U(31) + np.minimum.reduceat(m, at[:-1]) + U(k))
+    return keys
 
 
-def bands(w: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Band keys of paragraphs as (row, key), and the shingle hashes of all places.
+def _least(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each hash once, with the least and the greatest document."""
+    order = np.argsort(h)
+    h = h[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[first], np.minimum.reduceat(lo[order], first), np.maximum.reduceat(hi[order], first)
 
-    Runs of SPAN words have BANDS keys, lines have LINE_BANDS of their own. A run
-    of SPAN words that is a whole line counts as a run only.
-    """
-    i = np.arange(max(len(w) - SHINGLE + 1, 0))
-    s = run_hashes(w, i, SHINGLE)
-    run, line = np.flatnonzero(size == SPAN), np.flatnonzero(size > SPAN)
-    edge = np.stack([place[line], place[line] + size[line] - SHINGLE + 1], axis=1)
-    order = np.lexsort((edge[:, 1], edge[:, 0]))
-    n = SPAN - SHINGLE + 1  # 32 shingles: five doublings
-    of_runs, of_lines = np.zeros((len(run), BANDS), U), np.zeros((len(line), LINE_BANDS), U)
-    for b in range(max(BANDS, LINE_BANDS)):
-        for r in range(ROWS):
-            m = mix(s ^ U(0x9E3779B97F4A7C15 * (b * ROWS + r + 1) & 0xFFFFFFFFFFFFFFFF))
-            if b < LINE_BANDS and len(line):
-                least = np.minimum.reduceat(np.append(m, ~U(0)), edge[order].ravel())[::2]
-                of_lines[order, b] = mix(of_lines[order, b] * U(31) + least + U(b + BANDS))
-            if b < BANDS and len(run):
-                step = 1
-                while step < n:
-                    m = np.minimum(m[: len(m) - step], m[step:])
-                    step *= 2
-                of_runs[:, b] = mix(of_runs[:, b] * U(31) + m[place[run]] + U(b))
-    return np.concatenate([np.repeat(run, BANDS), np.repeat(line, LINE_BANDS)]), np.concatenate([of_runs.ravel(), of_lines.ravel()]), s
-
-
-def _order(doc: np.ndarray) -> np.ndarray:
-    """A place for each document; any order will do."""
-    return (mix(doc.astype(np.int64).view(U)) >> U(32)).astype(np.uint32)
-
-
-def _firsts(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Places of one paragraph of each class, of the least document."""
-    order = np.lexsort((doc, h))
-    return order[np.concatenate([[True], h[order][1:] != h[order][:-1]])]
-
-
-def _one_doc(k: np.ndarray) -> np.ndarray:
-    """One row of each (key, h), that of the least document."""
-    k = k[np.lexsort((k["doc"], k["h"], k["key"]))]
-    return k[np.concatenate([[True], (k["key"][1:] != k["key"][:-1]) | (k["h"][1:] != k["h"][:-1])])] if len(k) else k
-
-
-def _blobs(kind: int, h: np.ndarray, rows: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Rows dealt out by the high bits of h, each kind to buckets of its own."""
-    to = (h >> U(64 - bits)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    edge = np.searchsorted(to[order], np.arange((1 << bits) + 1))
-    own = np.flatnonzero(np.diff(edge))
-    out = [rows[order[edge[b] : edge[b + 1]]].tobytes() for b in own]
-    return pa.RecordBatch.from_arrays([pa.array(own + (kind << bits), pa.int32()), pa.array(out, pa.binary())], schema=_BLOB)
-
-
-def _first(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        exact: list[np.ndarray] = []
-        near: list[np.ndarray] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            x = np.concatenate(exact)
-            x = x[distinct_pairs(x["h"], x["doc"])]
-            yield _blobs(0, x["h"], x, bits)
-            k = _one_doc(np.concatenate(near))
-            rows = np.empty(len(k), _BAND)
-            rows["key"], rows["h"], rows["doc"] = k["key"] >> U(64 - bits - 32) & U(0xFFFFFFFF), k["h"], k["doc"]
-            yield _blobs(1, k["key"], rows, bits)
-            exact.clear()
-            near.clear()
-
-        for b in slices(batches):
-            w, _, place, size, text, h = paragraphs(b.column("text"))
-            if not len(place):
-                continue
-            x = np.empty(len(h), _EXACT)
-            x["h"], x["doc"] = h, b.column("id").to_numpy()[text]
-            exact.append(x)
-            doc = _order(x["doc"])
-            one = _firsts(h, doc)
-            row, keys, _ = bands(w, place[one], size[one])
-            k = np.empty(len(keys), _NEAR)
-            k["key"], k["h"], k["doc"] = keys, (h[one][row] & U(0xFFFFFFFF)).astype(np.uint32), doc[one][row]
-            near.append(_one_doc(k))
-            if sum(map(len, near)) > HELD:
-                yield from flush()
-        if exact:
-            yield from flush()
 
-    return run
+def _squeeze(**arrays: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pack(**arrays))
 
 
-def _collide(folder: str, bits: int):
-    """Keep the hashes that more than one document has, and the band keys whose classes begin in more than one.
+def _open(data: bytes) -> dict[str, np.ndarray]:
+    return unpack(zstandard.ZstdDecompressor().decompress(data))
 
-    Classes that all begin in one document are found without their key: each
-    document that has one of them shares it, as it is, with that document.
-    Overlapping neighbours in one text and in its copies are such.
-    """
+
+class Out:
+    """Holds records (hash, document) and sends each hash once, with the least and the greatest document, to its bucket."""
+
+    def __init__(self, kind: int, bits: int):
+        self.kind, self.bits, self.held, self.n = kind, bits, [], 0
+
+    def add(self, h: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(h):
+            self.held.append(_least(h, doc, doc))
+            self.n += len(self.held[-1][0])
+        if self.n > HELD:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            h, lo, hi = _least(*map(np.concatenate, zip(*self.held, strict=True)))
+            edge = np.searchsorted(top(h, self.bits), np.arange((1 << self.bits) + 1))
+            own = np.flatnonzero(np.diff(edge))
+            rows = [_squeeze(h=h[a:z], lo=lo[a:z], more=hi[a:z] - lo[a:z]) for a, z in zip(edge[own], edge[own + 1], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(own + (self.kind << self.bits), pa.int32()), pa.array(rows, pa.binary())], schema=_BLOB)
+        self.held, self.n = [], 0
+
+
+def _collect(folder: str, bits: int, names: list[str]):
+    """Keep the hashes that more than one document has, with the first of these; one file for each bucket of each kind."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
-        kind, own = bucket >> bits, bucket & (1 << bits) - 1
-        rows = np.concatenate([np.frombuffer(r, _BAND if kind else _EXACT) for r in table.column("rows").to_pylist()])
-        if kind:
-            rows = _one_doc(rows)
-            first = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]))
-            again = rows["key"][first][np.minimum.reduceat(rows["doc"], first) != np.maximum.reduceat(rows["doc"], first)]
-        else:
-            k = rows["h"][distinct_pairs(rows["h"], rows["doc"])]
-            again = distinct(k[1:][k[1:] == k[:-1]])
-        put(f"{folder}/{'near' if kind else 'exact'}-{own}", pack(h=again))
-        return pa.table([[bucket], [len(again)]], schema=_DONE)
+        parts = [_open(r) for r in table.column("rows").to_pylist()]
+        h, lo, hi = _least(*(np.concatenate(x) for x in ([p["h"] for p in parts], [p["lo"] for p in parts], [p["lo"] + p["more"] for p in parts])))
+        many = (lo != hi) | names[bucket >> bits].startswith("end")  # ends are asked for, whoever has them
+        put(f"{folder}/{names[bucket >> bits]}-{bucket & (1 << bits) - 1}", pack(h=h[many], first=lo[many]))
+        return pa.table([[bucket], [int(many.sum())]], schema=_DONE)
 
     return run
 
@@ -191,11 +149,11 @@ class Sets:
     def __init__(self, folder: str, bits: int):
         self.folder, self.bits, self.open = folder, bits, {}
 
-    def find(self, kind: str, h: np.ndarray, value: str | None = None, low: bool = False) -> np.ndarray:
-        """Which are in (or their value, else 0). low: the arrays hold the 32 bits below the high ones."""
-        out = np.zeros(len(h), bool if value is None else np.int64)
+    def find(self, kind: str, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which are in, and their first document."""
+        hit, first = np.zeros(len(h), bool), np.zeros(len(h), np.int64)
         order = np.argsort(h)
-        edge = np.searchsorted((h[order] >> U(64 - self.bits)).astype(np.int64), np.arange((1 << self.bits) + 1))
+        edge = np.searchsorted(top(h[order], self.bits), np.arange((1 << self.bits) + 1))
         for b in np.flatnonzero(np.diff(edge)):
             if (kind, b) not in self.open:
                 try:
@@ -203,230 +161,187 @@ class Sets:
                 except FileNotFoundError:  # nothing fell there
                     self.open[kind, b] = {}
             t, own = self.open[kind, b], order[edge[b] : edge[b + 1]]
-            if not t or not len(t["h"]):
-                continue
-            k = (h[own] >> U(64 - self.bits - 32) & U(0xFFFFFFFF)).astype(np.uint32) if low else h[own]
-            i = np.minimum(np.searchsorted(t["h"], k), len(t["h"]) - 1)
-            hit = t["h"][i] == k
-            out[own[hit]] = True if value is None else t[value][i[hit]]
-        return out
+            if t and len(t["h"]):
+                i = np.minimum(np.searchsorted(t["h"], h[own]), len(t["h"]) - 1)
+                hit[own] = t["h"][i] == h[own]
+                first[own] = t["first"][i]
+        return hit, first
+
 
+def _first(bits: int, least: int):
+    """Lines and runs by hash (kind 0); the lines' band keys, with the lines in the documents' place (kind 1)."""
 
-def _contents(folder: str, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets(folder, bits)
-        held: list[np.ndarray] = []
-        for b in slices(batches):
-            w, _, place, size, text, h = paragraphs(b.column("text"))
-            if not len(place):
-                continue
-            doc = _order(b.column("id").to_numpy()[text])
-            one = _firsts(h, doc)
-            h, doc, place, size = h[one], doc[one], place[one], size[one]
-            row, keys, s = bands(w, place, size)
-            hit = sets.find("near", keys, low=True)
-            row, keys, run = row[hit], keys[hit], (np.arange(len(row)) < BANDS * (size == SPAN).sum())[hit]
-            x = np.empty(run.sum(), _CONTENT)
-            x["key"], x["h"], x["doc"] = keys[run], h[row[run]], doc[row[run]]
-            x["set"] = s[place[row[run]][:, None] + np.arange(SPAN - SHINGLE + 1)].astype(np.uint32)
-            held.append(x)
-            if sum(map(len, held)) > HELD // 16:
-                yield _content_blobs(held, bits)
-                held = []
-            if not run.all():
-                yield _line_blobs(keys[~run], h[row[~run]], [s[place[r] : place[r] + size[r] - SHINGLE + 1] for r in row[~run]], bits)
-        if held:
-            yield _content_blobs(held, bits)
+        out, keys = Out(0, bits), Out(1, bits)
+        for b in slices(batches, most=3 << 20):
+            x = Words(b, least)
+            yield from out.add(np.concatenate([x.run_hash, x.line_hash]), x.doc[np.concatenate([x.run_text, x.line_text])])
+            h, one = np.unique(x.line_hash, return_index=True)
+            if len(h):
+                yield from keys.add(band_keys(*x.shingles(x.line[one], x.size[one])).ravel(), np.repeat(h, BANDS).view(np.int64))
+        yield from out.flush()
+        yield from keys.flush()
 
     return run
 
 
-def _line_blobs(key: np.ndarray, h: np.ndarray, sets: list[np.ndarray], bits: int) -> pa.RecordBatch:
-    to = (key >> U(64 - bits)).astype(np.int64)
-    own, out = distinct(to), []
-    for b in own:
-        i = np.flatnonzero(to == b)
-        x = [distinct(sets[j]) for j in i]
-        out.append(pack(key=key[i], h=h[i], at=np.cumsum([0, *map(len, x)]), set=np.concatenate(x)))
-    return pa.RecordBatch.from_arrays([pa.array(own + (1 << bits), pa.int32()), pa.array(out, pa.binary())], schema=_BLOB)
+def _chains(text: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of hits in order, which begin and which end a chain of runs that touch."""
+    apart = (text[1:] != text[:-1]) | (place[1:] - place[:-1] > SPAN)
+    return np.concatenate([[True], apart]), np.concatenate([apart, [True]])
 
 
-def _content_blobs(held: list[np.ndarray], bits: int) -> pa.RecordBatch:
-    x = _one_doc(np.concatenate(held))
-    return _blobs(0, x["key"], x, bits)
+def _second(folder: str, bits: int, least: int):
+    """Hashes of the runs at which chains begin (kind 0) and end (kind 1), as blobs; and the lines that share a band, with their contents."""
 
+    def blobs(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in found:
+            none = [pa.nulls(r.num_rows, f.type) for f in _SECOND][2:]
+            yield pa.RecordBatch.from_arrays([*r.columns, *none], schema=_SECOND)
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact similarity of the shingle set a to each row of b (both with repeats)."""
-    a = np.unique(a)
-    s = np.sort(b, axis=1)
-    own = np.concatenate([np.ones((len(s), 1), bool), s[:, 1:] != s[:, :-1]], axis=1)
-    both = (np.isin(s, a) & own).sum(axis=1)
-    return both / (len(a) + own.sum(axis=1) - both)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, outs = Sets(folder, bits), [Out(0, bits), Out(1, bits)]
+        for b in slices(batches, most=3 << 20):
+            x = Words(b, least)
+            hit, first = sets.find("same", x.run_hash)
+            for own in (hit, hit & (first != x.doc[x.run_text])):
+                i = np.flatnonzero(own)
+                if len(i):
+                    for out, ends in zip(outs, _chains(x.run_text[i], x.run[i]), strict=True):
+                        yield from blobs(out.add(x.run_hash[i[ends]], x.doc[x.run_text[i[ends]]]))
+            h, lo, hi = _least(x.line_hash, x.doc[x.line_text], x.doc[x.line_text]) if len(x.line) else (x.line_hash,) * 3
+            if not len(h):
+                continue
+            one = np.unique(x.line_hash, return_index=True)[1]
+            s, at = x.shingles(x.line[one], x.size[one])
+            keys = band_keys(s, at)
+            shared = sets.find("keys", keys.ravel())[0].reshape(keys.shape)
+            some = np.flatnonzero(shared.any(axis=1))
+            rows = [distinct(s[at[k] : at[k + 1]]).tobytes() for k in some]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(shared[some].sum(axis=1))]), pa.int32()), pa.array(keys[some][shared[some]].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(top(h[some], bits), pa.int32()), pa.nulls(len(some), pa.binary()), pa.array(h[some].view(np.int64)), pa.array(lo[some]), pa.array(hi[some]), pa.array(rows, pa.binary()), lists], schema=_SECOND)
+        for out in outs:
+            yield from blobs(out.flush())
 
+    return run
 
-def _verify_lines(table: pa.Table) -> pa.Table:
-    parts = [unpack(r) for r in table.column("rows").to_pylist()]
-    key, h = (np.concatenate([t[c] for t in parts]) for c in ("key", "h"))
-    sets = [t["set"][i:j] for t in parts for i, j in zip(t["at"], t["at"][1:], strict=False)]
-    one = distinct_pairs(key, h)
-    key, h = key[one], h[one]
-    edge = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
-    a, b = [np.zeros(0, U)], [np.zeros(0, U)]
-    for i, j in zip(edge, edge[1:], strict=False):
-        x, y = linked([sets[k] for k in one[i:j]])
-        a.append(h[i + x])
-        b.append(h[i + y])
-    return pa.table([np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)], schema=_EDGE)
 
+def _beside(x: Words, hit: np.ndarray, sets: Sets) -> np.ndarray:
+    """Places of the windows beside those hits at which a chain of some document begins or ends."""
+    i = np.flatnonzero(hit)
+    out = []
+    for kind, way in (("end-left", -1), ("end-right", 1)):
+        at = i[sets.find(kind, x.run_hash[i])[0]]
+        place = (x.run[at][:, None] + way * np.arange(1, WINDOW)).ravel()
+        text = np.repeat(x.run_text[at], WINDOW - 1)
+        out.append(place[(place >= x.at[text]) & (place + SPAN <= x.at[text + 1])])
+    return distinct(np.concatenate(out))
 
-def _verify(bits: int):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return _verify_lines(table) if key[0].as_py() >> bits else _verify_runs(table)
 
-    return run
+def _third(folder: str, bits: int, least: int):
+    """Windows beside the ends (kind 0)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, out = Sets(folder, bits), Out(0, bits)
+        for b in slices(batches, most=3 << 20):
+            x = Words(b, least)
+            place = _beside(x, sets.find("same", x.run_hash)[0], sets)
+            yield from out.add(x.hashes(place), x.doc[np.searchsorted(x.at, place, "right") - 1])
+        yield from out.flush()
 
-def _verify_runs(table: pa.Table) -> pa.Table:
-    """Edges of each band's classes: any two of different documents that are similar enough are linked, by one edge or over others.
+    return run
 
-    Neighbours in one text overlap and so are alike; linked, they would carry a
-    passage on beyond its ends.
-    """
-    x = _one_doc(np.concatenate([np.frombuffer(r, _CONTENT) for r in table.column("rows").to_pylist()]))
-    edge = np.append(np.flatnonzero(np.concatenate([[True], x["key"][1:] != x["key"][:-1]])), len(x))
-    a, b = [], []
-    for i, j in zip(edge, edge[1:], strict=False):
-        if j - i < 2:
-            continue
-        left, todo = np.arange(i, j), []
-        while len(left):  # what is linked goes; what is left is compared to each that went
-            at = todo.pop() if todo else left[0]
-            left = left[left != at]
-            left_near = jaccard(x["set"][at], x["set"][left]) >= SIMILARITY if len(left) else np.zeros(0, bool)
-            near = left[left_near & (x["doc"][left] != x["doc"][at])]
-            a += [x["h"][at]] * len(near)
-            b += x["h"][near].tolist()
-            todo += near.tolist()
-            left = np.setdiff1d(left, near, assume_unique=True)
-            while todo and not len(left):
-                todo.pop()
-    return pa.table([np.array(a, U).view(np.int64), np.array(b, U).view(np.int64)], schema=_EDGE)
-
-
-def _save_classes(folder: str):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        h = table.column("node").to_numpy().view(U)
-        order = np.argsort(h)
-        put(f"{folder}/class-{key[0].as_py()}", pack(h=h[order], passage=table.column("component").to_numpy()[order]))
-        return pa.table([[key[0].as_py()], [len(h)]], schema=_DONE)
 
-    return run
+def _union(text: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> pa.Array:
+    """Each text's runs of words, united where they touch."""
+    order = np.lexsort((start, text))
+    text, start, end = text[order], start[order], end[order]
+    far = int(end.max(initial=0)) + 2
+    a, z = text * far + start, np.maximum.accumulate(text * far + end) if len(end) else end
+    new = np.concatenate([[True], a[1:] > z[:-1]]) if len(a) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(a)) - 1
+    own = text[at] if len(at) else text
+    pairs = pa.StructArray.from_arrays([pa.array(start[at], pa.int32()), pa.array(z[last] - own * far, pa.int32())], names=["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(n + 1)), pa.int32()), pairs)
 
 
-def _hits(folder: str, bits: int):
+def _last(folder: str, bits: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(folder, bits)
-        for b in slices(batches):
-            _, at, place, size, text, h = paragraphs(b.column("text"))
-            if not len(place):
-                continue
-            each, back = np.unique(h, return_inverse=True)
-            passage = sets.find("class", each, "passage")
-            own = (passage == 0) & sets.find("exact", each)
-            passage[own] = each[own].view(np.int64)
-            p = passage[back]
-            hit = p != 0
-            yield pa.RecordBatch.from_arrays([pa.array(p[hit]), b.column("id").take(pa.array(text[hit])), pa.array((place - at[text])[hit], pa.int32()), pa.array((place + size - at[text])[hit], pa.int32())], schema=_HIT)
+        for b in slices(batches, most=3 << 20):
+            x = Words(b, least)
+            hit, first = sets.find("same", x.run_hash)
+            place = _beside(x, hit, sets)
+            near, near_first = sets.find("beside", x.hashes(place))
+            line, line_first = sets.find("same", x.line_hash)
+            alike, alike_first = sets.find("class", x.line_hash)
+            text = np.concatenate([x.run_text[hit], np.searchsorted(x.at, place[near], "right") - 1, x.line_text[line], x.line_text[alike]])
+            start = np.concatenate([x.run[hit], place[near], x.line[line], x.line[alike]])
+            end = start + np.concatenate([np.full(hit.sum() + near.sum(), SPAN), x.size[line], x.size[alike]])
+            first = np.concatenate([first[hit], near_first[near], line_first[line], alike_first[alike]])
+            start, end, n = start - x.at[text], end - x.at[text], len(x.doc)
+            late = first != x.doc[text]
+            one = np.flatnonzero(late)
+            pair = np.unique(np.stack([text[one], first[one]]), axis=1) if len(one) else np.zeros((2, 0), np.int64)
+            firsts = pa.ListArray.from_arrays(pa.array(np.searchsorted(pair[0], np.arange(n + 1)), pa.int32()), pa.array(pair[1], pa.int64()))
+            every = pa.RecordBatch.from_arrays([pa.array(x.doc), _union(text, start, end, n), _union(text[late], start[late], end[late], n), firsts], schema=_FOUND)
+            yield every.take(pa.array(np.unique(text)))
 
     return run
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each end of a hit (place, its side, its passage) and each k: a key of the k words beyond it, with the GRAM words before these."""
-    for b in slices(batches):
-        w, at = words(b.column("text"))
-        ends = b.column("ends")
-        text = np.repeat(np.arange(b.num_rows), np.diff(ends.offsets.to_numpy()))
-        passage, place, right = (ends.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
-        i = at[text] + place
-        for k in range(1, WINDOW):
-            a, z = np.where(right, i - GRAM, i - k), np.where(right, i + k, i + GRAM)
-            fit = (a >= at[text]) & (z <= at[text + 1])
-            key = mix(run_hashes(w, a[fit], GRAM + k) ^ mix(passage[fit].view(U) + U(2 * k) + right[fit]))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("id").take(pa.array(text[fit])), pa.array(place[fit], pa.int32()), pa.array(right[fit]), pa.array(np.full(len(key), k), pa.int32())], schema=_NEXT)
-
-
-def grown(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """id, start, end, later: the equal words beyond the hits, up to the ends of the runs.
-
-    Less than WINDOW words are left over at each end: a run that goes on for
-    more has one more anchor there. ``later`` runs are those that an earlier
-    document has. Only ends are looked at beyond which another hit does not cover as much, and what
-    stands there in all documents of their passages.
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SPAN) -> DataFrame:
+    """One row per input row that shares a passage with another document.
+
+    id; component_id: the smallest id that it reaches over shared passages;
+    spans: its repeated runs, in words; remove: those of them that an earlier
+    document has as well. Every passage stays in the document of the smallest
+    id. Runs of SPAN + WINDOW - 1 = 50 equal words or more are always found and
+    known to their first and last word, equal lines of ``least`` words or more
+    always, and lines alike at SIMILARITY with probability 0.997 or more.
+    Null, empty and short texts have none. Rows with a repeated id are one
+    document: what only they share isn't found, and each is returned. Rows
+    without an id are left out; ids must be integers. Empty table: no rows.
+    Other columns are not looked at.
     """
-    later = F.col("id") != F.col("first_id")
-    tell = found.select("passage", "id", "start", "end", later.alias("later")).distinct()
-    before = lambda *by: Window.partitionBy(*by).orderBy("start").rangeBetween(Window.unboundedPreceding, 1 - WINDOW)
-    after = lambda *by: Window.partitionBy(*by).orderBy(F.desc("end")).rangeBetween(Window.unboundedPreceding, 1 - WINDOW)
-    left = F.coalesce(F.max("end").over(before("id")) < F.col("start"), F.lit(True)) | F.coalesce(F.max("end").over(before("id", "later")) < F.col("start"), F.lit(True))
-    right = F.coalesce(F.min("start").over(after("id")) > F.col("end"), F.lit(True)) | F.coalesce(F.min("start").over(after("id", "later")) > F.col("end"), F.lit(True))
-    sides = F.array(F.struct(F.col("start").alias("place"), F.lit(False).alias("right"), F.col("left").alias("bare")), F.struct(F.col("end").alias("place"), F.lit(True).alias("right"), F.col("right").alias("bare")))
-    every = stored(tell.withColumns({"left": left, "right": right}).select("passage", "id", "later", F.explode(sides).alias("e")).select("passage", "id", "later", "e.*"), "passage-ends")
-    wanted = every.filter("bare").select("passage", "right").distinct()
-    own = every.join(wanted, ["passage", "right"], "left_semi").groupBy("id").agg(F.collect_set(F.struct("passage", "place", "right")).alias("ends"))
-    keys = stored(docs.join(own, "id").select("id", "text", "ends").mapInArrow(_contexts, "key long, id long, place int, right boolean, k int"), "passage-contexts")
-    both = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first != last").select("key", "first")
-    far = keys.join(both, "key").groupBy("id", "place", "right").agg(F.max("k").alias("all"), F.max(F.when(F.col("first") < F.col("id"), F.col("k"))).alias("late"))
-    runs = far.select("id", "place", "right", F.explode(F.array(F.struct(F.lit(False).alias("later"), F.col("all").alias("k")), F.struct(F.lit(True).alias("later"), F.col("late").alias("k")))).alias("e")).filter("e.k IS NOT NULL")
-    reach = F.col("place") + F.when(F.col("right"), F.col("e.k")).otherwise(-F.col("e.k"))
-    return runs.select("id", F.least("place", reach).alias("start"), F.greatest("place", reach).alias("end"), "e.later")
-
-
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """passage, id, start, end (in words): each paragraph whose like stands in another document."""
     spark = docs.sparkSession
     folder = scratch(spark, "passages")
-    bits = max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(1, (2 * parts - 1).bit_length())
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
     blob, done = "bucket int, rows binary", "bucket int, n long"
-    rows.mapInArrow(_first(bits), blob).groupBy("bucket").applyInArrow(_collide(folder, bits), done).agg(F.sum("n")).first()
-    edges = stored(rows.mapInArrow(_contents(folder, bits), blob).groupBy("bucket").applyInArrow(_verify(bits), "a long, b long"), "paragraph-edges")
-    classes = components(edges).withColumn("bucket", F.shiftrightunsigned("node", 64 - bits).cast("int"))
-    classes.groupBy("bucket").applyInArrow(_save_classes(folder), done).agg(F.sum("n")).first()
-    found = stored(rows.mapInArrow(_hits(folder, bits), "passage long, id long, start int, end int"), "paragraph-hits")
-    many = found.groupBy("passage").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("first_id != last_id")
-    return found.join(many, "passage").select("passage", "id", "start", "end", "first_id")
-
-
-def _spans(runs):
-    """Ascending runs of words -> their unions."""
-    return F.aggregate(
-        runs,
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document that shares a passage with another.
 
-    id; component_id: the smallest id that it reaches over shared passages;
-    spans: its repeated runs, in words, each up to the ends of what is equal;
-    remove: those of them that an earlier document has as well. Every passage stays in the document of the smallest
-    id. Runs of SPAN + WINDOW - 1 = 50 equal words or more are always found,
-    runs under SPAN words never. Null, empty and short texts have none; rows
-    with a repeated id count as one document; rows without an id are left out.
-    Empty table: no rows. Other columns are not looked at.
-    """
-    found = stored(repeats(docs, id_col, text_col), "repeats")
-    linked = components(found.filter("id != first_id").select(F.col("id").alias("a"), F.col("first_id").alias("b")))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
-    runs = found.select("id", "start", "end", (F.col("id") != F.col("first_id")).alias("later")).unionByName(grown(rows, found))
-    run = F.struct("start", "end")
-    each = runs.groupBy("id").agg(F.sort_array(F.collect_set(run)).alias("every"), F.sort_array(F.collect_set(F.when(F.col("later"), run))).alias("late"))
-    out = each.join(linked, each["id"] == linked["node"], "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("component_id"), _spans(F.col("every")).alias("spans"), _spans(F.col("late")).alias("remove"))
+    def collect(blobs: DataFrame, names: list[str]) -> None:
+        blobs.groupBy("bucket").applyInArrow(_collect(folder, bits, names), done).agg(F.sum("n")).first()
+
+    collect(rows.mapInArrow(_first(bits, least), blob), ["same", "keys"])
+    second = stored(rows.mapInArrow(_second(folder, bits, least), f"{blob}, node long, doc long, last long, set binary, keys array<long>"), "passages-second")
+    collect(second.filter("rows IS NOT NULL").select("bucket", "rows"), ["end-left", "end-right"])
+    # paragraphs that are alike
+    sets = second.filter("node IS NOT NULL")
+    save_sets(sets.select("bucket", "node", "set"), folder)
+    each = sets.select(F.col("node").alias("id"), "node", F.explode("keys").alias("key")).distinct()
+    named = components(stored(verified(stored(shared_keys(each), "line-candidates"), folder, bits), "line-edges"))
+    of = sets.groupBy("node").agg(F.min("doc").alias("doc"), F.max("last").alias("last")).join(named, "node")
+    whole = of.groupBy("component").agg(F.min("doc").alias("first"), F.max("last").alias("last")).filter("first != last").select("component", "first")
+    classes = named.join(whole, "component").select(F.shiftrightunsigned("node", 64 - bits).cast("int").alias("bucket"), "node", "first")
+    classes.groupBy("bucket").applyInArrow(_save_first(folder, "class"), done).agg(F.sum("n")).first()
+    drop(spark, second)
+    # equal runs to their ends
+    collect(rows.mapInArrow(_third(folder, bits, least), blob), ["beside"])
+    found = stored(rows.mapInArrow(_last(folder, bits, least), "id long, spans array<struct<start:int,end:int>>, remove array<struct<start:int,end:int>>, firsts array<long>"), "repeats")
+    drop(spark, folder)
+    linked = components(found.select(F.col("id").alias("a"), F.explode("firsts").alias("b")))
+    out = found.join(linked, found["id"] == linked["node"], "left")
+    return out.select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("component_id"), "spans", "remove")
+
+
+def _save_first(folder: str, kind: str):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        h = table.column("node").to_numpy().view(U)
+        order = np.argsort(h)
+        put(f"{folder}/{kind}-{key[0].as_py()}", pack(h=h[order], first=table.column("first").to_numpy()[order]))
+        return pa.table([[key[0].as_py()], [len(h)]], schema=_DONE)
+
+    return run

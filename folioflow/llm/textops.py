@@ -6,12 +6,16 @@ as empty. All functions work on a batch at once; none loops over words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
+with contextlib.suppress(OSError, AttributeError):  # glibc: large arrays go back to the system when they are freed, as workers live on
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -32,7 +36,7 @@ def _powers(n: int):
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """Spread every bit over all 64 (a bijection)."""
+    """Spread every bit over all 64 (a bijection: the finaliser of the public MurmurHash3)."""
     x = x ^ (x >> U(33))
     x *= U(0xFF51AFD7ED558CCD)
     x ^= x >> U(33)
