@@ -254,14 +254,15 @@ def _third(folder: str, bits: int, least: int):
 
 def _union(text: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> pa.Array:
     """Each text's runs of words, united where they touch."""
+    if not len(text):
+        return pa.array([[]] * n, _SPAN)
     order = np.lexsort((start, text))
     text, start, end = text[order], start[order], end[order]
-    far = int(end.max(initial=0)) + 2
-    a, z = text * far + start, np.maximum.accumulate(text * far + end) if len(end) else end
-    new = np.concatenate([[True], a[1:] > z[:-1]]) if len(a) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
+    far = int(end.max()) + 2
+    a, z = text * far + start, np.maximum.accumulate(text * far + end)
+    at = np.flatnonzero(np.concatenate([[True], a[1:] > z[:-1]]))
     last = np.append(at[1:], len(a)) - 1
-    own = text[at] if len(at) else text
+    own = text[at]
     pairs = pa.StructArray.from_arrays([pa.array(start[at], pa.int32()), pa.array(z[last] - own * far, pa.int32())], names=["start", "end"])
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(n + 1)), pa.int32()), pairs)
 

@@ -299,6 +299,51 @@ def test_passages(spark):
         (s,) = got[i].spans
         assert 33 <= s.start and s.end <= 98 and s.end - s.start >= 36  # paragraphs are alike, so some words beside may go along
     assert passages.repeated_passages(docs.limit(0)).count() == 0
+    assert passages.repeated_passages(docs.filter("doc_id < 20")).count() == 0
+
+
+def test_passages_like_brute_force(spark):
+    """Every word that stands in a run of SPAN equal words with another document, known from runs of 50 on; short equal lines with a lower ``least``."""
+    rng = random.Random(51)
+    rows, pool = [], [prose(rng.randint(50, 120), rng).split() for _ in range(12)]
+    for i in range(80):
+        parts = [prose(rng.randint(5, 60), rng).split() for _ in range(rng.randint(1, 4))]
+        for _ in range(rng.randint(0, 2)):
+            p = rng.choice(pool)
+            a = rng.randint(0, len(p) - 50)
+            parts.insert(rng.randint(0, len(parts)), p[a:] if rng.random() < 0.5 else p[: len(p) - a])
+        rows.append((i, "".join(" ".join(p) + rng.choice([" ", " ", "\n"]) for p in parts)))
+    rows.append((5, rows[3][1]))  # a repeated id
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {}
+    for r in passages.repeated_passages(docs).collect():
+        got.setdefault(r.doc_id, []).append({k for s in r.spans for k in range(s.start, s.end)})
+    n, owners = passages.SPAN, {}
+    texts = [(i, words(t)) for i, t in rows]
+    for i, w in texts:
+        for k in range(len(w) - n + 1):
+            owners.setdefault(tuple(w[k : k + n]), set()).add(i)
+    for i, w in texts[:80]:
+        if i == 5:
+            continue
+        own = [k for k in range(len(w) - n + 1) if len(owners[tuple(w[k : k + n])]) > 1]
+        most = {j for k in own for j in range(k, k + n)}
+        # maximal stretches of runs: those of 50 words or more must be whole
+        sure, k = set(), 0
+        while k < len(own):
+            z = k
+            while z + 1 < len(own) and own[z + 1] == own[z] + 1 and owners[tuple(w[own[z + 1] : own[z + 1] + n])] == owners[tuple(w[own[z] : own[z] + n])]:
+                z += 1
+            if own[z] - own[k] + n >= 50:
+                sure |= set(range(own[k], own[z] + n))
+            k = z + 1
+        have = got.get(i, [set()])[0]
+        lines = {j for j in have if j not in most}
+        assert sure <= have, i
+        assert not lines or "\n" in rows[i][1]  # beyond equal runs, only lines that are alike
+    short = [(k, f"{prose(9, rng)}\nthe same line of {k // 2} stands here again and once more today\n{prose(8, rng)}") for k in range(8)]
+    few = passages.repeated_passages(spark.createDataFrame(short, "doc_id long, text string"), least=10).collect()
+    assert {(r.doc_id, r.component_id) for r in few} == {(k, k - k % 2) for k in range(8)}
 
 
 def test_url_filter(spark):
