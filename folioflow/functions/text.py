@@ -6,7 +6,7 @@ The rules for markers differ from use to use; each variant has its own name.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -15,7 +15,21 @@ SYMBOLS_LINK, SYMBOLS_REVIEW = "*†‡§‖¶", "*†‡§¶|"
 BODY_CONSOLIDATE = ("main_text", "chapter_title", "subtitle")
 BODY_REVIEW = ("main_text", "quote", "chapter_title", "subtitle", "table")
 BODY_ASSEMBLE = ("main_text", "quote", "chapter_title", "subtitle")
-NOTES_TITLES = ("notes", "endnotes", "footnotes", "note", "примечания", "сноски", "комментарии", "anmerkungen", "notas")
+#: Headings of notes, by the whole title in lower case; and by its letters alone.
+REGIME_TITLES = ("notes", "notes on text sources", "notes on sources", "notes to the text", "примечания", "примечание", "сноски", "endnotes", "end notes", "references", "annotations")
+NOTES_TITLES = ("notes", "note", "endnotes", "end notes", "references", "annotations", "notes on sources", "notes on text sources", "source notes", "примечания", "сноски")
+#: Marks that may stand behind the end of a sentence, and those that end one.
+CLOSING, TERMINAL = "\"')]}»“”‘’", ".!?…"
+
+
+def flag(df: DataFrame, name: str) -> Column:
+    """A boolean column that may be null or missing."""
+    return F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(False)
+
+
+def plain(c: Column) -> Column:
+    """Without tags, ends stripped."""
+    return strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"<[^>]*>", ""))
 
 
 def strip(c: Column) -> Column:
@@ -74,7 +88,7 @@ def body_numbers(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     sup = F.regexp_extract_all(t, F.lit(r"(?i)<sup>(\d+)</sup>"), F.lit(1))
     usup = F.transform(F.regexp_extract_all(t, F.lit(f"[{USUP}]+"), F.lit(0)), usup_to_digits)
-    return F.transform(F.array_union(sup, usup), lambda x: x.cast("long"))
+    return F.transform(F.filter(F.array_union(sup, usup), lambda x: F.length(x) <= 18), lambda x: x.cast("long"))
 
 
 def body_markers(text: Column) -> Column:
@@ -100,7 +114,6 @@ def count_symbols(text: Column) -> Column:
 #: What begins an entry in a note area.
 ENTRY_CONSOLIDATE = rf"(?:[{USUP}]+|<sup>\d+[a-z]?</sup>|\d+[a-z]?[.\s])"
 ENTRY_RENUMBER = rf"(?:[{USUP}]+|<sup>\d+[a-z]?</sup>|\d+[a-z]?\s)"
-ENTRY_REVIEW = rf"(?:[{USUP}]+|<sup>\d+[a-z]?</sup>|\d+[a-z]?[.\s]|[*†‡§¶|])"
 
 
 def entries(text: Column, start: str = ENTRY_CONSOLIDATE) -> Column:
@@ -109,8 +122,13 @@ def entries(text: Column, start: str = ENTRY_CONSOLIDATE) -> Column:
     return F.filter(F.transform(parts, strip), lambda x: x != "")
 
 
+def raw_entries(text: Column, start: str) -> Column:
+    """Like entries(), with all white space: joined by line feeds these are the text."""
+    return F.split(F.coalesce(text, F.lit("")), rf"(?U)\n(?=\s*{start})")
+
+
 def entries_review(text: Column) -> Column:
-    """Like entries(ENTRY_REVIEW), but inside an entry that began with a symbol, ``N `` begins none.
+    """Lines from one entry start up to the next; inside an entry that began with a symbol, ``N `` begins none.
 
     The fold carries whether the open entry is symbolic.
     """
@@ -133,12 +151,13 @@ def paragraphs(text: Column) -> Column:
 
 
 def repair_hyphens(text: Column) -> Column:
-    """A hyphen before white space inside a word goes."""
-    return F.regexp_replace(text, r"(?U)(\w)-[ \t\n]+(\w)", "$1$2")
+    """A hyphen inside a word goes if white space, a low quote or its look-alikes (,, and -,) follow, and these with it."""
+    return F.regexp_replace(text, r"(?U)(\w)-(?=[ \t\n]|„|,,|-,)[ \t\n]*(?:„|,,|-,)?[ \t]*(\w)", "$1$2")
 
 
 def space_before_marks(text: Column) -> Column:
-    return F.regexp_replace(text, r"[ \t]+([,;])", "$1")
+    """Spaces between a word and a comma or semicolon go."""
+    return F.regexp_replace(text, r"(?U)(\w) +([,;])", "$1$2")
 
 
 def join_hyphen(a: Column, b: Column) -> Column:
@@ -147,11 +166,9 @@ def join_hyphen(a: Column, b: Column) -> Column:
     return F.when(a == "", b).when(b == "", a).when(a.endswith("-"), F.concat(F.expr("''"), F.substring(a, F.lit(1), F.length(a) - 1), b)).otherwise(F.concat(a, F.lit(" "), b))
 
 
-def revert_bad_sups(text: Column, rounds: int = 6) -> Column:
-    """``<sup>1</sup>898`` -> ``1898``, again and again (as far as rounds reach)."""
-    for _ in range(rounds):
-        text = F.regexp_replace(text, r"<sup>(\d+)</sup>(?=\d)", "$1")
-    return text
+def revert_bad_sups(text: Column) -> Column:
+    """``<sup>1</sup>898`` -> ``1898``; so do all in a row that a digit follows."""
+    return F.regexp_replace(text, r"(?U)<sup>(\d+)</sup>(?=(?:<sup>\d+</sup>)*\d)", "$1")
 
 
 def first_words(text: Column, n: int = 10) -> Column:
@@ -184,7 +201,8 @@ def normalise_leader(text: Column) -> Column:
 
 
 def letters_only(text: Column) -> Column:
-    return strip(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\s]", "")))
+    """Latin and Russian letters and white space, in lower case."""
+    return F.lower(strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[^a-zA-Zа-яёА-ЯЁ\s]", "")))
 
 
 def is_notes_title(text: Column) -> Column:
@@ -192,20 +210,27 @@ def is_notes_title(text: Column) -> Column:
 
 
 def is_all_caps(text: Column) -> Column:
-    letters = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}]", "")
+    """No lower-case letter, and a letter or digit."""
+    letters = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\W", "")
     return (letters != "") & (letters == F.upper(letters))
 
 
 def is_lone_number(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(r"^\s*(?:\d{1,3}|[IVXLCDMivxlcdm]{1,7})\.?\s*$")
+    return strip(F.coalesce(text, F.lit(""))).rlike(r"(?U)^(?:\d+|[IVXLCDM]+)\.?$")
 
 
 def looks_cut(text: Column) -> Column:
-    """Whether a paragraph goes on: without closing tags and quotes it doesn't end in . ! ? or an ellipsis."""
-    t = strip(F.coalesce(text, F.lit("")))
-    for _ in range(3):
-        t = F.regexp_replace(t, r"(?:<([a-z]+)>[^<]*</\1>|</?[a-z]+>)\s*$", "")
-    t = F.regexp_replace(t, r"[\"'”’»)\]\s]+$", "")
+    """Whether a paragraph goes on: without the elements, tags and closing marks behind it, it doesn't end in . ! ? or an ellipsis."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+$", "")
+
+    def step(t: Column, _: Column) -> Column:
+        t = F.regexp_replace(t, r"(?U)<\w+>[^<]*</\w+>\s*$|\s+$", "")
+        return F.regexp_replace(F.regexp_replace(t, r"(?U)\s+$", ""), r"(?U)<[^>]+>\s*$|\s+$", "")
+
+    # a round that changes anything takes a tag away: as many rounds as there are tags reach the end
+    tags = F.length(t) - F.length(F.replace(t, F.lit("<"), F.lit("")))
+    t = F.when(t.endswith(">"), F.aggregate(F.sequence(F.lit(0), tags), t, lambda t, i: F.regexp_replace(step(t, i), r"(?U)\s+$", ""))).otherwise(t)
+    t = F.regexp_replace(t, r"[\"')\]}»“”‘’]+$", "")
     return (t != "") & ~t.rlike(r"[.!?…]$")
 
 

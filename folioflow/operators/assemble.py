@@ -25,25 +25,46 @@ def _near(df: DataFrame, value: str, out: str, back: bool) -> DataFrame:
     return carry_forward(df, value, out, BOOK, ["_p", "_a"], inclusive=False).drop("_p", "_a")
 
 
+def emitted(areas: DataFrame) -> DataFrame:
+    """Areas of active pages that become elements of the body."""
+    text = (F.col("type").isin("main_text", "chapter_title", "subtitle", "quote", "title_page")) & (T.strip(F.coalesce("text", F.lit(""))) != "")
+    table = (F.col("type") == "table") & (F.coalesce(F.col("table_html"), F.lit("")) != "") if "table_html" in areas.columns else F.lit(False)
+    return areas.filter(~F.coalesce("ignored", F.lit(False)) & (text | table | ((F.col("type") == "illustration") & F.col("illustration_id").isNotNull())))
+
+
+def _joined(a: Column, b: Column) -> Column:
+    """Two titles as one: a point between them unless there is one."""
+    return F.concat(a, F.when(a.endswith("."), " ").otherwise(". "), b)
+
+
 def merge_split_titles(areas: DataFrame) -> DataFrame:
-    """Title areas; a lone number and the title right after it are one."""
-    on = areas.filter(~F.coalesce("ignored", F.lit(False)) & F.col("text").isNotNull())
-    a = on.withColumn("_v", F.struct("type", "text"))
+    """Title areas; a lone number (or upper-case roman) and the title right after it are one.
+
+    Of lone numbers in a row the first takes the second, the third the fourth.
+    """
+    a = emitted(areas).withColumn("_v", F.struct("type", "text"))
     a = _near(_near(a, "_v", "prev", True), "_v", "next", False)
     title = F.col("type") == "chapter_title"
-    lone = T.is_lone_number(F.col("text"))
-    takes = title & lone & (F.col("next.type") == "chapter_title") & ~T.is_lone_number(F.col("next.text"))
-    taken = title & ~lone & (F.col("prev.type") == "chapter_title") & T.is_lone_number(F.col("prev.text"))
-    text = F.when(F.coalesce(takes, F.lit(False)), F.concat_ws(" ", T.strip(F.col("text")), T.strip(F.col("next.text")))).otherwise(F.col("text"))
-    return a.filter(title & ~F.coalesce(taken, F.lit(False))).select(*PAGE, "area_pos", text.alias("text"), F.coalesce(takes, F.lit(False)).alias("merged"))
+    lone = title & T.is_lone_number(F.col("text"))
+    after = F.coalesce((F.col("prev.type") == "chapter_title") & T.is_lone_number(F.col("prev.text")), F.lit(False))
+    a = a.withColumns({"_lone": lone, "_at": F.when(~(lone & after), F.struct(*ORDER)), "_one": F.lit(1)})
+    a = running_sum(a.withColumn("_one", F.lit(1)), "_one", "_nth", BOOK, ORDER)
+    a = carry_forward(a.withColumn("_begin", F.when(F.col("_at").isNotNull(), F.col("_nth"))), "_begin", "_run", BOOK, ORDER)
+    even = (F.col("_nth") - F.col("_run")) % 2 == 0
+    takes = F.col("_lone") & even & F.coalesce(F.col("next.type") == "chapter_title", F.lit(False))
+    a = carry_forward(a.withColumn("_took", takes), "_took", "_taken", BOOK, ORDER, inclusive=False)
+    taken = F.col("_taken") & title
+    own = T.plain(F.col("text"))
+    text = F.when(F.col("_took"), _joined(own, T.plain(F.col("next.text")))).otherwise(F.col("text"))
+    return a.filter(title & ~F.coalesce(taken, F.lit(False))).select(*PAGE, "area_pos", text.alias("text"), F.col("_took").alias("merged"))
 
 
 def absorb_all_caps(areas: DataFrame) -> DataFrame:
-    """Titles with the all-capitals paragraph that follows them."""
-    on = areas.filter(~F.coalesce("ignored", F.lit(False)) & F.col("text").isNotNull())
-    a = _near(on.withColumn("_v", F.struct("type", "text")), "_v", "next", False)
-    caps = F.coalesce((F.col("next.type") == "main_text") & T.is_all_caps(F.col("next.text")), F.lit(False))
-    text = F.when(caps, F.concat_ws(" ", T.strip(F.col("text")), T.strip(F.col("next.text")))).otherwise(F.col("text"))
+    """Titles with the all-capitals paragraph (digits may stand in it) that follows them."""
+    a = _near(emitted(areas).withColumn("_v", F.struct("type", "text")), "_v", "next", False)
+    first = T.plain(F.replace(F.get(F.filter(T.paragraphs(T.strip(F.col("next.text"))), lambda p: T.strip(p) != ""), F.lit(0)), F.lit("\n"), F.lit(" ")))
+    caps = F.coalesce((F.col("next.type") == "main_text") & T.is_all_caps(first), F.lit(False))
+    text = F.when(caps, _joined(T.plain(F.col("text")), first)).otherwise(F.col("text"))
     return a.filter(F.col("type") == "chapter_title").select(*PAGE, "area_pos", text.alias("text"), caps.alias("absorbed"))
 
 
@@ -77,10 +98,10 @@ def to_html(kind: Column, text: Column, id: Column | None = None) -> Column:
 
 
 def html_text(c: Column) -> Column:
-    """Plain text of inline HTML: <sup>x</sup> as [x], backlinks and tags dropped, references decoded."""
-    t = F.regexp_replace(c, r"<a[^>]*class=\"backlink\"[^>]*>.*?</a>", "")
-    t = F.regexp_replace(t, r"(?i)<sup>(.*?)</sup>", "[$1]")
-    t = F.regexp_replace(t, r"(?i)<br\s*/?>", "\n")
+    """Plain text of inline HTML: <sup>x</sup> as [x] (nothing if blank), backlinks and tags dropped, references decoded."""
+    t = F.regexp_replace(c, r"(?s)<a[^>]*class=\"backlink\"[^>]*>.*?</a>", "")
+    t = F.regexp_replace(t, r"(?is)<sup[^>]*>\s*(?:<[^>]*>\s*)*</sup>", "")
+    t = F.regexp_replace(t, r"(?is)<sup[^>]*>\s*(.*?)\s*</sup>", "[$1]")
     t = F.regexp_replace(t, r"<[^>]*>", "")
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
         t = F.replace(t, F.lit(a), F.lit(b))
@@ -88,17 +109,23 @@ def html_text(c: Column) -> Column:
 
 
 def to_txt(elements: DataFrame) -> DataFrame:
-    """Elements (book, pos, kind, text) as one plain text per book: # titles, ## subtitles, paragraphs, ## Footnotes.
+    """Elements (book, pos, kind, text) as one plain text per book: # title, ## chapters, ### subtitles, paragraphs; --- and ## Footnotes.
 
-    Quotes, tables and title pages are not exported.
+    Quotes, tables and title pages are not exported. A text ends in one line feed.
     """
     e = elements.filter(F.col("kind").isin("book", "chapter_title", "subtitle", "paragraph", "figure", "note"))
-    t = html_text(F.col("text"))
-    line = F.when(F.col("kind") == "book", F.concat(F.lit("# "), t)).when(F.col("kind") == "chapter_title", F.concat(F.lit("## "), t)).when(F.col("kind") == "subtitle", F.concat(F.lit("### "), t)).when(F.col("kind") == "figure", F.concat(F.lit("[Illustration: "), t, F.lit("]"))).otherwise(t)
-    first = (F.col("kind") == "note") & (F.row_number().over(Window.partitionBy("book", F.col("kind") == "note").orderBy("pos")) == 1)
-    line = F.when(first, F.concat(F.lit("## Footnotes\n\n"), line)).otherwise(line)
-    joined = e.withColumn("line", line).groupBy("book").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
-    return joined.select("book", F.regexp_replace(F.array_join(F.col("l.line"), "\n\n"), r"\n{3,}", "\n\n").alias("text"))
+    t = T.strip(html_text(F.col("text")))
+    flow = F.regexp_replace(F.regexp_replace(t, r"[ \t]*\n[ \t]*", " "), " {2,}", " ")
+    kind = F.col("kind")
+    line = (
+        F.when(kind == "book", F.concat(F.lit("# "), t)).when(kind == "chapter_title", F.concat(F.lit("## "), t)).when(kind == "subtitle", F.concat(F.lit("### "), t))
+        .when(kind == "figure", F.when(t != "", F.concat(F.lit("[Illustration: "), t, F.lit("]"))).otherwise("[Illustration]")).when(kind == "note", T.squeeze(t)).otherwise(flow)
+    )
+    e = e.withColumn("line", line).filter("line != ''").groupBy("book").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "line"))).alias("l"))
+    notes, rest = F.filter("l", lambda x: x["kind"] == "note"), F.filter("l", lambda x: x["kind"] != "note")
+    lines = lambda x: F.transform(x, lambda y: y["line"])
+    every = F.concat(lines(rest), F.when(F.size(notes) > 0, F.concat(F.array(F.lit("---"), F.lit("## Footnotes")), lines(notes))).otherwise(F.array().cast("array<string>")))
+    return e.select("book", F.concat(T.strip(F.regexp_replace(F.array_join(every, "\n\n"), r"\n{3,}", "\n\n")), F.lit("\n")).alias("text"))
 
 
 def headings(pages: DataFrame, level: int = 1) -> DataFrame:

@@ -13,7 +13,7 @@ PAGE = ["book", "page_idx"]
 def split_packed(areas: DataFrame) -> DataFrame:
     """Note areas by entries; those of more than one become children _s1, _s2 ... Forced continuations stay whole."""
     notes = areas.filter(F.col("type") == "footnote")
-    whole = F.when(F.coalesce("override", F.lit(False)), F.array("text")).otherwise(T.entries(F.col("text")))
+    whole = F.when(T.flag(areas, "override") | T.flag(areas, "consolidated"), F.array("text")).otherwise(T.entries(F.col("text")))
     e = notes.withColumn("e", whole).select(*PAGE, "area_pos", F.size("e").alias("n"), F.posexplode("e").alias("k", "text"))
     child = F.concat(F.lit("area_"), F.col("area_pos").cast("string"), F.when(F.col("n") > 1, F.concat(F.lit("_s"), (F.col("k") + 1).cast("string"))).otherwise(""))
     return e.select(*PAGE, "area_pos", child.alias("id"), "text")
@@ -41,7 +41,7 @@ def normalise_notes(areas: DataFrame) -> DataFrame:
     at lines whose number is larger than the last that split, at lines with a
     symbol. Children are numbered in order.
     """
-    held = F.coalesce("override", F.lit(False))
+    held = T.flag(areas, "override") | T.flag(areas, "consolidated")
     text = F.when(F.col("type").isin(*T.BODY_CONSOLIDATE), T.normalise_body(F.col("text"))).when((F.col("type") == "footnote") & ~held, T.normalise_leader(F.col("text"))).otherwise(F.col("text"))
     a = areas.withColumn("text", text).withColumn("_split", (F.col("type") == "footnote") & ~held)
     inline = lambda t: F.filter(F.transform(F.split(T.strip(t), r"(?i)(?=<sup>\d+</sup>)"), lambda p: T.strip(F.regexp_replace(p, r"(?i)^<sup>(\d+)</sup>", "$1 "))), lambda p: p != "")

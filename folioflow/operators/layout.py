@@ -36,42 +36,120 @@ def scale(v: Column, size: Column, mode: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.when(mode, F.bround(v * size / 1000.0)).otherwise(v).cast("long"), size))
 
 
+def _sized(areas: DataFrame, width: int) -> DataFrame:
+    """Areas with their box as it is read (``_x0`` ...) and the page's reading width ``_w``; pages without size are ``width`` wide.
+
+    ``page_w``, ``page_h`` and ``rotation`` are looked at where they are there.
+    """
+    has = lambda c, d: F.coalesce(F.col(c), F.lit(d)) if c in areas.columns else F.lit(d)
+    w, h, turn = has("page_w", width), has("page_h", width), has("rotation", 0)
+    (ax, ay), (bx, by) = (rotate(F.col(x), F.col(y), turn, w, h) for x, y in (("x0", "y0"), ("x1", "y1")))
+    box = {"_x0": F.least(ax, bx), "_x1": F.greatest(ax, bx), "_y0": F.least(ay, by), "_y1": F.greatest(ay, by)}
+    return areas.withColumns(box | {"_w": F.when(turn.isin(90, 270), h).otherwise(w), "_cx": (F.least(ax, bx) + F.greatest(ax, bx)) / 2})
+
+
 def two_columns(areas: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per page: whether main texts overlap in height on both sides of the middle, or a side illustration faces text.
 
-    An area on the left overlaps one on the right only if some left one begins
-    before a right one ends, and so on; pages are small, so the pairs stay in
-    the page's own arrays.
+    Pages are small, so the pairs stay in the page's own arrays.
     """
-    a = areas.filter(F.col("type").isin("main_text", "illustration", "chapter_title", "subtitle"))
-    box = F.struct("type", "y0", "y1", ((F.col("x0") + F.col("x1")) / 2).alias("cx"))
+    a = _sized(areas, width).filter(F.col("type").isin("main_text", "illustration", "chapter_title", "subtitle"))
+    box = F.struct("type", F.col("_y0").alias("y0"), F.col("_y1").alias("y1"), F.col("_cx").alias("cx"), "_w")
     p = areas.select(*PAGE).distinct().join(a.groupBy(*PAGE).agg(F.collect_list(box).alias("b")), PAGE, "left")
-    mid = width / 2
     over = lambda s, t: (s["y0"] < t["y1"]) & (t["y0"] < s["y1"])
     main = F.filter("b", lambda s: s["type"] == "main_text")
-    left, right = F.filter(main, lambda s: s["cx"] < mid), F.filter(main, lambda s: s["cx"] > mid)
+    left, right = F.filter(main, lambda s: s["cx"] < s["_w"] / 2), F.filter(main, lambda s: s["cx"] > s["_w"] / 2)
     texts = F.exists(left, lambda s: F.exists(right, lambda t: over(s, t)))
-    pics = F.filter("b", lambda s: (s["type"] == "illustration") & (F.abs(s["cx"] - mid) > width * 0.1))
-    faced = F.exists(pics, lambda s: F.exists(F.filter("b", lambda t: t["type"] != "illustration"), lambda t: over(s, t) & ((s["cx"] < mid) != (t["cx"] < mid))))
+    pics = F.filter("b", lambda s: (s["type"] == "illustration") & (F.abs(s["cx"] - s["_w"] / 2) >= s["_w"] * 0.1))
+    faced = F.exists(pics, lambda s: F.exists(F.filter("b", lambda t: t["type"] != "illustration"), lambda t: over(s, t) & ((s["cx"] < s["_w"] / 2) != (t["cx"] < s["_w"] / 2))))
     return p.select(*PAGE, F.coalesce(texts | faced, F.lit(False)).alias("two_columns"))
 
 
-def reading_order(areas: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Areas with their rank on the page.
+def ranked(areas: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Areas with ``reading_pos``, their rank on the page.
 
     One column: by top, then centre. Two: what stands above the first narrow
     main text (side illustrations apart), then the left column, then the right,
-    each by top. Ties keep their place in the list.
+    each by top; without a narrow main text nothing stands above. Ties keep
+    their place in the list, and so do areas without a box.
     """
-    a = areas.join(two_columns(areas, width), PAGE)
-    narrow = (F.col("type") == "main_text") & ((F.col("x1") - F.col("x0")) <= width * 0.65)
-    a = a.withColumn("_top", F.min(F.when(narrow, F.col("y0"))).over(Window.partitionBy(*PAGE)))
-    cx = (F.col("x0") + F.col("x1")) / 2
-    side = (F.col("type") == "illustration") & (F.abs(cx - width / 2) > width * 0.1)
-    zone = F.when(~F.col("two_columns"), 0).when((F.col("y0") < F.coalesce("_top", F.lit(1 << 30))) & ~side, 0).when(cx < width / 2, 1).otherwise(2)
-    tie = F.when(~F.col("two_columns"), cx).otherwise(0.0)
-    rank = F.row_number().over(Window.partitionBy(*PAGE).orderBy(zone, "y0", tie, "area_pos"))
-    return a.select(*PAGE, "area_pos", "two_columns", rank.cast("long").alias("reading_pos"))
+    a = _sized(areas.join(two_columns(areas, width), PAGE), width)
+    narrow = (F.col("type") == "main_text") & ((F.col("_x1") - F.col("_x0")) <= F.col("_w") * 0.65)
+    a = a.withColumn("_top", F.min(F.when(narrow, F.col("_y0"))).over(Window.partitionBy(*PAGE)))
+    side = (F.col("type") == "illustration") & ((F.col("_x1") - F.col("_x0")) <= F.col("_w") * 0.65) & (F.abs(F.col("_cx") - F.col("_w") / 2) > F.col("_w") * 0.1)
+    above = (F.col("_y0") < F.coalesce("_top", F.lit(0))) & ~side
+    zone = F.when(~F.col("two_columns"), 0).when(above, 0).when(F.col("_cx") < F.col("_w") / 2, 1).otherwise(2)
+    tie = F.when(~F.col("two_columns"), F.col("_cx")).otherwise(0.0)
+    rank = F.row_number().over(Window.partitionBy(*PAGE).orderBy(zone, "_y0", tie, "area_pos"))
+    return a.withColumn("reading_pos", rank.cast("long")).drop("_x0", "_x1", "_y0", "_y1", "_w", "_cx", "_top")
+
+
+def reading_order(areas: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Areas' keys with their rank on the page."""
+    return ranked(areas, width).select(*PAGE, "area_pos", "two_columns", "reading_pos")
+
+
+def in_order(areas: DataFrame) -> DataFrame:
+    """Areas with ``reading_pos``: their rank, or their place in the list where they have no boxes."""
+    return ranked(areas) if "x0" in areas.columns else areas.withColumn("reading_pos", F.col("area_pos"))
+
+
+def top_order(areas: DataFrame) -> DataFrame:
+    """Areas with ``reading_pos`` by their top edge alone, those without a box last (as pages of endnotes are read)."""
+    top = F.coalesce(F.col("y0"), F.lit(999999)) if "y0" in areas.columns else F.lit(0)
+    return areas.withColumn("reading_pos", F.row_number().over(Window.partitionBy(*PAGE).orderBy(top, "area_pos")).cast("long"))
+
+
+def rotated_box(x0: Column, y0: Column, x1: Column, y1: Column, rotation: Column, w: Column, h: Column) -> Column:
+    """The box as the reader sees it, in the order x0, x1, y0, y1."""
+    (ax, ay), (bx, by) = rotate(x0, y0, rotation, w, h), rotate(x1, y1, rotation, w, h)
+    return F.struct(F.least(ax, bx).alias("x0"), F.greatest(ax, bx).alias("x1"), F.least(ay, by).alias("y0"), F.greatest(ay, by).alias("y1"))
+
+
+def content_box(c: Column) -> Column:
+    """(left, top, right, bottom); null if any of them is missing."""
+    sides = [c[k] for k in ("left", "top", "right", "bottom")]
+    whole = sides[0].isNotNull()
+    for x in sides[1:]:
+        whole = whole & x.isNotNull()
+    return F.when(whole, F.struct(*[x.alias(k) for x, k in zip(sides, ("left", "top", "right", "bottom"), strict=True)]))
+
+
+def rotated_content_box(c: Column, rotation: Column, w: Column, h: Column) -> Column:
+    """A content box of the raw page in the page turned clockwise by 90, 180 or 270 degrees."""
+    x0, y0, x1, y1 = (c[k] for k in ("left", "top", "right", "bottom"))
+    at = lambda a, b, d, e: F.struct(a.alias("left"), b.alias("top"), d.alias("right"), e.alias("bottom"))
+    return F.when(rotation == 90, at(h - y1, x0, h - y0, x1)).when(rotation == 180, at(w - x1, h - y1, w - x0, h - y0)).when(rotation == 270, at(y0, w - x1, y1, w - x0)).otherwise(at(x0, y0, x1, y1))
+
+
+def effective_rotation(pages: DataFrame) -> Column:
+    """What later steps must turn a page by: its own setting, never the turn that is in the image already."""
+    return F.coalesce(F.col("rotation"), F.lit(0)) if "rotation" in pages.columns else F.lit(0)
+
+
+def reading_size(w: Column, h: Column, rotation: Column) -> tuple[Column, Column]:
+    """Width and height as the reader sees them."""
+    turned = rotation.isin(90, 270)
+    return F.when(turned, h).otherwise(w), F.when(turned, w).otherwise(h)
+
+
+def crop_box(polygon: Column, skew: Column, w: Column, h: Column) -> Column:
+    """Where to crop a polygon from a page deskewed about its centre: the turned corners' box within the polygon's own."""
+    own = bbox(polygon)
+    a = F.radians(skew)
+    turned = F.transform(polygon, lambda p: F.array(F.cos(a) * (p[0] - w / 2) + F.sin(a) * (p[1] - h / 2) + w / 2, -F.sin(a) * (p[0] - w / 2) + F.cos(a) * (p[1] - h / 2) + h / 2))
+    x, y = F.transform(turned, lambda p: F.bround(p[0])), F.transform(turned, lambda p: F.bround(p[1]))
+    cut = F.struct(
+        F.greatest(F.array_min(x), own["x0"].cast("double")).cast("long").alias("x0"), F.greatest(F.array_min(y), own["y0"].cast("double")).cast("long").alias("y0"),
+        F.least(F.array_max(x), own["x1"].cast("double")).cast("long").alias("x1"), F.least(F.array_max(y), own["y1"].cast("double")).cast("long").alias("y1"),
+    )
+    plain = F.struct(*[own[k].cast("long").alias(k) for k in ("x0", "y0", "x1", "y1")])
+    return F.when(F.coalesce(skew, F.lit(0.0)) == 0, plain).otherwise(cut)
+
+
+def page_point(v: Column, span: Column, size: Column, left: Column) -> Column:
+    """A model's coordinate on a crop, in page pixels: clamped to the model's span, scaled to the crop's size, moved by its offset."""
+    return (F.bround(F.greatest(F.lit(0), F.least(span, v)) * size / span) + left).cast("long")
 
 
 def clip_candidates(areas: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
@@ -20,7 +20,7 @@ def captions(areas: DataFrame) -> DataFrame:
 
 
 def caption_moves(areas: DataFrame) -> DataFrame:
-    """Captions marked <<< or >>>, with the page and illustration they move to.
+    """Captions with <<< (first) or >>> in them, with the page and illustration they move to; the mark goes, a blank caption is null.
 
     The k-th move into a page takes its k-th illustration that no caption is
     linked to. Moves from ignored pages, into ignored pages or without an
@@ -30,17 +30,18 @@ def caption_moves(areas: DataFrame) -> DataFrame:
     pages = pages.withColumn("at", F.struct("page_idx", "ignored"))
     pages = carry_forward(pages, "at", "before", BOOK, ["page_idx"], inclusive=False)
     pages = carry_forward(pages.withColumn("_b", -F.col("page_idx")), "at", "after", BOOK, ["_b"], inclusive=False).drop("_b")
-    back, on = F.col("text").startswith("<<<"), F.col("text").startswith(">>>")
+    back, on = F.col("text").contains("<<<"), F.col("text").contains(">>>")
     caps = areas.filter((F.col("type") == "illustration_caption") & (back | on)).join(pages.select(*PAGE, F.col("ignored").alias("off"), "before", "after"), PAGE)
-    to = F.when(F.col("text").startswith("<<<"), F.col("before")).otherwise(F.col("after"))
+    to = F.when(F.col("text").contains("<<<"), F.col("before")).otherwise(F.col("after"))
     caps = caps.withColumn("to", to).withColumn("to_page", F.when(~F.col("off") & ~F.col("to.ignored"), F.col("to.page_idx")))
     w = Window.partitionBy("book", "to_page").orderBy(*ORDER)
     caps = caps.withColumn("k", F.when(F.col("to_page").isNotNull(), F.row_number().over(w)))
     linked = areas.filter(F.col("type") == "illustration_caption").select(*PAGE, F.col("linked_illustration_id").alias("illustration_id")).dropna()
-    free = areas.filter(F.col("type") == "illustration").join(linked, [*PAGE, "illustration_id"], "left_anti")
+    free = areas.filter((F.col("type") == "illustration") & (F.coalesce("illustration_id", F.lit("")) != "")).join(linked, [*PAGE, "illustration_id"], "left_anti")
     free = free.withColumn("k", F.row_number().over(Window.partitionBy(*PAGE).orderBy("area_pos"))).select("book", F.col("page_idx").alias("to_page"), "k", F.col("illustration_id").alias("to_illustration"))
     out = caps.join(free, ["book", "to_page", "k"], "left")
-    text = T.strip(F.regexp_replace("text", r"<<<|>>>", ""))
+    text = T.strip(F.when(F.col("text").contains("<<<"), F.replace("text", F.lit("<<<"))).otherwise(F.replace("text", F.lit(">>>"))))
+    text = F.when(text != "", text)
     return out.select(*PAGE, "area_pos", F.when(F.col("to_illustration").isNotNull(), F.col("to_page")).alias("to_page"), "to_illustration", text.alias("caption"))
 
 
@@ -134,27 +135,50 @@ def owner_markers(areas: DataFrame) -> DataFrame:
 
 
 def zones(areas: DataFrame) -> DataFrame:
-    """Areas of active pages with their zone: a Notes heading opens a notes zone, a numbered title a body zone."""
+    """Areas of active pages with their zone: a Notes title opens a notes zone, any other chapter title a body zone."""
     on = areas.filter(~F.coalesce("ignored", F.lit(False)))
-    title = F.col("type").isin("chapter_title", "subtitle")
-    kind = F.when(title & T.is_notes_title(F.col("text")), "notes").when((F.col("type") == "chapter_title") & T.chapter_number(F.col("text")).isNotNull(), "body")
+    title = F.col("type") == "chapter_title"
+    kind = F.when(title & T.is_notes_title(F.col("text")), "notes").when(title, "body")
     on = on.withColumn("_k", kind).withColumn("_one", F.col("_k").isNotNull().cast("int"))
     on = carry_forward(on, "_k", "zone", BOOK, ORDER)
     return running_sum(on, "_one", "section", BOOK, ORDER).withColumn("zone", F.coalesce("zone", F.lit("body"))).drop("_k", "_one")
 
 
+#: What begins an entry of endnotes: a line with a number, maybe in tags, and maybe a point. Pages' lines end in \\n alone.
+ENTRY_LINE = r"(?md)^\s*(?:<[^>]+>)*\s*(\d+)\.?\s*(?:</[^>]+>)*\.?\s"
+
+
+def entry_numbers(text: Column) -> Column:
+    """Numbers of all entry lines of a text, in order."""
+    n = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ENTRY_LINE), F.lit(1))
+    return F.transform(F.filter(n, lambda x: F.length(x) <= 18), lambda x: x.cast("long"))
+
+
 def endnotes_start(areas: DataFrame, ahead: int = 3) -> DataFrame:
-    """Per book: the first page, from a third of the book on, that a title calls notes and that entries follow within some pages."""
-    entry = F.col("text").rlike(r"(?U)^\s*\d{1,3}\.?\s")
+    """Per book: the first page, from a third of the book on, where the endnotes begin.
+
+    It has a chapter title. In the pages after it (``ahead`` of them, ignored
+    ones too) numbered subtitles and entry lines follow; if the title holds a
+    notes word, one of the two is enough.
+    """
+    text = F.coalesce("text", F.lit(""))
+    title = F.col("type") == "chapter_title"
+    low = F.lower(F.replace(text, F.lit("\n"), F.lit(" ")))
+    hint = F.lit(False)
+    for word in T.NOTES_TITLES:
+        hint = hint | low.contains(word)
     p = areas.groupBy(*PAGE).agg(
-        F.max((F.col("type") == "chapter_title") & F.lower(F.coalesce("text", F.lit(""))).contains("note")).alias("hint"),
-        F.max((F.col("type") == "footnote") & F.coalesce(entry, F.lit(False))).alias("entries"),
+        F.max(title).alias("title"),
+        F.max(title & hint).alias("hint"),
+        F.max((F.col("type") == "subtitle") & text.rlike(r"(?U)^\s*\d+\.\s")).alias("numbered"),
+        F.max((F.col("type") == "main_text") & text.rlike(ENTRY_LINE)).alias("entries"),
     ).withColumn("one", F.lit(1))
     p = running_sum(p, "one", "nth", BOOK, ["page_idx"])
-    hints = p.filter("hint").select("book", "page_idx", "nth")
-    follow = p.filter("entries").select("book", F.explode(F.sequence(F.col("nth") - ahead, F.col("nth"))).alias("nth")).distinct()
+    seen = lambda c: p.filter(c).select("book", F.explode(F.sequence(F.col("nth") - ahead, F.col("nth") - 1)).alias("nth")).distinct().withColumn(f"_{c}", F.lit(True))
     size = p.groupBy("book").agg(F.count("*").alias("pages"))
-    good = hints.join(follow, ["book", "nth"], "left_semi").join(size, "book").filter("nth > pages DIV 3")
+    own = p.filter("title").select("book", "page_idx", "nth", "hint").join(seen("numbered"), ["book", "nth"], "left").join(seen("entries"), ["book", "nth"], "left").join(size, "book")
+    n, e = F.coalesce("_numbered", F.lit(False)), F.coalesce("_entries", F.lit(False))
+    good = own.filter("nth > pages DIV 3").filter((n & e) | (F.col("hint") & (n | e)))
     return size.join(good.groupBy("book").agg(F.min("page_idx").alias("start")), "book", "left").select("book", "pages", "start")
 
 

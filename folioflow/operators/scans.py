@@ -7,7 +7,9 @@ of each block takes part in the window over the book.
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,12 +18,18 @@ BLOCK = 512
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Written once to the shared checkpoint folder: what follows reads it twice without making it twice."""
+    """Made once, as a table in the shared checkpoint folder: what follows reads it twice, and lineage ends here."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        # a folder of our own only where none is named: local runs
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioflow-"))
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="folioflow-")
+        spark.sparkContext.setCheckpointDir(folder)
+    folder = folder if ":" in folder else "file://" + os.path.abspath(folder)
+    path = f"{folder}/folioflow/scan-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _blocked(df: DataFrame, order: str) -> DataFrame:

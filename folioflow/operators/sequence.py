@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
+from folioflow.operators.layout import in_order
 from folioflow.operators.scans import carry_forward, running_max_before, running_sum
 
 BOOK, PAGE, ORDER = ["book"], ["book", "page_idx"], ["page_idx", "area_pos"]
@@ -39,7 +40,7 @@ def note_heads(areas: DataFrame) -> DataFrame:
     pages = pages_of(areas)
     pages = pages.withColumn("breaks", (F.col("ignored") | ~F.col("has_notes")).cast("int"))
     pages = running_sum(pages, "breaks", "chain", BOOK, ["page_idx"]).filter("breaks = 0")
-    notes = areas.filter((F.col("type") == "footnote") & (T.strip(F.coalesce("text", F.lit(""))) != ""))
+    notes = areas.filter((F.col("type") == "footnote") & ~T.flag(areas, "consolidated") & (T.strip(F.coalesce("text", F.lit(""))) != ""))
     notes = notes.join(pages.select(*PAGE, "chain"), PAGE).join(page_bodies(areas), PAGE, "left")
     lead = T.leading_consolidate(F.col("text"))
     goes_on = F.coalesce(F.col("override"), lead.isNull() | ~F.coalesce(F.array_contains("body", lead), F.lit(False)))
@@ -85,119 +86,155 @@ def wrap_orphans(areas: DataFrame) -> DataFrame:
     return body.withColumn("new_text", new).filter("new_text != text").select(*PAGE, "area_pos", "text", "new_text")
 
 
-def renumbering(areas: DataFrame) -> DataFrame:
+def renumbering(areas: DataFrame, start: int = 1) -> DataFrame:
     """(book, page_idx, old, new): numbers of entries that the page's body has, counted on through the book.
 
-    Ignored pages take part. Numbers go by first occurrence on the page.
+    Here ``N.`` is no leader. Ignored pages take part. Numbers go by first
+    occurrence on the page.
     """
-    notes = areas.filter(F.col("type") == "footnote").select(*PAGE, "area_pos", F.posexplode(T.entries(F.col("text"))).alias("k", "e"))
-    found = notes.select(*PAGE, F.struct("area_pos", "k").alias("at"), T.leading_consolidate(F.col("e")).alias("old")).dropna()
+    notes = areas.filter(F.col("type") == "footnote").select(*PAGE, "area_pos", F.posexplode(T.raw_entries(F.col("text"), T.ENTRY_RENUMBER)).alias("k", "e"))
+    found = notes.select(*PAGE, F.struct("area_pos", "k").alias("at"), T.leading_renumber(F.col("e")).alias("old")).dropna()
     found = found.groupBy(*PAGE, "old").agg(F.min("at").alias("at"))
     body = areas.filter(F.col("type").isin(*T.BODY_CONSOLIDATE)).select(*PAGE, F.explode(T.body_numbers(F.col("text"))).alias("old"))
     found = found.join(body, [*PAGE, "old"], "left_semi").withColumn("one", F.lit(1))
-    return running_sum(found, "one", "new", BOOK, ["page_idx", "at"]).select(*PAGE, "old", F.col("new").cast("long"))
+    return running_sum(found, "one", "new", BOOK, ["page_idx", "at"]).select(*PAGE, "old", (F.col("new") + (start - 1)).cast("long").alias("new"))
 
 
-def renumber(areas: DataFrame) -> DataFrame:
-    """Areas whose markers or leaders change, with their new text."""
-    maps = renumbering(areas).groupBy(*PAGE).agg(F.map_from_entries(F.collect_list(F.struct(F.col("old").cast("string"), F.col("new").cast("string")))).alias("m"))
+def renumber(areas: DataFrame, start: int = 1) -> DataFrame:
+    """Areas whose markers or leaders change, with their new text. Each number keeps its form: plain, <sup>, superscript."""
+    maps = renumbering(areas, start).groupBy(*PAGE).agg(F.map_from_entries(F.collect_list(F.struct(F.col("old").cast("string"), F.col("new").cast("string")))).alias("m"))
     own = areas.filter((F.col("type") == "footnote") | F.col("type").isin(*T.BODY_CONSOLIDATE)).join(maps, PAGE)
 
-    def mapped(c: Column, pattern: str, before: str, after: str) -> Column:
+    def new_of(n: Column) -> Column:
+        n = F.regexp_replace(n, "^0+(?=.)", "")
+        return F.when(n != "", F.try_element_at("m", n))
+
+    def mapped(c: Column, pattern: str, before: str, after: str, form=lambda n: n, plain=lambda n: n) -> Column:
         """Each match's number by the map; text between matches stays."""
-        parts = F.split(c, f"(?={pattern})")
 
         def one(p: Column) -> Column:
-            n = F.regexp_extract(p, f"^(?:{pattern})", 1)
-            new = F.when(n != "", F.element_at("m", n))
-            return F.when(new.isNull(), p).otherwise(F.concat(F.lit(before), new, F.lit(after), F.regexp_replace(p, f"^(?:{pattern})", "")))
+            new = new_of(plain(F.regexp_extract(p, f"^(?:{pattern})", 1)))
+            return F.when(new.isNull(), p).otherwise(F.concat(F.lit(before), form(new), F.lit(after), F.regexp_replace(p, f"^(?:{pattern})", "")))
 
-        return F.array_join(F.transform(parts, one), "")
+        return F.array_join(F.transform(F.split(c, f"(?<![{T.USUP}])(?={pattern})" if pattern[1] == "[" else f"(?={pattern})"), one), "")
 
     body = mapped(F.col("text"), r"<sup>(\d{1,18})</sup>", "<sup>", "</sup>")
-    note = F.array_join(F.transform(T.entries(F.col("text")), lambda e: F.coalesce(F.concat(F.element_at("m", T.leading_consolidate(e).cast("string")), F.regexp_replace(e, r"^\d+", "")), e)), "\n")
+    body = mapped(body, f"([{T.USUP}]+)", "", "", T.digits_to_usup, T.usup_to_digits)
+    kinds = ((f"([{T.USUP}]+)", T.digits_to_usup, T.usup_to_digits), (r"<sup>(\d+)</sup>", lambda n: F.concat(F.lit("<sup>"), n, F.lit("</sup>")), lambda n: n), (r"(\d+)(?=\s)", lambda n: n, lambda n: n))
+
+    def entry(e: Column) -> Column:
+        out = e
+        for pattern, form, plain in reversed(kinds):
+            new = new_of(plain(F.regexp_extract(e, rf"(?U)^\s*{pattern}", 1)))
+            out = F.when(e.rlike(rf"(?U)^\s*{pattern}"), F.when(new.isNull(), e).otherwise(F.concat(F.regexp_extract(e, r"(?U)^(\s*)", 1), form(new), F.regexp_replace(e, rf"(?U)^\s*{pattern}", "")))).otherwise(out)
+        return out
+
+    note = F.array_join(F.transform(T.raw_entries(F.col("text"), T.ENTRY_RENUMBER), entry), "\n")
     new = F.when(F.col("type") == "footnote", note).otherwise(body)
     return own.withColumn("new_text", new).filter("new_text != text").select(*PAGE, "area_pos", "type", "new_text")
 
 
 def marker_pages(areas: DataFrame) -> DataFrame:
-    """(book, page_idx, n) of active pages, each once."""
+    """(book, page_idx, n) of active pages' bodies, each once."""
     body = areas.filter(~F.coalesce("ignored", F.lit(False)) & F.col("type").isin(*T.BODY_REVIEW))
     return body.select(*PAGE, F.explode(T.body_numbers(F.col("text"))).alias("n")).distinct()
 
 
-def chaptered_markers(areas: DataFrame) -> DataFrame:
-    """marker_pages with a chapter: a page that has marker 1 begins one; pages before the first are dropped."""
-    m = marker_pages(areas)
-    pages = m.groupBy(*PAGE).agg(F.max(F.col("n") == 1).cast("int").alias("starts"))
+def note_chapters(areas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Active pages with their chapter; and the numbers that begin note areas there (those not consolidated), each once for a page.
+
+    A page with number 1 begins a chapter; pages before the first one are left
+    out. A book without any 1 is one chapter, number 0.
+    """
+    on = areas.filter(~F.coalesce("ignored", F.lit(False)))
+    notes = on.filter((F.col("type") == "footnote") & ~T.flag(areas, "consolidated")).select(*PAGE, T.leading_review(F.col("text")).alias("n")).dropna().distinct()
+    pages = on.select(*PAGE).distinct().join(notes.filter("n = 1").select(*PAGE, F.lit(1).alias("starts")), PAGE, "left").withColumn("starts", F.coalesce("starts", F.lit(0)))
     pages = running_sum(pages, "starts", "chapter", BOOK, ["page_idx"])
-    return m.join(pages.select(*PAGE, "chapter"), PAGE).filter("chapter > 0")
+    some = pages.groupBy("book").agg(F.max("starts").alias("some"))
+    pages = pages.join(some, "book").filter("chapter > 0 OR some = 0").select(*PAGE, F.col("chapter").cast("long").alias("chapter"))
+    return pages, notes.join(pages, PAGE)
 
 
 def sequence_gaps(areas: DataFrame) -> DataFrame:
-    """Numbers missing from a chapter's 1..max, with the nearest pages that have a smaller and a larger one."""
-    m = chaptered_markers(areas)
-    top = m.groupBy("book", "chapter").agg(F.max("n").alias("top"), F.collect_set("n").alias("have"))
-    gone = top.select("book", "chapter", F.explode(F.array_except(F.sequence(F.lit(1).cast("long"), "top"), "have")).alias("missing"))
-    first = m.groupBy("book", "chapter", "n").agg(F.min("page_idx").alias("page_idx"))
-    # chapters are short: the numbers of one stand in one window
-    every = first.select("book", "chapter", "n", "page_idx", F.lit(False).alias("gap")).unionByName(gone.select("book", "chapter", F.col("missing").alias("n"), F.lit(None).cast("long").alias("page_idx"), F.lit(True).alias("gap")))
-    w = Window.partitionBy("book", "chapter").orderBy("n")
-    every = every.withColumns({"after": F.last("page_idx", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "before": F.first("page_idx", True).over(w.rowsBetween(1, Window.unboundedFollowing))})
-    return every.filter("gap").select("book", "chapter", F.col("n").alias("missing"), F.col("after").alias("after_page"), F.col("before").alias("before_page"))
+    """Numbers missing from a chapter's 1..max: each stretch of them with the pages it lies between.
+
+    After: the last page of the next smaller number, else the chapter's first;
+    before: the first page of the next larger one. Stretches stay stretches,
+    so a wild number costs nothing.
+    """
+    pages, notes = note_chapters(areas)
+    first = pages.groupBy("book", "chapter").agg(F.min("page_idx").alias("begin"))
+    n = notes.groupBy("book", "chapter", "n").agg(F.min("page_idx").alias("first_page"), F.max("page_idx").alias("last_page"))
+    n = carry_forward(n.withColumn("_at", F.struct("n", "last_page")), "_at", "prev", ["book", "chapter"], ["n"], inclusive=False)
+    n = n.join(first, ["book", "chapter"]).withColumn("low", F.coalesce("prev.n", F.lit(0)) + 1).filter("low < n")
+    return n.select("book", "chapter", F.col("low").alias("first_missing"), (F.col("n") - 1).alias("last_missing"), F.coalesce("prev.last_page", "begin").alias("after_page"), F.col("first_page").alias("before_page"))
 
 
 def out_of_order(areas: DataFrame) -> DataFrame:
-    """Markers first met on a page after one with a larger number, in their chapter."""
-    m = chaptered_markers(areas)
-    pages = m.groupBy("book", "chapter", "page_idx").agg(F.max("n").alias("top"))
-    pages = running_max_before(pages, "top", "seen", ["book", "chapter"], ["page_idx"])
-    first = m.groupBy("book", "chapter", "n").agg(F.min("page_idx").alias("page_idx"))
-    return first.join(pages, ["book", "chapter", "page_idx"]).filter("n < seen").select(*PAGE, "chapter", "n", "seen")
+    """Numbers first met on a page after one with a larger number, in their chapter; before: the chapter's next page, or the page itself if it is the last."""
+    pages, notes = note_chapters(areas)
+    by = ["book", "chapter"]
+    top = notes.groupBy(*by, "page_idx").agg(F.max("n").alias("top"))
+    pages = running_max_before(pages.join(top, [*by, "page_idx"], "left"), "top", "seen", by, ["page_idx"])
+    pages = carry_forward(pages.withColumn("_back", -F.col("page_idx")), "page_idx", "next_page", by, ["_back"], inclusive=False)
+    first = notes.groupBy(*by, "n").agg(F.min("page_idx").alias("page_idx"))
+    return first.join(pages, [*by, "page_idx"]).filter("n < seen").select(*PAGE, "chapter", "n", "seen", F.coalesce("next_page", "page_idx").alias("before_page"))
 
 
 def internal_gaps(areas: DataFrame) -> DataFrame:
     """Per page: numbers between its least and greatest that it lacks."""
     p = marker_pages(areas).groupBy(*PAGE).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.collect_set("n").alias("have"))
-    gone = F.array_sort(F.array_except(F.sequence("lo", "hi"), "have"))
-    return p.select(*PAGE, gone.alias("g")).filter(F.size("g") > 0).select(*PAGE, F.size("g").cast("long").alias("n_missing"), F.array_join(F.transform("g", lambda x: x.cast("string")), ",").alias("missing"))
+    have = F.array_sort("have")
+    # between neighbours: "a" or "a-b"; a wild number makes one long stretch, not many numbers
+    gaps = F.filter(F.transform(F.slice(have, 2, F.size("have")), lambda x, k: F.struct((have[k] + 1).alias("a"), (x - 1).alias("b"))), lambda g: g["a"] <= g["b"])
+    text = F.array_join(F.transform("g", lambda g: F.when(g["a"] == g["b"], g["a"].cast("string")).otherwise(F.concat(g["a"].cast("string"), F.lit("-"), g["b"].cast("string")))), ",")
+    return p.select(*PAGE, gaps.alias("g")).filter(F.size("g") > 0).select(*PAGE, F.aggregate("g", F.lit(0).cast("long"), lambda s, g: s + g["b"] - g["a"] + 1).alias("n_missing"), text.alias("missing"))
 
 
 def gap_candidates(areas: DataFrame, most: int = 15) -> DataFrame:
-    """Numbers missing between one page's last marker and the next page's first, if there are few."""
-    p = marker_pages(areas).groupBy(*PAGE).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    p = carry_forward(p.withColumn("last", F.struct("page_idx", "hi")), "last", "prev", BOOK, ["page_idx"], inclusive=False)
-    size = F.col("lo") - F.col("prev.hi") - 1
-    gap = p.filter((size >= 1) & (size <= most))
-    return gap.select("book", F.col("prev.page_idx").alias("from_page"), F.col("page_idx").alias("to_page"), F.explode(F.sequence(F.col("prev.hi") + 1, F.col("lo") - 1)).alias("missing"))
+    """Numbers missing between one body marker and the next, if there are few: book, from_page, to_page, missing."""
+    on = areas.filter(~F.coalesce("ignored", F.lit(False)) & F.col("type").isin(*T.BODY_CONSOLIDATE))
+    marks = on.select(*PAGE, "area_pos", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?i)<sup>(\d{1,18})</sup>"), F.lit(1))).alias("k", "n"))
+    marks = marks.withColumn("n", F.col("n").cast("long")).withColumn("_at", F.struct("page_idx", "n"))
+    marks = carry_forward(marks, "_at", "prev", BOOK, [*ORDER, "k"], inclusive=False)
+    size = F.col("n") - F.col("prev.n") - 1
+    gap = marks.filter((size >= 1) & (size <= most))
+    return gap.select("book", F.col("prev.page_idx").alias("from_page"), F.col("page_idx").alias("to_page"), F.explode(F.sequence(F.col("prev.n") + 1, F.col("n") - 1)).alias("missing"))
 
 
 def fill_gaps(areas: DataFrame, most: int = 15) -> DataFrame:
-    """Body areas in which a missing number of the gap around them became a marker."""
-    gaps = gap_candidates(areas, most)
-    near = gaps.groupBy("book", "from_page", "to_page").agg(F.sort_array(F.collect_set("missing"), False).alias("missing"))
+    """Body areas, on any page from one marker of a gap to the next, in which a missing number became a marker.
+
+    The number must stand behind a letter or mark, or behind one and a space.
+    """
+    gaps = gap_candidates(areas, most).groupBy("book", "from_page", "to_page").agg(F.collect_set("missing").alias("missing"))
+    pages = areas.select(*PAGE).distinct().withColumn("one", F.lit(1))
+    pages = running_sum(pages, "one", "nth", BOOK, ["page_idx"]).select("book", "page_idx", "nth")
+    nth = lambda c, out: pages.select("book", F.col("page_idx").alias(c), F.col("nth").alias(out))
+    span = gaps.join(nth("from_page", "a"), ["book", "from_page"]).join(nth("to_page", "z"), ["book", "to_page"])
+    span = span.select("book", F.explode(F.sequence("a", "z")).alias("nth"), "missing").groupBy("book", "nth").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("missing")))).alias("missing"))
     body = areas.filter(~F.coalesce("ignored", F.lit(False)) & F.col("type").isin(*T.BODY_CONSOLIDATE))
-    ends = near.select("book", F.explode(F.array("from_page", "to_page")).alias("page_idx"), "missing")
-    ends = ends.groupBy(*PAGE).agg(F.array_distinct(F.flatten(F.collect_list("missing"))).alias("missing"))
-    own = body.join(ends, PAGE)
-    new = F.aggregate("missing", F.col("text"), lambda t, n: F.regexp_replace(t, F.concat(F.lit("(?<=[A-Za-z.,;:!?\"»”)] ?)("), n.cast("string"), F.lit(r")\b(?!</sup>)")), F.lit("<sup>$1</sup>")))
+    own = body.join(span.join(pages, ["book", "nth"]).select(*PAGE, "missing"), PAGE)
+    near = r"""[a-zA-Z.,?!;:()\[\]'"”’“/\\—]"""
+    pattern = lambda n: F.concat(F.lit(rf"(?U)(?:(?<={near})|(?<={near}\s))("), n.cast("string"), F.lit(r")\b"))
+    new = F.aggregate("missing", F.col("text"), lambda t, n: F.regexp_replace(t, pattern(n), F.lit("<sup>$1</sup>")))
     return own.withColumn("new_text", new).filter("new_text != text").select(*PAGE, "area_pos", "new_text")
 
 
 def next_prefix(areas: DataFrame, n: int = 10) -> DataFrame:
-    """Per active page: the first words of the first main text of the next active page ("" if it has none)."""
-    on = areas.filter(~F.coalesce("ignored", F.lit(False)))
+    """Per active page: the first words of the first main text, as it is read, of the next active page ("" if it has none)."""
+    on = in_order(areas.filter(~F.coalesce("ignored", F.lit(False))))
     main = (F.col("type") == "main_text") & (T.strip(F.coalesce("text", F.lit(""))) != "")
-    p = on.groupBy(*PAGE).agg(F.min_by(F.when(main, F.col("text")), F.when(main, F.col("area_pos"))).alias("t"))
+    p = on.groupBy(*PAGE).agg(F.min_by(F.when(main, F.col("text")), F.when(main, F.col("reading_pos"))).alias("t"))
     p = p.select("book", "page_idx", (-F.col("page_idx")).alias("_back"), F.coalesce(T.first_words(F.col("t"), n), F.lit("")).alias("own"))
     p = carry_forward(p, "own", "next_prefix", BOOK, ["_back"], inclusive=False)
     return p.select(*PAGE, "next_prefix")
 
 
 def last_main(areas: DataFrame) -> DataFrame:
-    """Per page: the last main text that isn't blank."""
-    main = areas.filter((F.col("type") == "main_text") & (T.strip(F.coalesce("text", F.lit(""))) != ""))
-    return main.groupBy(*PAGE).agg(F.max("area_pos").alias("area_pos"), F.max_by("text", "area_pos").alias("text"))
+    """Per page: the last main text, as it is read, that isn't blank."""
+    main = in_order(areas).filter((F.col("type") == "main_text") & (T.strip(F.coalesce("text", F.lit(""))) != ""))
+    return main.groupBy(*PAGE).agg(F.max_by("area_pos", "reading_pos").alias("area_pos"), F.max_by("text", "reading_pos").alias("text"))
 
 
 def note_segments(areas: DataFrame) -> DataFrame:
@@ -221,15 +258,15 @@ def note_segments(areas: DataFrame) -> DataFrame:
 
 
 def stitch(areas: DataFrame) -> DataFrame:
-    """Paragraphs of the body as they read across areas and pages: book, pos, kind, text.
+    """Paragraphs of the body as they read across areas and pages, and what stands between them: book, pos, kind, text.
 
     A state machine over a growing paragraph: exact only as a fold, so each
     book is read in order by one worker, page after page, in bounded memory.
     areas may have a column page_join (of the page: how its end meets the next).
     """
     a = areas if "page_join" in areas.columns else areas.withColumn("page_join", F.lit(None).cast("string"))
-    a = a.filter(~F.coalesce("ignored", F.lit(False))).select("book", "page_idx", "area_pos", "type", "text", "page_join")
-    a = a.repartition("book").sortWithinPartitions("book", *ORDER)
+    a = in_order(a.filter(~F.coalesce("ignored", F.lit(False)))).select("book", "page_idx", "reading_pos", "type", "text", "page_join")
+    a = a.repartition("book").sortWithinPartitions("book", "page_idx", "reading_pos")
     return a.mapInPandas(_stitch, "book string, pos long, kind string, text string")
 
 
@@ -241,14 +278,16 @@ def _paragraphs(text: str) -> list[str]:
 
 
 def _cut(text: str) -> bool:
+    """looks_cut() in Python."""
     import re
 
     t, old = text.rstrip(), None
     while t != old:
         old = t
-        t = re.sub(r"(?:<([a-z]+)>[^<]*</\1>|</?[a-z]+>)\s*$", "", t).rstrip()
-    t = t.rstrip("\"'”’»)] ")
-    return bool(t) and t[-1] not in ".!?…"
+        t = re.sub(r"<\w+>[^<]*</\w+>\s*$", "", t).rstrip()
+        t = re.sub(r"<[^>]+>\s*$", "", t).rstrip()
+    t = t.rstrip(T.CLOSING)
+    return bool(t) and t[-1] not in T.TERMINAL
 
 
 def _stitch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,17 +313,22 @@ def _stitch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 book, page, last_join, join, pos = b, None, None, None, 0
             if p != page:
                 page, last_join, join, fresh = p, join, how, True
-            if kind in ("chapter_title", "subtitle", "quote", "title_page") and (text or "").strip():
+            text = (text or "").strip()
+            if kind in ("chapter_title", "subtitle", "quote", "title_page", "table") and text:
                 flush()
-                put(kind, " ".join(text.split()))
+                lines = [x.strip() for x in text.split("\n") if x.strip()]
+                put(kind, "<br/>".join(lines) if kind in ("subtitle", "quote") else text if kind == "table" else " ".join(text.split()))
                 fresh = fresh and kind != "quote"
-            elif kind == "main_text":
+            elif kind == "illustration":
+                flush()
+                put("figure", text)
+            elif kind == "main_text" and text:
                 for k, part in enumerate(_paragraphs(text)):
                     edge = k == 0 and fresh and last_join
-                    if pending and edge and last_join == "merge_hyphen":
-                        pending = pending.removesuffix("-") + part
-                    elif pending and edge and last_join == "merge_sentence":
-                        pending = pending[:-1] + part if pending.endswith("-") else f"{pending} {part}"
+                    if edge and pending and last_join == "merge_hyphen":
+                        pending = pending.rstrip().removesuffix("-") + part
+                    elif edge and pending and last_join == "merge_sentence":
+                        pending = pending.removesuffix("-") + part if pending.endswith("-") else f"{pending} {part}"
                     elif pending and k == 0 and _cut(pending):
                         pending = f"{pending} {part}"
                     else:

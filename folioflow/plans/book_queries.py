@@ -15,6 +15,8 @@ from folioflow.sources.view import AREAS, area_view
 ASSEMBLE = "('main_text', 'quote', 'chapter_title', 'subtitle')"
 NUM = rf"TRY_CAST(nullif(regexp_extract({T_TEXT}, '^(\d+)[.\s]', 1), '') AS BIGINT)"
 TITLES = "('" + "', '".join(T.NOTES_TITLES) + "')"
+LETTERS = TRIM.format(r"regexp_replace(coalesce(text, ''), '[^a-zA-Zа-яёА-ЯЁ\s]', '', 'g')")
+REGIME_TITLES = "('" + "', '".join(T.REGIME_TITLES) + "')"
 
 HEADS = AREAS + rf"""
 , pages AS (SELECT book, page_idx, bool_or(ignored) OR NOT bool_or(type = 'footnote') AS breaks FROM areas GROUP BY book, page_idx),
@@ -69,7 +71,7 @@ def orphan_sup_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(AREAS + rf"""
-, p AS (SELECT book, page_idx, bool_or(ignored) AS ignored, bool_or(type = 'footnote') AS notes, count(*) FILTER (type IN ('chapter_title', 'subtitle') AND lower({T_TEXT}) IN {TITLES}) AS heads FROM areas GROUP BY book, page_idx),
+, p AS (SELECT book, page_idx, bool_or(ignored) AS ignored, bool_or(type = 'footnote') AS notes, count(*) FILTER (NOT ignored AND type = 'chapter_title' AND lower({T_TEXT}) IN {REGIME_TITLES}) AS heads FROM areas GROUP BY book, page_idx),
 o AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY page_idx) - 1 AS place FROM p),
 b AS (SELECT book, count(*) FILTER (NOT ignored) AS active_pages, count(*) FILTER (NOT ignored AND notes) AS note_pages, CAST(sum(heads) AS BIGINT) AS headings, min(place) FILTER (heads > 0) AS place FROM o GROUP BY book)
 SELECT book, active_pages, note_pages, headings,
@@ -80,8 +82,9 @@ def regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.detect_regime(area_view(spark, sf_dir))
 
 
+SPACED = rf"TRY_CAST(nullif(regexp_extract({T_TEXT}, '^(\d+)\s', 1), '') AS BIGINT)"
 RENUMBERED = AREAS + rf"""
-, f AS (SELECT book, page_idx, {NUM} AS old, min(area_pos) AS first_at FROM areas WHERE type = 'footnote' GROUP BY ALL),
+, f AS (SELECT book, page_idx, {SPACED} AS old, min(area_pos) AS first_at FROM areas WHERE type = 'footnote' GROUP BY ALL),
 b AS (SELECT DISTINCT book, page_idx, CAST(unnest(regexp_extract_all(text, '<sup>(\d+)</sup>', 1)) AS BIGINT) AS n FROM areas WHERE type IN {BODY3}),
 r AS (SELECT f.book, f.page_idx, old, row_number() OVER (PARTITION BY f.book ORDER BY f.page_idx, first_at) AS new FROM f JOIN b ON f.book = b.book AND f.page_idx = b.page_idx AND f.old = b.n)
 """
@@ -93,9 +96,9 @@ def renumber_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(RENUMBERED + rf"""
-SELECT a.book, a.page_idx, a.area_pos, a.type, r.new || regexp_replace({TRIM.format("a.text")}, '^\d+', '') AS new_text
-FROM areas a JOIN r ON a.book = r.book AND a.page_idx = r.page_idx AND TRY_CAST(nullif(regexp_extract({TRIM.format("a.text")}, '^(\d+)[.\s]', 1), '') AS BIGINT) = r.old
-WHERE a.type = 'footnote' AND r.new || regexp_replace({TRIM.format("a.text")}, '^\d+', '') <> a.text
+SELECT a.book, a.page_idx, a.area_pos, a.type, regexp_replace(a.text, '^\d+', CAST(r.new AS VARCHAR)) AS new_text
+FROM areas a JOIN r ON a.book = r.book AND a.page_idx = r.page_idx AND TRY_CAST(nullif(regexp_extract({TRIM.format("a.text")}, '^(\d+)\s', 1), '') AS BIGINT) = r.old
+WHERE a.type = 'footnote' AND r.new <> r.old
 """)
 def renumber_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.renumber(area_view(spark, sf_dir)).filter("type = 'footnote'")
@@ -106,53 +109,55 @@ def renumber_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.renumber(area_view(spark, sf_dir)).filter("type != 'footnote'")
 
 
-@query(AREAS + rf"SELECT book, count(*) FILTER (type = 'footnote' AND regexp_matches({T_TEXT}, '^1[. ]')) AS starts, count(*) FILTER (type = 'footnote' AND regexp_matches({T_TEXT}, '^1[. ]')) > 1 AS resets FROM areas GROUP BY book")
+@query(AREAS + rf"SELECT book, count(*) FILTER (NOT ignored AND type = 'footnote' AND regexp_matches({T_TEXT}, '^1[. ]')) AS starts, count(*) FILTER (NOT ignored AND type = 'footnote' AND regexp_matches({T_TEXT}, '^1[. ]')) > 1 AS resets FROM areas GROUP BY book")
 def numbering_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.numbering_resets(area_view(spark, sf_dir))
 
 
-MARKS = AREAS + rf"""
-, m AS (SELECT DISTINCT book, page_idx, CAST(unnest(regexp_extract_all(text, '<sup>(\d+)</sup>', 1)) AS BIGINT) AS n FROM areas WHERE NOT ignored AND type IN {BODY}),
-pg AS (SELECT book, page_idx, max(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS starts FROM m GROUP BY book, page_idx),
-ch AS (SELECT book, page_idx, sum(starts) OVER (PARTITION BY book ORDER BY page_idx) AS chapter FROM pg),
-cm AS (SELECT m.*, CAST(chapter AS BIGINT) AS chapter FROM m JOIN ch ON m.book = ch.book AND m.page_idx = ch.page_idx WHERE chapter > 0),
-fm AS (SELECT book, chapter, n, min(page_idx) AS page_idx FROM cm GROUP BY book, chapter, n)
+NOTE_MARKS = AREAS + rf"""
+, pg AS (SELECT DISTINCT book, page_idx FROM areas WHERE NOT ignored),
+m AS (SELECT DISTINCT book, page_idx, {NUM} AS n FROM areas WHERE NOT ignored AND type = 'footnote'),
+st AS (SELECT pg.*, CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.book = pg.book AND m.page_idx = pg.page_idx AND n = 1) THEN 1 ELSE 0 END AS starts FROM pg),
+ch AS (SELECT * FROM (SELECT book, page_idx, CAST(sum(starts) OVER (PARTITION BY book ORDER BY page_idx) AS BIGINT) AS chapter, max(starts) OVER (PARTITION BY book) AS has_start FROM st) WHERE chapter > 0 OR has_start = 0),
+edges AS (SELECT book, chapter, min(page_idx) AS first_of FROM ch GROUP BY ALL),
+cm AS (SELECT m.*, chapter FROM m JOIN ch ON m.book = ch.book AND m.page_idx = ch.page_idx WHERE n IS NOT NULL),
+fm AS (SELECT book, chapter, n, min(page_idx) AS first_page, max(page_idx) AS last_page FROM cm GROUP BY ALL)
 """
 
 
-@query(MARKS + """
-, g AS (SELECT book, chapter, unnest(range(1, max(n) + 1)) AS missing FROM fm GROUP BY book, chapter)
-SELECT book, chapter, missing,
-       (SELECT arg_max(x.page_idx, x.n) FROM fm x WHERE x.book = g.book AND x.chapter = g.chapter AND x.n < g.missing) AS after_page,
-       (SELECT arg_min(x.page_idx, x.n) FROM fm x WHERE x.book = g.book AND x.chapter = g.chapter AND x.n > g.missing) AS before_page
-FROM g WHERE NOT EXISTS (SELECT 1 FROM fm x WHERE x.book = g.book AND x.chapter = g.chapter AND x.n = g.missing)
+@query(NOTE_MARKS + """
+, g AS (SELECT *, lag(n) OVER w AS pn, lag(last_page) OVER w AS pp FROM fm WINDOW w AS (PARTITION BY book, chapter ORDER BY n))
+SELECT g.book, g.chapter, coalesce(pn, 0) + 1 AS first_missing, n - 1 AS last_missing, coalesce(pp, first_of) AS after_page, first_page AS before_page
+FROM g JOIN edges e ON g.book = e.book AND g.chapter = e.chapter WHERE n - coalesce(pn, 0) > 1
 """)
 def sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.sequence_gaps(area_view(spark, sf_dir)).withColumn("chapter", F.col("chapter").cast("long"))
+    return sequence.sequence_gaps(area_view(spark, sf_dir))
 
 
-@query(MARKS + """
-, t AS (SELECT book, chapter, page_idx, max(n) AS top FROM cm GROUP BY book, chapter, page_idx)
-SELECT f.book, f.page_idx, f.chapter, f.n, max(t.top) AS seen FROM fm f JOIN t ON f.book = t.book AND f.chapter = t.chapter AND t.page_idx < f.page_idx
-GROUP BY f.book, f.page_idx, f.chapter, f.n HAVING f.n < max(t.top)
+@query(NOTE_MARKS + """
+, t AS (SELECT book, chapter, page_idx, max(n) AS top FROM cm GROUP BY ALL),
+nx AS (SELECT book, chapter, page_idx, lead(page_idx) OVER (PARTITION BY book, chapter ORDER BY page_idx) AS next_page FROM ch),
+o AS (SELECT f.book, f.first_page AS page_idx, f.chapter, f.n, max(t.top) AS seen FROM fm f JOIN t ON f.book = t.book AND f.chapter = t.chapter AND t.page_idx < f.first_page GROUP BY ALL HAVING f.n < max(t.top))
+SELECT o.*, coalesce(next_page, o.page_idx) AS before_page FROM o JOIN nx ON o.book = nx.book AND o.chapter = nx.chapter AND o.page_idx = nx.page_idx
 """)
 def out_of_order_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.out_of_order(area_view(spark, sf_dir)).withColumn("chapter", F.col("chapter").cast("long"))
+    return sequence.out_of_order(area_view(spark, sf_dir))
 
 
-@query(MARKS + """
-, r AS (SELECT book, page_idx, unnest(range(min(n), max(n) + 1)) AS x FROM m GROUP BY book, page_idx)
-SELECT r.book, r.page_idx, count(*) AS n_missing, string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) AS missing
-FROM r LEFT JOIN m ON r.book = m.book AND r.page_idx = m.page_idx AND r.x = m.n WHERE m.n IS NULL GROUP BY r.book, r.page_idx
+@query(AREAS + rf"""
+, m AS (SELECT DISTINCT book, page_idx, CAST(unnest(regexp_extract_all(text, '<sup>(\d+)</sup>', 1)) AS BIGINT) AS n FROM areas WHERE NOT ignored AND type IN {BODY}),
+g AS (SELECT book, page_idx, n, lag(n) OVER (PARTITION BY book, page_idx ORDER BY n) AS pn FROM m)
+SELECT book, page_idx, CAST(sum(n - pn - 1) AS BIGINT) AS n_missing, string_agg(CASE WHEN n - pn = 2 THEN CAST(n - 1 AS VARCHAR) ELSE (pn + 1) || '-' || (n - 1) END, ',' ORDER BY n) AS missing FROM g WHERE n - pn > 1 GROUP BY book, page_idx
 """)
 def internal_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.internal_gaps(area_view(spark, sf_dir))
 
 
-@query(MARKS + """
-, p AS (SELECT book, page_idx, min(n) AS lo, max(n) AS hi FROM m GROUP BY book, page_idx),
-q AS (SELECT *, lag(hi) OVER (PARTITION BY book ORDER BY page_idx) AS before, lag(page_idx) OVER (PARTITION BY book ORDER BY page_idx) AS from_page FROM p)
-SELECT book, from_page, page_idx AS to_page, unnest(range(before + 1, lo)) AS missing FROM q WHERE lo - before - 1 BETWEEN 1 AND 15
+@query(AREAS + rf"""
+, x AS (SELECT book, page_idx, area_pos, regexp_extract_all(text, '(?i)<sup>(\d+)</sup>', 1) AS l FROM areas WHERE NOT ignored AND type IN {BODY3}),
+s AS (SELECT book, page_idx, area_pos, unnest(range(len(l))) AS k, CAST(unnest(l) AS BIGINT) AS n FROM x),
+p AS (SELECT *, lag(n) OVER w AS pn, lag(page_idx) OVER w AS from_page FROM s WINDOW w AS (PARTITION BY book ORDER BY page_idx, area_pos, k))
+SELECT book, from_page, page_idx AS to_page, unnest(range(pn + 1, n)) AS missing FROM p WHERE n - pn - 1 BETWEEN 1 AND 15
 """)
 def gap_fill_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.gap_candidates(area_view(spark, sf_dir))
@@ -176,14 +181,14 @@ def caption_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 , p AS (SELECT book, page_idx, bool_or(ignored) AS ignored FROM areas GROUP BY book, page_idx),
 n AS (SELECT *, lag(page_idx) OVER w AS pb, lag(ignored) OVER w AS ib, lead(page_idx) OVER w AS pa, lead(ignored) OVER w AS ia FROM p WINDOW w AS (PARTITION BY book ORDER BY page_idx)),
 c AS (
-    SELECT a.book, a.page_idx, a.area_pos, a.text, CASE WHEN n.ignored THEN NULL WHEN starts_with(text, '<<<') THEN CASE WHEN NOT ib THEN pb END ELSE CASE WHEN NOT ia THEN pa END END AS to_page
-    FROM areas a JOIN n ON a.book = n.book AND a.page_idx = n.page_idx WHERE type = 'illustration_caption' AND (starts_with(text, '<<<') OR starts_with(text, '>>>'))
+    SELECT a.book, a.page_idx, a.area_pos, a.text, CASE WHEN n.ignored THEN NULL WHEN contains(text, '<<<') THEN CASE WHEN NOT ib THEN pb END ELSE CASE WHEN NOT ia THEN pa END END AS to_page
+    FROM areas a JOIN n ON a.book = n.book AND a.page_idx = n.page_idx WHERE type = 'illustration_caption' AND (contains(text, '<<<') OR contains(text, '>>>'))
 ), k AS (SELECT *, row_number() OVER (PARTITION BY book, to_page ORDER BY page_idx, area_pos) AS k FROM c),
 free AS (
     SELECT i.book, i.page_idx, i.illustration_id, row_number() OVER (PARTITION BY i.book, i.page_idx ORDER BY i.area_pos) AS k FROM areas i
     WHERE type = 'illustration' AND NOT EXISTS (SELECT 1 FROM areas x WHERE x.type = 'illustration_caption' AND x.book = i.book AND x.page_idx = i.page_idx AND x.linked_illustration_id = i.illustration_id)
 )
-SELECT k.book, k.page_idx, k.area_pos, CASE WHEN f.illustration_id IS NOT NULL THEN to_page END AS to_page, f.illustration_id AS to_illustration, {TRIM.format("regexp_replace(k.text, '<<<|>>>', '', 'g')")} AS caption
+SELECT k.book, k.page_idx, k.area_pos, CASE WHEN f.illustration_id IS NOT NULL THEN to_page END AS to_page, f.illustration_id AS to_illustration, nullif({TRIM.format("CASE WHEN contains(k.text, '<<<') THEN replace(k.text, '<<<', '') ELSE replace(k.text, '>>>', '') END")}, '') AS caption
 FROM k LEFT JOIN free f ON f.book = k.book AND f.page_idx = k.to_page AND f.k = k.k
 """)
 def caption_cross_page_move(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,8 +291,7 @@ def owner_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(AREAS + rf"""
-, k AS (SELECT *, CASE WHEN type IN ('chapter_title', 'subtitle') AND trim(lower(regexp_replace(coalesce(text, ''), '[^\pL\s]', '', 'g'))) IN {TITLES} THEN 'notes'
-                       WHEN type = 'chapter_title' AND regexp_matches(text, '^\s*\d{{1,4}}\.\s') THEN 'body' END AS kind FROM areas WHERE NOT ignored),
+, k AS (SELECT *, CASE WHEN type = 'chapter_title' THEN CASE WHEN lower({LETTERS}) IN {TITLES} THEN 'notes' ELSE 'body' END END AS kind FROM areas WHERE NOT ignored),
 z AS (SELECT *, coalesce(last_value(kind IGNORE NULLS) OVER w, 'body') AS zone, CAST(sum(CASE WHEN kind IS NULL THEN 0 ELSE 1 END) OVER w AS BIGINT) AS section FROM k WINDOW w AS (PARTITION BY book ORDER BY page_idx, area_pos))
 SELECT book, section, zone, count(*) AS areas, count(DISTINCT page_idx) AS pages FROM z GROUP BY book, section, zone
 """)
@@ -296,13 +300,27 @@ def section_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.groupBy("book", F.col("section").cast("long").alias("section"), "zone").agg(F.count("*").alias("areas"), F.countDistinct("page_idx").alias("pages"))
 
 
-@query(AREAS + r"""
-, p AS (SELECT book, page_idx, bool_or(type = 'chapter_title' AND contains(lower(coalesce(text, '')), 'note')) AS hint, bool_or(type = 'footnote' AND regexp_matches(text, '^\s*\d{1,3}\.?\s')) AS ent FROM areas GROUP BY book, page_idx),
-q AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY page_idx) AS nth, bool_or(ent) OVER (PARTITION BY book ORDER BY page_idx ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS near, count(*) OVER (PARTITION BY book) AS n FROM p)
-SELECT book, count(*) AS pages, min(page_idx) FILTER (hint AND near AND nth > n // 3) AS start FROM q GROUP BY book
+HINT = " OR ".join(f"contains(lower(replace(coalesce(text, ''), chr(10), ' ')), '{t}')" for t in T.NOTES_TITLES)
+
+
+def _endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view with numbered subtitles and entry lines on some pages."""
+    a = area_view(spark, sf_dir)
+    i = F.col("page_idx") + F.col("area_pos")
+    sub, ent = (F.col("type") == "main_text") & (i % 11 == 3), (F.col("type") == "main_text") & (i % 7 == 2)
+    return a.withColumns({"type": F.when(sub, "subtitle").otherwise(F.col("type")), "text": F.when(sub, F.concat((i % 9).cast("string"), F.lit(". "), "text")).when(ent, F.concat((i % 30).cast("string"), F.lit(". "), "text")).otherwise(F.col("text"))})
+
+
+@query(AREAS + rf"""
+, ea AS (SELECT book, page_idx, type AS t0, CASE WHEN type = 'main_text' AND (page_idx + area_pos) % 11 = 3 THEN 'subtitle' ELSE type END AS type,
+                CASE WHEN type = 'main_text' AND (page_idx + area_pos) % 11 = 3 THEN (page_idx + area_pos) % 9 || '. ' || text WHEN type = 'main_text' AND (page_idx + area_pos) % 7 = 2 THEN (page_idx + area_pos) % 30 || '. ' || text ELSE text END AS text FROM areas),
+p AS (SELECT book, page_idx, bool_or(type = 'chapter_title') AS title, bool_or(type = 'chapter_title' AND ({HINT})) AS hint,
+             bool_or(type = 'subtitle' AND regexp_matches(text, '^\s*\d+\.\s')) AS sub, bool_or(type = 'main_text' AND regexp_matches(text, '(?m)^\s*(?:<[^>]+>)*\s*(\d+)\.?\s*(?:</[^>]+>)*\.?\s')) AS ent FROM ea GROUP BY book, page_idx),
+q AS (SELECT *, row_number() OVER w AS nth, bool_or(sub) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS subs, bool_or(ent) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS ents, count(*) OVER (PARTITION BY book) AS n FROM p WINDOW w AS (PARTITION BY book ORDER BY page_idx))
+SELECT book, count(*) AS pages, min(page_idx) FILTER (title AND nth > n // 3 AND ((subs AND ents) OR (hint AND (subs OR ents)))) AS start FROM q GROUP BY book
 """)
 def endnotes_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.endnotes_start(area_view(spark, sf_dir))
+    return matching.endnotes_start(_endings(spark, sf_dir))
 
 
 @query(AREAS + rf"""
@@ -362,26 +380,32 @@ TITLED = AREAS + r"""
 , ta AS (
     SELECT book, page_idx, area_pos, CASE WHEN area_pos = 1 AND page_idx % 6 = 0 THEN 'chapter_title' WHEN area_pos = 1 AND page_idx % 5 = 1 THEN 'main_text' ELSE type END AS type,
            CASE WHEN area_pos = 0 AND page_idx % 3 = 0 THEN (page_idx % 20 + 1) || '.' WHEN area_pos = 1 AND page_idx % 5 = 1 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE text END AS text
-    FROM areas WHERE NOT ignored
+    , illustration_id FROM areas WHERE NOT ignored
 ), tb AS (
-    SELECT *, lag(type) OVER w AS pt, lag(text) OVER w AS px, lead(type) OVER w AS nt, lead(text) OVER w AS nx FROM ta WHERE text IS NOT NULL WINDOW w AS (PARTITION BY book ORDER BY page_idx, area_pos)
+    SELECT *, lag(type) OVER w AS pt, lag(text) OVER w AS px, lead(type) OVER w AS nt, lead(text) OVER w AS nx, row_number() OVER w AS nth
+    FROM ta WHERE (type IN ('main_text', 'chapter_title', 'subtitle', 'quote', 'title_page') AND trim(coalesce(text, '')) <> '') OR (type = 'illustration' AND illustration_id IS NOT NULL) WINDOW w AS (PARTITION BY book ORDER BY page_idx, area_pos)
 )
 """
-LONE = r"regexp_full_match({0}, '\s*(\d{{1,3}}|[IVXLCDMivxlcdm]{{1,7}})\.?\s*')"
+LONE = r"regexp_full_match(trim({0}), '(\d+|[IVXLCDM]+)\.?')"
+PLAIN = r"trim(regexp_replace({0}, '<[^>]*>', '', 'g'))"
+JOINED = "{0} || CASE WHEN ends_with({0}, '.') THEN ' ' ELSE '. ' END || {1}"
 
 
 @query(TITLED + rf"""
-, tc AS (SELECT *, coalesce({LONE.format("text")} AND nt = 'chapter_title' AND NOT {LONE.format("nx")}, false) AS takes, coalesce(NOT {LONE.format("text")} AND pt = 'chapter_title' AND {LONE.format("px")}, false) AS taken FROM tb WHERE type = 'chapter_title')
-SELECT book, page_idx, area_pos, CASE WHEN takes THEN trim(text) || ' ' || trim(nx) ELSE text END AS text, takes AS merged FROM tc WHERE NOT taken
+, tc AS (SELECT *, type = 'chapter_title' AND {LONE.format("text")} AS lone, coalesce(pt = 'chapter_title' AND {LONE.format("px")}, false) AS after FROM tb),
+td AS (SELECT *, last_value(CASE WHEN NOT (lone AND after) THEN nth END IGNORE NULLS) OVER (PARTITION BY book ORDER BY nth) AS run FROM tc),
+te AS (SELECT *, lone AND (nth - run) % 2 = 0 AND coalesce(nt = 'chapter_title', false) AS takes FROM td),
+tf AS (SELECT *, coalesce(lag(takes) OVER (PARTITION BY book ORDER BY nth), false) AS taken FROM te)
+SELECT book, page_idx, area_pos, CASE WHEN takes THEN {JOINED.format(PLAIN.format("text"), PLAIN.format("nx"))} ELSE text END AS text, takes AS merged FROM tf WHERE type = 'chapter_title' AND NOT taken
 """)
 def merge_split_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.merge_split_titles(_titled(spark, sf_dir))
 
 
-@query(TITLED + r"""
-, tc AS (SELECT *, regexp_replace(coalesce(nx, ''), '[^\pL]', '', 'g') AS l FROM tb WHERE type = 'chapter_title'),
+@query(TITLED + rf"""
+, tc AS (SELECT *, regexp_replace({PLAIN.format("coalesce(nx, '')")}, '[^\pL\pN\pM_]', '', 'g') AS l FROM tb WHERE type = 'chapter_title'),
 td AS (SELECT *, coalesce(nt = 'main_text' AND l <> '' AND l = upper(l), false) AS absorbed FROM tc)
-SELECT book, page_idx, area_pos, CASE WHEN absorbed THEN trim(text) || ' ' || trim(nx) ELSE text END AS text, absorbed FROM td
+SELECT book, page_idx, area_pos, CASE WHEN absorbed THEN {JOINED.format(PLAIN.format("text"), PLAIN.format("nx"))} ELSE text END AS text, absorbed FROM td
 """)
 def absorb_all_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.absorb_all_caps(_titled(spark, sf_dir))
@@ -452,7 +476,7 @@ def otsu_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH o AS (SELECT doc_id, text, doc_id % 3 = 0 AS ignored, CASE WHEN doc_id % 2 = 0 THEN 90 END AS rotation FROM documents WHERE doc_id % 10 <> 0),
-n AS (SELECT doc_id, reverse(text) AS text, false AS ignored, 180 AS rotation FROM documents WHERE doc_id % 4 = 0)
+n AS (SELECT doc_id, reverse(text) AS text, false AS ignored, 180 AS rotation FROM documents WHERE doc_id % 4 = 0 OR doc_id % 10 = 0)
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN n.doc_id IS NOT NULL THEN n.text ELSE o.text END AS text, coalesce(o.ignored, n.ignored) AS ignored, coalesce(o.rotation, n.rotation) AS rotation
 FROM o FULL JOIN n ON o.doc_id = n.doc_id
 """)
@@ -460,7 +484,7 @@ def page_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     i = F.col("doc_id")
     old = d.filter(i % 10 != 0).select("doc_id", "text", (i % 3 == 0).alias("ignored"), F.when(i % 2 == 0, 90).alias("rotation"))
-    new = d.filter(i % 4 == 0).select("doc_id", F.reverse("text").alias("text"), F.lit(False).alias("ignored"), F.lit(180).alias("rotation"))
+    new = d.filter((i % 4 == 0) | (i % 10 == 0)).select("doc_id", F.reverse("text").alias("text"), F.lit(False).alias("ignored"), F.lit(180).alias("rotation"))
     return upsert_pages(old, new, ["doc_id"])
 
 

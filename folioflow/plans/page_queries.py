@@ -27,7 +27,7 @@ KEYS = ["book", "page_idx", "area_pos"]
            bool_or(type = 'footnote') AS has_fn
     FROM areas WHERE NOT ignored GROUP BY book, page_idx
 )
-SELECT book, page_idx, sup_count, fn_count, sup_count = fn_count AS matched,
+SELECT book, page_idx, sup_count, fn_count, sup_count = fn_count AS matched, has_fn OR sup_count > 0 AS active, false AS is_cons,
        CASE WHEN NOT has_fn AND sup_count = 0 THEN 'none' WHEN sup_count <> fn_count THEN 'red' ELSE 'green' END AS state,
        CASE WHEN NOT has_fn AND sup_count = 0 THEN '' ELSE sup_count || '↑·' || fn_count || 'fn' END AS badge
 FROM p
@@ -41,7 +41,7 @@ SELECT book, count(DISTINCT page_idx) AS pages, count(DISTINCT page_idx) FILTER
        count(*) FILTER (NOT ignored AND type = 'main_text') AS n_main_text, count(*) FILTER (NOT ignored AND type = 'footnote') AS n_footnote,
        count(*) FILTER (NOT ignored AND type = 'chapter_title') AS n_chapter_title, count(*) FILTER (NOT ignored AND type = 'subtitle') AS n_subtitle,
        count(*) FILTER (NOT ignored AND type = 'illustration') AS n_illustration, count(*) FILTER (NOT ignored AND type = 'illustration_caption') AS n_illustration_caption,
-       count(*) FILTER (NOT ignored AND (contains(text, '<<<') OR contains(text, '>>>'))) AS cross_page_captions,
+       count(*) FILTER (NOT ignored AND type = 'illustration_caption' AND (contains(text, '<<<') OR contains(text, '>>>'))) AS cross_page_captions,
        count(*) FILTER (NOT ignored AND type = 'footnote' AND {T_TEXT} = '') AS blank_notes,
        count(DISTINCT page_idx) FILTER (NOT ignored AND (type = 'footnote' OR contains(lower(text), '<sup>'))) AS relevant_pages
 FROM areas GROUP BY book
@@ -130,7 +130,7 @@ def para_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '([aeiou]) ([st])', '\1- \2', 'g'), ',', ' ,', 'g') AS text FROM documents)
-SELECT doc_id, regexp_replace(regexp_replace(text, '([\pL\pN_])-[ \t\n]+([\pL\pN_])', '\1\2', 'g'), '[ \t]+([,;])', '\1', 'g') AS text FROM t
+SELECT doc_id, regexp_replace(regexp_replace(text, '([\pL\pN_])-(?:[ \t\n]+(?:„|,,|-,)?|(?:„|,,|-,))[ \t]*([\pL\pN_])', '\1\2', 'g'), '([\pL\pN_]) +([,;])', '\1\2', 'g') AS text FROM t
 """)
 def hyphen_space_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -138,29 +138,12 @@ def hyphen_space_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", T.space_before_marks(T.repair_hyphens(broken)).alias("text"))
 
 
-@query(AREAS + rf"""
-, m AS (
-    SELECT book, page_idx, arg_min(text, area_pos) FILTER (type = 'main_text' AND {T_TEXT} <> '') AS t FROM areas WHERE NOT ignored GROUP BY book, page_idx
-), w AS (
-    SELECT book, page_idx, array_to_string(list_slice(string_split(regexp_replace({TRIM.format("t")}, '[\s\p{{Z}}]+', ' ', 'g'), ' '), 1, 10), ' ') AS own FROM m
-)
-SELECT book, page_idx, lead(own) OVER (PARTITION BY book ORDER BY page_idx) AS next_prefix FROM w
-""")
-def next_page_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.next_prefix(area_view(spark, sf_dir))
-
-
-@query(AREAS + rf"SELECT book, page_idx, max(area_pos) AS area_pos, arg_max(text, area_pos) AS text FROM areas WHERE type = 'main_text' AND {T_TEXT} <> '' GROUP BY book, page_idx")
-def last_main_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.last_main(area_view(spark, sf_dir))
-
-
 @query(AREAS + r"""
 , b AS (SELECT book, page_idx, type, y0, y1, (x0 + x1) / 2.0 AS cx FROM areas WHERE type IN ('main_text', 'illustration', 'chapter_title', 'subtitle')),
 hit AS (
     SELECT DISTINCT s.book, s.page_idx FROM b s JOIN b t ON s.book = t.book AND s.page_idx = t.page_idx AND s.y0 < t.y1 AND t.y0 < s.y1
     WHERE (s.type = 'main_text' AND t.type = 'main_text' AND s.cx < 500 AND t.cx > 500)
-       OR (s.type = 'illustration' AND t.type <> 'illustration' AND abs(s.cx - 500) > 100 AND (s.cx < 500) <> (t.cx < 500))
+       OR (s.type = 'illustration' AND t.type <> 'illustration' AND abs(s.cx - 500) >= 100 AND (s.cx < 500) <> (t.cx < 500))
 )
 SELECT p.book, p.page_idx, hit.page_idx IS NOT NULL AS two_columns FROM (SELECT DISTINCT book, page_idx FROM areas) p LEFT JOIN hit ON p.book = hit.book AND p.page_idx = hit.page_idx
 """)
@@ -168,25 +151,45 @@ def two_column_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.two_columns(area_view(spark, sf_dir))
 
 
-@query(AREAS + r"""
+READING = r"""
 , b AS (SELECT *, (x0 + x1) / 2.0 AS cx FROM areas),
 hit AS (
     SELECT DISTINCT s.book, s.page_idx FROM b s JOIN b t ON s.book = t.book AND s.page_idx = t.page_idx AND s.y0 < t.y1 AND t.y0 < s.y1
     WHERE (s.type = 'main_text' AND t.type = 'main_text' AND s.cx < 500 AND t.cx > 500)
-       OR (s.type = 'illustration' AND t.type IN ('main_text', 'chapter_title', 'subtitle') AND abs(s.cx - 500) > 100 AND (s.cx < 500) <> (t.cx < 500))
+       OR (s.type = 'illustration' AND t.type IN ('main_text', 'chapter_title', 'subtitle') AND abs(s.cx - 500) >= 100 AND (s.cx < 500) <> (t.cx < 500))
 ), z AS (
     SELECT b.*, hit.page_idx IS NOT NULL AS two, min(CASE WHEN type = 'main_text' AND x1 - x0 <= 650 THEN y0 END) OVER (PARTITION BY b.book, b.page_idx) AS top
     FROM b LEFT JOIN hit ON b.book = hit.book AND b.page_idx = hit.page_idx
+), ro AS (
+    SELECT *, row_number() OVER (PARTITION BY book, page_idx ORDER BY CASE WHEN NOT two THEN 0 WHEN y0 < coalesce(top, 0) AND NOT (type = 'illustration' AND x1 - x0 <= 650 AND abs(cx - 500) > 100) THEN 0 WHEN cx < 500 THEN 1 ELSE 2 END,
+                                 y0, CASE WHEN two THEN 0 ELSE cx END, area_pos) AS reading_pos
+    FROM z
 )
-SELECT book, page_idx, area_pos, two AS two_columns,
-       row_number() OVER (PARTITION BY book, page_idx ORDER BY CASE WHEN NOT two THEN 0 WHEN (top IS NULL OR y0 < top) AND NOT (type = 'illustration' AND abs(cx - 500) > 100) THEN 0 WHEN cx < 500 THEN 1 ELSE 2 END,
-                          y0, CASE WHEN two THEN 0 ELSE cx END, area_pos) AS reading_pos
-FROM z
-""")
+"""
+
+
+@query(AREAS + READING + "SELECT book, page_idx, area_pos, two AS two_columns, reading_pos FROM ro")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.reading_order(area_view(spark, sf_dir))
 
 
+@query(AREAS + READING + rf"""
+, m AS (
+    SELECT book, page_idx, arg_min(text, reading_pos) FILTER (type = 'main_text' AND {T_TEXT} <> '') AS t FROM ro WHERE NOT ignored GROUP BY book, page_idx
+), w AS (
+    SELECT book, page_idx, array_to_string(list_slice(string_split(regexp_replace({TRIM.format("t")}, '[\s\p{{Z}}]+', ' ', 'g'), ' '), 1, 10), ' ') AS own FROM m
+)
+SELECT book, page_idx, lead(own) OVER (PARTITION BY book ORDER BY page_idx) AS next_prefix FROM w
+""")
+def next_page_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.next_prefix(area_view(spark, sf_dir))
+
+
+@query(AREAS + READING + rf"SELECT book, page_idx, arg_max(area_pos, reading_pos) AS area_pos, arg_max(text, reading_pos) AS text FROM ro WHERE type = 'main_text' AND {T_TEXT} <> '' GROUP BY book, page_idx")
+def last_main_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.last_main(area_view(spark, sf_dir))
+
+
 def _crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view with rectangles tall enough to overlap."""
     return area_view(spark, sf_dir).withColumn("y1", F.col("y1") + 15 * F.pmod("page_idx", F.lit(3)))

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 BOX = "struct<left:int,top:int,right:int,bottom:int>"
 AREA = "struct<id:string,type:string,polygon:array<array<int>>,text:string,table_html:string,illustration_id:string,linked_illustration_id:string,consolidated:boolean,is_running_continuation:boolean>"
-PAGE = (
-    "source_image:string,page_dimensions:struct<width:int,height:int>,content_bbox:" + BOX + ",rotation:int,rotation_applied:int,skew_angle:double,skew_angle_applied:double,"
-    "ignored:boolean,process_later:boolean,prohibited:boolean,polished:boolean,footnote_consolidated:boolean,detected_by:string,page_join:string,areas:array<" + AREA + ">"
-)
-BOOK = f"struct<book:string,total_pages:int,footnote_regime:string,endnotes_start_page:string,meta:struct<title:string,author:string,year:string,cover_path:string,source_pdf:string>,pages:array<struct<{PAGE}>>>"
+PAGE = {
+    "source_image": "string", "page_dimensions": "struct<width:int,height:int>", "content_bbox": BOX, "rotation": "int", "rotation_applied": "int", "skew_angle": "double", "skew_angle_applied": "double",
+    "ignored": "boolean", "process_later": "boolean", "prohibited": "boolean", "polished": "boolean", "footnote_consolidated": "boolean", "detected_by": "string", "page_join": "string", "areas": f"array<{AREA}>",
+}
+BOOK = {
+    "book": "string", "total_pages": "int", "footnote_regime": "string", "endnotes_start_page": "string",
+    "meta": "struct<title:string,author:string,year:string,cover_path:string,source_pdf:string>", "pages": "array<struct<" + ",".join(f"{k}:{v}" for k, v in PAGE.items()) + ">>",
+}
 # The kinds of areas.
 AREA_TYPES = (
     "header", "footer", "page_number", "illustration", "main_text", "illustration_caption", "footnote", "decoration",
@@ -19,26 +22,29 @@ AREA_TYPES = (
 )
 
 
-def _schema(kind: str) -> str:
-    """The fields of a struct type as a reader's schema."""
-    return kind.removeprefix("struct<").removesuffix(">")
+def ddl(fields: dict[str, str]) -> str:
+    """Fields as a reader's schema."""
+    return ", ".join(f"{k} {v}" for k, v in fields.items())
 
 
 def read_books(spark: SparkSession, path: str) -> DataFrame:
     """One row per book file, with the fixed schema and its path; a file that can't be read has nulls."""
-    return spark.read.schema(_schema(BOOK)).option("multiLine", True).option("mode", "PERMISSIVE").json(path).withColumn("path", F.input_file_name())
+    return spark.read.schema(ddl(BOOK)).option("multiLine", True).option("mode", "PERMISSIVE").json(path).withColumn("path", F.input_file_name())
 
 
 def pages_of(books: DataFrame) -> DataFrame:
-    """One row per page, in order."""
+    """One row per page, in order. ``has_areas`` tells pages that were processed (and may hold none)."""
     name = F.coalesce("book", F.regexp_extract("path", r"([^/]+)\.json$", 1))
-    return books.select(name.alias("book"), "footnote_regime", F.posexplode("pages").alias("page_idx", "page")).select("book", "footnote_regime", F.col("page_idx").cast("long"), "page.*")
+    p = books.select(name.alias("book"), "footnote_regime", "endnotes_start_page", F.posexplode("pages").alias("page_idx", "page"))
+    return p.select("book", "footnote_regime", "endnotes_start_page", F.col("page_idx").cast("long"), "page.*").withColumn("has_areas", F.col("areas").isNotNull())
 
 
 def areas_of(pages: DataFrame) -> DataFrame:
     """One row per area that isn't null, with its place and the page's flags."""
-    a = pages.select("book", "page_idx", "source_image", "page_join", F.coalesce("ignored", F.lit(False)).alias("ignored"), "page_dimensions", F.posexplode("areas").alias("area_pos", "a"))
-    a = a.filter("a IS NOT NULL").select("book", "page_idx", "source_image", "page_join", "ignored", "page_dimensions", F.col("area_pos").cast("long"), "a.*")
+    dims = [F.coalesce("page_dimensions.width", F.lit(1000)).alias("page_w"), F.coalesce("page_dimensions.height", F.lit(1000)).alias("page_h"), F.coalesce("rotation", F.lit(0)).alias("rotation")]
+    keep = ["book", "page_idx", "source_image", "page_join", "ignored", "page_w", "page_h", "rotation"]
+    a = pages.withColumn("ignored", F.coalesce("ignored", F.lit(False))).select(*keep[:5], *dims, F.posexplode("areas").alias("area_pos", "a"))
+    a = a.filter("a IS NOT NULL").select(*keep, F.col("area_pos").cast("long"), "a.*")
     x, y = F.transform("polygon", lambda p: p[0]), F.transform("polygon", lambda p: p[1])
     box = {"x0": F.array_min(x), "y0": F.array_min(y), "x1": F.array_max(x), "y1": F.array_max(y)}
     return a.withColumns({k: v.cast("long") for k, v in box.items()}).withColumn("override", F.col("is_running_continuation"))
@@ -46,7 +52,7 @@ def areas_of(pages: DataFrame) -> DataFrame:
 
 def read_sidecars(spark: SparkSession, folder: str) -> DataFrame:
     """Pages from ``*-areas.json`` files; of files for one page the last by name counts, unreadable ones don't."""
-    raw = spark.read.schema(_schema(f"struct<{PAGE}>")).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*-areas.json").json(folder)
+    raw = spark.read.schema(ddl(PAGE)).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*-areas.json").json(folder)
     raw = raw.withColumn("path", F.input_file_name()).filter("source_image IS NOT NULL")
     last = F.row_number().over(Window.partitionBy("source_image").orderBy(F.col("path").desc())) == 1
     return raw.withColumn("last", last).filter("last").drop("last", "path")

@@ -6,7 +6,7 @@ import uuid
 import zipfile
 from html import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fields that a user sets; a new detection doesn't touch them.
@@ -37,8 +37,17 @@ def rebuild_books(pages: DataFrame) -> DataFrame:
     return b.select("book", F.size("pages").alias("total_pages"), "pages")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table or file; where a replacement was broken off between its two renames, the old one is put back first."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p(path)) and (left := fs.globStatus(p(f"{path}.old-*"))):
+        fs.rename(left[0].getPath(), p(path))
+    return fs.exists(p(path))
+
+
 def write_replacing(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """Write beside the target, then rename: readers see the old table or the new one."""
+    """Write beside the target whole, then rename twice. Between these there is no table at its place: ``exists`` mends that."""
     spark = df.sparkSession
     part, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.format(fmt).save(part)

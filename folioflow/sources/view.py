@@ -33,14 +33,14 @@ def area_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = (
         F.when((F.col("type") == "footnote") & (m(1, 4) == 0), F.concat("line", end))
         .when((F.col("type") == "footnote") & (m(1, 9) == 1), F.concat(F.lit("* "), "line", end))
-        .when(F.col("type") == "footnote", F.concat(note.cast("string"), F.lit(". "), "line", end))
+        .when(F.col("type") == "footnote", F.concat(note.cast("string"), F.when(m(1, 6) < 3, ". ").otherwise(" "), "line", end))
         .when((F.col("type") == "main_text") & (m(1, 9) == 1), F.concat("line", F.lit("<sup>*</sup>"), end))
         .when((F.col("type") == "main_text") & (m(1, 3) != 0), F.concat("line", F.lit("<sup>"), body.cast("string"), F.lit("</sup>"), end))
         .when((F.col("type") == "main_text") & (m(1, 12) == 0), F.concat(F.lit("He said \"so\""), body.cast("string"), F.lit(" "), "line", end))
         .when(F.col("type") == "illustration_caption", F.concat(F.when(m(1, 4) == 0, "<<< ").when(m(1, 4) == 1, ">>> ").otherwise(""), "line"))
         .when(F.col("type") == "illustration", None)
         .when((F.col("area_pos") == 0) & (F.pmod("page_idx", F.lit(40)) == 0), "Notes")
-        .when((F.col("area_pos") == 0) & (F.pmod("page_idx", F.lit(8)) == 0), F.concat((F.floor(F.col("page_idx") / 8) % 12 + 1).cast("string"), F.lit(". "), F.substring("line", 1, 12)))
+        .when((F.col("area_pos") == 0) & (F.pmod("page_idx", F.lit(8)) == 0), F.concat((F.floor(F.col("page_idx") / 8) % 12 + 1).cast("string"), F.lit(". "), "line"))
         .otherwise(F.col("line"))
     )
     left = (F.pmod("page_idx", F.lit(3)) == 0) & (F.pmod("area_pos", F.lit(2)) == 0)
@@ -75,14 +75,14 @@ WITH raw AS (
     SELECT book, page_idx, area_pos, type,
            CASE WHEN type = 'footnote' AND s % 4 = 0 THEN line || ending
                 WHEN type = 'footnote' AND s % 9 = 1 THEN '* ' || line || ending
-                WHEN type = 'footnote' THEN note || '. ' || line || ending
+                WHEN type = 'footnote' THEN note || CASE WHEN s % 6 < 3 THEN '. ' ELSE ' ' END || line || ending
                 WHEN type = 'main_text' AND s % 9 = 1 THEN line || '<sup>*</sup>' || ending
                 WHEN type = 'main_text' AND s % 3 <> 0 THEN line || '<sup>' || body || '</sup>' || ending
                 WHEN type = 'main_text' AND s % 12 = 0 THEN 'He said "so"' || body || ' ' || line || ending
                 WHEN type = 'illustration_caption' THEN CASE s % 4 WHEN 0 THEN '<<< ' WHEN 1 THEN '>>> ' ELSE '' END || line
                 WHEN type = 'illustration' THEN NULL
                 WHEN area_pos = 0 AND page_idx % 40 = 0 THEN 'Notes'
-                WHEN area_pos = 0 AND page_idx % 8 = 0 THEN ((page_idx // 8) % 12 + 1) || '. ' || substr(line, 1, 12)
+                WHEN area_pos = 0 AND page_idx % 8 = 0 THEN ((page_idx // 8) % 12 + 1) || '. ' || line
                 ELSE line END AS text,
            page_idx % 17 = 0 AS ignored,
            CASE s % 13 WHEN 0 THEN true WHEN 1 THEN false END AS override,

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from folioflow.sources.books import PAGE, _schema
-from folioflow.sources.store import upsert_pages, write_replacing
+from folioflow.sources.books import PAGE, ddl
+from folioflow.sources.store import exists, upsert_pages, write_replacing
 
 
 def sidecar_stream(spark: SparkSession, folder: str) -> DataFrame:
-    raw = spark.readStream.schema(_schema(f"struct<{PAGE}>")).option("multiLine", True).option("pathGlobFilter", "*-areas.json").json(folder)
+    raw = spark.readStream.schema(ddl(PAGE)).option("multiLine", True).option("pathGlobFilter", "*-areas.json").json(folder)
     return raw.withColumn("path", F.input_file_name()).filter("source_image IS NOT NULL")
 
 
@@ -21,11 +21,7 @@ def upsert_stream(pages: DataFrame, table: str, checkpoint: str, key: str = "sou
     def batch(df: DataFrame, _: int) -> None:
         spark = df.sparkSession
         new = df.groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c not in (key, "path")]), "path").alias("p")).select(key, "p.*")
-        try:
-            old = spark.read.schema(new.schema).parquet(table)
-            old.take(1)
-        except Exception:  # the first batch
-            old = spark.createDataFrame([], new.schema)
+        old = spark.read.schema(new.schema).parquet(table) if exists(spark, table) else spark.createDataFrame([], new.schema)
         write_replacing(upsert_pages(old, new, [key]), table, "parquet")
 
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
