@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.graph import components
 from folioflow.llm.store import drop, mapped, pack, put, scratch, stored
-from folioflow.llm.textops import U, distinct, distinct_pairs, mix, run_hashes, slices, words
+from folioflow.llm.textops import U, distinct, distinct_pairs, give_back, mix, run_hashes, slices, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 two texts share a band with probability 0.9996, at 0.5 with 0.47.
@@ -142,6 +142,7 @@ def _verify(folder: str, bits: int):
             x, y = linked([load(x) for x in node[i:j]])
             a += name[i + x].tolist()
             b += name[i + y].tolist()
+        give_back()
         return pa.table([np.array(a, np.int64), np.array(b, np.int64)], schema=_EDGE)
 
     return run

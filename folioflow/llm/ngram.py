@@ -26,7 +26,7 @@ from folioflow.llm.textops import U, mix, slices, sums, tally, words
 BEGIN, END = U(0xB5297A4D3F84D5B5), U(0x1B56C4E9A2D7F38D)
 #: Pairs that a worker holds at most before they go out.
 HELD = 3_000_000
-LOOKUP_BYTES = 12 << 20
+LOOKUP_BYTES = 6 << 20
 
 #: Share of the tokens from which on a word's pairs are dealt out by the pair; fewer than 1 / HOT words can have it.
 HOT = 0.001

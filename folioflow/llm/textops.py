@@ -35,6 +35,13 @@ def _powers(n: int):
     return _POWERS["p"], _POWERS["i"]
 
 
+def give_back() -> None:
+    """What was freed goes back to the system: a worker lives on when its task has ended."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every bit over all 64 (a bijection: the finaliser of the public MurmurHash3)."""
     x = x ^ (x >> U(33))
@@ -58,7 +65,7 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows of some MB of text; a longer row stands alone, whole."""
     for b in batches:
         if not b.num_rows:
@@ -69,6 +76,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
             yield b.slice(at, to - at)
             at = to
+    give_back()
 
 
 def spans(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.textops import LOWER, U, inside, mix, slices, span_hashes, spans, utf8
+from folioflow.llm.textops import LOWER, U, give_back, inside, mix, slices, span_hashes, spans, utf8
 
 #: Labelled rows that the model is fitted on at most, the first by a hash of the id.
 TRAIN_ROWS = 16_000
@@ -91,12 +91,14 @@ def _fit(epochs: int, bits: int):
         order = np.argsort(mix(table.column("id").to_numpy().astype(np.int64).view(U)))
         label = table.column("label").to_numpy()
         text = table.column("text").combine_chunks()
-        rows = []
+        parts, size = [], []
         for at in range(0, len(label), 500):
             found = features(text.slice(at, 500), bits)
-            for k in range(min(500, len(label) - at)):
-                i = np.unique(np.concatenate([f[o[k] : o[k + 1]] for f, o in found]))
-                rows.append(np.append(i, 1 << bits).astype(np.int32))
+            own = [np.append(np.unique(np.concatenate([f[o[k] : o[k + 1]] for f, o in found])), 1 << bits).astype(np.int32) for k in range(min(500, len(label) - at))]
+            size += map(len, own)
+            parts.append(np.concatenate(own))
+        every, edge = np.concatenate(parts), np.cumsum([0, *size]).tolist()  # one array: many small ones would stay with the worker
+        rows = [every[a:z] for a, z in zip(edge, edge[1:], strict=False)]
 
         def fitted(chosen: np.ndarray) -> np.ndarray:
             model = Ftrl(bits)
@@ -113,6 +115,8 @@ def _fit(epochs: int, bits: int):
         w = fitted(order)
         w[-1] -= level
         some = np.flatnonzero(w)
+        del rows, every, parts
+        give_back()
         return pa.table([pa.array(some, pa.int32()), pa.array(w[some], pa.float64())], schema=_WEIGHTS)
 
     return run

@@ -13,7 +13,7 @@ import pyarrow as pa
 import zstandard
 
 from folioflow.llm.store import mapped, pack, put, unpack
-from folioflow.llm.textops import U, span_hashes
+from folioflow.llm.textops import U, give_back, span_hashes
 
 CHECK = 77
 #: Hashes of pieces that a worker remembers at most before it begins anew (a piece then may go out twice).
@@ -97,6 +97,7 @@ def gathered(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 def save(folder: str, bucket: int, h: np.ndarray, check: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
     """One bucket's pieces (distinct, in the order of h) with their ids, one piece's after another's."""
     put(f"{folder}/ids-{bucket}", pack(hash=h, check=check, at=np.concatenate([[0], np.cumsum(size)]), ids=ids))
+    give_back()
 
 
 class Ids:
