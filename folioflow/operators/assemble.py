@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
+from folioflow.operators.layout import in_order
 from folioflow.operators.scans import carry_forward, running_sum
 
 BOOK, PAGE, ORDER = ["book"], ["book", "page_idx"], ["page_idx", "area_pos"]
@@ -128,6 +129,49 @@ def to_txt(elements: DataFrame) -> DataFrame:
     return e.select("book", F.concat(T.strip(F.regexp_replace(F.array_join(every, "\n\n"), r"\n{3,}", "\n\n")), F.lit("\n")).alias("text"))
 
 
+def preview(areas: DataFrame) -> DataFrame:
+    """What each active page gives to the book, in reading order: book, page_idx, k, kind, text."""
+    a = in_order(emitted(areas))
+    k = F.row_number().over(Window.partitionBy(*PAGE).orderBy("reading_pos"))
+    return a.select(*PAGE, k.cast("long").alias("k"), F.col("type").alias("kind"), T.squeeze(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def rewrite_sources(html: Column, folder: str, url: str) -> Column:
+    """Sources of images in a folder, as they are served."""
+    return F.replace(F.replace(html, F.lit(f'src="{folder}/'), F.lit(f'src="{url}/')), F.lit(f"src='{folder}/"), F.lit(f"src='{url}/"))
+
+
+def epub_body(elements: DataFrame) -> DataFrame:
+    """Elements (book, pos, html) ready for EPUB: images from ``images/`` as JPEG; of equal figures in a book the first stays."""
+    src = r"""(?i)src=["'](?:[^"']*/)?([^"'/]+)\.(?:png|jpe?g)["']"""
+    e = elements.withColumns({"image": F.nullif(F.regexp_extract("html", src, 1), F.lit("")), "html": F.regexp_replace("html", src, 'src="images/$1.jpg"')})
+    k = F.row_number().over(Window.partitionBy("book", F.coalesce("image", F.concat(F.lit("\n"), F.col("pos").cast("string")))).orderBy("pos"))
+    return e.withColumn("_k", k).filter("_k = 1").drop("_k")
+
+
+def illustration_ids(areas: DataFrame) -> DataFrame:
+    """Illustrations of active pages with three corners or more, with the id and file they are cropped to; missing ids are counted over all of a page's."""
+    a = areas.filter(~F.coalesce("ignored", F.lit(False)) & (F.col("type") == "illustration") & (F.size(F.coalesce("polygon", F.array().cast("array<array<int>>"))) >= 3))
+    k = F.row_number().over(Window.partitionBy(*PAGE).orderBy("area_pos"))
+    name = F.coalesce(F.nullif("illustration_id", F.lit("")), F.format_string("illus_%03d", k))
+    return a.withColumn("illustration_id", name).withColumn("file", F.concat(F.regexp_replace("source_image", r"\.[^.]*$", ""), F.lit("_"), F.col("illustration_id"), F.lit(".png"))).select(*PAGE, "area_pos", "illustration_id", "file")
+
+
+def overlay(areas: DataFrame) -> DataFrame:
+    """Each page's areas as an SVG to lay over its image: book, page_idx, svg."""
+    points = F.array_join(F.transform("polygon", lambda p: F.concat(p[0].cast("string"), F.lit(","), p[1].cast("string"))), " ")
+    shape = F.concat(F.lit('<polygon class="'), "type", F.lit('" points="'), points, F.lit('"/>'))
+    a = areas.filter("polygon IS NOT NULL").groupBy(*PAGE, "page_w", "page_h").agg(F.array_sort(F.collect_list(F.struct("area_pos", shape.alias("s")))).alias("l"))
+    head = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 '), F.col("page_w").cast("string"), F.lit(" "), F.col("page_h").cast("string"), F.lit('">'))
+    return a.select(*PAGE, F.concat(head, F.array_join(F.col("l.s"), ""), F.lit("</svg>")).alias("svg"))
+
+
+def compression_report(files: DataFrame) -> DataFrame:
+    """(book, before, after) of files in bytes -> per book: files, sizes and the percentage saved."""
+    r = files.groupBy("book").agg(F.count("*").alias("files"), F.sum("before").alias("before"), F.sum("after").alias("after"))
+    return r.withColumn("saved_pct", F.when(F.col("before") > 0, F.round((1 - F.col("after") / F.col("before")) * 100, 1)).otherwise(0.0))
+
+
 def headings(pages: DataFrame, level: int = 1) -> DataFrame:
     """Pages' headings of a level and their number of paragraphs, by pattern (for HTML that is well-formed there)."""
     h = F.regexp_extract_all("html", F.lit(rf"(?is)<h{level}[^>]*>(.*?)</h{level}>"), F.lit(1))

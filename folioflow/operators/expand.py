@@ -70,3 +70,10 @@ def select_pages(pages: DataFrame, spec: str, column: str = "page_idx") -> DataF
     """Rows whose page the specification names."""
     wanted = pages.sparkSession.range(1).select(F.explode(page_numbers(spec)).alias(column))
     return pages.join(wanted, column, "left_semi")
+
+
+def select_named(pages: DataFrame, spec: str, column: str = "page_idx", name: str = "source_image") -> DataFrame:
+    """Like select_pages(), or the one page whose image has this name."""
+    if spec.strip() and not any(c not in "0123456789-, " for c in spec):
+        return select_pages(pages, spec, column)
+    return pages.filter((F.col(name) == spec.strip()) | (F.regexp_replace(name, r"\.[^.]*$", "") == spec.strip()))

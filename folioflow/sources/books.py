@@ -67,6 +67,40 @@ def read_images(spark: SparkSession, folder: str, overlays: bool = False) -> Dat
     return im.withColumn("page_no", F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("int"))
 
 
+# What counts as a page image.
+IMAGE_ENDS = ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp")
+
+
+def number_images(files: DataFrame) -> DataFrame:
+    """Files (path) of a folder as pages: those that are images and no dot files, by name, renumbered from 1: path, name, page, stem."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    own = files.withColumn("name", name).filter(~F.col("name").startswith(".") & F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)).isin(*IMAGE_ENDS))
+    k = F.row_number().over(Window.orderBy("name"))  # a folder's listing: one book's pages
+    return own.select("path", "name", k.cast("long").alias("page")).withColumn("stem", F.format_string("page%04d", "page"))
+
+
+def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """path, length of a folder's files; contents aren't read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length")
+
+
+def find_book(spark: SparkSession, folder: str, name: str | None = None) -> str:
+    """The path of a book's JSON: by its name, or the only one there is (``book.json`` apart)."""
+    found = sorted(r.path for r in list_files(spark, folder, "*.json").collect())  # one row for each book
+    found = [p for p in found if p.rpartition("/")[2] == f"{name}.json"] if name else [p for p in found if p.rpartition("/")[2] != "book.json"]
+    if len(found) != 1:
+        raise FileNotFoundError(f"{folder}: {len(found)} book files" + (f" named {name}" if name else "; give a name"))
+    return found[0]
+
+
+def page_lookup(pages: DataFrame, images: DataFrame) -> DataFrame:
+    """Images (stem, width, height) with what is known of their pages; sizes of the image where the page has none."""
+    p = pages.withColumn("stem", F.regexp_replace("source_image", r"\.[^.]*$", ""))
+    j = images.join(p.select("stem", "book", "page_idx", "page_dimensions", "ignored", "has_areas"), "stem", "left")
+    size = lambda c: F.coalesce(f"page_dimensions.{c}", c).alias(c)
+    return j.select("stem", "book", "page_idx", size("width"), size("height"), F.coalesce("ignored", F.lit(False)).alias("ignored"), F.coalesce("has_areas", F.lit(False)).alias("processed"))
+
+
 def read_models(spark: SparkSession, path: str) -> DataFrame:
     """Lines ``[N] provider:model``, in order: tag, provider, model; comments and other providers are left out."""
     t = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))

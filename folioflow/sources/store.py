@@ -37,6 +37,22 @@ def rebuild_books(pages: DataFrame) -> DataFrame:
     return b.select("book", F.size("pages").alias("total_pages"), "pages")
 
 
+def dump(rows: DataFrame, path: str) -> None:
+    """Raw answers and errors (book, name, text) as text, one folder for each book, beside what is there."""
+    rows.select("book", F.to_json(F.struct("name", "text")).alias("value")).write.mode("append").partitionBy("book").text(path)
+
+
+def backup(spark: SparkSession, path: str) -> str:
+    """A copy of a file or table beside it (``.bak``), in place of an older one."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(conf)
+    fs.delete(p(f"{path}.bak"), True)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p(path), fs, p(f"{path}.bak"), False, conf)
+    return f"{path}.bak"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is a table or file; where a replacement was broken off between its two renames, the old one is put back first."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path

@@ -223,3 +223,59 @@ def test_book_from_file_to_text(spark, tmp_path):
     assert (state.fn_review_relevant, state.fn_review_mismatched) == (2, 2)
     assert [r.source_image for r in reports.pending_pages(pages).collect()] == ["page0004.png"]
     assert {r.page_idx: (r.sup_count, r.fn_count, r.state, r.badge) for r in reports.footnote_review(a).collect()} == {0: (1, 2, "red", "1↑·2fn"), 1: (1, 2, "red", "1↑·2fn")}
+
+
+def test_pages_and_files(spark, tmp_path):
+    files = spark.createDataFrame([("/x/b.PNG",), ("/x/.c.png",), ("/x/a.jpg",), ("/x/n.txt",)], "path string")
+    assert [(r.name, r.stem) for r in books.number_images(files).orderBy("page").collect()] == [("a.jpg", "page0001"), ("b.PNG", "page0002")]
+    for n in ("book.json", "One.json"):
+        (tmp_path / n).write_text("{}")
+    assert books.find_book(spark, str(tmp_path)).endswith("/One.json") and books.find_book(spark, str(tmp_path), "book").endswith("/book.json")
+    from folioflow.operators import expand
+    from folioflow.sources import store
+
+    p = spark.createDataFrame([(1, "page0001.png"), (2, "cover.png")], "page_idx long, source_image string")
+    assert [r.page_idx for r in expand.select_named(p, "cover").collect()] == [2] and [r.page_idx for r in expand.select_named(p, "1-1").collect()] == [1]
+    path = store.backup(spark, str(tmp_path / "One.json"))
+    assert open(path).read() == "{}"
+    store.dump(spark.createDataFrame([("b", "page0001", "raw\ntext")], "book string, name string, text string"), str(tmp_path / "dump"))
+    assert json.loads(spark.read.text(str(tmp_path / "dump")).first().value) == {"name": "page0001", "text": "raw\ntext"}
+
+
+def test_elements(spark):
+    kind = "book string, page_idx long, area_pos long, type string, polygon array<array<int>>, source_image string, illustration_id string, ignored boolean, page_w int, page_h int"
+    tri = [[0, 0], [9, 0], [9, 9]]
+    a = spark.createDataFrame([("b", 0, 0, "illustration", tri, "page0001.png", "x", False, 10, 20), ("b", 0, 1, "illustration", tri, "page0001.png", None, False, 10, 20), ("b", 0, 2, "illustration", [[1, 1]], "page0001.png", None, False, 10, 20)], kind)
+    assert [r.file for r in assemble.illustration_ids(a).orderBy("area_pos").collect()] == ["page0001_x.png", "page0001_illus_002.png"]
+    assert assemble.overlay(a.limit(1)).first().svg == '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 10 20"><polygon class="illustration" points="0,0 9,0 9,9"/></svg>'
+    e = spark.createDataFrame([("b", 0, '<figure><img src="elements/p_i.png"></figure>'), ("b", 1, "<p>x</p>"), ("b", 2, '<figure><img src="elements/p_i.png"></figure>'), ("b", 3, "<p>x</p>")], "book string, pos long, html string")
+    assert [r.html for r in assemble.epub_body(e).orderBy("pos").collect()] == ['<figure><img src="images/p_i.jpg"></figure>', "<p>x</p>", "<p>x</p>"]
+    assert one(spark, lambda c: assemble.rewrite_sources(c, "elements", "/p/1"), '<img src="elements/a.png">') == ['<img src="/p/1/a.png">']
+    r = assemble.compression_report(spark.createDataFrame([("b", 100, 30), ("b", 100, 50)], "book string, before long, after long")).first()
+    assert (r.files, r.saved_pct) == (2, 60.0)
+
+
+def test_geometry(spark):
+    box = spark.range(1).select(layout.crop_box(F.expr("array(array(10, 10), array(90, 10), array(90, 60), array(10, 60))"), F.lit(0.0), F.lit(100), F.lit(100)).alias("a"), layout.crop_box(F.expr("array(array(10, 10), array(90, 10), array(90, 60), array(10, 60))"), F.lit(90.0), F.lit(100), F.lit(100)).alias("b"), layout.rotated_content_box(F.expr("struct(1 AS left, 2 AS top, 3 AS right, 4 AS bottom)"), F.lit(90), F.lit(10), F.lit(20)).alias("c"), layout.content_box(F.expr("struct(1 AS left, cast(null AS int) AS top, 3 AS right, 4 AS bottom)")).alias("d"), layout.page_point(F.lit(500), F.lit(1000), F.lit(801), F.lit(40)).alias("e")).first()
+    assert tuple(box.a) == (10, 10, 90, 60) and tuple(box.b) == (10, 10, 60, 60) and tuple(box.c) == (16, 1, 18, 3) and box.d is None and box.e == 440
+
+
+def test_images():
+    import numpy as np
+
+    from folioflow.operators import images
+
+    page = np.full((300, 200), 240, np.uint8)
+    for y in range(20, 200, 12):
+        page[y : y + 4, 20:180] = 10
+    assert images.quarter_turn(page) is None and images.quarter_turn(np.rot90(page)) == 270
+    assert images.snap_outward(page < 100, (30, 40, 100, 60)) == (19, 40, 140, 61)
+    small = images.for_model(page, None, 150)
+    assert small.shape == (150, 100) and abs(float(small.mean()) - float(page.mean())) < 1
+
+
+def test_clusters(spark):
+    from folioflow.operators import images
+
+    d = spark.createDataFrame([("p", y, n) for y, n in ((0, 5), (200, 5), (700, 20), (1200, 1))], "page string, y long, n long")
+    assert [tuple(r) for r in images.largest_cluster(d, ["page"]).collect()] == [("p", 700, 700, 20)]
