@@ -254,9 +254,77 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 for r in toxicity.score(docs, none).collect())
 
 
+def test_toxicity_like_plain_ftrl(spark):
+    """Weights are those of FTRL-proximal written out coordinate by coordinate."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    rows = [(i, prose(rng.randint(0, 25), rng) + (" vile rotten" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    feature, weight = toxicity.train(docs, docs.select("doc_id", "toxic"))
+    order = np.argsort(textops.mix(np.arange(len(rows), dtype=np.int64).view(np.uint64)))
+    bias = 1 << toxicity.BITS
+    bags = [sorted({int(x) for f, _ in toxicity.features(pa.array([t])) for x in f}) + [bias] for _, t, _ in rows]
+
+    def fit(chosen):
+        z, n = Counter(), Counter()
+
+        def w(i):
+            l1 = 0 if i == bias else toxicity.L1
+            return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+        for _ in range(toxicity.EPOCHS):
+            for k in chosen:
+                own = {i: w(i) for i in bags[k]}
+                g = 1 / (1 + math.exp(-max(-35, min(35, sum(own.values()))))) - rows[k][2]
+                for i, x in own.items():
+                    z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * x
+                    n[i] += g * g
+        return {i: w(i) for i in z if w(i)}
+
+    cut = len(order) * 4 // 5
+    first = fit(order[:cut])
+    rest = order[cut:]
+    level = toxicity.best_level(np.array([sum(first.get(i, 0) for i in bags[k]) for k in rest]), np.array([rows[k][2] for k in rest]))
+    want = fit(order)
+    want[bias] = want.get(bias, 0) - level
+    got = dict(zip(feature.tolist(), weight.tolist(), strict=True))
+    assert set(got) == {i for i, x in want.items() if x} and all(math.isclose(got[i], want[i], rel_tol=1e-6, abs_tol=1e-9) for i in got)
+    extra = docs.withColumns({"score": F.lit("clash"), "label": F.lit(7), "feature": F.lit(1)}).unionByName(docs.filter("doc_id = 3").withColumns({"score": F.lit("clash"), "label": F.lit(7), "feature": F.lit(1)}))
+    assert toxicity.score(extra, (feature, weight)).count() == len(rows) + 1  # a repeated row is returned twice
+
+
 ITEMS = [prose(30) + ". " + prose(8) for _ in range(6)]
 
 
+def test_leaks_like_brute_force(spark):
+    """Every document of a table against every item, window by window."""
+    import pyarrow as pa
+
+    sf = "/root/testdata/sf0.001"
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    items = decontam.Items.read([(r.item_id, r.text) for r in bench.collect()])
+    w, at = textops.plain_words(pa.array([t for _, t in rows]))
+    want = set()
+    for d, (i, _) in enumerate(rows):
+        own = w[at[d] : at[d + 1]].tolist()
+        for k, (item, answer) in enumerate(zip(items.words, items.answers, strict=True)):
+            item, answer, n = item.tolist(), answer.tolist(), len(item)
+            bag = set(item)
+            for a in range(0, max(1, len(own)), decontam.BLOCK):
+                near = own[max(0, a - n) : a + 2 * decontam.BLOCK + n]
+                if len(bag.intersection(near)) < 0.5 * len(bag):
+                    continue
+                part = decontam.lcs(item, near) / n
+                held = lambda run, near=near: any(near[x : x + len(run)] == run for x in range(len(near) - len(run) + 1))
+                if held(item) if n < decontam.SHORT else part >= decontam.SAME or (part >= decontam.PARAPHRASE and held(answer)):
+                    want.add((i, items.ids[k]))
+                    break
+    assert len(want & got) >= 0.9 * len(want) and got <= want
+
+
 def test_leaks(spark):
     rng = random.Random(11)
     rows, want = [(i, prose(150, rng)) for i in range(40)], set()
@@ -466,6 +534,27 @@ def test_pipeline(spark):
     assert {r.doc_id: r.decoded_sha256 for r in last} == {i: hashlib.sha256(texts[i].encode()).hexdigest() for i in kept[3]}
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, blanks, repeated rows, further columns and empty tables pass through every stage."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(i, 0) for i in range(4)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, ITEMS[0])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, BASE[0], "a"), (1, BASE[0], "a"), (2, BASE[0].replace(" ", "  "), "a"), (3, None, "a"), (4, "", "b"), (5, BASE[1], None), (6, ITEMS[0], "b"), (7, prose(3000), "c")]
+    docs = spark.createDataFrame([(*r, "x", 5.0) for r in rows], "doc_id long, text string, source string, id string, score double").repartition(3)
+    step = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, str(tmp_path))
+        assert step.columns == docs.columns, name
+    assert sorted(r.doc_id for r in step.collect()) == [1, 1, 3, 5, 7]
+    last = corpus_pipeline.STAGES[-1][1](spark, step, str(tmp_path))
+    assert {r.doc_id: r.n_tokens for r in last.collect()}[3] == 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, f"{tmp_path}/none").count() == len(rows)  # nothing learnt, nothing rejected
+
+
 @pytest.mark.parametrize("block", [4000, 3])
 def test_near_copies_like_brute_force(spark, monkeypatch, block):
     """All that the pipeline's stage should drop at a Jaccard similarity of 0.8 is dropped, and no more."""
