@@ -28,6 +28,8 @@ BEGIN, END = U(0xB5297A4D3F84D5B5), U(0x1B56C4E9A2D7F38D)
 HELD = 3_000_000
 LOOKUP_BYTES = 6 << 20
 
+#: Tokens for each bucket of words and pairs, about: buckets grow in number with the text, not in size.
+BUCKET_TOKENS = 500_000
 #: Share of the tokens from which on a word's pairs are dealt out by the pair; fewer than 1 / HOT words can have it.
 HOT = 0.001
 
@@ -234,14 +236,14 @@ class Model:
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """Count all texts of docs (null: empty) and write the model."""
+    """Count all texts of docs (null: empty) and write the model. Rows without or with a repeated id count like any other."""
     spark = docs.sparkSession
     folder = scratch(spark, "ngram")
-    bits = max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     texts = docs.select(F.col(text_col).alias("text"))
     many = texts.mapInArrow(_hot, "word long, n long, of long")
     many = stored(many.groupBy("word").agg(F.sum("n").alias("n"), F.sum("of").alias("of")), "ngram-many")
-    least = HOT * (many.agg(F.sum("of")).first()[0] or 0)
+    every = many.agg(F.sum("of")).first()[0] or 0
+    least, bits = HOT * every, max(1, (every // BUCKET_TOKENS).bit_length())
     hot = np.sort(np.array([r.word for r in many.filter(F.col("n") >= least).select("word").collect()], np.int64).view(U))
     pairs = texts.mapInArrow(_count(bits, hot), "bucket int, pairs binary")
     kinds = "bucket int, words binary, hot binary, counts array<long>"
