@@ -1,16 +1,18 @@
-"""LM scoring (7): an interpolated modified Kneser-Ney bigram model over the whole training corpus.
-
-Words and pairs of words are 64-bit hashes. Pairs are counted where they stand
-and dealt out by their first word, so that a task sees all that follows it; the
-pairs of hot words (fewer than 1 / HOT of them) go by the pair's own hash, so
-that none gathers in one task. Sorted arrays of hashes with counts are kept in
-the shared folder; how many words each word follows is summed from them in a
-second, smaller exchange. Workers map the arrays and look sorted batches up.
+"""LM scoring (7): an interpolated modified Kneser-Ney n-gram model of any order over the whole training corpus.
+
+Words are 64-bit hashes, runs of words hashes of their prefixes. The longest
+runs are counted where they stand and dealt out by their first word, so that a
+task sees all that follows it; a hot prefix (fewer than 1 / HOT of a length) is
+passed over for the next longer one, so that none gathers in one task. Sorted
+arrays of hashes with counts are kept in the shared folder. Each level then
+deals out its distinct runs without their first word: their number is the
+count that the next lower order works with. Workers map the arrays and look
+sorted batches up. Each text is preceded by order - 1 begin marks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,24 +21,25 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.store import mapped, pack, put, scratch, stored, unpack
-from folioflow.llm.textops import U, mix, slices, sums, tally, words
+from folioflow.llm.store import drop, mapped, pack, put, scratch, stored, unpack
+from folioflow.llm.textops import U, mix, slices, sums, words
 
 #: Hashes that stand for the begin and the end of a text.
 BEGIN, END = U(0xB5297A4D3F84D5B5), U(0x1B56C4E9A2D7F38D)
-#: Pairs that a worker holds at most before they go out.
+#: Order of the model unless asked for another.
+ORDER = 3
+#: Runs that a worker holds at most before they go out.
 HELD = 3_000_000
 LOOKUP_BYTES = 6 << 20
 
-#: Tokens for each bucket of words and pairs, about: buckets grow in number with the text, not in size.
+#: Tokens for each bucket of words and runs, about: buckets grow in number with the text, not in size.
 BUCKET_TOKENS = 500_000
-#: Share of the tokens from which on a word's pairs are dealt out by the pair; fewer than 1 / HOT words can have it.
+#: Share of the runs from which on a prefix is hot and its runs are dealt out by a longer one.
 HOT = 0.001
 
-_HOT = pa.schema([("word", pa.int64()), ("n", pa.int64()), ("of", pa.int64())])
-_PAIRS = pa.schema([("bucket", pa.int32()), ("pairs", pa.binary())])
-_PARTIAL = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("hot", pa.binary()), ("counts", pa.list_(pa.int64()))])
-_TOTALS = pa.schema([("vocabulary", pa.int64()), ("tokens", pa.int64()), ("followed", pa.int64()), ("counts", pa.list_(pa.int64()))])
+_HOT = pa.schema([("prefix", pa.int64()), ("n", pa.int64()), ("of", pa.int64())])
+_RUNS = pa.schema([("bucket", pa.int32()), ("runs", pa.binary())])
+_MERGED = pa.schema([("bucket", pa.int32()), ("runs", pa.binary()), ("hot", pa.binary()), ("sums", pa.list_(pa.int64()))])
 _SCORED = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
@@ -44,46 +47,77 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(first * U(0x9E3779B97F4A7C15) ^ second)
 
 
-def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's words and its end as hashes; the token before each; n + 1 offsets."""
+def tokens(col: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's begin marks, words and end as hashes; the places of words and ends among them; n + 1 offsets in these."""
     w, at = words(col)
     to = at + np.arange(len(at))
-    out = np.full(to[-1], END)
-    body = np.ones(len(out), bool)
+    places = np.arange(to[-1]) + (order - 1) * np.repeat(np.arange(1, len(at)), np.diff(to))
+    out = np.full(to[-1] + (order - 1) * (len(at) - 1), BEGIN)
+    body = np.ones(len(places), bool)
     body[to[1:] - 1] = False
-    out[body] = w
-    before = np.empty_like(out)
-    before[1:] = out[:-1]
-    before[to[:-1]] = BEGIN
-    return out, before, to
+    out[places[body]] = w
+    out[places[~body]] = END
+    return out, places, to
+
+
+def columns(marked: np.ndarray, places: np.ndarray, order: int) -> list[np.ndarray]:
+    """The run of ``order`` tokens that ends at each place, word by word."""
+    return [marked[places - k] for k in range(order - 1, -1, -1)]
+
+
+def prefixes(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of the first one, two, ... words of each run; the last is that of the run."""
+    out = cols[:1]
+    for c in cols[1:]:
+        out = [*out, pair_hash(out[-1], c)]
+    return out
 
 
 def _top(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> U(64 - bits)).astype(np.int64)
 
 
-def _bucket_of(first: np.ndarray, pair: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
-    """A pair is found by its first word; that of a hot word by itself."""
-    return _top(np.where(np.isin(first, hot), pair, first), bits)
+def _bucket_of(found: list[np.ndarray], hot: np.ndarray, bits: int) -> np.ndarray:
+    """A run is found by its shortest prefix that isn't hot, by itself if all are."""
+    key = found[-1]
+    for p in found[-2::-1]:
+        key = np.where(np.isin(p, hot), key, p)
+    return _top(key, bits)
+
 
+def _hot(order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            marked, places, _ = tokens(b.column("text"), order)
+            prefix, n = [np.zeros(1, U)], [np.zeros(1, np.int64)]
+            for p in prefixes(columns(marked, places, order))[:-1]:
+                h, c = np.unique(p, return_counts=True)
+                many = c >= HOT * len(p)
+                prefix.append(h[many])
+                n.append(c[many])
+            n, prefix = np.concatenate(n), np.concatenate(prefix)
+            yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(n), pa.array(np.where(np.arange(len(n)) == 0, len(places), 0))], schema=_HOT)
+
+    return run
 
-def _hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
-        _, before, _ = tokens(b.column("text"))
-        w, n = np.unique(before, return_counts=True)
-        many = n >= HOT * len(before)
-        yield pa.RecordBatch.from_arrays([pa.array(w[many].view(np.int64)), pa.array(n[many]), pa.array(np.where(np.arange(many.sum()) == 0, len(before), 0))], schema=_HOT)
 
+def _new(cols: list[np.ndarray]) -> np.ndarray:
+    """Where, in sorted rows, a row differs from the one before it."""
+    new = np.ones(len(cols[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+    return np.flatnonzero(new)
 
-def _distinct(first: np.ndarray, second: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Pairs in the order of their first word's hash, each once: first, second, count."""
-    order = np.lexsort((second, first))
-    first, second = first[order], second[order]
-    new = np.ones(len(first), bool)
-    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-    at = np.flatnonzero(new)
-    n = np.diff(np.append(at, len(first))) if n is None else np.add.reduceat(n[order], at) if len(at) else n
-    return first[at], second[at], n.astype(np.uint32)
+
+def _distinct(cols: list[np.ndarray], *counts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Runs in the order of their words' hashes, each once, and the sums of their counts."""
+    order = np.lexsort(cols[::-1])
+    cols = [c[order] for c in cols]
+    at = _new(cols)
+    return [c[at] for c in cols], [np.add.reduceat(n[order], at) if len(at) else n for n in counts]
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x.astype(np.uint8)
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -94,69 +128,78 @@ def _unpack(data: bytes) -> dict[str, np.ndarray]:
     return unpack(zstandard.ZstdDecompressor().decompress(data))
 
 
-def _count(bits: int, hot: np.ndarray):
+def _blobs(cols: list[np.ndarray], n: np.ndarray, raw: np.ndarray, bits: int, hot: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Sorted runs by bucket. A word that the rows below share, with all words before it, is written once."""
+    to = _bucket_of(prefixes(cols), hot, bits)
+    order = np.argsort(to, kind="stable")
+    cols, n, raw, to = [c[order] for c in cols], n[order], raw[order], to[order]
+    edge = np.searchsorted(to, np.arange((1 << bits) + 1))
+    buckets = np.flatnonzero(np.diff(edge))
+    out = []
+    for a, z in zip(edge[buckets], edge[buckets + 1], strict=True):
+        part = [c[a:z] for c in cols]
+        at = [_new(part[: k + 1]) for k in range(len(part) - 1)]
+        same = {f"same{k}": _narrow(np.diff(np.append(x, z - a))) for k, x in enumerate(at)}
+        heads = {f"word{k}": part[k][x] for k, x in enumerate(at)}
+        out.append(_pack(**same, **heads, last=part[-1], n=_narrow(n[a:z]), raw=_narrow(raw[a:z])))
+    return buckets.tolist(), out
+
+
+def _runs(blobs: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    parts = [_unpack(b) for b in blobs]
+    cols = [np.concatenate([np.repeat(p[f"word{k}"], p[f"same{k}"]) for p in parts]) for k in range(order - 1)]
+    last, n, raw = (np.concatenate([p[k] for p in parts]) for k in ("last", "n", "raw"))
+    return [*cols, last], n.astype(np.int64), raw.astype(np.int64)
+
+
+def _count(order: int, bits: int, hot: np.ndarray):
+    def out(held: list[tuple[list[np.ndarray], np.ndarray]]) -> pa.RecordBatch:
+        cols, (n,) = _distinct([np.concatenate(c) for c in zip(*(c for c, _ in held), strict=True)], np.concatenate([n for _, n in held]))
+        to, blobs = _blobs(cols, n, n, bits, hot)
+        return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(blobs, pa.binary())], schema=_RUNS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple[list[np.ndarray], np.ndarray]] = []
         for b in slices(batches):
-            t, before, _ = tokens(b.column("text"))
-            held.append(_distinct(before, t))
-            if sum(len(x[0]) for x in held) > HELD:
-                yield _blobs(held, bits, hot)
+            marked, places, _ = tokens(b.column("text"), order)
+            cols, (n,) = _distinct(columns(marked, places, order), np.ones(len(places), np.int64))
+            held.append((cols, n))
+            if sum(len(n) for _, n in held) > HELD:
+                yield out(held)
                 held = []
         if held:
-            yield _blobs(held, bits, hot)
+            yield out(held)
 
     return run
 
 
-def _blobs(held: list[tuple[np.ndarray, ...]], bits: int, hot: np.ndarray) -> pa.RecordBatch:
-    first, second, n = _distinct(*map(np.concatenate, zip(*held, strict=True)))
-    to = _bucket_of(first, pair_hash(first, second), hot, bits)
-    order = np.argsort(to, kind="stable")
-    first, second, n, to = first[order], second[order], n[order], to[order]
-    edge = np.searchsorted(to, np.arange((1 << bits) + 1))
-    out = []
-    for b in np.flatnonzero(np.diff(edge)):
-        f = first[edge[b] : edge[b + 1]]
-        at = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-        out.append((int(b), _pack(first=f[at], run=np.diff(np.append(at, len(f))).astype(np.uint32), second=second[edge[b] : edge[b + 1]], n=n[edge[b] : edge[b + 1]])))
-    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([r for _, r in out], pa.binary())], schema=_PAIRS)
-
+def _merge(folder: str, order: int, bits: int, hot: np.ndarray):
+    """Write a bucket's runs and contexts of one order; hand on the runs without their first word."""
 
-def _merge_pairs(folder: str, bits: int, hot: np.ndarray):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        parts = [_unpack(r) for r in table.column("pairs").to_pylist()]
-        first, second, n = _distinct(*(np.concatenate(x) for x in ([np.repeat(p["first"], p["run"]) for p in parts], [p["second"] for p in parts], [p["n"] for p in parts])))
-        h = pair_hash(first, second)
-        order = np.argsort(h)
-        put(f"{folder}/pairs-{key[0].as_py()}", pack(hash=h[order], n=n[order]))
-        # contexts stand together: words after each that were seen once, twice, more often
-        at = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
+        bucket = key[0].as_py()
+        cols, (n, raw) = _distinct(*_runs(table.column("runs").to_pylist(), order))
+        found = prefixes(cols)
+        by = np.argsort(found[-1])
+        more = {"raw": _narrow(raw[by])} if order == 1 else {}
+        put(f"{folder}/runs{order}-{bucket}", pack(hash=found[-1][by], n=_narrow(n[by]), **more))
+        counts = [*(int((n == k).sum()) for k in (1, 2, 3, 4)), len(n), int(n.sum()), int(raw.sum())]
+        if order == 1:
+            return pa.table([[-1], [b""], [b""], pa.array([counts], pa.list_(pa.int64()))], schema=_MERGED)
+        # contexts stand together: words after each that count once, twice, more often, and all that counts
+        at = _new(cols[:-1])
+        context = found[-2][at]
         seen = [np.add.reduceat((n == k).astype(np.int64), at) for k in (1, 2)]
-        seen.append(np.diff(np.append(at, len(first))) - seen[0] - seen[1])
-        is_hot = np.isin(first[at], hot)
-        put(f"{folder}/contexts-{key[0].as_py()}", pack(word=first[at][~is_hot], **{f"n{k}": x[~is_hot] for k, x in enumerate(seen, 1)}))
-        of_hot = np.stack([first[at][is_hot].view(np.int64), *(x[is_hot] for x in seen)])
-        w, before = tally(second, np.ones(len(second), np.uint32))
-        total = tally(second, n.astype(np.int64))[1]
-        edge = np.searchsorted(_top(w, bits), np.arange((1 << bits) + 1))
-        to = np.flatnonzero(np.diff(edge))
-        blobs = [_pack(word=w[a:z], before=before[a:z], n=total[a:z].astype(np.uint64)) for a, z in zip(edge[to], edge[to + 1], strict=True)]
-        counts = [[int((n == k).sum()) for k in (1, 2, 3, 4)]] + [[0] * 4] * (len(to) - 1)
-        hots = [of_hot.tobytes()] + [b""] * (len(to) - 1)
-        return pa.table([pa.array(to, pa.int32()), pa.array(blobs, pa.binary()), pa.array(hots, pa.binary()), pa.array(counts, pa.list_(pa.int64()))], schema=_PARTIAL)
-
-    return run
-
-
-def _merge_words(folder: str):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        parts = [_unpack(r) for r in table.column("words").to_pylist()]
-        word, before, n = (np.concatenate([p[k] for p in parts]) for k in ("word", "before", "n"))
-        n, (word, before) = tally(word, n)[1], tally(word, before.astype(np.int64))
-        put(f"{folder}/words-{key[0].as_py()}", pack(word=word, before=before, n=n))
-        counts = [int((before == k).sum()) for k in (1, 2, 3, 4)]
-        return pa.table([[len(word)], [int(n.sum())], [int(before.sum())], pa.array([counts], pa.list_(pa.int64()))], schema=_TOTALS)
+        seen += [np.diff(np.append(at, len(n))) - seen[0] - seen[1], np.add.reduceat(n, at)]
+        is_hot = np.isin(context, hot)
+        by = np.flatnonzero(~is_hot)
+        by = by[np.argsort(context[by])]
+        put(f"{folder}/contexts{order}-{bucket}", pack(hash=context[by], **{f: _narrow(x[by]) for f, x in zip(SEEN, seen, strict=True)}))
+        of_hot = np.stack([context[is_hot].view(np.int64), *(x[is_hot] for x in seen)])
+        shorter, (n, raw) = _distinct(cols[1:], np.ones(len(n), np.int64), raw)
+        to, blobs = _blobs(shorter, n, raw, bits, hot)
+        rest = len(to) - 1
+        return pa.table([pa.array(to, pa.int32()), pa.array(blobs, pa.binary()), pa.array([of_hot.tobytes()] + [b""] * rest, pa.binary()), pa.array([counts] + [[0] * 7] * rest, pa.list_(pa.int64()))], schema=_MERGED)
 
     return run
 
@@ -170,37 +213,41 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return np.array([0, *(min(max(x, 0.05), k) for k, x in enumerate(d[1:], 1))])
 
 
+#: What is kept of a context: words after it that count once, twice, more often; the sum of their counts.
+SEEN = ("n1", "n2", "n3", "total")
+
+
 @dataclass
 class Model:
     """Where the arrays are, and the few sums that hold for all of them."""
 
     folder: str
+    order: int
     bits: int
     vocabulary: int
     tokens: int
+    #: Sum of the counts of the lowest order, and what its discounts take off them for all words alike.
     followed: int
-    pair_discounts: np.ndarray
-    word_discounts: np.ndarray
     left_over: float
-    documents: int
-    #: Hot words and what follows each: columns of n1, n2, n3.
+    #: By order.
+    discounts: dict[int, np.ndarray]
+    #: Hot prefixes and, by order, what SEEN says of each of them as a context.
     hot: np.ndarray
-    hot_seen: np.ndarray
+    hot_seen: dict[int, np.ndarray]
 
-    def _find(self, kind: str, keys: np.ndarray, fields: list[str], to: np.ndarray | None = None) -> list[np.ndarray]:
+    def _find(self, kind: str, keys: np.ndarray, fields: Sequence[str], to: np.ndarray) -> list[np.ndarray]:
         """Fields for sorted distinct keys, found in the buckets ``to``; 0 where there is none."""
         out = [np.zeros(len(keys), np.int64) for _ in fields]
-        to = _top(keys, self.bits) if to is None else to
         order = np.argsort(to, kind="stable")
         edge = np.searchsorted(to[order], np.arange((1 << self.bits) + 1))
         for b in np.flatnonzero(np.diff(edge)):
             if (kind, b) not in self.open:
                 try:
                     self.open[kind, b] = mapped(f"{self.folder}/{kind}-{b}")
-                except FileNotFoundError:  # no word or pair fell there
+                except FileNotFoundError:  # nothing fell there
                     self.open[kind, b] = {}
             t, own = self.open[kind, b], order[edge[b] : edge[b + 1]]
-            if not t or not len(have := t["hash" if kind == "pairs" else "word"]):
+            if not t or not len(have := t["hash"]):
                 continue
             k = keys[own]
             i = np.minimum(np.searchsorted(have, k), len(have) - 1)
@@ -209,59 +256,72 @@ class Model:
                 o[own[hit]] = t[f][i[hit]]
         return out
 
+    def _longer(self, order: int, cols: list[np.ndarray], low: np.ndarray) -> np.ndarray:
+        """Probabilities of one order from those of the order below."""
+        found, d = prefixes(cols), self.discounts[order]
+        to = _bucket_of(found, self.hot, self.bits)
+        h, first, back = np.unique(found[-1], return_index=True, return_inverse=True)
+        c = self._find(f"runs{order}", h, ["n"], to[first])[0][back]
+        h, first, back = np.unique(found[-2], return_index=True, return_inverse=True)
+        seen = self._find(f"contexts{order}", h, SEEN, to[first])
+        if len(self.hot):
+            i = np.minimum(np.searchsorted(self.hot, h), len(self.hot) - 1)
+            seen = [np.where(self.hot[i] == h, x[i], s) for x, s in zip(self.hot_seen[order], seen, strict=True)]
+        n1, n2, n3, total = seen
+        weight = np.where(total > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / np.maximum(total, 1), 1.0)
+        return np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(total, 1)[back] + weight[back] * low
+
     def score(self, col: pa.Array) -> list[np.ndarray]:
         """For each text: tokens, known tokens, base score, score (log10)."""
         if not hasattr(self, "open"):
             self.open: dict = {}
-        t, before, at = tokens(col)
-        w, back = np.unique(np.concatenate([t, before]), return_inverse=True)
-        n, cont = self._find("words", w, ["n", "before"])
-        n1, n2, n3 = self._find("contexts", w, ["n1", "n2", "n3"])
-        if len(self.hot):
-            i = np.minimum(np.searchsorted(self.hot, w), len(self.hot) - 1)
-            is_hot = self.hot[i] == w
-            n1, n2, n3 = (np.where(is_hot, h[i], x) for h, x in zip(self.hot_seen, (n1, n2, n3), strict=True))
-        total = np.where(w == BEGIN, self.documents, np.where(w == END, 0, n))  # each token but an end has one after it
-        dw, dp = self.word_discounts, self.pair_discounts
-        low = (np.maximum(cont - dw[np.minimum(cont, 3)], 0) + self.left_over / (self.vocabulary + 1)) / max(self.followed, 1)
-        if not self.followed:
-            low[:] = 1 / (self.vocabulary + 1)
-        weight = np.where(total > 0, (dp[1] * n1 + dp[2] * n2 + dp[3] * n3) / np.maximum(total, 1), 1.0)
-        it, ib = back[: len(t)], back[len(t) :]
-        p, first, pback = np.unique(pair_hash(before, t), return_index=True, return_inverse=True)
-        c = self._find("pairs", p, ["n"], _bucket_of(before[first], p, self.hot, self.bits))[0][pback]
-        prob = np.maximum(c - dp[np.minimum(c, 3)], 0) / np.maximum(total[ib], 1) + weight[ib] * low[it]
+        marked, places, at = tokens(col, self.order)
+        w, back = np.unique(marked[places], return_inverse=True)
+        n, c = self._find("runs1", w, ["raw", "n"], _top(w, self.bits))
+        if self.followed:
+            low = (np.maximum(c - self.discounts[1][np.minimum(c, 3)], 0) + self.left_over / (self.vocabulary + 1)) / self.followed
+        else:
+            low = np.full(len(w), 1 / (self.vocabulary + 1))
+        prob = low[back]
+        for k in range(2, self.order + 1):
+            prob = self._longer(k, columns(marked, places, k), prob)
         base = np.log10((n + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1)))
-        return [np.diff(at), sums((n > 0)[it].astype(np.int64), at), np.add.reduceat(base[it], at[:-1]), np.add.reduceat(np.log10(prob), at[:-1])]
+        return [np.diff(at), sums((n > 0)[back].astype(np.int64), at), np.add.reduceat(base[back], at[:-1]), np.add.reduceat(np.log10(prob), at[:-1])]
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Model:
+def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     """Count all texts of docs (null: empty) and write the model. Rows without or with a repeated id count like any other."""
+    if order < 1:
+        raise ValueError("the order of a model is 1 or more")
     spark = docs.sparkSession
     folder = scratch(spark, "ngram")
     texts = docs.select(F.col(text_col).alias("text"))
-    many = texts.mapInArrow(_hot, "word long, n long, of long")
-    many = stored(many.groupBy("word").agg(F.sum("n").alias("n"), F.sum("of").alias("of")), "ngram-many")
+    many = texts.mapInArrow(_hot(order), "prefix long, n long, of long")
+    many = stored(many.groupBy("prefix").agg(F.sum("n").alias("n"), F.sum("of").alias("of")), "ngram-many")
     every = many.agg(F.sum("of")).first()[0] or 0
-    least, bits = HOT * every, max(1, (every // BUCKET_TOKENS).bit_length())
-    hot = np.sort(np.array([r.word for r in many.filter(F.col("n") >= least).select("word").collect()], np.int64).view(U))
-    pairs = texts.mapInArrow(_count(bits, hot), "bucket int, pairs binary")
-    kinds = "bucket int, words binary, hot binary, counts array<long>"
-    partial = stored(pairs.groupBy("bucket").applyInArrow(_merge_pairs(folder, bits, hot), kinds), "ngram-words")
-    four = [F.sum(F.col("counts")[i]) for i in range(4)]
-    pair_counts = partial.agg(*four).first()
-    hot_seen = np.zeros((3, len(hot)), np.int64)
-    for r in partial.filter(F.length("hot") > 0).select("hot").toLocalIterator():
-        x = np.frombuffer(r.hot, np.int64).reshape(4, -1)
-        np.add.at(hot_seen, (slice(None), np.searchsorted(hot, x[0].view(U))), x[1:])
-    totals = partial.select("bucket", "words").groupBy("bucket").applyInArrow(_merge_words(folder), "vocabulary long, tokens long, followed long, counts array<long>")
-    v, n, followed, *word_counts = totals.agg(F.sum("vocabulary"), F.sum("tokens"), F.sum("followed"), *four).first()
-    dp, dw = discounts(*(x or 0 for x in pair_counts)), discounts(*(x or 0 for x in word_counts))
-    # what the discounts take off all words' continuations goes to all words alike
-    c1, c2 = (x or 0 for x in word_counts[:2])
-    left = dw[1] * c1 + dw[2] * c2 + dw[3] * max((v or 0) - c1 - c2, 0)
-    documents = docs.count()
-    return Model(folder, bits, v or 0, n or 0, followed or 0, dp, dw, float(left), documents, hot, hot_seen)
+    bits = max(1, (every // BUCKET_TOKENS).bit_length())
+    least = max(1, HOT * every)
+    hot = np.sort(np.array([r.prefix for r in many.filter(F.col("n") >= least).select("prefix").collect()], np.int64).view(U))
+    runs = texts.mapInArrow(_count(order, bits, hot), "bucket int, runs binary")
+    sums_of, hot_seen, before = {}, {}, many
+    for k in range(order, 0, -1):
+        merged = runs.groupBy("bucket").applyInArrow(_merge(folder, k, bits, hot), "bucket int, runs binary, hot binary, sums array<long>")
+        merged = stored(merged, f"ngram-{k}")
+        drop(spark, before)
+        before = merged
+        sums_of[k] = [x or 0 for x in merged.agg(*(F.sum(F.col("sums")[i]) for i in range(7))).first()]
+        hot_seen[k] = np.zeros((len(SEEN), len(hot)), np.int64)
+        for r in merged.filter(F.length("hot") > 0).select("hot").toLocalIterator():
+            x = np.frombuffer(r.hot, np.int64).reshape(1 + len(SEEN), -1)
+            np.add.at(hot_seen[k], (slice(None), np.searchsorted(hot, x[0].view(U))), x[1:])
+        runs = merged.select("bucket", "runs")
+    drop(spark, before)
+    taken = {k: discounts(*x[:4]) for k, x in sums_of.items()}
+    c1, c2, _, _, vocabulary, followed, every = sums_of[1]
+    d = taken[1]
+    # what the discounts take off all words' counts goes to all words alike
+    left = d[1] * c1 + d[2] * c2 + d[3] * (vocabulary - c1 - c2)
+    return Model(folder, order, bits, vocabulary, every, followed, float(left), taken, hot, hot_seen)
 
 
 def _score(model: Model):
