@@ -633,3 +633,61 @@ def test_passages_alike_like_brute_force(spark):
     for k in whole:
         assert got[2 * k + 1].component_id == 2 * k and not got[2 * k].remove
         assert all(37 <= s.start and s.end <= 43 + pairs[k] for s in got[2 * k + 1].remove), got[2 * k + 1]
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """Ids that stand on equal rows, on rows of other texts, and on empty ones."""
+    return spark.createDataFrame([(1, BASE[0]), (1, BASE[0]), (1, BASE[1]), (2, BASE[0]), (3, None), (3, ""), (4, BASE[1])], "doc_id long, text string").repartition(3)
+
+
+def test_repeated_ids_of_copies(repeated):
+    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_duplicates(repeated).collect())
+    assert got == [(1, 1, 2, True), (1, 1, 3, True), (1, 1, 3, True), (2, 1, 3, False), (3, 3, 2, True), (3, 3, 2, True), (4, 1, 2, False)]
+    got = sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(repeated).collect())
+    assert got == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 3), (3, 3), (4, 1)]
+
+
+def test_repeated_ids_of_tokens(repeated, tmp_path):
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    texts = [(r.doc_id, r.text or "") for r in repeated.collect()]
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = bpe.encode(repeated, ranks, P.PATTERN).collect()
+    assert sorted((r.doc_id, bytes(r.ids)) for r in got) == sorted((i, np.array(enc.encode_ordinary(t), "<u4").tobytes()) for i, t in texts)
+    path = P.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    got = sorted(tokenfile.read_digests(tokenfile.write_tokens(repeated, path, 2, "file://" + str(tmp_path))).collect(), key=lambda r: r.start)
+    want = [(i, zlib.crc32(np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())) for i, t in texts]
+    assert sorted((r.doc_id, r.ids_crc32) for r in got) == sorted(want)
+    assert [r.doc_id for r in got] == sorted(i for i, _ in texts)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+
+
+def test_repeated_ids_of_scores(repeated):
+    got = [(r.doc_id, r.n_tokens, round(r.score, 6)) for r in ngram.score(repeated, ngram.train(repeated)).collect()]
+    assert Counter((i, n) for i, n, _ in got) == Counter((r.doc_id, len(words(r.text)) + 1) for r in repeated.collect())
+    assert len({s for _, n, s in got if n == 1}) == 1  # null and empty texts are the end alone
+    assert len(set(got)) == len({(r.doc_id, r.text or "") for r in repeated.collect()})
+
+
+def test_repeated_ids_of_leaks(spark):
+    host = BASE[2].split()
+    leak = " ".join([*host[:40], ITEMS[0], *host[40:]])
+    docs = spark.createDataFrame([(1, leak), (1, leak), (1, BASE[3]), (2, BASE[4]), (3, prose(30_000) + " " + ITEMS[0])], "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(ITEMS), (0, ITEMS[0])], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
+    assert got == {(1, 0), (3, 0)}
+
+
+def test_repeated_pages_and_captures(spark):
+    import datetime as D
+
+    page = "<article><p>one two</p></article>"
+    pages = spark.createDataFrame([(1, "http://a.org/", page)] * 2 + [(1, "http://a.org/b", "<article>three</article>")], "page_id long, url string, html string")
+    assert sorted(r.text for r in wrappers.main_text(pages).collect()) == ["one two", "one two", "three"]
+    entries = spark.createDataFrame([("bad.com", "spam", D.date(2024, 1, 1), "add")] * 3, "key string, category string, effective date, action string")
+    captures = spark.createDataFrame([(1, "http://bad.com/a", D.date(2024, 2, 1))] * 2 + [(1, "http://good.com/a", D.date(2024, 2, 1))], "i int, url string, fetched_on date")
+    assert sorted(r.block_categories for r in urlfilter.evaluate(captures, entries).collect()) == ["", "spam", "spam"]
