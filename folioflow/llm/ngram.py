@@ -31,6 +31,8 @@ ORDER = 3
 #: Runs that a worker holds at most before they go out.
 HELD = 3_000_000
 LOOKUP_BYTES = 6 << 20
+#: Files that a worker maps at once; Linux allows a process some 65,000 maps.
+MAPS = 30_000
 
 #: Tokens for each bucket of words and runs, about: buckets grow in number with the text, not in size.
 BUCKET_TOKENS = 500_000
@@ -242,6 +244,8 @@ class Model:
         edge = np.searchsorted(to[order], np.arange((1 << self.bits) + 1))
         for b in np.flatnonzero(np.diff(edge)):
             if (kind, b) not in self.open:
+                if len(self.open) >= MAPS:
+                    self.open.clear()
                 try:
                     self.open[kind, b] = mapped(f"{self.folder}/{kind}-{b}")
                 except FileNotFoundError:  # nothing fell there

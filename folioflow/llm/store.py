@@ -7,6 +7,7 @@ arrays there. All of it lies under ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import json
+import mmap
 import os
 import tempfile
 import uuid
@@ -94,8 +95,9 @@ def pack(**arrays: np.ndarray) -> bytes:
 
 
 def mapped(uri: str) -> dict[str, np.ndarray]:
-    """The arrays of a packed file, memory-mapped: pages come and go as they are read."""
-    return unpack(np.memmap(local_copy(uri), np.uint8, "r"))
+    """The arrays of a packed file, memory-mapped: pages come and go as they are read. No descriptor stays open for them."""
+    with open(local_copy(uri), "rb") as f:
+        return unpack(np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), np.uint8))
 
 
 def unpack(data) -> dict[str, np.ndarray]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -244,6 +245,30 @@ def test_kneser_ney(docs, empty, order):
         assert all(math.isfinite(r.score) for r in ngram.score(docs, blank).collect())
 
 
+def test_kneser_ney_of_many_buckets(docs, monkeypatch):
+    """A model of more files than a process may hold open, or map, gives the same scores."""
+    import resource
+
+    import pyarrow as pa
+
+    col = pa.array(TEXTS)
+    want = ngram.train(docs).score(col)
+    monkeypatch.setattr(ngram, "BUCKET_TOKENS", 400)
+    model = ngram.train(docs)
+    assert 5 << model.bits > 150
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (max(map(int, os.listdir("/proc/self/fd"))) + 20, hard))
+    try:
+        for most in (ngram.MAPS, 7):
+            monkeypatch.setattr(ngram, "MAPS", most)
+            model.open = {}
+            for g, w in zip(model.score(col), want, strict=True):
+                np.testing.assert_allclose(g, w)
+            assert len(model.open) <= most
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     rows = []
