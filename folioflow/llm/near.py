@@ -1,13 +1,15 @@
-"""Near copies for the pipeline: banded min-hash fingerprints find candidates, exact Jaccard similarity decides.
+"""Near copies for the pipeline: operator 10's fingerprints and index find candidates, exact Jaccard similarity decides.
 
-Operator 10's index can't be the search here: at a similarity of 0.8 its
-fingerprints differ in about ten of 64 bits, some pairs in 17, and so many
-bands of four bits each select next to nothing. A fingerprint here has BANDS
-parts of ROWS least hashes each; one equal part makes two texts candidates.
+At a similarity of 0.8 SimHash fingerprints differ in about 15 of 100 bits, so
+with one of 64 bits no distance both finds such texts and tells them from
+others. A text here has several fingerprints of WIDE bits by shingle hashes of
+their own. Each equal part of one puts two texts below one prefix node of the
+index, and there, in Gray order, near_pairs finds those within DISTANCE.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.graph import components
+from folioflow.llm.simhash import gray_rank, near_pairs
 from folioflow.llm.store import drop, mapped, pack, put, scratch, stored
 from folioflow.llm.textops import U, distinct, distinct_pairs, give_back, mix, run_hashes, slices, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: At a similarity of 0.8 two texts share a band with probability 0.9996, at 0.5 with 0.47.
-BANDS, ROWS = 20, 5
+#: Bits of a fingerprint, and how many may differ: at a similarity of 0.8 about 19 do, without any 64.
+WIDE, DISTANCE = 128, 32
+#: Share of bits that are equal at a similarity of 0.8, 1 - acos(0.89) / pi, and of pairs there that may lie below no common node.
+ALIKE, MISSED = 0.848, 1e-4
+#: Texts below a prefix node, about; one with more than NODE_ROWS is cut in blocks, each two of which are compared.
+NODE_TEXTS, NODE_ROWS = 500, 8000
 #: Texts of one band key that one task takes; more are dealt out in pairs of blocks.
 BLOCK_ROWS = 4000
 #: Band keys are broadcast up to this many; beyond, both sides are shuffled.
@@ -29,11 +36,15 @@ BROADCAST_KEYS = 1_000_000
 #: Shingles compared at once.
 HELD = 1 << 20
 
-_PRINT = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_PRINT = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("words", pa.list_(pa.int64()))])
+_CROWD = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
+_CELL = pa.schema([("task", pa.int32()), ("cell", pa.int64()), ("part", pa.int32()), ("id", pa.int64()), ("high", pa.int64()), ("low", pa.int64())])
+_CANDIDATE = pa.schema([("key", pa.int64()), ("id", pa.int64())])
 _SET = pa.schema([("bucket", pa.int32()), ("node", pa.int64()), ("set", pa.binary())])
 _DONE = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-_FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, U) * U(2) + U(1)
+#: A byte's bits, each in a byte of its own.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(U)[:, 0]
 
 
 def shingles(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,21 +62,124 @@ def shingles(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return s, to, node
 
 
-def band_keys(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One row of BANDS keys for each text."""
-    keys = np.zeros((len(at) - 1, BANDS), U)
-    for k, f in enumerate(_FACTORS):
-        least = np.minimum.reduceat(s * f, at[:-1])
-        keys[:, k // ROWS] = mix(keys[:, k // ROWS] * U(31) + least + U(k))
-    return keys
+def plan(n: int) -> tuple[int, int]:
+    """For n texts: bits of a prefix, and the number of fingerprints of which all but MISSED similar pairs share a prefix."""
+    width = min(32, max(10, (n // NODE_TEXTS).bit_length()))
+    parts = math.log(MISSED) / math.log(1 - ALIKE**width)
+    return width, math.ceil(parts / (64 // width * (WIDE // 64)))
+
+
+def fingerprints(sets: list[np.ndarray], n: int) -> np.ndarray:
+    """SimHash of each set of shingle hashes, n times WIDE bits: a bit is set where more than half of the hashes have it."""
+    s, size = np.concatenate(sets), np.array(list(map(len, sets)))
+    runs = -(-size // 255)  # counters of one byte each
+    first = np.cumsum(runs) - runs
+    at = np.repeat(np.cumsum(size) - size - 255 * first, runs) + 255 * np.arange(runs.sum())
+    out = np.empty((len(sets), n * WIDE // 64), U)
+    for k, seed in enumerate(np.random.default_rng(5).integers(0, 1 << 63, out.shape[1], U)):
+        h = mix(s ^ seed).view(np.uint8).reshape(-1, 8)
+        votes = np.stack([np.add.reduceat(_SPREAD[h[:, j]], at) for j in range(8)], axis=1).view(np.uint8)
+        votes = np.add.reduceat(votes, first, axis=0, dtype=np.int64)
+        out[:, k] = np.packbits(2 * votes > size[:, None], axis=1, bitorder="little").view(U)[:, 0]
+    return out
+
+
+def _prints(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, most=1 << 20):
+            s, at, node = shingles(b.column("text"))
+            words = fingerprints([distinct(s[i:j]) for i, j in zip(at, at[1:], strict=False)], n)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * words.shape[1], pa.int32()), pa.array(words.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(node.view(np.int64)), lists], schema=_PRINT)
+
+    return run
+
+
+def _cells(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, their words, and a column for each prefix node that a text lies below."""
+    ids = batch.column("id").to_numpy()
+    words = batch.column("words").flatten().to_numpy().view(U).reshape(len(ids), -1)
+    per = 64 // width
+    cells = np.empty((len(ids), words.shape[1] * per), np.int64)
+    for k in range(cells.shape[1]):
+        cells[:, k] = (words[:, k // per] >> U(k % per * width) & U((1 << width) - 1)).astype(np.int64) | k << 32
+    return ids, words, cells
+
+
+def _crowds(width: int, n: int, most: int):
+    """Nodes of ``most`` texts or more have their share of them in some batch: counts of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell, count = np.unique(_cells(b, width)[2], return_counts=True)
+            many = count * n >= most * b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(cell[many]), pa.array(count[many])], schema=_CROWD)
+
+    return run
+
+
+def _below(width: int, tasks: int, crowded: np.ndarray, blocks: np.ndarray):
+    """A row for each text and node; where a node is cut in blocks, one for each pair of blocks that its own is in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(i, 2000) for x in batches for i in range(0, x.num_rows, 2000)):
+            ids, words, cells = _cells(b, width)
+            row, k = (x.ravel() for x in np.indices(cells.shape))
+            cell, part = cells.ravel(), np.zeros(cells.size, np.int64)
+            if len(crowded):
+                i = np.minimum(np.searchsorted(crowded, cell), len(crowded) - 1)
+                m = np.where(crowded[i] == cell, blocks[i], 1)
+                part = (mix(ids.view(U))[row] % m.astype(U)).astype(np.int64)
+                other = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                row, k, cell, part, m = (np.repeat(x, m) for x in (row, k, cell, part, m))
+                pair = (np.minimum(part, other) * m + np.maximum(part, other) + 1).astype(U)
+                cell = np.where(m > 1, mix(mix(cell.astype(U)) ^ pair).view(np.int64), cell)
+            k = k // (64 // width) // 2 * 2
+            task = (mix(cell.view(U)) % U(tasks)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (task, cell, part.astype(np.int32), ids[row], words[row, k].view(np.int64), words[row, k + 1].view(np.int64))], schema=_CELL)
+
+    return run
+
+
+def _near(distance: int):
+    """Each node's groups of fingerprints that are linked within the distance, under a key made of all their ids."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        cell, part, ids, high, low = (table.column(c).to_numpy() for c in ("cell", "part", "id", "high", "low"))
+        high, low = high.view(U), low.view(U)
+        order = np.lexsort((gray_rank(high), part, cell))
+        cell, part, ids, words = cell[order], part[order], ids[order], np.stack([high[order], low[order]], axis=1)
+        edge = np.append(np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])), len(cell))
+        keys, found = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        for i, j in zip(edge, edge[1:], strict=False):
+            if j - i < 2:
+                continue
+            cut = i + int(np.searchsorted(part[i:j], part[i], "right"))
+            root = near_pairs(words[i:j], None, distance) if cut == j else near_pairs(words[i:cut], words[cut:j], distance)
+            far = np.flatnonzero(root != np.arange(j - i))
+            if len(far):
+                own = np.union1d(far, root[far])
+                name = np.zeros(j - i, U)
+                np.add.at(name, root[own], mix(ids[i:j][own].view(U) + U(1)))
+                keys.append(name[root[own]])
+                found.append(ids[i:j][own])
+        give_back()
+        return pa.table([np.concatenate(keys).view(np.int64), np.concatenate(found)], schema=_CANDIDATE)
+
+    return run
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, most=1 << 20):
-        s, at, node = shingles(b.column("text"))
-        keys = band_keys(s, at)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(node.view(np.int64)), lists], schema=_PRINT)
+def candidates(nodes: DataFrame, width: int, n: int) -> DataFrame:
+    """(id, words) -> (key, id): groups of texts that are near by some fingerprint."""
+    spark = nodes.sparkSession
+    crowded, blocks = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if n > NODE_ROWS:
+        counts = nodes.mapInArrow(_crowds(width, n, NODE_ROWS), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        many = sorted(counts.filter(F.col("n") >= NODE_ROWS).collect())  # at most parts * n / NODE_ROWS
+        crowded, blocks = np.array([r.cell for r in many], np.int64), np.array([r.n // NODE_ROWS + 1 for r in many], np.int64)
+    tasks = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // 10_000)
+    at = nodes.select("id", "words").mapInArrow(_below(width, tasks, crowded, blocks), "task int, cell long, part int, id long, high long, low long")
+    return at.groupBy("task").applyInArrow(_near(DISTANCE), "key long, id long").distinct()
 
 
 def _sets(bits: int):
@@ -185,9 +299,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     folder = scratch(spark, "near")
     bits = max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
-    prints = stored(rows.mapInArrow(_prints, "id long, node long, keys array<long>"), "near-prints")
-    nodes = stored(prints.groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "near-nodes")
-    at = stored(shared_keys(nodes.select("id", "node", F.explode("keys").alias("key"))), "near-candidates")
+    n = rows.count()
+    width, several = plan(n)
+    prints = stored(rows.mapInArrow(_prints(several), "id long, node long, words array<long>"), "near-prints")
+    nodes = stored(prints.groupBy("node").agg(F.min("id").alias("id"), F.first("words").alias("words")), "near-nodes")
+    near = stored(candidates(nodes, width, n), "near-groups")
+    at = stored(shared_keys(near.join(nodes.select("id", "node"), "id").select("id", "node", "key")), "near-candidates")
     wanted = at.select("id").distinct()
     save_sets(rows.join(wanted, "id").mapInArrow(_sets(bits), "bucket int, node long, set binary"), folder)
     named = components(stored(verified(at, folder, bits), "near-edges"))

@@ -74,18 +74,25 @@ class Nodes:
 
     Level 0 holds the words themselves; a node above stands for FAN of the level
     below and holds the mask of the bits on which they agree, with their pattern.
+    Longer fingerprints are rows of several words.
     """
 
     def __init__(self, words: np.ndarray):
-        self.levels = [(np.full(len(words), ~U(0)), words)]
+        self.levels = [(np.full(words.shape, ~U(0)), words)]
         while len(self.levels[-1][1]) > 1:
             mask, pattern = self.levels[-1]
             at = np.arange(0, len(mask), FAN)
-            lead = np.repeat(pattern[at], np.diff([*at, len(mask)]))
-            shared = ~np.bitwise_or.reduceat((pattern ^ lead) | ~mask, at)
+            lead = np.repeat(pattern[at], np.diff([*at, len(mask)]), axis=0)
+            shared = ~np.bitwise_or.reduceat((pattern ^ lead) | ~mask, at, axis=0)
             self.levels.append((shared, pattern[at] & shared))
 
 
+def _set_bits(x: np.ndarray) -> np.ndarray:
+    """Bits set in each word, or in each row of words."""
+    n = np.bitwise_count(x)
+    return n if n.ndim == 1 else sum(c.astype(np.int64) for c in n.T)
+
+
 def near_pairs(left: np.ndarray, right: np.ndarray | None, distance: int = DISTANCE) -> np.ndarray:
     """A root for each word: two words have one root if they are linked through near words given here.
 
@@ -100,12 +107,12 @@ def near_pairs(left: np.ndarray, right: np.ndarray | None, distance: int = DISTA
     tops = len(trees[0].levels) - 1, len(trees[1].levels) - 1
     shift = 0 if right is None else n
     zero = np.zeros(1, np.int64)
-    stack = [(*tops, zero, zero, zero, np.zeros(1, U))]
+    stack = [(*tops, zero, zero, zero, np.zeros((1, *left.shape[1:]), U))]
     while stack:
         la, lb, a, b, spent, known = stack.pop()
         (ma, pa_), (mb, pb) = trees[0].levels[la], trees[1].levels[lb]
         both = ma[a] & mb[b]
-        spent = spent + np.bitwise_count((pa_[a] ^ pb[b]) & both & ~known)
+        spent = spent + _set_bits((pa_[a] ^ pb[b]) & both & ~known)
         keep = spent <= distance
         if right is None and la == lb:
             keep &= a <= b
@@ -125,7 +132,7 @@ def near_pairs(left: np.ndarray, right: np.ndarray | None, distance: int = DISTA
         for i in range(0, len(a), 1 << 12):
             x, y, s, k = a[i : i + (1 << 12)], b[i : i + (1 << 12)], spent[i : i + (1 << 12)], known[i : i + (1 << 12)]
             da, db = la >= lb, lb >= la  # the taller goes down first
-            x, y, s, k = (np.repeat(v, (FAN if da else 1) * (FAN if db else 1)) for v in (x, y, s, k))
+            x, y, s, k = (np.repeat(v, (FAN if da else 1) * (FAN if db else 1), axis=0) for v in (x, y, s, k))
             step = np.tile(np.arange((FAN if da else 1) * (FAN if db else 1)), len(x) // ((FAN if da else 1) * (FAN if db else 1)))
             if da:
                 x = x * FAN + (step // FAN if db else step)

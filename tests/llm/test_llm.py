@@ -619,6 +619,41 @@ def test_near_copies_like_brute_force(spark, monkeypatch, block):
     assert near.near_copies(docs.limit(0)).count() == 0
 
 
+def test_near_copies_by_fingerprints(spark, monkeypatch):
+    """The stage's candidates are those of operator 10's fingerprints and index, whole or with its nodes cut in blocks."""
+    from folioflow.llm import near
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, textops.U)) for n in (1, 2, 9, 300, 255, 256, 2000)]
+    words = near.fingerprints(sets, 2)
+    for k, seed in enumerate(np.random.default_rng(5).integers(0, 1 << 63, 4, textops.U)):
+        for s, f in zip(sets, words[:, k].tolist(), strict=True):
+            hashes = textops.mix(s ^ seed).tolist()
+            assert f == sum((sum(h >> i & 1 for h in hashes) * 2 > len(hashes)) << i for i in range(64))
+
+    wide = rng.integers(0, 1 << 63, (30, 2), textops.U)
+    flips = [[textops.U(sum(1 << b for b in rng.choice(64, rng.integers(0, 25), False).tolist())) for _ in range(2)] for _ in range(90)]
+    wide = np.concatenate([wide, wide[np.arange(90) % 30] ^ np.array(flips)])
+    apart = np.bitwise_count(wide[:, None] ^ wide).sum(axis=2, dtype=int)
+    want = reach(120, [(i, j) for i in range(120) for j in range(i) if apart[i, j] <= near.DISTANCE])
+    order = np.argsort(simhash.gray_rank(wide[:, 0]))
+    root = simhash.near_pairs(wide[order], None, near.DISTANCE)
+    assert {frozenset(order[root == r].tolist()) for r in set(root)} == {frozenset(i for i in range(120) if want[i] == w) for w in set(want)}
+
+    texts = [rng.integers(0, 1 << 63, 60, textops.U) for _ in range(150)]
+    texts += [np.concatenate([t[:56], rng.integers(0, 1 << 63, 4, textops.U)]) for t in texts]
+    width, several = near.plan(len(texts))
+    words = near.fingerprints(texts, several)
+    nodes = spark.createDataFrame([(i, w) for i, w in enumerate(words.view(np.int64).tolist())], "id long, words array<long>").repartition(3)
+    for most in (near.NODE_ROWS, 2):
+        monkeypatch.setattr(near, "NODE_ROWS", most)
+        groups = {}
+        for r in near.candidates(nodes, width, len(texts)).collect():
+            groups.setdefault(r.key, set()).add(r.id)
+        assert all(any({i, i + 150} <= g for g in groups.values()) for i in range(150))
+        assert sum(map(len, groups.values())) < 2 * len(texts)
+
+
 def test_passages_to_their_ends(spark):
     """An equal run is a span from its first word to its last."""
     rng = random.Random(31)
