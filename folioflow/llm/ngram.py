@@ -1,19 +1,21 @@
 """LM scoring (7): an interpolated modified Kneser-Ney n-gram model of any order over the whole training corpus.
 
 Words are 64-bit hashes, runs of words hashes of their prefixes. The longest
-runs are counted where they stand and dealt out by their first word, so that a
-task sees all that follows it; a hot prefix (fewer than 1 / HOT of a length) is
-passed over for the next longer one, so that none gathers in one task. Sorted
-arrays of hashes with counts are kept in the shared folder. Each level then
-deals out its distinct runs without their first word: their number is the
-count that the next lower order works with. Workers map the arrays and look
-sorted batches up. Each text is preceded by order - 1 begin marks.
+runs are counted where they stand and dealt out by their last word but one: a
+task then sees all that follows a context, all that stands before a shorter
+run, and so counts every order down to two. Only the lowest order is dealt out
+again, and runs whose last word but one is hot (HOT of all tokens or more).
+These are dealt by the words before it, too, and their shorter runs level by
+level. Tables of hashes are kept in the shared folder; workers map them and
+look sorted batches up. Each text is preceded by order - 1 begin marks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from folioflow.llm.textops import U, mix, slices, sums, words
 BEGIN, END = U(0xB5297A4D3F84D5B5), U(0x1B56C4E9A2D7F38D)
 #: Order of the model unless asked for another.
 ORDER = 3
-#: Runs that a worker holds at most before they go out.
+#: Tokens that a worker holds at most before their runs go out.
 HELD = 3_000_000
 LOOKUP_BYTES = 6 << 20
 #: Files that a worker maps at once; Linux allows a process some 65,000 maps.
@@ -36,12 +38,13 @@ MAPS = 30_000
 
 #: Tokens for each bucket of words and runs, about: buckets grow in number with the text, not in size.
 BUCKET_TOKENS = 500_000
-#: Share of the runs from which on a prefix is hot and its runs are dealt out by a longer one.
+#: Share of the tokens from which on a word is hot.
 HOT = 0.001
 
-_HOT = pa.schema([("prefix", pa.int64()), ("n", pa.int64()), ("of", pa.int64())])
+_HOT = pa.schema([("word", pa.int64()), ("n", pa.int64()), ("of", pa.int64())])
 _RUNS = pa.schema([("bucket", pa.int32()), ("runs", pa.binary())])
-_MERGED = pa.schema([("bucket", pa.int32()), ("runs", pa.binary()), ("hot", pa.binary()), ("sums", pa.list_(pa.int64()))])
+_MERGED = pa.schema([("order", pa.int32()), ("bucket", pa.int32()), ("runs", pa.binary()), ("hot", pa.binary()), ("sums", pa.list_(pa.int64()))])
+_MERGED_DDL = "order int, bucket int, runs binary, hot binary, sums array<long>"
 _SCORED = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
@@ -79,49 +82,133 @@ def _top(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> U(64 - bits)).astype(np.int64)
 
 
-def _bucket_of(found: list[np.ndarray], hot: np.ndarray, bits: int) -> np.ndarray:
-    """A run is found by its shortest prefix that isn't hot, by itself if all are."""
-    key = found[-1]
-    for p in found[-2::-1]:
-        key = np.where(np.isin(p, hot), key, p)
-    return _top(key, bits)
+@dataclass
+class Deal:
+    """Which bucket a run belongs to."""
+
+    bits: int
+    #: Sorted hashes of hot words, and how many bits of the words before one take part.
+    hot: np.ndarray
+    parts: np.ndarray
+
+    def is_hot(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.hot):
+            return np.zeros(len(words), bool)
+        return self.hot[np.minimum(np.searchsorted(self.hot, words), len(self.hot) - 1)] == words
+
+    def __call__(self, cols: list[np.ndarray], hot: np.ndarray | None = None) -> np.ndarray:
+        """By the last word but one; where that is hot by the words before it, too, or, if there are none, by the run."""
+        if len(cols) == 1:
+            return _top(cols[0], self.bits)
+        key = cols[-2].copy()
+        own = np.flatnonzero(self.is_hot(key) if hot is None else hot)
+        if len(own):
+            word, part = key[own], prefixes([c[own] for c in cols])
+            if len(cols) == 2:
+                key[own] = part[-1]
+            else:
+                part = part[-3] >> U(1) >> (63 - self.parts[np.searchsorted(self.hot, word)]).astype(U)
+                key[own] = pair_hash(word, part)
+        return _top(key, self.bits)
 
 
 def _hot(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             marked, places, _ = tokens(b.column("text"), order)
-            prefix, n = [np.zeros(1, U)], [np.zeros(1, np.int64)]
-            for p in prefixes(columns(marked, places, order))[:-1]:
-                h, c = np.unique(p, return_counts=True)
-                many = c >= HOT * len(p)
-                prefix.append(h[many])
-                n.append(c[many])
-            n, prefix = np.concatenate(n), np.concatenate(prefix)
-            yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(n), pa.array(np.where(np.arange(len(n)) == 0, len(places), 0))], schema=_HOT)
+            h, n = np.unique(marked[places - 1] if order > 1 else marked, return_counts=True)
+            many = n >= HOT * len(places)
+            h, n = np.append(U(0), h[many]), np.append(0, n[many])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(np.where(np.arange(len(n)) == 0, len(places), 0))], schema=_HOT)
 
     return run
 
 
+@dataclass
+class Runs:
+    """Runs of words, each word a place in ``words`` (hashes); counts, and how often each run stands in the texts."""
+
+    words: np.ndarray
+    cols: list[np.ndarray]
+    n: np.ndarray
+    raw: np.ndarray
+
+    def distinct(self) -> Runs:
+        """Each run once, sums of counts; in the order of the last word but one, the words before it, the last."""
+        by = [*self.cols[-2:-1], *self.cols[:-2], self.cols[-1]]
+        size = max(1, len(self.words).bit_length())
+        if size * len(by) < 64:
+            key = np.zeros(len(self.n), np.int64)
+            for c in by:
+                key = key << size | c
+            order = np.argsort(key)
+            key = key[order]
+            new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+        else:
+            order = np.lexsort(by[::-1])
+            new = _new([c[order] for c in by])
+        at = np.flatnonzero(new)
+        n, raw = (np.add.reduceat(x[order], at) if len(at) else x for x in (self.n, self.raw))
+        return Runs(self.words, [c[order[at]] for c in self.cols], n, raw)
+
+    def pick(self, which: np.ndarray, cut: int = 0) -> Runs:
+        return Runs(self.words, [c[which] for c in self.cols[cut:]], self.n[which], self.raw[which])
+
+    def hashes(self) -> list[np.ndarray]:
+        return [self.words[c] for c in self.cols]
+
+    def shorter(self) -> Runs:
+        """Without the first word: each run counts once."""
+        return Runs(self.words, self.cols[1:], np.ones(len(self.n), np.int64), self.raw).distinct()
+
+    def blobs(self, deal: Deal, file: str = "") -> tuple[list[int], list[bytes]]:
+        """By bucket, in order. A word that the rows below share, with all words before it in that order, is written once.
+
+        Words are numbers: places in ``words`` if these are kept in a file, else places in the blob's own.
+        """
+        to = deal(self.hashes())
+        order = np.argsort(to.astype(np.uint16) if deal.bits <= 16 else to, kind="stable")
+        cols, n, raw, to = [c[order] for c in self.cols], self.n[order], self.raw[order], to[order]
+        cols = [*cols[-2:-1], *cols[:-2], cols[-1]]
+        edge = np.searchsorted(to, np.arange((1 << deal.bits) + 1))
+        buckets = np.flatnonzero(np.diff(edge))
+        out = []
+        for a, z in zip(edge[buckets], edge[buckets + 1], strict=True):
+            part = [c[a:z] for c in cols]
+            at = [np.flatnonzero(_new(part[: k + 1])) for k in range(len(part) - 1)]
+            heads = [*(c[x] for c, x in zip(part, at, strict=False)), part[-1]]
+            if file:
+                words = {"file": np.frombuffer(file.encode(), np.uint8)}
+            else:
+                used, back = np.unique(np.concatenate(heads), return_inverse=True)
+                heads, words = np.split(back, np.cumsum(list(map(len, heads)))[:-1]), {"words": self.words[used]}
+            same = {f"same{k}": _planes(np.diff(np.append(x, z - a))) for k, x in enumerate(at)}
+            out.append(_pack(**words, **same, **{f"word{k}": _planes(x) for k, x in enumerate(heads)}, n=_planes(n[a:z]), raw=_planes(raw[a:z] - n[a:z])))
+        return buckets.tolist(), out
+
+
 def _new(cols: list[np.ndarray]) -> np.ndarray:
-    """Where, in sorted rows, a row differs from the one before it."""
+    """Whether, in sorted rows, a row differs from the one before it."""
     new = np.ones(len(cols[0]), bool)
     new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
-    return np.flatnonzero(new)
-
-
-def _distinct(cols: list[np.ndarray], *counts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Runs in the order of their words' hashes, each once, and the sums of their counts."""
-    order = np.lexsort(cols[::-1])
-    cols = [c[order] for c in cols]
-    at = _new(cols)
-    return [c[at] for c in cols], [np.add.reduceat(n[order], at) if len(at) else n for n in counts]
+    return new
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x.astype(np.uint8)
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Numbers as all their lowest bytes, all their next ones, and so on, the number of bytes first; zero or more, or just below."""
+    x = _narrow(x) if not len(x) or x.min() >= 0 else x.astype(np.int64)
+    return np.append(np.uint8(x.itemsize), x.view(np.uint8).reshape(len(x), x.itemsize).T.ravel())
+
+
+def _number(planes: np.ndarray) -> np.ndarray:
+    x = planes[1:].reshape(planes[0], -1)
+    return np.ascontiguousarray(x.T).view(f"<{'i' if planes[0] == 8 else 'u'}{planes[0]}").ravel().astype(np.int64)
+
+
 def _pack(**arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(pack(**arrays))
 
@@ -130,43 +217,41 @@ def _unpack(data: bytes) -> dict[str, np.ndarray]:
     return unpack(zstandard.ZstdDecompressor().decompress(data))
 
 
-def _blobs(cols: list[np.ndarray], n: np.ndarray, raw: np.ndarray, bits: int, hot: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Sorted runs by bucket. A word that the rows below share, with all words before it, is written once."""
-    to = _bucket_of(prefixes(cols), hot, bits)
-    order = np.argsort(to, kind="stable")
-    cols, n, raw, to = [c[order] for c in cols], n[order], raw[order], to[order]
-    edge = np.searchsorted(to, np.arange((1 << bits) + 1))
-    buckets = np.flatnonzero(np.diff(edge))
-    out = []
-    for a, z in zip(edge[buckets], edge[buckets + 1], strict=True):
-        part = [c[a:z] for c in cols]
-        at = [_new(part[: k + 1]) for k in range(len(part) - 1)]
-        same = {f"same{k}": _narrow(np.diff(np.append(x, z - a))) for k, x in enumerate(at)}
-        heads = {f"word{k}": part[k][x] for k, x in enumerate(at)}
-        out.append(_pack(**same, **heads, last=part[-1], n=_narrow(n[a:z]), raw=_narrow(raw[a:z])))
-    return buckets.tolist(), out
-
-
-def _runs(blobs: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _runs(blobs: list[bytes], order: int) -> Runs:
     parts = [_unpack(b) for b in blobs]
-    cols = [np.concatenate([np.repeat(p[f"word{k}"], p[f"same{k}"]) for p in parts]) for k in range(order - 1)]
-    last, n, raw = (np.concatenate([p[k] for p in parts]) for k in ("last", "n", "raw"))
-    return [*cols, last], n.astype(np.int64), raw.astype(np.int64)
-
-
-def _count(order: int, bits: int, hot: np.ndarray):
-    def out(held: list[tuple[list[np.ndarray], np.ndarray]]) -> pa.RecordBatch:
-        cols, (n,) = _distinct([np.concatenate(c) for c in zip(*(c for c, _ in held), strict=True)], np.concatenate([n for _, n in held]))
-        to, blobs = _blobs(cols, n, n, bits, hot)
+    files = {f: mapped(f)["words"] for f in {p["file"].tobytes().decode() for p in parts if "file" in p}}
+    known = [files[p["file"].tobytes().decode()] if "file" in p else p["words"] for p in parts]
+    heads = [[w[_number(p[f"word{k}"])] for p, w in zip(parts, known, strict=True)] for k in range(order)]
+    words, back = np.unique(np.concatenate([h for own in heads for h in own]), return_inverse=True)
+    back = np.split(back, np.cumsum([sum(map(len, own)) for own in heads])[:-1])
+    same = [np.concatenate([_number(p[f"same{k}"]) for p in parts]) for k in range(order - 1)]
+    cols = [*map(np.repeat, back[:-1], same), back[-1]]
+    n = np.concatenate([_number(p["n"]) for p in parts])
+    raw = n + np.concatenate([_number(p["raw"]) for p in parts])
+    return Runs(words, [*cols[1:-1], *cols[: order > 1], cols[-1]], n, raw).distinct()
+
+
+def _count(folder: str, order: int, deal: Deal):
+    """Distinct runs by bucket; the words of all that went out together are a file, frequent ones first."""
+
+    def out(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        start = np.cumsum([0, *(len(m) for m, _ in held)])
+        places = np.concatenate([p + s for (_, p), s in zip(held, start, strict=False)])
+        words, ids, often = np.unique(np.concatenate([m for m, _ in held]), return_inverse=True, return_counts=True)
+        by = np.argsort(-often, kind="stable")
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        file = f"{folder}/{uuid.uuid4().hex}"
+        put(file, pack(words=words[by]))
+        one = np.ones(len(places), np.int64)
+        to, blobs = Runs(words[by], columns(rank[ids], places, order), one, one).distinct().blobs(deal, file)
         return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(blobs, pa.binary())], schema=_RUNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[list[np.ndarray], np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for b in slices(batches):
-            marked, places, _ = tokens(b.column("text"), order)
-            cols, (n,) = _distinct(columns(marked, places, order), np.ones(len(places), np.int64))
-            held.append((cols, n))
-            if sum(len(n) for _, n in held) > HELD:
+            held.append(tokens(b.column("text"), order)[:2])
+            if sum(len(p) for _, p in held) > HELD:
                 yield out(held)
                 held = []
         if held:
@@ -175,33 +260,97 @@ def _count(order: int, bits: int, hot: np.ndarray):
     return run
 
 
-def _merge(folder: str, order: int, bits: int, hot: np.ndarray):
-    """Write a bucket's runs and contexts of one order; hand on the runs without their first word."""
+def _coded(name: str, *fields: np.ndarray) -> dict[str, np.ndarray]:
+    """Rows of numbers: the distinct rows, and which of them stands where. Most counts are alike."""
+    if len(fields) == 1:
+        rows, back = np.unique(fields[0], return_inverse=True)
+        return {f"{name}-rows": rows, f"{name}-code": _narrow(back)}
+    key, back = np.unique(np.stack(fields, axis=1), axis=0, return_inverse=True)
+    return {f"{name}-rows": key.ravel(), f"{name}-code": _narrow(back.ravel())}
+
+
+def _table(name: str, h: np.ndarray, *fields: np.ndarray) -> dict[str, np.ndarray]:
+    """A hash's first bits are its slot, of some 32; the next 40 are kept, in order: one in 3 * 10**10 unknown ones is taken for another."""
+    by = np.argsort(h)
+    h, q = h[by], (len(h) // 32).bit_length()
+    rest = h << U(q) >> U(24)
+    at = np.searchsorted(h >> U(1) >> U(63 - q), np.arange((1 << q) + 1).astype(U))
+    return {f"{name}-at": at.astype(np.uint32), f"{name}-high": (rest >> U(8)).astype(np.uint32), f"{name}-low": rest.astype(np.uint8), **_coded(name, *(x[by] for x in fields))}
+
+
+def _look_up(t: dict[str, np.ndarray], name: str, h: np.ndarray, width: int) -> np.ndarray:
+    """Rows of fields for each hash, 0 where there is none."""
+    out = np.zeros((len(h), width), np.int64)
+    if f"{name}-at" not in t or not len(t[f"{name}-high"]):
+        return out
+    at, high, low = (t[f"{name}-{k}"] for k in ("at", "high", "low"))
+    q = (len(at) - 1).bit_length() - 1
+    slot, rest = (h >> U(1) >> U(63 - q)).astype(np.int64), h << U(q) >> U(24)
+    a, z = at[slot].astype(np.int64), at[slot + 1].astype(np.int64)
+    last = z
+    for _ in range(int((z - a).max()).bit_length()):
+        mid = a + z >> 1
+        i = np.minimum(mid, len(high) - 1)
+        less = (mid < z) & ((high[i].astype(U) << U(8) | low[i]) < rest)
+        a, z = np.where(less, mid + 1, a), np.where(less, z, mid)
+    i = np.minimum(a, len(high) - 1)
+    hit = np.flatnonzero((a < last) & ((high[i].astype(U) << U(8) | low[i]) == rest))
+    out[hit] = t[f"{name}-rows"].reshape(-1, width)[t[f"{name}-code"][i[hit]]]
+    return out
+
+
+def _sums(r: Runs) -> list[int]:
+    return [*(int((r.n == k).sum()) for k in (1, 2, 3, 4)), len(r.n), int(r.n.sum()), int(r.raw.sum())]
+
+
+def _contexts(r: Runs, found: list[np.ndarray]) -> list[np.ndarray]:
+    """Hash of each context, what SEEN says of it, and where its runs begin."""
+    at = np.flatnonzero(_new([*r.cols[:-1]]))
+    seen = [np.add.reduceat((r.n == k).astype(np.int64), at) for k in (1, 2)]
+    seen += [np.diff(np.append(at, len(r.n))) - seen[0] - seen[1], np.add.reduceat(r.n, at)]
+    return [found[-2][at], *seen, at]
+
+
+def _merge(folder: str, top: int, order: int, deal: Deal):
+    """Write a bucket's runs and contexts, down to two words; hand on the words, and shorter runs of hot words."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
-        cols, (n, raw) = _distinct(*_runs(table.column("runs").to_pylist(), order))
-        found = prefixes(cols)
-        by = np.argsort(found[-1])
-        more = {"raw": _narrow(raw[by])} if order == 1 else {}
-        put(f"{folder}/runs{order}-{bucket}", pack(hash=found[-1][by], n=_narrow(n[by]), **more))
-        counts = [*(int((n == k).sum()) for k in (1, 2, 3, 4)), len(n), int(n.sum()), int(raw.sum())]
-        if order == 1:
-            return pa.table([[-1], [b""], [b""], pa.array([counts], pa.list_(pa.int64()))], schema=_MERGED)
-        # contexts stand together: words after each that count once, twice, more often, and all that counts
-        at = _new(cols[:-1])
-        context = found[-2][at]
-        seen = [np.add.reduceat((n == k).astype(np.int64), at) for k in (1, 2)]
-        seen += [np.diff(np.append(at, len(n))) - seen[0] - seen[1], np.add.reduceat(n, at)]
-        is_hot = np.isin(context, hot)
-        by = np.flatnonzero(~is_hot)
-        by = by[np.argsort(context[by])]
-        put(f"{folder}/contexts{order}-{bucket}", pack(hash=context[by], **{f: _narrow(x[by]) for f, x in zip(SEEN, seen, strict=True)}))
-        of_hot = np.stack([context[is_hot].view(np.int64), *(x[is_hot] for x in seen)])
-        shorter, (n, raw) = _distinct(cols[1:], np.ones(len(n), np.int64), raw)
-        to, blobs = _blobs(shorter, n, raw, bits, hot)
-        rest = len(to) - 1
-        return pa.table([pa.array(to, pa.int32()), pa.array(blobs, pa.binary()), pa.array([of_hot.tobytes()] + [b""] * rest, pa.binary()), pa.array([counts] + [[0] * 7] * rest, pa.list_(pa.int64()))], schema=_MERGED)
+        r = _runs(table.column("runs").to_pylist(), order)
+        file, counts = {}, [[0] * 7 for _ in range(top + 1)]
+        rows: list[tuple[int, int, bytes]] = []
+        of_hot = b""
+        for k in range(order, 0, -1):
+            if k == 1 and order > 1:
+                break
+            counts[k] = _sums(r)
+            found = prefixes(r.hashes())
+            file |= _table(f"runs{k}", found[-1], r.n) if k > 1 else _table("runs1", found[-1], r.raw, r.n)
+            if k == 1:
+                break
+            context, *seen, at = _contexts(r, found)
+            hot = deal.is_hot(r.words)[r.cols[-2]]
+            if k == 2:
+                of = hot[at]
+                of_hot = np.stack([context[of].view(np.int64), *(x[of] for x in seen)]).tobytes() if of.any() else b""
+                context, seen = context[~of], [x[~of] for x in seen]
+            file |= _table(f"contexts{k}", context, *seen)
+            if k == 2:
+                r = r.shorter()
+                rows += [(1, b, x) for b, x in zip(*r.blobs(deal), strict=True)]
+                break
+            if hot.any():
+                rows += [(k - 1, b, x) for b, x in zip(*r.pick(hot).shorter().blobs(deal), strict=True)]
+                r = r.pick(~hot)
+                if not len(r.n):
+                    break
+            r = r.shorter()
+        put(f"{folder}/{order}-{bucket}", pack(**file))
+        rows = rows or [(0, bucket, b"")]
+        rest = len(rows) - 1
+        to, buckets, blobs = zip(*rows, strict=True)
+        flat = sum(counts, [])
+        return pa.table([pa.array(to, pa.int32()), pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary()), pa.array([of_hot] + [b""] * rest, pa.binary()), pa.array([flat] + [[0] * len(flat)] * rest, pa.list_(pa.int64()))], schema=_MERGED)
 
     return run
 
@@ -221,11 +370,11 @@ SEEN = ("n1", "n2", "n3", "total")
 
 @dataclass
 class Model:
-    """Where the arrays are, and the few sums that hold for all of them."""
+    """Where the tables are, and the few sums that hold for all of them."""
 
     folder: str
     order: int
-    bits: int
+    deal: Deal
     vocabulary: int
     tokens: int
     #: Sum of the counts of the lowest order, and what its discounts take off them for all words alike.
@@ -233,45 +382,50 @@ class Model:
     left_over: float
     #: By order.
     discounts: dict[int, np.ndarray]
-    #: Hot prefixes and, by order, what SEEN says of each of them as a context.
-    hot: np.ndarray
-    hot_seen: dict[int, np.ndarray]
+    #: What SEEN says of each hot word as a context.
+    hot_seen: np.ndarray
+
+    @property
+    def bits(self) -> int:
+        return self.deal.bits
+
+    @property
+    def hot(self) -> np.ndarray:
+        return self.deal.hot
 
-    def _find(self, kind: str, keys: np.ndarray, fields: Sequence[str], to: np.ndarray) -> list[np.ndarray]:
-        """Fields for sorted distinct keys, found in the buckets ``to``; 0 where there is none."""
-        out = [np.zeros(len(keys), np.int64) for _ in fields]
+    def _find(self, name: str, keys: np.ndarray, width: int, file: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """Rows of fields for distinct keys, found in the buckets ``to`` of the files; 0 where there is none."""
+        out = np.zeros((len(keys), width), np.int64)
+        to = file << self.bits | to
         order = np.argsort(to, kind="stable")
-        edge = np.searchsorted(to[order], np.arange((1 << self.bits) + 1))
-        for b in np.flatnonzero(np.diff(edge)):
-            if (kind, b) not in self.open:
+        to = to[order]
+        edge = np.append(np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])), len(to))
+        for i, j in zip(edge, edge[1:], strict=False):
+            f, b = to[i] >> self.bits, to[i] & (1 << self.bits) - 1
+            if (f, b) not in self.open:
                 if len(self.open) >= MAPS:
                     self.open.clear()
                 try:
-                    self.open[kind, b] = mapped(f"{self.folder}/{kind}-{b}")
+                    self.open[f, b] = mapped(f"{self.folder}/{f}-{b}")
                 except FileNotFoundError:  # nothing fell there
-                    self.open[kind, b] = {}
-            t, own = self.open[kind, b], order[edge[b] : edge[b + 1]]
-            if not t or not len(have := t["hash"]):
-                continue
-            k = keys[own]
-            i = np.minimum(np.searchsorted(have, k), len(have) - 1)
-            hit = have[i] == k
-            for o, f in zip(out, fields, strict=True):
-                o[own[hit]] = t[f][i[hit]]
+                    self.open[f, b] = {}
+            own = order[i:j]
+            out[own] = _look_up(self.open[f, b], name, keys[own], width)
         return out
 
     def _longer(self, order: int, cols: list[np.ndarray], low: np.ndarray) -> np.ndarray:
         """Probabilities of one order from those of the order below."""
         found, d = prefixes(cols), self.discounts[order]
-        to = _bucket_of(found, self.hot, self.bits)
+        hot = self.deal.is_hot(cols[-2])
+        to, file = self.deal(cols, hot), np.where(hot, order, self.order)
         h, first, back = np.unique(found[-1], return_index=True, return_inverse=True)
-        c = self._find(f"runs{order}", h, ["n"], to[first])[0][back]
+        c = self._find(f"runs{order}", h, 1, file[first], to[first])[back, 0]
         h, first, back = np.unique(found[-2], return_index=True, return_inverse=True)
-        seen = self._find(f"contexts{order}", h, SEEN, to[first])
-        if len(self.hot):
-            i = np.minimum(np.searchsorted(self.hot, h), len(self.hot) - 1)
-            seen = [np.where(self.hot[i] == h, x[i], s) for x, s in zip(self.hot_seen[order], seen, strict=True)]
-        n1, n2, n3, total = seen
+        seen = self._find(f"contexts{order}", h, len(SEEN), file[first], to[first])
+        if order == 2 and len(self.hot):
+            hot = np.flatnonzero(hot[first])
+            seen[hot] = self.hot_seen[:, np.searchsorted(self.hot, h[hot])].T
+        n1, n2, n3, total = seen.T
         weight = np.where(total > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / np.maximum(total, 1), 1.0)
         return np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(total, 1)[back] + weight[back] * low
 
@@ -281,7 +435,7 @@ class Model:
             self.open: dict = {}
         marked, places, at = tokens(col, self.order)
         w, back = np.unique(marked[places], return_inverse=True)
-        n, c = self._find("runs1", w, ["raw", "n"], _top(w, self.bits))
+        n, c = self._find("runs1", w, 2, np.ones(len(w), np.int64), self.deal([w])).T
         if self.followed:
             low = (np.maximum(c - self.discounts[1][np.minimum(c, 3)], 0) + self.left_over / (self.vocabulary + 1)) / self.followed
         else:
@@ -300,32 +454,39 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     spark = docs.sparkSession
     folder = scratch(spark, "ngram")
     texts = docs.select(F.col(text_col).alias("text"))
-    many = texts.mapInArrow(_hot(order), "prefix long, n long, of long")
-    many = stored(many.groupBy("prefix").agg(F.sum("n").alias("n"), F.sum("of").alias("of")), "ngram-many")
+    many = texts.mapInArrow(_hot(order), "word long, n long, of long")
+    many = stored(many.groupBy("word").agg(F.sum("n").alias("n"), F.sum("of").alias("of")), "ngram-many")
     every = many.agg(F.sum("of")).first()[0] or 0
     bits = max(1, (every // BUCKET_TOKENS).bit_length())
-    least = max(1, HOT * every)
-    hot = np.sort(np.array([r.prefix for r in many.filter(F.col("n") >= least).select("prefix").collect()], np.int64).view(U))
-    runs = texts.mapInArrow(_count(order, bits, hot), "bucket int, runs binary")
-    sums_of, hot_seen, before = {}, {}, many
+    hot = many.filter(F.col("n") >= max(1, HOT * every)).collect() if order > 1 else []
+    hot = sorted((r.word & (1 << 64) - 1, r.n) for r in hot)
+    deal = Deal(bits, np.array([h for h, _ in hot], U), np.array([(4 * n // BUCKET_TOKENS).bit_length() for _, n in hot], np.int64))
+    drop(spark, many)
+    words = scratch(spark, "ngram-words")
+    runs = texts.mapInArrow(_count(words, order, deal), "bucket int, runs binary")
+    sums_of, hot_seen, levels = np.zeros((order + 1, 7), np.int64), np.zeros((len(SEEN), len(hot)), np.int64), []
     for k in range(order, 0, -1):
-        merged = runs.groupBy("bucket").applyInArrow(_merge(folder, k, bits, hot), "bucket int, runs binary, hot binary, sums array<long>")
-        merged = stored(merged, f"ngram-{k}")
-        drop(spark, before)
-        before = merged
-        sums_of[k] = [x or 0 for x in merged.agg(*(F.sum(F.col("sums")[i]) for i in range(7))).first()]
-        hot_seen[k] = np.zeros((len(SEEN), len(hot)), np.int64)
+        if k < order:
+            left = [x.filter(F.col("order") == k).select("bucket", "runs") for x in (levels if k == 1 else levels[-1:])]
+            runs = reduce(DataFrame.unionAll, left)
+        merged = stored(runs.groupBy("bucket").applyInArrow(_merge(folder, order, k, deal), _MERGED_DDL), f"ngram-{k}")
+        levels.append(merged)
+        if k == order:
+            drop(spark, words)
+        spark.sparkContext._jvm.System.gc()  # with its plan, an exchange that nothing reads any more leaves the disk
+        found = merged.agg(*(F.sum(F.col("sums")[i]) for i in range(sums_of.size))).first()
+        sums_of += np.array([x or 0 for x in found], np.int64).reshape(sums_of.shape)
         for r in merged.filter(F.length("hot") > 0).select("hot").toLocalIterator():
             x = np.frombuffer(r.hot, np.int64).reshape(1 + len(SEEN), -1)
-            np.add.at(hot_seen[k], (slice(None), np.searchsorted(hot, x[0].view(U))), x[1:])
-        runs = merged.select("bucket", "runs")
-    drop(spark, before)
-    taken = {k: discounts(*x[:4]) for k, x in sums_of.items()}
-    c1, c2, _, _, vocabulary, followed, every = sums_of[1]
+            np.add.at(hot_seen, (slice(None), np.searchsorted(deal.hot, x[0].view(U))), x[1:])
+    for x in levels:
+        drop(spark, x)
+    taken = {k: discounts(*sums_of[k, :4].tolist()) for k in range(1, order + 1)}
+    c1, c2, _, _, vocabulary, followed, every = sums_of[1].tolist()
     d = taken[1]
     # what the discounts take off all words' counts goes to all words alike
     left = d[1] * c1 + d[2] * c2 + d[3] * (vocabulary - c1 - c2)
-    return Model(folder, order, bits, vocabulary, every, followed, float(left), taken, hot, hot_seen)
+    return Model(folder, order, deal, vocabulary, every, followed, float(left), taken, hot_seen)
 
 
 def _score(model: Model):

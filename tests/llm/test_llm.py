@@ -269,6 +269,32 @@ def test_kneser_ney_of_many_buckets(docs, monkeypatch):
         resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
 
 
+def test_kneser_ney_tables(spark, docs, monkeypatch):
+    """A run and what is known of a context take few bytes; hot words in parts and buckets change no score."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    texts = [prose(400, rng) for _ in range(120)]
+    model = ngram.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    folder = model.folder.removeprefix("file://")
+    size = sum(os.path.getsize(f"{folder}/{f}") for f in os.listdir(folder))
+    marked = [["<s>", "<s>", *words(t), "</s>"] for t in texts]
+    three = {r for m in marked for r in zip(m, m[1:], m[2:])}  # noqa: B905
+    two, contexts = {r[1:] for r in three}, {r[:2] for r in three}
+    assert size < 7 * (len(three) + len(two)) + 9 * len(contexts) + 60_000
+    often = [" the ".join(prose(100, rng).split()) for _ in range(20)]
+    docs = docs.select("text").unionAll(spark.createDataFrame([(t,) for t in often[:15]], "text string"))
+    col = pa.array(TEXTS + often)
+    for order in (2, 3, 4):
+        want = ngram.train(docs, order=order).score(col)
+        with monkeypatch.context() as m:
+            m.setattr(ngram, "BUCKET_TOKENS", 800)
+            model = ngram.train(docs, order=order)
+        assert model.deal.parts.max() > 1
+        for g, w in zip(model.score(col), want, strict=True):
+            np.testing.assert_allclose(g, w)
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     rows = []
