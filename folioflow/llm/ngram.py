@@ -260,13 +260,23 @@ def _count(folder: str, order: int, deal: Deal):
     return run
 
 
+def _once(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and which of them stands where (np.unique sorts stably for that: slower)."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.concatenate([[True], x[1:] != x[:-1]])[: len(x)]
+    at = np.flatnonzero(new)
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return x[at], order[at], back
+
+
 def _coded(name: str, *fields: np.ndarray) -> dict[str, np.ndarray]:
     """Rows of numbers: the distinct rows, and which of them stands where. Most counts are alike."""
-    if len(fields) == 1:
-        rows, back = np.unique(fields[0], return_inverse=True)
-        return {f"{name}-rows": rows, f"{name}-code": _narrow(back)}
-    key, back = np.unique(np.stack(fields, axis=1), axis=0, return_inverse=True)
-    return {f"{name}-rows": key.ravel(), f"{name}-code": _narrow(back.ravel())}
+    _, at, back = _once(fields[0])
+    for f in fields[1:]:
+        _, at, back = _once(back * (int(f.max()) + 1 if len(f) else 1) + f)
+    return {f"{name}-rows": np.stack([f[at] for f in fields], axis=1).ravel(), f"{name}-code": _narrow(back)}
 
 
 def _table(name: str, h: np.ndarray, *fields: np.ndarray) -> dict[str, np.ndarray]:
@@ -397,7 +407,7 @@ class Model:
         """Rows of fields for distinct keys, found in the buckets ``to`` of the files; 0 where there is none."""
         out = np.zeros((len(keys), width), np.int64)
         to = file << self.bits | to
-        order = np.argsort(to, kind="stable")
+        order = np.argsort(to.astype(np.uint16) if (self.order + 1) << self.bits <= 1 << 16 else to, kind="stable")
         to = to[order]
         edge = np.append(np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])), len(to))
         for i, j in zip(edge, edge[1:], strict=False):
@@ -418,9 +428,9 @@ class Model:
         found, d = prefixes(cols), self.discounts[order]
         hot = self.deal.is_hot(cols[-2])
         to, file = self.deal(cols, hot), np.where(hot, order, self.order)
-        h, first, back = np.unique(found[-1], return_index=True, return_inverse=True)
+        h, first, back = _once(found[-1])
         c = self._find(f"runs{order}", h, 1, file[first], to[first])[back, 0]
-        h, first, back = np.unique(found[-2], return_index=True, return_inverse=True)
+        h, first, back = _once(found[-2])
         seen = self._find(f"contexts{order}", h, len(SEEN), file[first], to[first])
         if order == 2 and len(self.hot):
             hot = np.flatnonzero(hot[first])
