@@ -5,6 +5,10 @@ with one of 64 bits no distance both finds such texts and tells them from
 others. A text here has several fingerprints of WIDE bits by shingle hashes of
 their own. Each equal part of one puts two texts below one prefix node of the
 index, and there, in Gray order, near_pairs finds those within DISTANCE.
+
+A first look, below a few nodes of each text, links most of a large group of
+near copies. In the search below all nodes, what is linked already is one label:
+a group of candidates has a row for each label, not for each of its texts.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.graph import components
@@ -29,6 +33,10 @@ WIDE, DISTANCE = 128, 32
 ALIKE, MISSED = 0.848, 1e-4
 #: Texts below a prefix node, about; one with more than NODE_ROWS is cut in blocks, each two of which are compared.
 NODE_TEXTS, NODE_ROWS = 500, 8000
+#: Prefix nodes of each text in the first look, which only spares work: all that it misses is left to the search.
+LOOKS = 4
+#: Texts of one label that are kept and compared together; one with more meets the other labels piece by piece.
+PIECE = 256
 #: Texts of one band key that one task takes; more are dealt out in pairs of blocks.
 BLOCK_ROWS = 4000
 #: Band keys are broadcast up to this many; beyond, both sides are shuffled.
@@ -40,7 +48,7 @@ _PRINT = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("words", pa.list_
 _CROWD = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
 _CELL = pa.schema([("task", pa.int32()), ("cell", pa.int64()), ("part", pa.int32()), ("id", pa.int64()), ("high", pa.int64()), ("low", pa.int64())])
 _CANDIDATE = pa.schema([("key", pa.int64()), ("id", pa.int64())])
-_SET = pa.schema([("bucket", pa.int32()), ("node", pa.int64()), ("set", pa.binary())])
+_SET = pa.schema([("bucket", pa.int32()), ("node", pa.int64()), ("text", pa.int64()), ("set", pa.binary())])
 _DONE = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: A byte's bits, each in a byte of its own.
@@ -95,43 +103,50 @@ def _prints(n: int):
     return run
 
 
-def _cells(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, their words, and a column for each prefix node that a text lies below."""
+def _cells(batch: pa.RecordBatch, width: int, looks: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, their words, and a column for each prefix node that a text lies below, or for the first ``looks`` of them."""
     ids = batch.column("id").to_numpy()
     words = batch.column("words").flatten().to_numpy().view(U).reshape(len(ids), -1)
     per = 64 // width
-    cells = np.empty((len(ids), words.shape[1] * per), np.int64)
+    cells = np.empty((len(ids), min(words.shape[1] * per, looks or 1 << 30)), np.int64)
     for k in range(cells.shape[1]):
         cells[:, k] = (words[:, k // per] >> U(k % per * width) & U((1 << width) - 1)).astype(np.int64) | k << 32
     return ids, words, cells
 
 
-def _crowds(width: int, n: int, most: int):
+def _crowds(width: int, looks: int | None, n: int, most: int):
     """Nodes of ``most`` texts or more have their share of them in some batch: counts of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cell, count = np.unique(_cells(b, width)[2], return_counts=True)
+            cell, count = np.unique(_cells(b, width, looks)[2], return_counts=True)
             many = count * n >= most * b.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(cell[many]), pa.array(count[many])], schema=_CROWD)
 
     return run
 
 
-def _below(width: int, tasks: int, crowded: np.ndarray, blocks: np.ndarray):
-    """A row for each text and node; where a node is cut in blocks, one for each pair of blocks that its own is in."""
+def _below(width: int, looks: int | None, tasks: int, crowded: np.ndarray, blocks: np.ndarray):
+    """A row for each text and node; where a node is cut in blocks, one for each pair of blocks that its own is in.
+
+    The first look compares each block to itself only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(i, 2000) for x in batches for i in range(0, x.num_rows, 2000)):
-            ids, words, cells = _cells(b, width)
+            ids, words, cells = _cells(b, width, looks)
             row, k = (x.ravel() for x in np.indices(cells.shape))
             cell, part = cells.ravel(), np.zeros(cells.size, np.int64)
             if len(crowded):
                 i = np.minimum(np.searchsorted(crowded, cell), len(crowded) - 1)
                 m = np.where(crowded[i] == cell, blocks[i], 1)
-                part = (mix(ids.view(U))[row] % m.astype(U)).astype(np.int64)
-                other = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                row, k, cell, part, m = (np.repeat(x, m) for x in (row, k, cell, part, m))
+                deal = ids.view(U)
+                for x in words.T:
+                    deal = mix(deal ^ x)
+                other = part = (deal[row] % m.astype(U)).astype(np.int64)
+                if not looks:
+                    other = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                    row, k, cell, part, m = (np.repeat(x, m) for x in (row, k, cell, part, m))
                 pair = (np.minimum(part, other) * m + np.maximum(part, other) + 1).astype(U)
                 cell = np.where(m > 1, mix(mix(cell.astype(U)) ^ pair).view(np.int64), cell)
             k = k // (64 // width) // 2 * 2
@@ -159,6 +174,8 @@ def _near(distance: int):
             far = np.flatnonzero(root != np.arange(j - i))
             if len(far):
                 own = np.union1d(far, root[far])
+                own = own[distinct_pairs(root[own], ids[i:j][own])]
+                own = own[np.bincount(root[own])[root[own]] > 1]
                 name = np.zeros(j - i, U)
                 np.add.at(name, root[own], mix(ids[i:j][own].view(U) + U(1)))
                 keys.append(name[root[own]])
@@ -169,25 +186,26 @@ def _near(distance: int):
     return run
 
 
-def candidates(nodes: DataFrame, width: int, n: int) -> DataFrame:
-    """(id, words) -> (key, id): groups of texts that are near by some fingerprint."""
+def candidates(nodes: DataFrame, width: int, n: int, looks: int | None = None) -> DataFrame:
+    """(id, words) -> (key, id): groups of two ids or more whose texts are near by some fingerprint. Several texts may have one id."""
     spark = nodes.sparkSession
     crowded, blocks = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if n > NODE_ROWS:
-        counts = nodes.mapInArrow(_crowds(width, n, NODE_ROWS), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        counts = nodes.mapInArrow(_crowds(width, looks, n, NODE_ROWS), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
         many = sorted(counts.filter(F.col("n") >= NODE_ROWS).collect())  # at most parts * n / NODE_ROWS
         crowded, blocks = np.array([r.cell for r in many], np.int64), np.array([r.n // NODE_ROWS + 1 for r in many], np.int64)
     tasks = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // 10_000)
-    at = nodes.select("id", "words").mapInArrow(_below(width, tasks, crowded, blocks), "task int, cell long, part int, id long, high long, low long")
+    at = nodes.select("id", "words").mapInArrow(_below(width, looks, tasks, crowded, blocks), "task int, cell long, part int, id long, high long, low long")
     return at.groupBy("task").applyInArrow(_near(DISTANCE), "key long, id long").distinct()
 
 
 def _sets(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            s, at, node = shingles(b.column("text"))
+            s, at, text = shingles(b.column("text"))
             sets = [distinct(s[i:j]).tobytes() for i, j in zip(at, at[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(node >> U(64 - bits), pa.int32()), pa.array(node.view(np.int64)), pa.array(sets, pa.binary())], schema=_SET)
+            node = b.column("node").to_numpy().view(U)
+            yield pa.RecordBatch.from_arrays([pa.array(node >> U(64 - bits), pa.int32()), b.column("node"), pa.array(text.view(np.int64)), pa.array(sets, pa.binary())], schema=_SET)
 
     return run
 
@@ -195,9 +213,10 @@ def _sets(bits: int):
 def _save(folder: str):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         node, sets = table.column("node").to_numpy().view(U), table.column("set").to_pylist()
-        each, one = np.unique(node, return_index=True)
+        one = distinct_pairs(node, table.column("text").to_numpy() if "text" in table.column_names else node)
+        each, first = np.unique(node[one], return_index=True)
         sets = [np.frombuffer(sets[i], U) for i in one]
-        put(f"{folder}/set-{key[0].as_py()}", pack(node=each, at=np.cumsum([0, *map(len, sets)]), set=np.concatenate(sets)))
+        put(f"{folder}/set-{key[0].as_py()}", pack(node=each, first=np.append(first, len(one)), at=np.cumsum([0, *map(len, sets)]), set=np.concatenate(sets)))
         return pa.table([[key[0].as_py()], [len(each)]], schema=_DONE)
 
     return run
@@ -216,20 +235,23 @@ def jaccard(a: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of similar sets whose components are those of all such pairs."""
+def linked(sets: list[np.ndarray], label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of similar sets whose components are those of all such pairs; sets of one label are linked already."""
     a, b = [], []
-    left, todo = np.arange(1, len(sets)), [0]
-    while len(left):  # what is linked goes; what is left is compared to each that went
+    label = np.arange(len(sets)) if label is None else label
+    left, todo = np.arange(len(sets)), []
+    while len(left):  # what is linked goes, with all of its label; what is left is compared to each that went
         if not todo:
-            todo, left = [int(left[0])], left[1:]
-            continue
-        at = todo.pop()
-        hit = jaccard(sets[at], [sets[x] for x in left]) >= SIMILARITY
-        a += [at] * int(hit.sum())
-        b += left[hit].tolist()
-        todo += left[hit].tolist()
-        left = left[~hit]
+            own = label[left] == label[left[0]]
+        else:
+            at = todo.pop()
+            hit = left[jaccard(sets[at], [sets[x] for x in left]) >= SIMILARITY]
+            hit = hit[np.unique(label[hit], return_index=True)[1]]
+            a += [at] * len(hit)
+            b += hit.tolist()
+            own = np.isin(label[left], label[hit])
+        todo += left[own].tolist()
+        left = left[~own]
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
@@ -239,13 +261,13 @@ def _verify(folder: str, bits: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         files: dict[int, dict[str, np.ndarray]] = {}
 
-        def load(node: np.uint64) -> np.ndarray:
+        def load(node: np.uint64) -> list[np.ndarray]:
             bucket = int(node >> U(64 - bits))
             if bucket not in files:
                 files[bucket] = mapped(f"{folder}/set-{bucket}")
             t = files[bucket]
             i = int(np.searchsorted(t["node"], node))
-            return t["set"][t["at"][i] : t["at"][i + 1]]
+            return [t["set"][t["at"][x] : t["at"][x + 1]] for x in range(t["first"][i], t["first"][i + 1])]
 
         k, node, name = (table.column(c).to_numpy() for c in ("key", "node", "id"))
         one = distinct_pairs(k, node)
@@ -253,23 +275,32 @@ def _verify(folder: str, bits: int):
         edge = np.append(np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), len(k))
         a, b = [], []
         for i, j in zip(edge, edge[1:], strict=False):
-            x, y = linked([load(x) for x in node[i:j]])
-            a += name[i + x].tolist()
-            b += name[i + y].tolist()
+            sets = [load(x) for x in node[i:j]]
+            label = np.repeat(name[i:j], list(map(len, sets)))
+            _, own, size = np.unique(label, return_inverse=True, return_counts=True)
+            order = np.argsort(size[own], kind="stable")  # the smallest labels are compared to all others at once
+            sets, label = [x for s in sets for x in s], label[order]
+            x, y = linked([sets[q] for q in order], label)
+            a += label[x].tolist()
+            b += label[y].tolist()
         give_back()
         return pa.table([np.array(a, np.int64), np.array(b, np.int64)], schema=_EDGE)
 
     return run
 
 
-def shared_keys(each: DataFrame) -> DataFrame:
-    """(id, node, key) -> the rows whose key more than one node has, with the number of blocks that the key is cut in."""
-    shared = stored(each.groupBy("key").count().filter("count > 1").select("key", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks")), "near-keys")
+def shared_keys(each: DataFrame, texts: Column | None = None) -> DataFrame:
+    """(id, node, key) -> the rows whose key more than one node has, with the number of blocks that the key is cut in.
+
+    A node is one text, or as many as ``texts`` says.
+    """
+    counts = each.groupBy("key").agg(F.count("*").alias("count"), F.sum(F.lit(1) if texts is None else texts).alias("texts"))
+    shared = stored(counts.filter("count > 1").select("key", F.ceil(F.col("texts") / BLOCK_ROWS).cast("int").alias("blocks")), "near-keys")
     return each.join(F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared, "key")
 
 
 def save_sets(sets: DataFrame, folder: str) -> None:
-    """(bucket, node, set): sorted shingle hashes, kept in the shared folder for ``verified``."""
+    """(bucket, node, set), and text where a node has several: sorted shingle hashes, kept in the shared folder for ``verified``."""
     sets.groupBy("bucket").applyInArrow(_save(folder), "bucket int, n long").agg(F.sum("n")).first()
 
 
@@ -287,6 +318,48 @@ def verified(at: DataFrame, folder: str, bits: int) -> DataFrame:
     return at.select("task", "key", "node", "id").groupBy("task").applyInArrow(_verify(folder, bits), "a long, b long").distinct()
 
 
+def _met(near: DataFrame, units: DataFrame) -> DataFrame:
+    """(key, id) -> (key, id, node, texts): units of labels, of which each two of one old key and of two labels share a key.
+
+    A label of PIECE texts or less is one unit and keeps its keys. One of more
+    is cut in pieces; each piece and each unit that it shared a key with have a
+    key of their own, once for all keys they met by.
+    """
+    each = stored(near.join(units, "id"), "near-units")
+    small = each.select("key", "id", "node", "texts").filter("NOT large")
+    a, b = each.filter("large").alias("a"), each.alias("b")
+    if each.filter("large").isEmpty():
+        return small
+    sides = [F.struct(*[F.col(f"{x}.{c}").alias(c) for c in ("id", "node", "texts")]).alias(x) for x in "ab"]
+    pairs = a.join(b, "key").filter("a.id != b.id AND (a.id < b.id OR NOT b.large)").select(F.xxhash64("a.node", "b.node").alias("key"), *sides).distinct()
+    return stored(small.unionByName(pairs.select("key", F.explode(F.array("a", "b")).alias("x")).select("key", "x.*")), "near-met")
+
+
+def _units(nodes: DataFrame, large: DataFrame) -> DataFrame:
+    """Texts (id, words, label) with the unit that each is kept in: node, and whether its label has several."""
+    piece = F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1)))
+    found = nodes.join(F.broadcast(large), "label", "left")  # at most one in PIECE texts is a label there
+    return stored(found.select("id", "words", "label", F.xxhash64("label", piece).alias("node"), F.col("pieces").isNotNull().alias("large")), "near-texts")
+
+
+def _links(rows: DataFrame, texts: DataFrame, width: int, n: int, looks: int | None = None) -> DataFrame:
+    """Edges (a, b) between labels with similar texts: over labels and edges any two candidates are linked that are similar.
+
+    rows: id, text of the table. texts: what ``_units`` gives.
+    """
+    spark = rows.sparkSession
+    folder = scratch(spark, "near")
+    bits = max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    near = stored(candidates(texts.select(F.col("label").alias("id"), "words"), width, n, looks), "near-groups")
+    units = texts.groupBy(F.col("label").alias("id"), "node", "large").agg(F.count("*").alias("texts"))
+    at = stored(shared_keys(_met(near, units), F.col("texts")), "near-candidates")
+    wanted = texts.select("id", "node").join(at.select("node").distinct(), "node").distinct()
+    save_sets(rows.join(wanted, "id").select("node", "text").mapInArrow(_sets(bits), "bucket int, node long, text long, set binary"), folder)
+    edges = stored(verified(at, folder, bits), "near-edges")
+    drop(spark, folder)
+    return edges
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row with an id: id, component_id: the smallest id it reaches.
 
@@ -295,19 +368,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     node, named by its smallest id. Rows without an id are left out; ids must
     be integers. Empty table: no rows. Other columns are not looked at.
     """
-    spark = docs.sparkSession
-    folder = scratch(spark, "near")
-    bits = max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
     n = rows.count()
     width, several = plan(n)
     prints = stored(rows.mapInArrow(_prints(several), "id long, node long, words array<long>"), "near-prints")
     nodes = stored(prints.groupBy("node").agg(F.min("id").alias("id"), F.first("words").alias("words")), "near-nodes")
-    near = stored(candidates(nodes, width, n), "near-groups")
-    at = stored(shared_keys(near.join(nodes.select("id", "node"), "id").select("id", "node", "key")), "near-candidates")
-    wanted = at.select("id").distinct()
-    save_sets(rows.join(wanted, "id").mapInArrow(_sets(bits), "bucket int, node long, set binary"), folder)
-    named = components(stored(verified(at, folder, bits), "near-edges"))
-    drop(spark, folder)
+    alone = nodes.select("id", "words", F.col("id").alias("label"))
+    first = _links(rows, _units(alone, docs.sparkSession.createDataFrame([], "label long, pieces long")), width, n, LOOKS)
+    known = stored(components(first).select(F.col("node").alias("id"), F.col("component").alias("label")), "near-labels")
+    large = known.groupBy("label").count().filter(F.col("count") >= PIECE).select("label", F.ceil((F.col("count") + 1) / PIECE).alias("pieces"))
+    labelled = nodes.join(known, "id", "left").select("id", "words", F.coalesce("label", "id").alias("label"))
+    named = components(first.unionAll(_links(rows, _units(labelled, large), width, n)))
     of = nodes.select("node", "id").join(named.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("component", "id").alias("component_id"))
     return prints.select("id", "node").join(of, "node").select(F.col("id").alias(id_col), "component_id")

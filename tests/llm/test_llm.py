@@ -645,6 +645,39 @@ def test_near_copies_like_brute_force(spark, monkeypatch, block):
     assert near.near_copies(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("piece", "changes", "most"), [(256, 2, 6), (20, 3, 30)])
+def test_near_copies_of_one_text(spark, monkeypatch, piece, changes, most):
+    """A large group of near copies isn't compared once for each of the 48 nodes that its texts lie below; no link is lost."""
+    from folioflow.llm import near
+
+    monkeypatch.setattr(near, "PIECE", piece)
+    held = {}
+
+    def keep(df, name):
+        out = stored(df, name)
+        held.setdefault(name, []).append(out.count())
+        return out
+
+    stored = near.stored
+    monkeypatch.setattr(near, "stored", keep)
+    rng = random.Random(31)
+    base, texts = prose(200, rng).split(), []
+    for copies in [300] + 40 * [1]:
+        for _ in range(copies):
+            new = base[:]
+            for at in rng.sample(range(len(new)), changes):
+                new[at] = rng.choice(VOCAB)
+            texts.append(" ".join(new))
+        base = prose(rng.randint(60, 300), rng).split()
+    half = base[: len(base) // 2] + prose(len(base), rng).split()
+    texts += [" ".join(base), " ".join(half)]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for w in map(words, texts)]
+    root = reach(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in near.near_copies(docs).collect()} == dict(enumerate(root))
+    assert sum(held["near-candidates"]) < most * len(texts)
+
+
 def test_near_copies_by_fingerprints(spark, monkeypatch):
     """The stage's candidates are those of operator 10's fingerprints and index, whole or with its nodes cut in blocks."""
     from folioflow.llm import near
