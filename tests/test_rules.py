@@ -279,3 +279,22 @@ def test_clusters(spark):
 
     d = spark.createDataFrame([("p", y, n) for y, n in ((0, 5), (200, 5), (700, 20), (1200, 1))], "page string, y long, n long")
     assert [tuple(r) for r in images.largest_cluster(d, ["page"]).collect()] == [("p", 700, 700, 20)]
+
+
+def test_clips_take_pages_together(spark):
+    import random
+
+    draw, rows = random.Random(5), []
+    for page in range(60):
+        for k in range(12):
+            x, y = draw.randrange(0, 600, 20), draw.randrange(0, 600, 20)
+            rows.append(("b", page, k, draw.choice(["illustration", "main_text", "footnote", "table"]), x, y, x + draw.randrange(40, 400, 20), y + draw.randrange(40, 400, 20)))
+    df = spark.createDataFrame(rows, "book string, page_idx long, area_pos long, type string, x0 long, y0 long, x1 long, y1 long").repartition(5)
+    got = layout.clip_illustrations(df)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    want = {}
+    for _, page, k, kind, x0, y0, x1, y1 in rows:
+        if kind == "illustration":
+            want[page, k] = layout.clip_polygon([[x0, y0], [x1, y0], [x1, y1], [x0, y1]], [r[4:] for r in rows if r[1] == page and r[3] in layout.ILLUSTRATION_TEXT])
+    assert {(r.page_idx, r.area_pos): r.polygon for r in got.collect()} == want
+    assert any(not p for p in want.values()) and any(len(p) == 4 for p in want.values())
