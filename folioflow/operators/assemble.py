@@ -43,30 +43,35 @@ def merge_split_titles(areas: DataFrame) -> DataFrame:
 
     Of lone numbers in a row the first takes the second, the third the fourth.
     """
-    a = emitted(areas).withColumn("_v", F.struct("type", "text"))
-    a = _near(_near(a, "_v", "prev", True), "_v", "next", False)
-    title = F.col("type") == "chapter_title"
-    lone = title & T.is_lone_number(F.col("text"))
-    after = F.coalesce((F.col("prev.type") == "chapter_title") & T.is_lone_number(F.col("prev.text")), F.lit(False))
-    a = a.withColumns({"_lone": lone, "_at": F.when(~(lone & after), F.struct(*ORDER)), "_one": F.lit(1)})
-    a = running_sum(a.withColumn("_one", F.lit(1)), "_one", "_nth", BOOK, ORDER)
-    a = carry_forward(a.withColumn("_begin", F.when(F.col("_at").isNotNull(), F.col("_nth"))), "_begin", "_run", BOOK, ORDER)
+    title, keys = F.col("type") == "chapter_title", [*PAGE, "area_pos"]
+    # all elements are counted, without their texts; only titles go on, and neighbours are known by their count
+    a = running_sum(emitted(areas).select(*keys, title.alias("_title"), F.when(title, F.col("text")).alias("text"), F.lit(1).alias("_one")), "_one", "_nth", BOOK, ORDER).filter("_title")
+    a = a.select(*keys, "text", "_nth", T.is_lone_number(F.col("text")).alias("_lone"))
+    a = a.withColumns({"_v": F.struct("_nth", "_lone"), "_w": F.struct("_nth", "text")})
+    a = _near(_near(a, "_v", "prev", True).drop("_v"), "_w", "next", False).drop("_w")
+    after = F.coalesce((F.col("prev._nth") == F.col("_nth") - 1) & F.col("prev._lone"), F.lit(False))
+    a = a.withColumn("_begin", F.when(~(F.col("_lone") & after), F.col("_nth")))
+    a = carry_forward(a, "_begin", "_run", BOOK, ORDER)
     even = (F.col("_nth") - F.col("_run")) % 2 == 0
-    takes = F.col("_lone") & even & F.coalesce(F.col("next.type") == "chapter_title", F.lit(False))
-    a = carry_forward(a.withColumn("_took", takes), "_took", "_taken", BOOK, ORDER, inclusive=False)
-    taken = F.col("_taken") & title
+    takes = F.col("_lone") & even & F.coalesce(F.col("next._nth") == F.col("_nth") + 1, F.lit(False))
     own = T.plain(F.col("text"))
-    text = F.when(F.col("_took"), _joined(own, T.plain(F.col("next.text")))).otherwise(F.col("text"))
-    return a.filter(title & ~F.coalesce(taken, F.lit(False))).select(*PAGE, "area_pos", text.alias("text"), F.col("_took").alias("merged"))
+    text = F.when(takes, _joined(own, T.plain(F.col("next.text")))).otherwise(F.col("text"))
+    a = a.select(*keys, text.alias("text"), "_nth", takes.alias("merged"))
+    # what takes the next element makes that one go
+    a = carry_forward(a.withColumn("_took", F.when(F.col("merged"), F.col("_nth"))), "_took", "_taken", BOOK, ORDER, inclusive=False)
+    return a.filter(~F.coalesce(F.col("_taken") == F.col("_nth") - 1, F.lit(False))).select(*keys, "text", "merged")
 
 
 def absorb_all_caps(areas: DataFrame) -> DataFrame:
     """Titles with the all-capitals paragraph (digits may stand in it) that follows them."""
-    a = _near(emitted(areas).withColumn("_v", F.struct("type", "text")), "_v", "next", False)
-    first = T.plain(F.replace(F.get(F.filter(T.paragraphs(T.strip(F.col("next.text"))), lambda p: T.strip(p) != ""), F.lit(0)), F.lit("\n"), F.lit(" ")))
-    caps = F.coalesce((F.col("next.type") == "main_text") & T.is_all_caps(first), F.lit(False))
-    text = F.when(caps, _joined(T.plain(F.col("text")), first)).otherwise(F.col("text"))
-    return a.filter(F.col("type") == "chapter_title").select(*PAGE, "area_pos", text.alias("text"), caps.alias("absorbed"))
+    title = F.col("type") == "chapter_title"
+    first = T.plain(F.replace(F.get(F.filter(T.paragraphs(T.strip(F.col("text"))), lambda p: T.strip(p) != ""), F.lit(0)), F.lit("\n"), F.lit(" ")))
+    # of what isn't a title only a first paragraph in capitals goes on
+    caps = F.when((F.col("type") == "main_text") & T.is_all_caps(first), first)
+    a = emitted(areas).select(*PAGE, "area_pos", title.alias("_title"), F.when(title, F.col("text")).alias("text"), F.struct(caps.alias("caps")).alias("_v"))
+    a = _near(a, "_v", "next", False).filter("_title")
+    caps = F.col("next.caps")
+    return a.select(*PAGE, "area_pos", F.when(caps.isNotNull(), _joined(T.plain(F.col("text")), caps)).otherwise(F.col("text")).alias("text"), caps.isNotNull().alias("absorbed"))
 
 
 def contents(areas: DataFrame) -> DataFrame:

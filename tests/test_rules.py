@@ -298,3 +298,26 @@ def test_clips_take_pages_together(spark):
             want[page, k] = layout.clip_polygon([[x0, y0], [x1, y0], [x1, y1], [x0, y1]], [r[4:] for r in rows if r[1] == page and r[3] in layout.ILLUSTRATION_TEXT])
     assert {(r.page_idx, r.area_pos): r.polygon for r in got.collect()} == want
     assert any(not p for p in want.values()) and any(len(p) == 4 for p in want.values())
+
+
+def _scanned(monkeypatch) -> list:
+    """What block-wise scans write down from now on."""
+    from folioflow.operators import scans
+
+    seen, cut = [], scans.cut
+    monkeypatch.setattr(scans, "cut", lambda df: seen.append(cut(df)) or seen[-1])
+    return seen
+
+
+def _written(tables) -> int:
+    return sum(t.select(F.max(F.length(F.to_json(F.struct(*t.columns))))).first()[0] or 0 for t in tables)
+
+
+def test_title_scans_carry_no_texts(spark, monkeypatch):
+    seen = _scanned(monkeypatch)
+    long = "word " * 20000
+    rows = [(0, 0, "chapter_title", "VI"), (0, 1, "chapter_title", "One"), (0, 2, "main_text", long), (1, 0, "chapter_title", "7"), (1, 1, "main_text", "LOUD"), (1, 2, "chapter_title", "I"), (2, 0, "chapter_title", "II")]
+    a = areas(spark, rows).withColumn("illustration_id", F.lit(None).cast("string"))
+    assert [r.text for r in assemble.merge_split_titles(a).orderBy("page_idx", "area_pos").collect()] == ["VI. One", "7", "I. II"]
+    assert [r.text for r in assemble.absorb_all_caps(a).orderBy("page_idx", "area_pos").collect()] == ["VI", "One", "7. LOUD", "I", "II"]
+    assert len(seen) > 1 and _written(seen) < 5000
