@@ -127,11 +127,13 @@ def to_txt(elements: DataFrame) -> DataFrame:
         F.when(kind == "book", F.concat(F.lit("# "), t)).when(kind == "chapter_title", F.concat(F.lit("## "), t)).when(kind == "subtitle", F.concat(F.lit("### "), t))
         .when(kind == "figure", F.when(t != "", F.concat(F.lit("[Illustration: "), t, F.lit("]"))).otherwise("[Illustration]")).when(kind == "note", T.squeeze(t)).otherwise(flow)
     )
-    e = e.withColumn("line", line).filter("line != ''").groupBy("book").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "line"))).alias("l"))
+    # lines begin and end without white space, so line feeds in a row stand inside one
+    e = e.select("book", "pos", kind.alias("kind"), F.regexp_replace(line, r"\n{3,}", "\n\n").alias("line")).groupBy("book").agg(F.filter(F.array_sort(F.collect_list(F.struct("pos", "kind", "line"))), lambda x: x["line"] != "").alias("l")).filter(F.size("l") > 0)
     notes, rest = F.filter("l", lambda x: x["kind"] == "note"), F.filter("l", lambda x: x["kind"] != "note")
     lines = lambda x: F.transform(x, lambda y: y["line"])
     every = F.concat(lines(rest), F.when(F.size(notes) > 0, F.concat(F.array(F.lit("---"), F.lit("## Footnotes")), lines(notes))).otherwise(F.array().cast("array<string>")))
-    return e.select("book", F.concat(T.strip(F.regexp_replace(F.array_join(every, "\n\n"), r"\n{3,}", "\n\n")), F.lit("\n")).alias("text"))
+    e = e.select("book", every.alias("l"))
+    return e.select("book", F.concat(F.array_join(F.concat(F.slice("l", F.lit(1), F.size("l") - 1), F.array(T.strip(F.element_at("l", -1)))), "\n\n"), F.lit("\n")).alias("text"))
 
 
 def preview(areas: DataFrame) -> DataFrame:

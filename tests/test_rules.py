@@ -321,3 +321,39 @@ def test_title_scans_carry_no_texts(spark, monkeypatch):
     assert [r.text for r in assemble.merge_split_titles(a).orderBy("page_idx", "area_pos").collect()] == ["VI. One", "7", "I. II"]
     assert [r.text for r in assemble.absorb_all_caps(a).orderBy("page_idx", "area_pos").collect()] == ["VI", "One", "7. LOUD", "I", "II"]
     assert len(seen) > 1 and _written(seen) < 5000
+
+
+def test_stitching_by_blocks(spark, monkeypatch):
+    import random
+
+    from folioflow.operators import scans
+
+    draw, rows, hows = random.Random(7), [], {}
+    kinds = ["main_text"] * 12 + ["footnote"] * 4 + ["subtitle", "quote", "illustration"]
+    for page in range(120):
+        hows[page] = draw.choice(["merge_hyphen", "merge_sentence", "new_paragraph", None])
+        for k in range(draw.randrange(1, 4)):
+            kind = "main_text" if 40 <= page < 70 and draw.random() < 0.9 else draw.choice(kinds)  # some blocks have nothing that closes a paragraph
+            rows.append((page, k, "footnote" if 40 <= page < 70 and kind in ("subtitle", "quote", "illustration") else kind, draw.choice(["so-", "it goes on", "end.", "a\n\nb", "x\n1. y", "", None]), page % 11 == 5))
+    fold = sequence._Fold()
+    for page, _, kind, text, off in rows:
+        if not off:
+            fold.area(page, kind, (text or "").strip(), hows[page])
+    fold.flush()
+    want = list(enumerate(fold.take()))
+    a = areas(spark, rows).repartition(7).join(spark.createDataFrame(list(hows.items()), "page_idx long, page_join string"), "page_idx")
+    for block in (3, 1000):
+        monkeypatch.setattr(scans, "BLOCK", block)
+        got = sequence.stitch(a)
+        assert sorted((r.pos, (r.kind, r.text)) for r in got.collect()) == want, block
+    two = sequence.stitch(a.unionByName(a.withColumn("book", F.lit("c"))))
+    assert two.filter("book = 'b'").count() == two.filter("book = 'c'").count() == len(want)
+
+
+def test_link_scans_carry_no_texts(spark, monkeypatch):
+    seen = _scanned(monkeypatch)
+    long = "word " * 20000
+    rows = [("b", 0, "chapter_title", "1. Rome"), ("b", 1, "paragraph", f"a<sup>1</sup> {long} b<sup>x</sup> c<sup>*</sup>"), ("b", 2, "chapter_title", "Notes"), ("b", 3, "subtitle", "Chapter 1"), ("b", 4, "paragraph", f"1. {long}"), ("b", 9, "note", f"* {long}")]
+    got = linking.link(spark.createDataFrame(rows, "book string, pos long, kind string, text string"))
+    assert sorted(tuple(r)[1:] for r in got.collect()) == [(1, 0, "1", "chapter", 4, 1), (1, 2, "*", "symbol", 9, 2)]
+    assert seen and _written(seen) < 5000
