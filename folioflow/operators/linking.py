@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
 from folioflow.operators.chapters import title_key
-from folioflow.operators.scans import carry_forward, running_sum
+from folioflow.operators.scans import carry_forward, cut, running_sum
 
 BOOK = ["book"]
 BODY = ("chapter_title", "subtitle", "paragraph", "quote", "table")
@@ -91,35 +91,43 @@ def link(elements: DataFrame) -> DataFrame:
     failing that, the next note of that number. With one Notes title the body
     ends there; with more, each starts the count of numbers anew.
     """
-    e = elements.filter(F.col("kind").isin(*BODY, "note"))
     flat = T.plain(F.col("text"))
-    is_notes = (F.col("kind") == "chapter_title") & T.is_notes_title(flat)
-    heads = e.filter(is_notes).groupBy("book").agg(F.min("pos").alias("first"), F.count("*").alias("heads"))
-    e = e.join(heads, "book", "left").withColumns({"_notes": is_notes.cast("int"), "_flat": flat})
-    body = e.filter(F.col("kind").isin(*BODY))
+    chapter_title = F.col("kind") == "chapter_title"
+    title = F.col("kind").isin("subtitle", "chapter_title") | ((F.col("kind") == "paragraph") & misclassified_header(flat))
+    entry = F.nullif(F.regexp_extract(flat, r"(?U)^(\d+)\.\s", 1), F.lit(""))
+    own = F.coalesce(F.nullif(F.regexp_extract(flat, r"^(\d+)\.", 1), F.lit("")), F.nullif(F.regexp_extract(flat, r"(?i)^Chapter\s+(\d+)", 1), F.lit("")))
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?i)<sup[^>]*>([^<]+)</sup>"), F.lit(1))
+    found = F.filter(F.transform(found, lambda m, k: F.struct(k.alias("k"), T.strip(m).alias("marker"))), lambda m: m["marker"].rlike(rf"^(?:[{T.SYMBOLS_LINK}]+|\d+)$"))
+    # what the passes below ask of an element, once and without its text
+    e = cut(elements.filter(F.col("kind").isin(*BODY, "note")).select(
+        "book", "pos", "kind", (chapter_title & T.is_notes_title(flat)).cast("int").alias("_notes"), F.when(title, chapter_key(F.col("text"))).alias("_k"), F.when(title, title_key(F.col("text"))).alias("_name"),
+        F.when(chapter_title, own).alias("_own"), F.when((F.col("kind") == "paragraph") & ~title, entry).alias("_entry"),
+        F.when(F.col("kind") == "note", T.leading_assemble(F.col("text"))).alias("_leader"), F.when(F.col("kind") != "note", found).alias("_marks"),
+    ))
+    heads = e.filter("_notes = 1").groupBy("book").agg(F.min("pos").alias("first"), F.count("*").alias("heads"))
+    body = e.filter(F.col("kind").isin(*BODY)).drop("_leader").join(heads, "book", "left")
     # entries of chapters after the Notes title
-    title = F.col("kind").isin("subtitle", "chapter_title") | ((F.col("kind") == "paragraph") & misclassified_header(F.col("_flat")))
-    tail = body.filter("pos > first").withColumn("_k", F.when(title, chapter_key(F.col("text"))))
-    tail = carry_forward(tail, "_k", "chapter", BOOK, ["pos"])
-    entries = tail.filter((F.col("kind") == "paragraph") & ~title & F.col("chapter").isNotNull()).select("book", "chapter", F.nullif(F.regexp_extract("_flat", r"(?U)^(\d+)\.\s", 1), F.lit("")).alias("marker"), "pos").dropna()
+    tail = carry_forward(body.filter("pos > first").select("book", "pos", "_k", "_name", "_entry"), "_k", "chapter", BOOK, ["pos"])
+    entries = tail.filter(F.col("chapter").isNotNull() & F.col("_entry").isNotNull()).select("book", "chapter", F.col("_entry").alias("marker"), "pos")
     entries = entries.groupBy("book", "chapter", "marker").agg(F.max("pos").alias("chapter_pos"))
-    names = tail.filter(F.col("_k").isNotNull()).groupBy("book", title_key(F.col("text")).alias("_name")).agg(F.max_by("_k", "pos").alias("named"))
+    names = tail.filter(F.col("_k").isNotNull()).groupBy("book", "_name").agg(F.max_by("_k", "pos").alias("named"))
     some = entries.select("book").distinct().withColumn("_some", F.lit(True))
     # chapters of the body
-    own = F.coalesce(F.nullif(F.regexp_extract("_flat", r"^(\d+)\.", 1), F.lit("")), F.nullif(F.regexp_extract("_flat", r"(?i)^Chapter\s+(\d+)", 1), F.lit("")))
-    body = body.join(some, "book", "left").withColumn("_name", F.when((F.col("kind") == "chapter_title") & F.col("_some"), title_key(F.col("text")))).join(names, ["book", "_name"], "left")
-    body = body.withColumn("_c", F.when(F.col("kind") == "chapter_title", F.coalesce(own, "named")))
+    is_title = F.col("kind") == "chapter_title"
+    titles = body.filter(is_title).join(some, "book", "left").withColumn("_name", F.when(F.col("_some"), F.col("_name"))).join(names, ["book", "_name"], "left").withColumn("_c", F.coalesce("_own", "named"))
+    kept = ["book", "pos", "_notes", "first", "heads", "_marks", "_c"]
+    body = titles.select(kept).unionByName(body.filter(~is_title).withColumn("_c", F.lit(None).cast("string")).select(kept))
     body = running_sum(carry_forward(body, "_c", "chapter", BOOK, ["pos"]), "_notes", "section", BOOK, ["pos"])
     walked = body.filter(F.col("first").isNull() | (F.col("heads") > 1) | (F.col("pos") < F.col("first"))).filter(F.col("_notes") == 0)
     section = F.when(F.col("heads") > 1, F.col("section")).otherwise(0)
-    marks = walked.select("book", "pos", "chapter", section.alias("section"), F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?i)<sup[^>]*>([^<]+)</sup>"), F.lit(1))).alias("k", "marker")).withColumn("marker", T.strip(F.col("marker")))
-    symbol, number = F.col("marker").rlike(f"^[{T.SYMBOLS_LINK}]+$"), F.col("marker").rlike(r"^\d+$")
-    marks = marks.filter(symbol | number).join(entries, ["book", "chapter", "marker"], "left")
+    marks = walked.select("book", "pos", "chapter", section.alias("section"), F.explode("_marks").alias("_m")).select("book", "pos", "chapter", "section", "_m.k", "_m.marker")
+    symbol = F.col("marker").rlike(f"^[{T.SYMBOLS_LINK}]+$")
+    marks = marks.join(entries, ["book", "chapter", "marker"], "left")
     # the n-th marker that looks for a note, and the n-th note
     looks = F.col("chapter_pos").isNull()
     by = Window.partitionBy("book", "marker", F.when(symbol, F.lit(-1)).otherwise(F.col("section")), looks).orderBy("pos", "k")
     marks = marks.withColumn("nth", F.when(looks, F.row_number().over(by)))
-    notes = elements.filter("kind = 'note'").withColumn("marker", T.leading_assemble(F.col("text"))).filter("marker IS NOT NULL")
+    notes = e.filter("kind = 'note'").withColumn("marker", F.col("_leader")).filter("marker IS NOT NULL")
     notes = notes.withColumn("nth", F.row_number().over(Window.partitionBy("book", "marker").orderBy("pos"))).select("book", "marker", "nth", F.col("pos").alias("note_pos"))
     out = marks.join(notes, ["book", "marker", "nth"], "left").withColumn("item_pos", F.coalesce("chapter_pos", "note_pos"))
     out = out.withColumn("_hit", F.col("item_pos").isNotNull().cast("int"))
