@@ -179,3 +179,11 @@ def test_epub(tmp_path):
     store.write_epub(str(tmp_path / "b.epub"), "T & U", "A", '<div id="ch-1">One</div>', [("ch-1", "One")], images={"a.png": b"x"})
     with zipfile.ZipFile(tmp_path / "b.epub") as z:
         assert z.namelist()[0] == "mimetype" and "OEBPS/images/a.png" in z.namelist() and b"T &amp; U" in z.read("OEBPS/content.opf")
+
+
+def test_gaps_are_filled_where_numbers_stand(spark):
+    """Texts without a missing number at a fitting place never reach the replacement."""
+    a = areas(spark, [(0, 0, "main_text", "a<sup>1</sup>"), (0, 1, "main_text", "x 2, y—3 (4) 05 5th 5 6 ٧ b7"), (0, 2, "main_text", "nothing here"), (0, 3, "main_text", "p 22 .2"), (0, 4, "main_text", "b<sup>9</sup>")])
+    got = sequence.fill_gaps(a)
+    assert "array_contains(there" in got._jdf.queryExecution().analyzed().toString()
+    assert {r.area_pos: r.new_text for r in got.collect()} == {1: "x <sup>2</sup>, y—<sup>3</sup> (<sup>4</sup>) 05 5th <sup>5</sup> 6 ٧ b<sup>7</sup>", 3: "p 22 .<sup>2</sup>"}
