@@ -6,7 +6,8 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,21 +112,44 @@ def repair(cleaned: str) -> tuple[dict | None, str]:
     return None, "failed"
 
 
-def repair_json(df: DataFrame, column: str = "raw") -> DataFrame:
-    """Adds json (compact, null if beyond repair) and how."""
+#: Texts that are repaired together: as many as make so many bytes, or one.
+SLICE = 1 << 20
+
+
+def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """(start, count) of rows in a row that make SLICE bytes at most; a larger row is alone."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > SLICE:
+            yield start, i - start
+            start, total = i, 0
+        total += n
+    if sizes:
+        yield start, len(sizes) - start
+
+
+def repair_json(df: DataFrame, column: str = "raw", keep: bool = True) -> DataFrame:
+    """Adds json (compact, null if beyond repair) and how; without keep, the damaged texts go.
+
+    A batch stays in Arrow's own memory; only a slice of it at a time becomes
+    Python's strings and dicts, which take several times the room.
+    """
     from pyspark.sql.types import StringType, StructField, StructType
 
+    clear = df.withColumn("_clean", clean(F.col(column)))
+    df = df if keep else df.drop(column)
     schema = StructType([*df.schema.fields, StructField("json", StringType()), StructField("how", StringType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            got = [repair(x or "") for x in f["_clean"]]
-            f = f.drop(columns="_clean")
-            f["json"] = [json.dumps(v, ensure_ascii=False, separators=(",", ":")) if v is not None else None for v, _ in got]
-            f["how"] = [h for _, h in got]
-            yield f
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column("_clean")), 0).to_pylist()
+            rest = batch.select([c for c in batch.schema.names if c != "_clean"])
+            for start, n in _slices(sizes):
+                got = [repair(x or "") for x in batch.column("_clean").slice(start, n).to_pylist()]
+                new = [json.dumps(v, ensure_ascii=False, separators=(",", ":")) if v is not None else None for v, _ in got]
+                yield pa.RecordBatch.from_arrays([*rest.slice(start, n).columns, pa.array(new, pa.string()), pa.array([h for _, h in got], pa.string())], [*rest.schema.names, "json", "how"])
 
-    return df.withColumn("_clean", clean(F.col(column))).mapInPandas(run, schema)
+    return (clear if keep else clear.drop(column)).mapInArrow(run, schema)
 
 
 def check_polygon(p: Column) -> tuple[Column, Column]:

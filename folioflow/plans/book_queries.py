@@ -436,7 +436,7 @@ def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n == 3, F.replace(whole, F.lit(" "), F.lit("\n")))
         .otherwise(whole)
     )
-    return jsonrepair.repair_json(d.select("doc_id", raw.alias("raw"))).drop("raw")
+    return jsonrepair.repair_json(d.select("doc_id", raw.alias("raw")), keep=False)
 
 
 @query(AREAS + r"""

@@ -187,3 +187,15 @@ def test_gaps_are_filled_where_numbers_stand(spark):
     got = sequence.fill_gaps(a)
     assert "array_contains(there" in got._jdf.queryExecution().analyzed().toString()
     assert {r.area_pos: r.new_text for r in got.collect()} == {1: "x <sup>2</sup>, y—<sup>3</sup> (<sup>4</sup>) 05 5th <sup>5</sup> 6 ٧ b<sup>7</sup>", 3: "p 22 .<sup>2</sup>"}
+
+
+def test_json_repair_in_slices(spark):
+    """A batch is repaired slice by slice, not as one frame of Python strings."""
+    assert list(jsonrepair._slices([])) == [] and list(jsonrepair._slices([5, 2 * jsonrepair.SLICE, 0, jsonrepair.SLICE, 1])) == [(0, 1), (1, 1), (2, 2), (4, 1)]
+    rows = [(i, None if i == 7 else '{"a":"' + "x" * (300_000 if i % 50 == 0 else i) + ('"}' if i % 3 else "")) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, raw string")
+    got = jsonrepair.repair_json(df)
+    assert got.columns == ["k", "raw", "json", "how"] and "MapInArrow" in got._jdf.queryExecution().toString()
+    found = {r.k: (r.raw, r.json, r.how) for r in got.collect()}
+    assert found == {k: (raw, None, "failed") if raw is None else (raw, raw if k % 3 else raw + '"}', "plain" if k % 3 else "closed") for k, raw in rows}
+    assert {r.k: r.json for r in jsonrepair.repair_json(df, keep=False).collect()} == {k: v[1] for k, v in found.items()}
