@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import text as T
 from folioflow.operators.layout import top_order
 from folioflow.operators.matching import ENTRY_LINE, entry_numbers
-from folioflow.operators.scans import carry_backward, carry_forward, running_sum
+from folioflow.operators.scans import carry_backward, carry_forward, cut, running_sum
 
 BOOK, PAGE = ["book"], ["book", "page_idx"]
 #: Rank of chapters whose page isn't known.
@@ -48,10 +48,11 @@ def body_chapters(areas: DataFrame, start: DataFrame) -> DataFrame:
     A page belongs to the last chapter title on it or before it; titles of
     notes begin none. Pages before the first title have no row.
     """
-    on = areas.join(start, "book", "left").filter(~F.coalesce("ignored", F.lit(False)) & (F.col("start").isNull() | (F.col("page_idx") < F.col("start"))))
-    n = _number(F.col("text"), NUMBERED)
-    begins = (F.col("type") == "chapter_title") & (n.isNotNull() | ~T.is_notes_title(F.col("text")))
-    pages = on.groupBy(*PAGE).agg(F.max(F.when(begins, F.struct("area_pos", _key(n, F.col("text")).alias("k")))).alias("own"))
+    on = areas.filter(~F.coalesce("ignored", F.lit(False))).select(*PAGE, "area_pos", F.when(F.col("type") == "chapter_title", F.coalesce("text", F.lit(""))).alias("_title"))
+    n = _number(F.col("_title"), NUMBERED)
+    begins = F.col("_title").isNotNull() & (n.isNotNull() | ~T.is_notes_title(F.col("_title")))
+    pages = on.groupBy(*PAGE).agg(F.max(F.when(begins, F.struct("area_pos", _key(n, F.col("_title")).alias("k")))).alias("own"))
+    pages = pages.join(start, "book", "left").filter(F.col("start").isNull() | (F.col("page_idx") < F.col("start"))).drop("start")
     pages = carry_forward(pages.withColumn("own", F.col("own.k")), "own", "k", BOOK, ["page_idx"])
     return pages.filter("k IS NOT NULL").select(*PAGE, "k.n", "k.title", "k.raw")
 
@@ -63,18 +64,25 @@ def note_chapters(areas: DataFrame, start: DataFrame, body: DataFrame) -> DataFr
     one of notes or an entry; so does a main text's first line that is a title
     known from elsewhere. ``numbers`` are the entries in main texts.
     """
-    on = top_order(areas.join(start, "book").filter(~F.coalesce("ignored", F.lit(False)) & (F.col("page_idx") >= F.col("start"))))
-    first = T.strip(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1))
     title, main = F.col("type").isin("subtitle", "chapter_title"), F.col("type") == "main_text"
+    first = T.strip(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1))
     line = F.when(main, first).otherwise(F.replace(T.strip(F.coalesce("text", F.lit(""))), F.lit("\n"), F.lit(" ")))
-    n = _number(line, WORDED)
-    free = n.isNull() & ~T.is_notes_title(line) & ~line.rlike(ENTRY_LINE) & (line != "")
-    on = on.filter(title | main).withColumns({"_n": n, "_line": line, "_title": F.when(free, title_key(line))})
-    known = body.filter("n IS NULL").select("book", "title").unionAll(on.filter(title & F.col("_title").isNotNull()).select("book", "_title")).distinct()
-    on = on.join(known.select("book", F.col("title").alias("_title"), F.lit(True).alias("_known")), ["book", "_title"], "left")
-    begins = F.col("_n").isNotNull() | (F.col("_title").isNotNull() & (title | (F.coalesce("_known", F.lit(False)) & (F.length("_line") < 100))))
+    # boxes rank all areas of a page; of their texts only lines that may begin a chapter go on
+    start = cut(start.filter("start IS NOT NULL"))  # a table of known size: it is broadcast if it is small, and texts aren't dealt out by book
+    on = areas.join(start, "book").filter(~F.coalesce("ignored", F.lit(False)) & (F.col("page_idx") >= F.col("start"))).withColumn("_line", F.when(title | main, line))
+    on = on.withColumn("_n", _number(F.col("_line"), WORDED)).withColumn("_line", F.when(title | F.col("_n").isNotNull() | (F.length("_line") < 100), F.col("_line")))
+    free = F.col("_n").isNull() & ~T.is_notes_title(F.col("_line")) & ~F.col("_line").rlike(ENTRY_LINE) & (F.col("_line") != "")
+    on = on.withColumn("numbers", F.when(main, entry_numbers(F.col("text"))).otherwise(F.array().cast("array<bigint>")))
+    on = top_order(on.select(*PAGE, "area_pos", *[c for c in ("y0",) if c in areas.columns], "_n", "_line", F.when(free, title_key(F.col("_line"))).alias("_title"), title.alias("_head"), main.alias("_main"), "numbers"))
+    on = cut(on.filter("_head OR _main").drop("area_pos", "y0"))
+    known = body.filter("n IS NULL").select("book", "title").unionAll(on.filter("_head AND _title IS NOT NULL").select("book", "_title")).distinct()
+    # a title begins a chapter known or not; a main text must be looked up
+    asks = F.col("_title").isNotNull() & ~F.col("_head")
+    found = on.filter(asks).join(known.select("book", F.col("title").alias("_title"), F.lit(True).alias("_known")), ["book", "_title"], "left").select(*on.columns, "_known")
+    on = found.unionByName(on.filter(~F.coalesce(asks, F.lit(False))).withColumn("_known", F.lit(None).cast("boolean")))
+    begins = F.col("_n").isNotNull() | (F.col("_title").isNotNull() & (F.col("_head") | F.coalesce("_known", F.lit(False))))
     key = F.struct(F.col("_n").alias("n"), F.when(F.col("_n").isNull(), F.col("_title")).alias("title"), F.col("_line").alias("raw"))
-    on = on.withColumn("_k", F.when(begins, key)).withColumn("numbers", F.when(main, entry_numbers(F.col("text"))).otherwise(F.array().cast("array<bigint>")))
+    on = on.select(*PAGE, "reading_pos", F.when(begins, key).alias("_k"), "numbers")
     on = carry_forward(on, "_k", "k", BOOK, ["page_idx", "reading_pos"])
     return on.filter("k IS NOT NULL").select(*PAGE, "k.n", "k.title", "k.raw", F.col("_k").isNotNull().alias("begins"), "numbers", "reading_pos")
 

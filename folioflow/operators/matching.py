@@ -163,7 +163,7 @@ def endnotes_start(areas: DataFrame, ahead: int = 3) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     title = F.col("type") == "chapter_title"
-    low = F.lower(F.replace(text, F.lit("\n"), F.lit(" ")))
+    low = F.coalesce(F.lower(F.replace(F.when(title, text), F.lit("\n"), F.lit(" "))), F.lit(""))
     hint = F.lit(False)
     for word in T.NOTES_TITLES:
         hint = hint | low.contains(word)

@@ -357,3 +357,12 @@ def test_link_scans_carry_no_texts(spark, monkeypatch):
     got = linking.link(spark.createDataFrame(rows, "book string, pos long, kind string, text string"))
     assert sorted(tuple(r)[1:] for r in got.collect()) == [(1, 0, "1", "chapter", 4, 1), (1, 2, "*", "symbol", 9, 2)]
     assert seen and _written(seen) < 5000
+
+
+def test_chapter_scans_carry_no_texts(spark, monkeypatch):
+    seen = _scanned(monkeypatch)
+    long = "word " * 20000
+    rows = [*BOOK, (1, 1, "main_text", long), (4, 3, "main_text", f"6. {long}"), (5, 2, "main_text", f"Epilogue\n2. {long}"), (5, 3, "main_text", long)]
+    got = {r.n if r.n is not None else r.title: (r.missing_entries, r.missing_sups) for r in chapters.chapter_review(areas(spark, rows), spark.createDataFrame([("b", 3)], "book string, start long")).collect()}
+    assert got == {1: ("4", "3"), 9: ("", "5"), "epilogue": ("", "2,6")}
+    assert len(seen) > 1 and _written(seen) < 5000
